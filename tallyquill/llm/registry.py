@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from tallyquill.llm import chat, exact_dedup, mixing
+from tallyquill.llm import chat, exact_dedup, html_text, mixing, secrets, token_counts, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_exact_topk": topk.op7_exact_topk,
+    "op9_token_counts": token_counts.op9_token_counts,
+    "op10_html_text": html_text.op10_html_text,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_mixing": mixing.ORACLE,
     "op6_chat_format": chat.ORACLE,
+    "op7_exact_topk": topk.ORACLE,
 }
