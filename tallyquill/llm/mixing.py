@@ -9,6 +9,8 @@ from tallyquill.llm.common import WORD, text_of, written
 
 #: Bits of the row's 60-bit hash at the first and at the second level of the histogram.
 BITS = 10
+#: Ways into which the rows of one source are dealt when they meet their threshold.
+SALTS = 64
 MOST_TIMES = 3
 
 
@@ -91,9 +93,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     cut = last.groupBy("skey", "b2").agg(F.max(F.when(within, F.col("h"))).alias("h"))
     cut = cut.select("skey", F.coalesce(F.col("h"), F.shiftleft("b2", 60 - 2 * BITS) - 1).alias("cut"))
 
-    plan = targets.join(cut, "skey", "left")
+    # a source may hold any share of the rows: its few numbers go to every one of SALTS ways
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    plan = targets.join(cut, "skey", "left").select("*", salts)
     once_more = F.when((F.col("budget") > 0) & (F.col("h") <= F.coalesce("cut", F.lit((1 << 60) - 1))), 1).otherwise(0)
-    return sized.join(plan, "skey").select(
+    salted = sized.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int"))
+    return salted.join(plan, ["skey", "salt"]).select(
         F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("times") + once_more)).alias("taken")
     )
 
