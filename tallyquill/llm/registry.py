@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyquill.llm import chat, exact_dedup, html_text, mixing, secrets, token_counts, topk
+from tallyquill.llm import chat, exact_dedup, html_text, mixing, secrets, subword, token_counts, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_sentencepiece": subword.op3_sentencepiece,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_chat_format": chat.op6_chat_format,
     "op7_exact_topk": topk.op7_exact_topk,

@@ -43,7 +43,7 @@ class PrefixCounts:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path(path))
-        self.known: dict[str, int] = {" ": 1}
+        self.known: dict[str, int] = {"": 1}
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.rank = {p: self.sp.get_score(i) for i, p in enumerate(pieces) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i))}
         self.longest = max(map(len, self.rank))
@@ -53,16 +53,20 @@ class PrefixCounts:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """What the encoder sees (a space is put in front), cut where runs of spaces begin."""
+        """What the encoder sees (a space is put in front), cut where runs of spaces begin.
+
+        The first space of each chunk is left out, so a chunk is also what gives its pieces when
+        encoded alone; only the chunk of one space, "" here, has to be told by hand.
+        """
         if not text:
             return []
         text = text.replace(SPACE, " ")
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return CHUNK.findall(" " + text)
-        return [" " + w for w in text.split(" ")]
+        if "  " in text or text[0] == " ":
+            return [c[1:] for c in CHUNK.findall(" " + text)]
+        return text.split(" ")
 
     def learn(self, missing: list[str]) -> dict[str, int]:
-        counts = dict(zip(missing, map(len, self.sp.encode([c[1:] for c in missing], num_threads=1)), strict=True))
+        counts = dict(zip(missing, map(len, self.sp.encode(missing, num_threads=1)), strict=True))
         if len(self.known) < MOST_KNOWN:
             self.known.update(counts)
         return counts
@@ -82,7 +86,7 @@ class PrefixCounts:
         ends, counts, at, n = [], [], -1, 0  # the space put in front is no character of the text
         chunks = self.chunks(text)
         for chunk, k in zip(chunks, self.chunk_counts(chunks), strict=True):
-            at, n = at + len(chunk), n + k
+            at, n = at + 1 + len(chunk), n + k
             ends.append(at)
             counts.append(n)
         return ends, counts
@@ -104,7 +108,7 @@ class PrefixCounts:
 
     def inside(self, chunk: str) -> list[int]:
         """Token counts of the prefixes of one chunk, from the empty one on."""
-        s = chunk.replace(" ", SPACE)
+        s = SPACE + chunk.replace(" ", SPACE)
         counts, last = [0] + [-1] * len(s), [""] * (len(s) + 1)
         for end in range(1, len(s) + 1):
             if s[end - 1] not in self.rank:  # told by its bytes; nothing merges with it
