@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyquill.llm import chat, exact_dedup, html_text, mixing, secrets, subword, token_counts, topk
+from tallyquill.llm import chat, exact_dedup, html_text, mixing, near_dedup, secrets, subword, token_counts, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_chat_format": chat.op6_chat_format,
     "op7_exact_topk": topk.op7_exact_topk,
+    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_html_text": html_text.op10_html_text,
 }
@@ -19,4 +20,5 @@ ORACLES = {
     "op2_mixing": mixing.ORACLE,
     "op6_chat_format": chat.ORACLE,
     "op7_exact_topk": topk.ORACLE,
+    "op8_minhash_near_dedup": near_dedup.ORACLE,
 }
