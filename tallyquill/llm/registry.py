@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyquill.llm import chat, exact_dedup, html_text, mixing, near_dedup, secrets, subword, token_counts, topk
+from tallyquill.llm import chat, exact_dedup, html_text, mixing, near_dedup, secrets, subword, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_sentencepiece": subword.op3_sentencepiece,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_format": chat.op6_chat_format,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
