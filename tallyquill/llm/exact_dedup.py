@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyquill.llm.common import fold_case, text_of
+from tallyquill.llm.common import fold_case, text_of, written
 
 #: Ways into which the groups of one digest are dealt before the last combining.
 SALTS = 64
@@ -49,8 +49,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone_id"))
+    gone = written(gone, "copies")  # of known size: broadcast if small, else a shuffled join
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]), "left_anti")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

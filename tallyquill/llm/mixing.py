@@ -52,24 +52,17 @@ def boundary(hist: DataFrame, budget: DataFrame, bucket: str) -> DataFrame:
     return over.select("skey", F.col(bucket), (F.col("budget") - (F.col("upto") - F.col("words"))).alias("left"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """One row per input row: id, ``size`` (words), ``source_size``, ``target`` and ``taken``.
+def source_key(source_col: str) -> Column:
+    """A key for the source that isn't null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
 
-    A source takes all its rows ``floor(target / source_size)`` times, and once more the rows whose
-    hash is below a threshold. A histogram of words by source and the hash's first bits shows the
-    bucket in which the rest of the budget runs out; only that bucket is counted again by the next
-    bits, and the rows of the one bucket left set the threshold, at the row whose inclusion comes
-    nearer the budget. Nothing is sorted but bucket sums and the rows of that last bucket. Thresholds
-    for smaller budgets are smaller, so their mixes are subsets.
 
-    Null text has size 0 and null source is a source of its own, the last. Rows that share an id
-    share its hash and are taken alike. With no words at all nothing is taken; an empty table gives
-    no rows. Other columns are not read.
-    """
+def thresholds(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """The sized rows (doc_id, skey, size, h), and the plan: by source and salt what it takes."""
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("skey"),
+        source_key(source_col).alias("skey"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
         row_hash(F.col(id_col)).alias("h"),
     )
@@ -95,14 +88,51 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     # a source may hold any share of the rows: its few numbers go to every one of SALTS ways
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    plan = targets.join(cut, "skey", "left").select("*", salts)
+    return sized, written(targets.join(cut, "skey", "left").select("*", salts), "mix-plan")
+
+
+def times_taken() -> Column:
     once_more = F.when((F.col("budget") > 0) & (F.col("h") <= F.coalesce("cut", F.lit((1 << 60) - 1))), 1).otherwise(0)
-    salted = sized.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int"))
-    return salted.join(plan, ["skey", "salt"]).select(
-        F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("times") + once_more)).alias("taken")
+    return F.col("times") + once_more
+
+
+def salt_of(h: Column) -> Column:
+    return F.pmod(h, F.lit(SALTS)).cast("int")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """One row per input row: id, ``size`` (words), ``source_size``, ``target`` and ``taken``.
+
+    A source takes all its rows ``floor(target / source_size)`` times, and once more the rows whose
+    hash is below a threshold. A histogram of words by source and the hash's first bits shows the
+    bucket in which the rest of the budget runs out; only that bucket is counted again by the next
+    bits, and the rows of the one bucket left set the threshold, at the row whose inclusion comes
+    nearer the budget. Nothing is sorted but bucket sums and the rows of that last bucket. Thresholds
+    for smaller budgets are smaller, so their mixes are subsets.
+
+    Null text has size 0 and null source is a source of its own, the last. Rows that share an id
+    share its hash and are taken alike. With no words at all nothing is taken; an empty table gives
+    no rows. Other columns are not read.
+    """
+    sized, plan = thresholds(docs, id_col, source_col, text_col, weights)
+    return sized.withColumn("salt", salt_of(F.col("h"))).join(plan, ["skey", "salt"]).select(
+        F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * times_taken()).alias("taken")
     )
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The rows that the mix takes, each as often as it is taken, with the columns of ``docs``.
+
+    Rows without words add nothing to a mix and are left out.
+    """
+    _, plan = thresholds(docs, id_col, source_col, text_col, weights)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), source_key(source_col).alias("skey"), row_hash(F.col(id_col)).alias("h"))
+    rows = rows.withColumn("salt", salt_of(F.col("h"))).join(plan, ["skey", "salt"])
+    worded = F.coalesce(F.col(f"doc.{text_col}").cast("string"), F.lit("")).rlike(WORD)
+    copies = rows.where(worded & (times_taken() > 0)).select("doc", F.explode(F.sequence(F.lit(1), times_taken().cast("int"))))
+    return copies.select("doc.*")
+
+
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -255,8 +255,9 @@ def _alike_pairs(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone_id"))
+    gone = written(gone, "copies")  # of known size: broadcast if small, else a shuffled join
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]), "left_anti")
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
