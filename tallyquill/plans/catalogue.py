@@ -1,4 +1,563 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each with its SQL where SQL can express it.
+
+The tables hold no financial reports, so queries over tables, programs and outputs build their
+strings from columns, run the operator, and are checked against the columns themselves.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyquill.functions import numbers, outputs, text
+from tallyquill.operators import chunks, dialogue, predictions, programs, retrieval, tables, training
+from tallyquill.shipping import ship
+from tallyquill.sources import readers, writers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _shipped(df: DataFrame) -> DataFrame:
+    ship(df.sparkSession)
+    return df
+
+
+# --- dialogues -------------------------------------------------------------------------------------------------------
+
+PAIRS = """
+WITH p AS (
+  SELECT conv_id AS id, turn, text AS question, lead(text) OVER w AS reply, role, lead(role) OVER w AS next_role
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (
+  SELECT id, turn, question, (length(reply) % 100)::VARCHAR AS gold,
+         CASE WHEN length(question) % 3 = 0 THEN ((length(reply) % 100) * 1.005)::DOUBLE ELSE (length(question) % 90)::DOUBLE END AS value
+  FROM p WHERE role = 'user' AND next_role = 'assistant')
+"""
+JUDGED = (
+    PAIRS
+    + """,
+j AS (
+  SELECT *, CASE WHEN gold::DOUBLE <> 0 THEN abs(value - gold::DOUBLE) / abs(gold::DOUBLE) <= 0.01 ELSE abs(value) <= 0.01 END AS is_correct FROM t),
+d AS (
+  SELECT id, sum(is_correct::INT)::BIGINT AS correct_count, count(*) AS total_turns,
+         arg_min(is_correct::INT, turn) AS first_correct, arg_max(is_correct::INT, turn) AS last_correct,
+         sum(is_correct::INT)::DOUBLE / count(*) AS accuracy
+  FROM j GROUP BY id)
+"""
+)
+
+
+def _judged(t) -> DataFrame:
+    """User turns with the reply's length as the gold answer, and predictions some of which are right."""
+    turns = dialogue.paired_turns(t("conversations"))
+    gold, asked = F.length("reply") % 100, F.length("question")
+    value = F.when(asked % 3 == 0, gold * F.lit(1.005).cast("double")).otherwise((asked % 90).cast("double"))
+    turns = turns.select("id", "turn", "question", gold.cast("string").alias("gold"), text.double_text(value).alias("predicted"))
+    return dialogue.judged(turns)
+
+
+@query(JUDGED + "SELECT * FROM d")
+def dialogue_metrics(t):
+    """Per conversation counts and accuracies; the flagship."""
+    return dialogue.per_dialogue(_judged(t))
+
+
+@query(
+    JUDGED
+    + """
+SELECT sum(correct_count)::DOUBLE / sum(total_turns) AS overall_accuracy, avg(accuracy) AS avg_example_accuracy, avg(first_correct) AS first_turn_accuracy,
+       avg(last_correct) AS last_turn_accuracy, sum(correct_count)::BIGINT AS total_correct, sum(total_turns)::BIGINT AS total_turns, count(*) AS examples_evaluated FROM d"""
+)
+def corpus_metrics(t):
+    """A2-A4."""
+    return dialogue.corpus_metrics(dialogue.per_dialogue(_judged(t)))
+
+
+@query(
+    PAIRS
+    + """
+SELECT id, turn, coalesce(string_agg('Q' || n || ': ' || question || chr(10) || 'A' || n || ': ' || gold || chr(10) || chr(10), '')
+         OVER (PARTITION BY id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) AS n FROM t)"""
+)
+def dialogue_history(t):
+    """W1, F26."""
+    turns = _judged(t).withColumn("predicted", F.col("gold"))
+    return dialogue.with_history(turns).select("id", "turn", text.history_text(F.col("history")).alias("history"))
+
+
+@query(
+    PAIRS.replace("SELECT id, turn, question,", "SELECT id, turn, CASE id % 3 WHEN 0 THEN 'operating income in ' || (2010 + turn % 4) WHEN 1 THEN 'percentage increase?' ELSE 'What was the cash from operating activities in 2009 or ' || (2006 + turn) END AS question,")
+    + """,
+b AS (SELECT *, lag(question) OVER (PARTITION BY id ORDER BY turn) AS before FROM t)
+SELECT id, turn, CASE WHEN question LIKE '%cash%' AND question LIKE '%operating activities%' AND question LIKE '%2009%' THEN '$206,588'
+  WHEN question LIKE '%percentage%' AND before LIKE '%difference%' THEN '14' WHEN question LIKE '%operating income%' AND question LIKE '%2011%' THEN '1,314'
+  WHEN question LIKE '%operating income%' AND question LIKE '%2010%' THEN '1,194' WHEN question LIKE '%percentage increase%' AND before LIKE '%operating income%' THEN '10.1%'
+  ELSE 'Unable to find answer in context' END AS predicted FROM b"""
+)
+def mock_provider(t):
+    """Rules over a question and the one before."""
+    turns = dialogue.paired_turns(t("conversations"))
+    asked = F.when(F.col("id") % 3 == 0, F.concat(F.lit("operating income in "), (2010 + F.col("turn") % 4).cast("string"))).when(F.col("id") % 3 == 1, F.lit("percentage increase?"))
+    asked = asked.otherwise(F.concat(F.lit("What was the cash from operating activities in 2009 or "), (2006 + F.col("turn")).cast("string")))
+    return dialogue.mock_answers(turns.withColumn("question", asked)).select("id", "turn", "predicted")
+
+
+@query("""
+SELECT c.conv_id, c.turn, coalesce(d.text, '') AS context FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id * 20 WHERE c.role = 'user'""")
+def kb_lookup(t):
+    """R1, J1."""
+    asked = t("conversations").where("role = 'user'").select("conv_id", "turn", (F.col("conv_id") * 20).alias("doc_id"))
+    return retrieval.lookup(asked, t("documents").select("doc_id", "text"), "doc_id", "text").select("conv_id", "turn", "context")
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, string_split(text, chr(10)) AS ls FROM documents),
+f AS (SELECT doc_id, pos, ls[pos + 1] AS line FROM l WHERE length(ls[pos + 1]) - length(replace(ls[pos + 1], '|', '')) >= 2),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM f),
+t AS (SELECT doc_id, min(pos)::INT AS first_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS content FROM g GROUP BY doc_id, island)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1)::INT AS table_no, first_line, n_lines, content FROM t""")
+def pipe_tables(t):
+    """T1."""
+    return tables.extract_tables(t("documents"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, string_split(text, chr(10)) AS ls FROM documents),
+f AS (SELECT doc_id, pos, ls[pos + 1] AS line, length(ls[pos + 1]) - length(replace(ls[pos + 1], '|', '')) >= 2 AS tab FROM l),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, tab ORDER BY pos) AS island FROM f),
+p AS (SELECT doc_id, tab, min(pos) AS first_line, string_agg(line, chr(10) ORDER BY pos) AS content FROM g GROUP BY doc_id, tab, island),
+q AS (SELECT doc_id, tab, first_line, CASE WHEN tab THEN content ELSE regexp_replace(content, '^\\s+|\\s+$', '', 'g') END AS content FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS n, bool_or(tab) OVER (PARTITION BY doc_id) AS has FROM q WHERE tab OR content <> '')
+SELECT doc_id, CASE WHEN has THEN doc_id || '_' || CASE WHEN tab THEN 'table' ELSE 'text' END || '_' || n ELSE doc_id::VARCHAR END AS chunk_id,
+       CASE WHEN tab THEN 'table' ELSE 'text' END AS type, n::INT AS chunk_no, content FROM k""".replace("\\\\", "\\"))
+def document_chunks(t):
+    """T3, T4."""
+    return tables.split_document(t("documents"))
+
+
+@query("""
+SELECT n_regionkey AS id, ['name', 'key'] AS header, list([n_name, n_nationkey::VARCHAR] ORDER BY n_nationkey) AS rows, [false, true] AS numeric FROM nation GROUP BY n_regionkey""")
+def parse_pipe_rows(t):
+    """Pipe tables built from nations, parsed again."""
+    line = F.concat(F.lit("| "), F.col("n_name"), F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit(" |"))
+    built = t("nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("ls"))
+    content = F.concat(F.lit("| name | key |\n| --- | --- |\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    parsed = built.select("id", tables.parse_pipe_table(content).alias("p"), tables.table_data(content).alias("d"))
+    return parsed.select("id", "p.header", "p.rows", "d.numeric")
+
+
+@query("""
+WITH w AS (SELECT n_regionkey AS id, n_nationkey AS k, upper(n_name) || ' & ' || n_name AS c1, n_nationkey::VARCHAR AS c2 FROM nation),
+a AS (SELECT id, k, c1, c2, greatest(max(length(c1)) OVER (PARTITION BY id), 4) AS w1, greatest(max(length(c2)) OVER (PARTITION BY id), 3) AS w2 FROM w)
+SELECT id, rpad('name', any_value(w1)::INT, ' ') || ' | ' || rpad('key', any_value(w2)::INT, ' ') || ' | -' || chr(10) || repeat('-', any_value(w1)::INT) || '-|-' || repeat('-', any_value(w2)::INT) || '-|--' || chr(10)
+       || string_agg(rpad(c1, w1::INT, ' ') || ' | ' || rpad(c2, w2::INT, ' ') || ' | ' || '-', chr(10) ORDER BY k) AS formatted FROM a GROUP BY id""".replace("'-|--'", "'-|-' || '-'"))
+def html_table_format(t):
+    """HTML tables built from nations, numbered rows, entities and empty cells included."""
+    row = F.concat(F.lit("<tr><td>"), (F.col("n_nationkey") + 1).cast("string"), F.lit('</td><td class="x">'), F.upper("n_name"), F.lit(" &amp; <b>"), F.col("n_name"), F.lit("</b></td><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td></td></tr>"))
+    built = t("nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("rs"))
+    html = F.concat(F.lit("<table><tr><th>0</th><th>name</th><th>key</th><td></td></tr>"), F.array_join(F.transform("rs", lambda x: x["row"]), ""), F.lit("</table>"))
+    return built.select("id", tables.format_html_table(html).alias("formatted"))
+
+
+@query("""
+SELECT 'doc_' || doc_id AS id, CASE WHEN lang = 'en' THEN lang || chr(10) || chr(10) ELSE chr(10) || chr(10) END || regexp_replace(source, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || left(text, 200) AS raw,
+       '# doc_' || doc_id || chr(10) || chr(10) || CASE WHEN lang = 'en' THEN '## Pre-text' || chr(10) || chr(10) || lang || chr(10) || chr(10) ELSE '' END
+       || '## Table' || chr(10) || chr(10) || source || chr(10) || chr(10) || '## Post-text' || chr(10) || chr(10) || left(text, 200) || chr(10) || chr(10) || '---' || chr(10) AS markdown
+FROM documents""".replace("\\\\", "\\"))
+def kb_transform(t):
+    """Knowledge rows and markdown of documents."""
+    docs = t("documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("lang") == "en", F.col("lang")).otherwise("").alias("pre"), F.col("source").alias("table"), F.substring("text", 1, 200).alias("post"))
+    return docs.select("id", tables.context_text(F.col("pre"), F.col("table"), F.col("post")).alias("raw"), writers.markdown(F.col("id"), F.col("pre"), F.col("table"), F.col("post")).alias("markdown"))
+
+
+# --- chunks and numbers ----------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 50, 1), 462)) AS i FROM w WHERE len(ws) > 0)
+SELECT doc_id, (i // 462)::INT AS chunk_no, len(ws[i + 1 : i + 512])::INT AS n_words, array_to_string(ws[i + 1 : i + 512], ' ') AS content FROM s""".replace("\\\\", "\\"))
+def word_chunks(t):
+    """C1b."""
+    return chunks.word_chunks(t("documents"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(0, greatest(len(ws) - 50, 1), 462)) // 462 AS c FROM w WHERE len(ws) > 0),
+n AS (SELECT *, max(c) OVER (PARTITION BY doc_id) AS m FROM s)
+SELECT doc_id, doc_id || '_text_chunk_' || c AS source, doc_id || '_text_chunk_' || CASE WHEN c = m THEN m - 1 ELSE m END AS target, CASE WHEN c = m THEN 1 ELSE m - c END::BIGINT AS distance FROM n WHERE m > 0""".replace("\\\\", "\\"))
+def node_edges(t):
+    """C4, M9."""
+    nodes = chunks.word_chunks(t("documents").select("doc_id", "text"))
+    return chunks.node_edges(nodes.select("doc_id", "chunk_no", F.concat_ws("_", F.col("doc_id").cast("string"), F.lit("text_chunk"), F.col("chunk_no").cast("string")).alias("node_id")))
+
+
+@query(r"""
+WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?:\$\s*)?(\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d+(?:\.\d+)?)(?:\s*%)?', 1), lambda x: replace(x, ',', '')::DOUBLE) AS ns FROM documents)
+SELECT doc_id, len(ns) > 0 AS contains_numbers, len(ns)::INT AS number_count, ns[1:10] AS numbers FROM n""")
+def number_annotation(t):
+    """C2, C3."""
+    return chunks.annotate(t("documents").select("doc_id", "text"), "text").select("doc_id", "contains_numbers", "number_count", "numbers")
+
+
+@query("""
+WITH v AS (
+  SELECT 'total revenue' AS metric, l_quantity * 1e6 AS value FROM lineitem UNION ALL SELECT 'profit margin (%)', l_discount * 100 / 100 FROM lineitem
+  UNION ALL SELECT 'store units', l_linenumber::DOUBLE FROM lineitem)
+SELECT metric, avg(value) AS mean, median(value) AS median, min(value) AS min, max(value) AS max, count(*) AS n FROM v WHERE metric <> 'store units' GROUP BY metric""")
+def metric_stats(t):
+    """Sentences built from line items; counts aren't asked for."""
+    rows = t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("node_id"), "l_quantity", "l_discount", "l_linenumber")
+    said = F.concat(F.lit("total revenue was $"), F.col("l_quantity").cast("decimal(12,2)").cast("string"), F.lit(" million; profit margin: "), (F.col("l_discount") * 100).cast("decimal(8,2)").cast("string"), F.lit("%. "), F.col("l_linenumber").cast("string"), F.lit(" store units"))
+    values = predictions.metric_values(rows.select("node_id", said.alias("content")))
+    wanted = rows.sparkSession.createDataFrame([("total revenue",), ("profit margin (%)",)], "metric string")
+    return predictions.metric_stats(values, wanted)
+
+
+@query()
+def number_details(t):
+    """Numbers with context, unit and sign; match offsets need Python."""
+    docs = _shipped(t("documents")).select("doc_id", F.explode(numbers.all_numbers(F.col("text"))).alias("n"))
+    return docs.select("doc_id", "n.*")
+
+
+@query()
+def sentence_chunks(t):
+    """Whole sentences packed into chunks."""
+    return chunks.sentence_chunks(t("documents"), size=128, overlap=20)
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+
+VECTORS = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+h AS (
+  SELECT q.vec_id AS query_id, n.vec_id AS node_id, n.label < 3 AS is_table, list_cosine_similarity(q.e, n.e) AS score FROM v q JOIN v n ON n.vec_id % 20 <> 0 WHERE q.vec_id % 20 = 0),
+a AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, is_table ORDER BY round(score, 9) DESC, node_id) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) AS sc FROM h)
+"""
+
+
+def _collections(t, k: int = 5):
+    """Hits of the text, the table and the context collection; vectors of small labels stand for tables."""
+    v = t("embeddings").select("vec_id", F.col("embedding").alias("vec"), (F.col("label") < 3).alias("is_table"))
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    nodes = v.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "node_id")
+    return [retrieval.vector_topk(queries, readers.collection(nodes, name), k) for name in ("text", "table", "context")]
+
+
+@query(VECTORS + "SELECT query_id, node_id, round(score, 6) AS score, sc::INT AS seq FROM a WHERE sc <= 5")
+def vector_topk(t):
+    """R3, R4, J7, O1."""
+    return _collections(t)[2].select("query_id", "node_id", F.round("score", 6).alias("score"), "seq")
+
+
+MERGED = (
+    VECTORS
+    + """,
+u AS (SELECT query_id, node_id, score, s + CASE WHEN is_table THEN 100 ELSE 0 END AS seq FROM a WHERE s <= 5),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq, node_id) AS n FROM u WHERE score >= 0.3),
+kept AS (SELECT query_id, node_id, score FROM k WHERE n <= 3),
+tx AS (SELECT a.query_id, a.node_id, a.score, row_number() OVER (PARTITION BY a.query_id ORDER BY a.s, a.node_id) AS n FROM a ANTI JOIN kept USING (query_id, node_id) WHERE a.is_table AND a.s <= 5),
+cx AS (SELECT a.query_id, a.node_id, a.score, row_number() OVER (PARTITION BY a.query_id ORDER BY a.sc, a.node_id) AS n FROM a ANTI JOIN u USING (query_id, node_id) WHERE a.sc <= 5),
+r AS (SELECT *, 'kept' AS part FROM kept UNION ALL SELECT query_id, node_id, score, 'table' FROM tx WHERE n <= 2 UNION ALL SELECT query_id, node_id, score, 'context' FROM cx WHERE n <= 2)
+"""
+)
+
+
+def _retrieved(t) -> DataFrame:
+    texts, tabs, contexts = _collections(t)
+    return retrieval.retrieve(texts, tabs.withColumn("seq", F.col("seq") + 100), contexts, least=0.3)
+
+
+@query(MERGED + "SELECT query_id, node_id, round(score, 6) AS score, part FROM r")
+def multi_query_merge(t):
+    """Merged, cut off, topped up with tables and contexts."""
+    return _retrieved(t).select("query_id", "node_id", F.round("score", 6).alias("score"), "part")
+
+
+@query(MERGED + "SELECT query_id, count(*) FILTER (part = 'kept') AS n_kept, count(*) FILTER (part = 'table') AS n_table, count(*) FILTER (part = 'context') AS n_context, count(*) AS n_all, round(max(score), 6) AS best FROM r GROUP BY query_id")
+def retrieval_envelope(t):
+    """R10, A11."""
+    return retrieval.envelope(_retrieved(t)).withColumn("best", F.round("best", 6))
+
+
+@query(
+    MERGED.replace("WITH v AS", "WITH w AS (SELECT conv_id * 20 AS query_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) > 3) AS ks FROM conversations WHERE turn = 0), v AS")
+    + """,
+x AS (
+  SELECT a.query_id, a.node_id, a.sc, row_number() OVER (PARTITION BY a.query_id ORDER BY a.sc, a.node_id) AS n
+  FROM a ANTI JOIN r USING (query_id, node_id) JOIN w ON w.query_id = a.query_id JOIN documents d ON d.doc_id = a.node_id
+  WHERE a.sc <= 20 AND len(list_filter(w.ks, lambda x: contains(lower(d.text), x))) > 0)
+SELECT query_id, node_id, sc::INT AS seq FROM x WHERE n <= 3"""
+)
+def hybrid_keyword(t):
+    """Contexts among the twenty nearest that hold a keyword of the question."""
+    asked = t("conversations").where("turn = 0").select((F.col("conv_id") * 20).alias("query_id"), text.keywords(F.col("text")).alias("keywords"))
+    docs = t("documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content"))
+    candidates = _collections(t, 20)[2].join(asked, "query_id").join(docs, "node_id")
+    return retrieval.keyword_hits(candidates, _retrieved(t)).select("query_id", "node_id", "seq")
+
+
+@query(
+    VECTORS
+    + """,
+b AS (SELECT a.*, a.node_id % 7 = 0 AS num FROM a WHERE sc <= 5),
+n AS (SELECT query_id, count(*) FILTER (num) AS nn, count(*) AS na FROM b GROUP BY query_id),
+f AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY (NOT num)::INT, sc, node_id) AS rank FROM b),
+e AS (SELECT a.query_id, a.node_id, n.na + row_number() OVER (PARTITION BY a.query_id ORDER BY a.s, a.node_id) AS rank FROM a ANTI JOIN b USING (query_id, node_id) JOIN n ON n.query_id = a.query_id AND n.nn < 3 WHERE a.is_table AND a.s <= 10)
+SELECT query_id, node_id, rank::BIGINT AS rank FROM (SELECT * FROM f UNION ALL SELECT * FROM e WHERE rank <= 7)"""
+)
+def numeric_focus(t):
+    """Numeric nodes first, topped up with tables."""
+    _, _, contexts = _collections(t)
+    _, tabs, _ = _collections(t, 10)
+    return retrieval.numeric_first(contexts.withColumn("numeric", F.col("node_id") % 7 == 0), tabs, most=7)
+
+
+# --- answers, outputs, programs --------------------------------------------------------------------------------------
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, round(l_discount * 100) AS d FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN d::BIGINT || '.0%' WHEN 1 THEN q::BIGINT || '.0' WHEN 2 THEN q::BIGINT::VARCHAR ELSE 'not ' || q::BIGINT END AS normal,
+       CASE l_linenumber % 4 WHEN 3 THEN false WHEN 0 THEN true WHEN 1 THEN true ELSE true END AS correct, l_linenumber % 4 <> 3 AS within FROM b""")
+def answer_normalize(t):
+    """Answers in several spellings, built from line items."""
+    q, d, k = F.col("l_quantity").cast("long").cast("string"), F.round(F.col("l_discount") * 100).cast("long").cast("string"), F.col("l_linenumber") % 4
+    said = F.when(k == 0, F.concat(F.lit("so <answer> "), d, F.lit(" %</answer>"))).when(k == 1, F.concat(F.lit("<answer>$"), q, F.lit("</answer>"))).when(k == 2, F.concat(F.lit("The answer is "), q, F.lit(".0 in all"))).otherwise(F.concat(F.lit("Not "), q))
+    answer = F.when(k == 2, q).otherwise(text.extract_answer(said))
+    gold = F.when(k == 0, d).when(k == 3, F.lit("x")).otherwise(q)
+    plain = F.regexp_replace(answer, "[$% ]", "")
+    return t("lineitem").select("l_orderkey", "l_linenumber", text.normalize_answer(answer).alias("normal"), text.is_answer_correct(answer, gold).alias("correct"), text.answer_within(plain, gold).alias("within"))
+
+
+OUTPUTS = """
+WITH b AS (SELECT o_orderkey AS id, o_orderkey % 5 AS kind, (o_custkey % 1000)::VARCHAR AS a, (o_orderkey % 77)::VARCHAR AS c FROM orders)
+"""
+
+
+def _outputs(t) -> DataFrame:
+    """Raw outputs of five kinds, built from orders."""
+    k, a, c = F.col("o_orderkey") % 5, (F.col("o_custkey") % 1000).cast("string"), (F.col("o_orderkey") % 77).cast("string")
+    program = F.concat(F.lit("add( "), a, F.lit(".5 "), c, F.lit(" ) EOF"))
+    raw = (
+        F.when(k == 0, F.concat(F.lit("noise <begin_of_program> "), program, F.lit(" <end_of_program> more\n<begin_of_answer>"), a, F.lit("<end_of_answer>")))
+        .when(k == 1, F.concat(F.lit("<begin_of_answer>\n$"), a, F.lit("\n<end_of_answer> and nothing else")))
+        .when(k == 2, F.concat(F.lit("The answer is "), a, F.lit(" for sure")))
+        .when(k == 3, F.concat(F.lit("<begin_of_program>and<end_of_program><begin_of_answer>the<end_of_answer> "), a, F.lit(" then "), c))
+        .otherwise(F.concat(F.lit("add( "), a, F.lit(" "), c, F.lit(" ) EOF")))
+    )
+    return t("orders").select(F.col("o_orderkey").alias("id"), raw.alias("output"))
+
+
+@query(
+    OUTPUTS
+    + """
+SELECT id, '<begin_of_program>' || chr(10) || CASE kind WHEN 0 THEN 'add( ' || a || '.5 ' || c || ' ) EOF' WHEN 3 THEN 'and' ELSE 'EOF' END || chr(10) || '<end_of_program>' || chr(10) || chr(10)
+       || '<begin_of_answer>' || chr(10) || CASE kind WHEN 0 THEN a WHEN 1 THEN '$' || a WHEN 3 THEN 'the' ELSE 'N/A' END || chr(10) || '<end_of_answer>' AS cleaned,
+       CASE kind WHEN 0 THEN a WHEN 1 THEN '$' || a WHEN 2 THEN a WHEN 3 THEN 'the' ELSE c END AS answer, kind = 0 AS valid, kind = 0 AS format_ok,
+       CASE kind WHEN 0 THEN a::DOUBLE WHEN 1 THEN a::DOUBLE WHEN 2 THEN a::DOUBLE END AS num FROM b"""
+)
+def output_clean(t):
+    """F5-F7, F10-F13."""
+    c = F.col("output")
+    return _outputs(t).select("id", text.clean_output(c).alias("cleaned"), text.robust_answer(c).alias("answer"), text.is_valid_output(c).alias("valid"), text.validate_format(c).alias("format_ok"), text.training_answer(c)["num"].alias("num"))
+
+
+@query(
+    OUTPUTS
+    + """
+SELECT id, CASE kind WHEN 0 THEN ['add(', a || '.5', c, ')', 'EOF'] WHEN 1 THEN ['EOF'] WHEN 2 THEN ['EOF'] WHEN 3 THEN ['add(', a, c, ')', 'EOF'] ELSE ['add(', a, c, ')', 'EOF'] END AS predicted FROM b"""
+)
+def output_rescue(t):
+    """Program tokens rescued from raw outputs."""
+    return _shipped(_outputs(t)).select("id", outputs.formatted_prediction_of(F.col("output")).alias("predicted"))
+
+
+@query()
+def output_rescue_blocks(t):
+    """Whole blocks rescued; a ladder of patterns that SQL can't express."""
+    return _shipped(_outputs(t)).select("id", outputs.clean_of(F.col("output")).alias("cleaned"), outputs.rescue_of(F.col("output"), F.lit("llama-3.3")).alias("rescued"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, 0 AS invalid, round((l_extendedprice - l_quantity) / 3.0, 5) AS num, NULL::VARCHAR AS str FROM lineitem WHERE l_linenumber % 3 = 0
+UNION ALL SELECT l_orderkey, l_linenumber, 0, NULL, CASE WHEN l_quantity > l_linenumber * 10 THEN 'yes' ELSE 'no' END FROM lineitem WHERE l_linenumber % 3 = 1
+UNION ALL SELECT l_orderkey, l_linenumber, 1, round(l_quantity - 3, 5), NULL FROM lineitem WHERE l_linenumber % 3 = 2""")
+def program_eval(t):
+    """Programs built from line items: two steps, a comparison, a division by zero."""
+    k, q, p = F.col("l_linenumber") % 3, text.double_text(F.col("l_quantity")), F.col("l_extendedprice").cast("decimal(14,2)").cast("string")
+    said = (
+        F.when(k == 0, F.concat(F.lit("subtract("), p, F.lit(", "), q, F.lit("), divide(#0, const_3)")))
+        .when(k == 1, F.concat(F.lit("greater("), q, F.lit(", "), (F.col("l_linenumber") * 10).cast("string"), F.lit(")")))
+        .otherwise(F.concat(F.lit("subtract("), q, F.lit(", const_3), divide(#0, 0)")))
+    )
+    r = programs.evaluate(programs.tokenize(said))
+    return t("lineitem").select("l_orderkey", "l_linenumber", r["invalid"].alias("invalid"), r["num"].alias("num"), r["str"].alias("str"))
+
+
+@query("""
+SELECT o_orderkey AS id, 'multiply( ' || o_custkey || ' 2 ) divide( ' || o_orderkey || ' #0 ) EOF' AS flat, round(o_orderkey / (o_custkey * 2.0), 5) AS num FROM orders WHERE o_custkey > 0""")
+def program_nested(t):
+    """Nested programs made flat, then run."""
+    o, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    nested = F.array(F.lit("divide("), o, F.lit("multiply("), c, F.lit("2"), F.lit(")"), F.lit(")"))
+    flat = F.concat(programs.flatten(nested), F.array(F.lit("EOF")))
+    return t("orders").where("o_custkey > 0").select(F.col("o_orderkey").alias("id"), programs.tokens_text(flat).alias("flat"), programs.evaluate(flat)["num"].alias("num"))
+
+
+@query("""
+SELECT p_brand AS brand, max(p_retailprice) AS max, min(p_retailprice) AS min, round(sum(p_retailprice), 4) AS sum, round(avg(p_retailprice), 4) AS average, round(max(p_retailprice), 5) AS program FROM part GROUP BY p_brand""")
+def table_ops(t):
+    """A12, F19, P2's table steps: a row of prices per brand."""
+    cell = F.concat(F.lit("$ "), F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit(" (a)"))
+    rows = t("part").groupBy(F.col("p_brand").alias("brand")).agg(F.collect_list(cell).alias("cells"))
+    s = programs.table_stats(F.col("cells"))
+    ran = programs.evaluate(F.array(F.lit("table_max("), F.col("brand"), F.lit("none"), F.lit(")"), F.lit("EOF")), F.create_map("brand", "cells"))
+    return rows.select("brand", s["max"].alias("max"), s["min"].alias("min"), F.round(s["sum"], 4).alias("sum"), F.round(s["average"], 4).alias("average"), ran["num"].alias("program"))
+
+
+@query("""
+SELECT o_orderkey % 4 AS kind, count(*) AS n, count(*) FILTER (o_orderkey % 4 < 2) AS exe_right, count(*) FILTER (o_orderkey % 4 < 2) AS prog_right, count(*) FILTER (o_orderkey % 4 = 3) AS invalid FROM orders GROUP BY 1""")
+def program_scores(t):
+    """Predictions against gold programs: the same, turned round, with a wrong operand, broken."""
+    k, o, c = F.col("o_orderkey") % 4, (F.col("o_orderkey") + 7).cast("string"), (F.col("o_custkey") + 1).cast("string")
+    tokens = lambda *x: F.array(*(y if not isinstance(y, str) else F.lit(y) for y in x))
+    gold = tokens("add(", o, c, ")", "divide(", "#0", c, ")", "EOF")
+    turned = tokens("divide(", o, c, ")", "divide(", c, c, ")", "add(", "#0", "#1", ")", "EOF")
+    wrong = tokens("add(", o, "5", ")", "divide(", "#0", "3", ")", "EOF")
+    pred = F.when(k == 0, gold).when(k == 1, turned).when(k == 2, wrong).otherwise(tokens("add(", o, ")", "EOF"))
+    value = (F.col("o_orderkey") + 7 + F.col("o_custkey") + 1) / (F.col("o_custkey") + 1)
+    rows = _shipped(t("orders")).select(k.alias("kind"), gold.alias("gold"), pred.alias("pred"), value.alias("exe_ans"))
+    return programs.scores(rows).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("exe_right").alias("exe_right"), F.count_if("prog_right").alias("prog_right"), F.count_if(F.col("invalid") == 1).alias("invalid"))
+
+
+def _matched(t) -> DataFrame:
+    """Predictions beside labels: equal, near, of another type, blank, untagged."""
+    k, v = F.col("o_orderkey") % 5, (F.col("o_custkey") % 500).cast("string")
+    tag = lambda x: F.concat(F.lit("<begin_of_program>\nEOF\n<end_of_program>\n\n<begin_of_answer>\n"), x, F.lit("\n<end_of_answer>"))
+    pred = F.when(k == 0, tag(v)).when(k == 1, tag(F.concat(v, F.lit(".001")))).when(k == 2, tag(F.lit("Yes"))).when(k == 3, F.lit("  ")).otherwise(F.lit("no idea"))
+    label = F.when(k == 2, tag(F.lit("yes it is"))).otherwise(tag(v))
+    return t("orders").select(F.col("o_orderkey").alias("id"), pred.alias("pred"), label.alias("label"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey % 5 AS k FROM orders)
+SELECT count(*) AS total_samples, 0::BIGINT AS program_token_matches, count(*) FILTER (k < 2) AS numerical_answers, count(*) FILTER (k IN (2, 4)) AS string_answers, count(*) FILTER (k = 4) AS answer_type_mismatches,
+  count(*) FILTER (k = 3) AS empty_predictions, count(*) FILTER (k = 0) AS exact_matches, count(*) FILTER (k < 2) AS format_valid,
+  100.0::DOUBLE AS total_samples_pct, 0.0::DOUBLE AS program_token_matches_pct, count(*) FILTER (k < 2) / count(*)::DOUBLE * 100 AS numerical_answers_pct, count(*) FILTER (k IN (2, 4)) / count(*)::DOUBLE * 100 AS string_answers_pct,
+  count(*) FILTER (k = 4) / count(*)::DOUBLE * 100 AS answer_type_mismatches_pct, count(*) FILTER (k = 3) / count(*)::DOUBLE * 100 AS empty_predictions_pct, count(*) FILTER (k = 0) / count(*)::DOUBLE * 100 AS exact_matches_pct,
+  count(*) FILTER (k < 2) / count(*)::DOUBLE * 100 AS format_valid_pct FROM b""")
+def prediction_profile(t):
+    """A9, F11, F13."""
+    return predictions.profile(_matched(t))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey % 5 AS k FROM orders) SELECT count(*) FILTER (k < 3) / count(*)::DOUBLE * 100 AS program_match, count(*) FILTER (k < 3) / count(*)::DOUBLE * 100 AS answer_match FROM b""")
+def prediction_matches(t):
+    """A8, A10."""
+    return predictions.match_rates(predictions.with_matches(_shipped(_matched(t))))
+
+
+# --- training data ---------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_transform(string_split(text, ' ')[1:40], lambda x: (length(x) % 11)::INT) AS ids FROM documents),
+m AS (SELECT doc_id, ids, len(ids) AS n, (SELECT min(i) FROM (SELECT unnest(range(1, len(ids))) AS i) WHERE ids[i] = 2 AND ids[i + 1] = 3) AS p FROM w),
+r AS (SELECT doc_id, unnest(range(1, n + 1)) AS i, ids, n, p FROM m)
+SELECT doc_id, list(CASE WHEN p IS NOT NULL AND i >= p THEN ids[i] ELSE -100 END ORDER BY i) AS labels, any_value(p - 1)::INT AS marker_at, list(ids[i] ORDER BY i)[1:8] AS head FROM r GROUP BY doc_id""")
+def label_mask(t):
+    """Response labels over word lengths as ids, the marker being 2, 3."""
+    ids = F.transform(F.slice(F.split("text", " "), 1, 40), lambda x: F.length(x) % 11)
+    marker = F.array(F.lit(2), F.lit(3))
+    docs = t("documents").select("doc_id", ids.alias("ids"))
+    both = training.same_length(F.col("ids"), F.slice("ids", 1, 8))
+    return docs.select("doc_id", training.response_labels(F.col("ids"), marker).alias("labels"), training.marker_at(F.col("ids"), marker).alias("marker_at"), both["ids"].alias("head"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_transform(string_split(text, ' ')[1:20], lambda x: (length(x) * 3 - 9)::INT) AS ids FROM documents)
+SELECT doc_id, list_transform(list_filter(ids, lambda x: x >= 0), lambda x: least(x, 15)) AS safe, (list_position(ids, list_max(ids)) - 1)::BIGINT AS best, list_filter(ids, lambda x: x <> -100) AS counted,
+       (ids || list_transform(range(24), lambda i: 0))[1:24] AS padded FROM w""")
+def token_repair(t):
+    """D5, D7, D8."""
+    docs = t("documents").select("doc_id", F.transform(F.slice(F.split("text", " "), 1, 20), lambda x: F.length(x) * 3 - 9).alias("ids"))
+    ids = F.col("ids")
+    return docs.select("doc_id", training.safe_ids(ids, 16).alias("safe"), training.argmax(ids).alias("best"), training.unmasked(ids).alias("counted"), training.padded(ids, 24).alias("padded"))
+
+
+@query(
+    PAIRS
+    + """,
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) AS n FROM t)
+SELECT id, string_agg('<|im_start|>user' || chr(10) || CASE n WHEN 1 THEN 'I''m looking at some financial data. Here''s the context:' || chr(10) || chr(10) || 'none' || chr(10) || chr(10) ELSE '' END || question || '<|im_end|>' || chr(10)
+  || '<|im_start|>assistant' || chr(10) || '<begin_of_program>' || chr(10) || 'add( ' || gold || ' 1 )  divide( #0 2 ) EOF' || chr(10) || '<end_of_program>' || chr(10) || chr(10) || '<begin_of_answer>' || chr(10) || gold || '.0' || chr(10) || '<end_of_answer>'
+  || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered FROM n GROUP BY id"""
+)
+def sharegpt_build(t):
+    """Conversations built and rendered."""
+    turns = _judged(t)
+    program = F.concat(F.lit("add("), F.col("gold"), F.lit(", 1), divide(#0, 2)"))
+    built = training.conversations(turns.select("id", "turn", "question", program.alias("program"), F.concat(F.lit("$"), F.col("gold")).alias("answer"), F.lit("none").alias("context")))
+    return built.select("id", text.render(F.col("conversations"), "qwen").alias("rendered"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id * 2654435761 % 100 < 10 THEN 'eval' ELSE 'train' END AS split FROM documents""")
+def split_hash(t):
+    """O3: a split by arithmetic on the id, which both engines know; ``training.split_of`` uses xxhash64."""
+    return t("documents").select("doc_id", F.when(F.col("doc_id") * F.lit(2654435761) % 100 < 10, "eval").otherwise("train").alias("split"))
+
+
+@query("""
+SELECT i.item_id, CASE WHEN i.item_id % 2 = 0 THEN ['first', 'second part'] ELSE ['plain line'] END AS items, i.item_id % 3 = 0 AS needs, ['revenue', 'net income'] AS metrics,
+  CASE i.item_id % 4 WHEN 0 THEN 'qwen' WHEN 1 THEN 'llama-3.1' WHEN 2 THEN 'llama-2' ELSE 'chatml' END AS template, i.item_id % 3 = 0 AS numeric FROM benchmark i""")
+def query_parsing(t):
+    """Lists, analyses, intents and template names."""
+    i = F.col("item_id")
+    listed = F.when(i % 2 == 0, F.lit("1. first\n2 second part\n")).otherwise(F.lit("\nplain line\n"))
+    analysis = F.concat(F.when(i % 3 == 0, "needs: True\n").otherwise("needs: no\n"), F.lit("financial_metrics: ['revenue', \"net income\", ]\noperations: []"))
+    model = F.when(i % 4 == 0, "Qwen2.5-7B").when(i % 4 == 1, "Llama-3.1-8B").when(i % 4 == 2, "mistral").otherwise("other")
+    asked = F.when(i % 3 == 0, "Which operations grew?").otherwise("Who wrote it?")
+    a = text.query_analysis(analysis)
+    return t("benchmark").select("item_id", text.numbered_list(listed).alias("items"), a["needs_numerical_computation"].alias("needs"), a["financial_metrics"].alias("metrics"), text.template_name(model).alias("template"), text.asks_for_numbers(asked).alias("numeric"))
+
+
+@query("""
+SELECT n_regionkey AS id, 'x the total of a is ' || count(*) || ' ; the total of b is ' || max(n_nationkey) || ' ;' AS sentence FROM nation GROUP BY n_regionkey""")
+def row_sentences(t):
+    """table rows as sentences."""
+    n = t("nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.count(F.lit(1)).cast("string").alias("n"), F.max("n_nationkey").cast("string").alias("m"))
+    return n.select("id", text.remove_space(text.row_to_text(F.array(F.lit("x"), F.lit("a"), F.lit("b")), F.array(F.lit("total"), F.col("n"), F.col("m")))).alias("sentence"))
+
+
+@query("""
+SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(t):
+    """Extension, not of the reference: daily windows as ``streaming.ingest`` has them."""
+    return t("events").groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("day"), "n", "total")
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}
