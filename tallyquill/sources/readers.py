@@ -88,7 +88,7 @@ def read_collections(spark: SparkSession, path: str, build=None) -> DataFrame:
         from tallyquill.sources.writers import write_collections
 
         write_collections(build(), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).withColumn("is_table", F.col("is_table").cast("boolean"))
 
 
 def collection(nodes: DataFrame, name: str) -> DataFrame:
