@@ -1,0 +1,288 @@
+"""The training-data operators against their SQL or plain versions, and their edge cases."""
+
+import hashlib
+import html
+import itertools
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyquill.llm import chat, common, exact_dedup, html_text, mixing, near_dedup, registry, secrets, subword, token_counts, topk, toxicity
+
+#: Nulls, empty and blank texts, ties, repeated rows, a long text, and extra columns with clashing names.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, norm string, salt int, size long, id string, h long, bands binary"
+LONG = "lorem ipsum dolor " * 20_000
+
+
+def edge_rows():
+    texts = [(1, None), (2, ""), (3, " \n\t "), (4, "Same text here"), (5, "same TEXT here"), (5, "same TEXT here"), (6, LONG), (7, LONG + "x"), (8, "ÉCLAIR ß"), (None, "same text here"), (9, "éclair ß")]
+    return [(i, t, "en", None if i == 2 else f"s{(i or 0) % 3}", 0, "n", 1, 2, "x", 3, b"") for i, t in texts]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame(edge_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_equals_its_sql(name, compare, tiny):
+    compare(name, registry.QUERIES[name], registry.ORACLES[name], tiny)
+
+
+def test_empty_tables(none, spark):
+    assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
+    assert mixing.mix(none).count() == 0 and near_dedup.near_duplicates(none).count() == 0
+    assert token_counts.count_tokens(none).count() == 0 and secrets.scan_secrets(none).count() == 0 and subword.segment(none).count() == 0
+    model = toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(none, model).count() == 0 and toxicity.drop_toxic(none, model).count() == 0
+    v = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.exact_topk(v, v).count() == 0
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_exact_dedup_edges(edges):
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(edges).collect()}
+    assert {(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 5, 4, False), (5, 5, 4, True), (None, 5, 4, False), (6, 6, 1, True), (7, 7, 1, True), (8, 8, 1, True), (9, 9, 1, True)} == got
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(edges).select("doc_id").collect()) == [2, 3, 5, 5, 6, 7, 8, 9]
+
+
+def test_mix_edges(edges):
+    got = mixing.mix(edges).collect()
+    assert len(got) == len(edge_rows()) and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert {r["size"] for r in got if r["doc_id"] in (1, 2, 3)} == {0}
+    rows = mixing.mixed_rows(edges)
+    assert rows.columns == edges.columns
+    taken = sum(r["taken"] // r["size"] for r in got if r["size"])
+    assert rows.count() == taken
+
+
+def test_mix_targets_add_up(spark, small):
+    got = mixing.op2_mixing(spark, small).toPandas()
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source").toPandas()
+    by = got.merge(docs, on="doc_id").groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), size=("source_size", "first"), longest=("size", "max"))
+    assert math.isclose(by.target.sum(), got["size"].sum(), rel_tol=1e-9) and (by.target <= 3 * by["size"]).all()
+    assert ((by.taken - by.target).abs() <= by.longest).all()
+
+
+def test_chat_edges(spark):
+    rows = [(1, 0, "user", "a<|im_end|>\n&l<s>"), (1, 1, "user", None), (1, None, "system", "s"), (1, 2, "assistant", "x<|im_sep|>"), (1, 3, "assistant", ""), (1, 3, "assistant", ""), (None, 0, None, "é[INST]"), (2, 0, "a\nb", "t" * 50_000)]
+    turns = spark.createDataFrame([(*r, "clash", []) for r in rows], "conv_id long, turn long, role string, text string, formatted string, ts array<int>")
+    out = chat.format_chats(turns).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("back"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    got = {r["conv_id"]: ([tuple(t) for t in r["back"]], r["loss"]) for r in out}
+    assert got[1] == ([("system", "s"), ("user", "a<|im_end|>\n&l<s>"), ("user", ""), ("assistant", "x<|im_sep|>"), ("assistant", ""), ("assistant", "")], "x<|im_sep|>")
+    assert got[None] == ([("", "é[INST]")], "") and got[2][0] == [("a\nb", "t" * 50_000)]
+    assert all("[INST]" not in r["formatted"] for r in out)
+
+
+def test_secret_scan_equals_plain_patterns(spark, edges, tiny):
+    r = random.Random(3)
+    parts = ["password", "Api_Key", "apikey", "ſecret", "token", '"', "'", " ", ":", "=", "abc123", "AKIA", "ABCDEFGH12345678", "0123456789abcdef" * 2, "\n", "x", "+/_.=-"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    for t in texts:
+        assert secrets.scan(t)[0] == secrets.brute_base(t)[0], t
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(edges).collect()}
+    assert got[1] == [] and got[6] == []
+    found = secrets.op4_secret_scan(spark, tiny).collect()
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    for row in found:
+        base, digest = secrets.brute_base(text[row["doc_id"]])
+        assert row["base_sha256"] == digest and row["n_assign"] == sum(k == 0 for _, k, _ in base)
+
+
+def test_secret_scan_follows_constants():
+    named = lambda t: [t[a:b] for a, _, b in secrets.scan(t)[1]]
+    assert named('K = "abc9d8e7f6a5"\nclient_secret_key = K + "zz9"') == ["abc9d8e7f6a5", "zz9"]
+    assert named('{"privateKey": "MIIEvQIBADANBg"}') == ["MIIEvQIBADANBg"] and named("db_pwd = 'hunter2XYZ9'") == ["hunter2XYZ9"]
+    assert named("The key: a story about the token of love") == [] and named("credentials = 'changeme'") == []
+
+
+def test_topk_equals_brute_force(spark):
+    r = np.random.RandomState(5)
+    x = np.round(r.normal(size=(400, 7)), 1).astype(np.float32)  # many ties
+    rows = [(i, [float(c) for c in x[i]]) for i in range(400)] + [(1000, None), (1050, [1.0, None]), (1100, [float("nan")] * 7), (1150, [float("inf")] + [0.0] * 6), (1200, [0.0] * 7)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = [tuple(t) for t in topk.exact_topk(v, v.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    q = {i: np.floor(np.array(e, np.float32).astype(np.float64) * 256).astype(int) for i, e in rows if e is not None and None not in e and np.isfinite(np.array(e, float)).all()}
+    want = []
+    for i in sorted(k for k in q if k % 50 == 0):
+        best = sorted((-int(q[i] @ y), j) for j, y in q.items() if j != i)[:5]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == want
+
+
+def components_by_brute_force(texts):
+    def words(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans(common.UPPER, common.UPPER.lower())))
+
+    sets = {}
+    for i, t in texts.items():
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = {k: new if v == old else v for k, v in label.items()}
+    return {i: (len(sets[i]), label[i]) for i in texts}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts, n = {}, 0
+    for _ in range(12):  # chains of edits, so that components are longer than links
+        words = [r.choice(vocabulary) for _ in range(r.choice([3, 6, 40, 120]))]
+        for _ in range(8):
+            texts[n] = " ".join(words)
+            n += 1
+            words = list(words)
+            for _ in range(max(1, len(words) // 60)):
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+    texts |= {500: None, 501: "", 502: " ", 503: "A b c", 504: "a B  c"}
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in texts.items()] + [(503, "A b c", 1, 2)], "doc_id long, text string, n int, rep int")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(df).collect()}
+    assert got == components_by_brute_force(texts)
+
+
+def test_blocks_lose_no_link(monkeypatch, spark):
+    """Hot buckets: with tiny blocks, and stars that find little, the full search still connects all."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    r = random.Random(1)
+    base = [f"v{i}" for i in range(300)]
+    texts = {i: " ".join([*base[: i * 3 % 40], *[f"x{r.random()}" for _ in range(i % 7)], *base[40:]]) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(df).collect()}
+    assert got == components_by_brute_force(texts)
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return subword.codec()
+
+
+def fuzz(n, seed):
+    r = random.Random(seed)
+    letters = [*"ab the tion in\n\t  éñ▁①漢<s>0x", "  ", "the", "ing", "\u0000", "​", "　", "\xa0", "ﬁ", "👍", "Ａ"]
+    return ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) for _ in range(n)]
+
+
+def test_token_counts_equal_the_library(spark, codec, tiny, edges):
+    for t in fuzz(3000, 1):
+        assert codec.count(t) == len(codec.sp.encode(t)), t
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.op9_token_counts(spark, tiny).collect()}
+    for r in spark.read.parquet(f"{tiny}/documents.parquet").collect():
+        assert got[r["doc_id"]] == len(codec.sp.encode(r["text"]))
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(edges, prefixes=True).collect()}[1] == 0
+
+
+def test_every_prefix_counts_as_encoded_alone(codec):
+    for t in fuzz(300, 2):
+        lengths = [len(codec.sp.encode(t[:i])) for i in range(len(t) + 1)]
+        assert [codec.at(t, i) for i in range(len(t) + 1)] == lengths
+        for budget in range(4):
+            assert codec.truncate(t, budget) == max(i for i, n in enumerate(lengths) if n <= budget)
+
+
+def test_segments_decode_and_differ(spark, codec, edges):
+    texts = fuzz(200, 3)
+    ids, samples = subword.segmented(texts, np.arange(200).astype(np.uint64), 3)
+    for t, x, some in zip(texts, ids, samples, strict=True):
+        assert x.tolist() == codec.sp.encode(t) and codec.decode(x) == t.replace("▁", " ")
+        assert len({tuple(s[0].tolist()) for s in some}) == len(some)
+        assert all(codec.decode(s[0]) == t.replace("▁", " ") for s in some) and [s[2] for s in some] == sorted((s[2] for s in some), reverse=True)
+    again = subword.segmented(texts[7:9], np.arange(7, 9).astype(np.uint64), 3)[1]
+    assert [[s[0].tolist() for s in x] for x in again] == [[s[0].tolist() for s in x] for x in samples[7:9]]
+    rows = {r["doc_id"]: r for r in subword.segment(edges, keep=("lang",)).collect()}
+    assert rows[1]["ids"] == [] and rows[1]["samples"] == [] and rows[6]["lang"] == "en"
+
+
+def test_samples_follow_the_lattice():
+    pieces = [" ", "a", "b", "ab", " a", "ba"]
+    voc = subword.Vocabulary(pieces, np.log(np.array([0.3, 0.2, 0.1, 0.15, 0.2, 0.05])), list(range(6)), list(range(100, 356)), -9.0)
+
+    def splits(w):
+        return [()] if not w else [(p, *rest) for p in pieces if w.startswith(p) for rest in splits(w[len(p) :])]
+
+    weight = dict(zip(pieces, voc.weights, strict=True))
+    p = {tuple(map(pieces.index, s)): math.exp(sum(weight[x] for x in s)) for s in (a + b for a in splits(" ab") for b in splits(" ba"))}
+    p = {s: x / sum(p.values()) for s, x in p.items()}
+    n = 8000
+    got = subword.Sampler(voc).sample([" ab", " ba"], np.tile([0, 1], n), np.full(n, 2), np.arange(n).astype(np.uint64) * np.uint64(7919), 2)
+    pairs = Counter((tuple(x[0][0].tolist()), tuple(x[1][0].tolist())) for x in got)
+    expected = {(a, b): n * p[a] * p[b] / (1 - p[a]) for a in p for b in p if a != b}
+    chi = sum((pairs[k] - e) ** 2 / e for k, e in expected.items())
+    assert chi < len(expected) + 5 * math.sqrt(2 * len(expected))
+    estimate = [sum(math.exp(s[1] - s[3]) * len(s[0]) for s in x) for x in got]
+    assert abs(np.mean(estimate) - sum(x * len(s) for s, x in p.items())) < 5 * np.std(estimate) / math.sqrt(n)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    from conftest import DATA
+
+    sf = str(DATA / "sf0.1")
+    got = toxicity.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    right = ((got.predicted == 1) & (got.toxic == 1)).sum()
+    assert right >= 0.9 * (got.toxic == 1).sum() and right >= 0.9 * (got.predicted == 1).sum()
+
+
+def test_obfuscated_words_are_restored():
+    words = Counter({"idiot": 50, "stupid": 50, "loser": 40, "the": 300, "of": 200, "and": 200, "moron": 20, "dilute": 5})
+    grams = Counter()
+    for w, n in words.items():
+        s = "^^" + w + "$"
+        for i in range(len(s) - 2):
+            grams[s[i : i + 3]] += n
+    m = toxicity.Language(dict(grams))
+    for said in ("1d10t", "stuuuupid", "$tup1d", "l0s3r", "m-o-r-o-n"):
+        assert set(toxicity.clear_words(said, m)) & set(words), said
+    assert toxicity.spaced_words("you i d i o t here", m) == ["idiot"]
+    assert toxicity.clear_words("", m) == [] and toxicity.clear_words("123", m) == []
+
+
+def test_toxicity_edges(spark, edges):
+    labels = spark.createDataFrame([(4, 1), (5, None), (6, 0), (7, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(edges, labels)
+    got = toxicity.score(edges, model).collect()
+    assert len(got) == len(edge_rows()) and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.drop_toxic(edges, model).columns == edges.columns
+
+
+PAGE = "<html><head><title>t</title></head><body><nav><ul><li><a href='/'>home</a></li></ul></nav>{}<div class='sidebar'>side</div><footer>foot</footer></body></html>"
+BODY = "<h1>Head &amp; line</h1><p>{0}</p><p>short.</p><p>{0}<br>x<script>var a='</p>';</script></p>".format("some long words of an article " * 8)
+
+
+def test_html_regions():
+    want = f"Head & line {('some long words of an article ' * 8).strip()} short. {('some long words of an article ' * 8).strip()} x"
+    for inner in (f"<article>{BODY}</article>", f"<div id='content'>{BODY}</div>", f"<main><div class=ad>buy</div>{BODY}<section class='comments'><p>{'me too ' * 9}</p></section></main>", f"<article>{BODY}"):
+        assert html_text.main_text(PAGE.format(inner)) == want, inner
+    assert html_text.main_text("") == "" and html_text.main_text("<nav>a</nav>") == "" and html_text.main_text("plain  text") == "plain text"
+    assert html_text.main_text("<p>a&nbsp;b&#33;<!-- c --></p>\n<p>d") == "a b! d"
+
+
+def test_html_pages(spark, tiny):
+    got = {r["page_id"]: r for r in html_text.op10_html_text(spark, tiny).collect()}
+    pages = spark.read.parquet(f"{tiny}/pages.parquet").collect()
+    for p in pages:
+        inner = re.search(r"(?s)<article>(.*?)(?:</article>|$)", p["html"])[1]
+
+
+        said = re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^<>]+>", "", re.sub(r"<(br|/?p|/?h1)>", " ", inner)))).strip()
+        assert got[p["page_id"]]["text"] == said and got[p["page_id"]]["n_chars"] == len(said)
+    one = html_text.extract_text(spark.createDataFrame([(1, None, None, "x")], "page_id long, url string, html string, text string")).first()
+    assert one["text"] == "" and one["n_chars"] == 0
+
+
+def test_digests_are_of_utf8(edges):
+    got = {r["doc_id"]: r["text_sha256"] for r in exact_dedup.exact_dedup(edges).collect()}
+    assert got[8] == hashlib.sha256("Éclair ß".encode()).hexdigest() and got[1] == hashlib.sha256(b"").hexdigest()
