@@ -218,7 +218,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sets_of(some: DataFrame) -> DataFrame:
         ids = some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct()
-        return written(full_sets(base.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+        # at every size the same way, since the ids of the candidates grow with the input
+        return written(full_sets(base.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
 
     sets = sets_of(pairs)
     links = written(confirmed(pairs, sets), "confirmed")
