@@ -20,6 +20,8 @@ BANDS, ROWS = 24, 5
 #: MinHash samples folded into a sketch, and its bits.
 SAMPLES, BITS = 256, 512
 LONGS = BITS // 64
+#: Classes on one side of a block in which a bucket is searched in full.
+BLOCK = 256
 #: Words of which a Python worker keeps the hash.
 MOST_KNOWN = 400_000
 _M1, _M2, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -170,18 +172,107 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 raw = sa.as_buffer()
                 if last is None or not raw.equals(last):
                     last, x = raw, np.frombuffer(raw, np.uint64)
-                y = np.frombuffer(sb.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                if both * 100 >= (len(x) + len(y) - both) * LEAST:
+                if near_enough(x, np.frombuffer(sb.as_buffer(), np.uint64)):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return met.mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
 
 
+def block_rows(placed: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Members of mixed buckets (key, rep, label) dealt to blocks: side 0 holds some classes outside the
+    bucket's largest component, side 1 some classes of the whole bucket; every pair of these meets in one block."""
+    share = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    sizes = share.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = written(sizes.select("key", F.col("top.label").alias("major"), parts(F.col("all") - F.col("top.m")).alias("nl"), parts(F.col("all")).alias("nr")), "bucket-sizes")
+    rows = placed.join(sizes, "key").join(sketch, "rep")
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = ["rep", "label", "n", *(f"s{i}" for i in range(LONGS))]
+    left = rows.where("label <> major").select("key", dealt("nl").alias("cl"), every("nr").alias("cr"), F.lit(0).alias("side"), *data)
+    right = rows.select("key", every("nl").alias("cl"), dealt("nr").alias("cr"), F.lit(1).alias("side"), *data)
+    return left.union(right)
+
+
+def searched(rows: DataFrame, search, schema: T.StructType | None = None) -> DataFrame:
+    """Applies ``search`` to each block of rows (a pyarrow table), the blocks streaming through sorted partitions."""
+    at = ["key", "cl", "cr"]
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            ids = np.stack([t.column(c).to_numpy() for c in at])
+            cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
+            start = 0
+            for cut in cuts.tolist():
+                yield from search(t.slice(start, cut - start))
+                start = cut
+            rest = t.slice(start)
+        if rest is not None and rest.num_rows:
+            yield from search(rest)
+
+    return rows.repartition(*at).sortWithinPartitions(*at).mapInArrow(run, schema or rows.schema)
+
+
+def _possible(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of side 0 and of side 1, which of these can link, and in how many bits they differ."""
+    side = t.column("side").to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    marks = np.stack([t.column(f"s{i}").to_numpy() for i in range(LONGS)]).view(np.uint64)
+    label, n = t.column("label").to_numpy(), t.column("n").to_numpy()
+    odd = np.zeros((len(left), len(right)), np.int32)
+    for m in marks:
+        odd += np.bitwise_count(m[left][:, None] ^ m[right][None, :])
+    nl, nr = n[left][:, None], n[right][None, :]
+    can = (label[left][:, None] != label[right][None, :]) & (odd <= most_odd()) & (np.minimum(nl, nr) * 100 >= np.maximum(nl, nr) * LEAST)
+    return left, right, can, odd
+
+
+def screened(t: pa.Table):
+    """The rows of a block that have a possible partner."""
+    left, right, can, _ = _possible(t)
+    keep = np.concatenate([left[can.any(axis=1)], right[can.any(axis=0)]])
+    if len(keep):
+        yield from t.take(pa.array(keep)).to_batches()
+
+
+def linked(t: pa.Table):
+    """Confirmed links of a block; a pair whose ends a link of this block connects already is passed over."""
+    left, right, can, odd = _possible(t)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+    label, rep = t.column("label").to_pylist(), t.column("rep").to_pylist()
+    root: dict = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    found = []
+    i, j = np.nonzero(can)
+    for k in np.argsort(odd[i, j], kind="stable").tolist():
+        p, q = int(left[i[k]]), int(right[j[k]])
+        a, b = find(label[p]), find(label[q])
+        if a != b and near_enough(sets[p], sets[q]):
+            root[a] = b
+            found.append((min(rep[p], rep[q]), max(rep[p], rep[q])))
+    if found:
+        kind = t.schema.field("rep").type
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], kind) for c in (0, 1)], ["a", "b"])
+
+
+def near_enough(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets link."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return both * 100 >= (len(x) + len(y) - both) * LEAST
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -194,7 +285,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     4. Links are confirmed on full sets, and components taken.
     5. Buckets that still hold several components are searched in full: every class outside the
        bucket's largest component meets the classes of other components, under the same conditions.
-       So no link between two components of a bucket is lost, whatever its size.
+       A bucket is cut into blocks of bounded size for that; a block keeps the classes with a possible
+       partner, then, given the sets of these, emits a link only where its ends aren't connected yet.
+       So no connection within a bucket is lost, whatever its size, and no pairs are listed.
 
     Null, empty and blank texts have no shingles and link with nothing. ``kept`` is whether the id is
     its component's. Rows that share id and text get equal results; ids have to tell different texts
@@ -203,6 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rep = base.schema["doc_id"].dataType
     signed = written(signatures(base), "signatures")
     group = ["n", "fp1", "fp2"]
     marks = [f"s{i}" for i in range(LONGS)]
@@ -230,16 +324,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed_up = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     placed = written(placed.join(mixed_up, "key", "left_semi"), "mixed")
     if not placed.isEmpty():
-        share = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-        major = written(share.groupBy("key").agg(F.max(F.struct("m", "label")).alias("x")).select("key", F.col("x.label").alias("major")), "majors")
-        rows = written(placed.join(sketch, "rep").join(major, "key"), "members")
-        left, right = rows.where("label <> major").alias("l"), rows.alias("r")
-        once = (F.col("r.label") == F.col("r.major")) | (F.col("l.label") < F.col("r.label"))
-        meet = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & once & alike("l", "r"))
-        more = meet.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        if not more.isEmpty():
-            found = written(confirmed(more, sets_of(more)), "confirmed")
+        rows = written(searched(block_rows(placed, sketch), screened), "near-rows")
+        if not rows.isEmpty():
+            ids = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+            sets = sets_of(ids).select(F.col("doc_id").alias("rep"), "set")
+            found = written(searched(rows.join(sets, "rep").select(*rows.columns, "set"), linked, T.StructType([T.StructField("a", rep), T.StructField("b", rep)])).distinct(), "confirmed")
             if not found.isEmpty():
                 labels = components(links.union(found))
 
