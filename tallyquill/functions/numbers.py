@@ -35,15 +35,14 @@ def unit_factor(unit: Column) -> Column:
 def metrics_in(text: Column) -> Column:
     """(metric, value) in order: amounts, then percentages (as shares), then counts."""
     def family(pattern: str, name: int, value: int, unit: int | None, scale: float, suffix: str) -> Column:
-        groups = [F.regexp_extract_all(text, F.lit(pattern), g) for g in (name, value, *([unit] if unit else []))]
-        rows = F.arrays_zip(*(g.alias(f"g{i}") for i, g in enumerate(groups)))
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))  # the text is searched once, its groups are read from the matches
 
-        def one(r: Column) -> Column:
-            v = F.replace(r["g1"], F.lit(","), F.lit("")).try_cast("double")
-            v = v * unit_factor(r["g2"]) if unit else v / scale
-            return F.struct(F.concat(F.lower(F.regexp_replace(r["g0"], r"^\s+|\s+$", "")), F.lit(suffix)).alias("metric"), v.alias("value"))
+        def one(m: Column) -> Column:
+            v = F.replace(F.regexp_extract(m, pattern, value), F.lit(","), F.lit("")).try_cast("double")
+            v = v * unit_factor(F.regexp_extract(m, pattern, unit)) if unit else v / scale
+            return F.struct(F.concat(F.lower(F.regexp_replace(F.regexp_extract(m, pattern, name), r"^\s+|\s+$", "")), F.lit(suffix)).alias("metric"), v.alias("value"))
 
-        return F.filter(F.transform(rows, one), lambda r: r["value"].isNotNull())
+        return F.filter(F.transform(found, one), lambda r: r["value"].isNotNull())
 
     return F.concat(family(AMOUNT, 1, 2, 3, 1.0, ""), family(PERCENT, 1, 2, None, 100.0, " (%)"), family(COUNT, 2, 1, None, 1.0, ""))
 
