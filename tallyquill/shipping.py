@@ -8,12 +8,18 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch for a Python worker: texts differ in length by orders of magnitude, and what a
+#: worker makes of a batch is several times as large. A bound that the session sets itself stays.
+BATCH_BYTES, DEFAULT_BYTES, MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), 8 << 20
+
 
 def ship(spark: SparkSession) -> None:
     """Adds this package's modules to the application's Python files, once a context.
 
-    The driver serves the archive to the executors; no executor reads the driver's disk.
+    It bounds the batches sent to the workers, too. The driver serves the archive to the executors; no executor reads the driver's disk.
     """
+    if spark.conf.get(BATCH_BYTES).rstrip("bB") == DEFAULT_BYTES:
+        spark.conf.set(BATCH_BYTES, str(MOST_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_tallyquill_shipped", False):
         return
