@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +50,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(name: str, clear: Callable[[], None]) -> None:
+    """Frees what other operators keep in this Python worker, before operator ``name`` keeps something.
+
+    Workers live through the stages of a pipeline; what they know of words is bounded for one
+    operator, not for all of them together.
+    """
+    for other in [x for x in _kept if x != name]:
+        _kept.pop(other)()
+    _kept[name] = clear

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyquill.llm.common import text_of, written
+from tallyquill.llm.common import keep_only, text_of, written
 from tallyquill.llm.components import components
 from tallyquill.shipping import ship
 
@@ -73,6 +73,7 @@ def shingles(text: str) -> np.ndarray:
     A-Z is lower-cased and words end at ASCII white space, which is just what bytes do. Fewer words
     form one shingle; no words, none.
     """
+    keep_only("near_dedup", _words.clear)
     words = text.encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:

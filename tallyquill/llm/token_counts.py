@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyquill.llm.common import text_of
+from tallyquill.llm.common import keep_only, text_of
 from tallyquill.shipping import ship
 
 #: Chunks of which a Python worker keeps the count; others are counted anew.
@@ -147,6 +147,7 @@ _counters: dict[str | None, PrefixCounts] = {}
 
 def counter(path: str | None = None) -> PrefixCounts:
     """The one of this process."""
+    keep_only("token_counts", _counters.clear)
     if path not in _counters:
         _counters[path] = PrefixCounts(path)
     return _counters[path]
