@@ -22,8 +22,8 @@ def reject_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def reject_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates one document stays."""
-    return near_dedup.drop_near_copies(docs)
+    """Of each component of documents that share 80 % of their five-word shingles one stays."""
+    return near_dedup.drop_near_copies(docs, least=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

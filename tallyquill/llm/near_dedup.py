@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,10 +16,10 @@ from tallyquill.llm.components import components
 from tallyquill.shipping import ship
 
 WORDS = 5
-#: Documents link where 100 * intersection >= LEAST * union.
+#: Documents link where 100 * intersection >= least * union; the least of op8's contract.
 LEAST = 85
-#: A pair at the limit shares none of 24 bands of 5 values with probability (1 - 0.85 ** 5) ** 24, below 1e-6.
-BANDS, ROWS = 24, 5
+#: MinHash values of a band.
+ROWS = 5
 #: MinHash samples folded into a sketch, and its bits.
 SAMPLES, BITS = 256, 512
 LONGS = BITS // 64
@@ -39,14 +42,22 @@ _A = (mixed(_places * _B) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _C = (mixed(_places * _M1) >> np.uint64(32)).astype(np.uint32)
 
 
-def most_odd(miss: float = 1e-7) -> int:
+def bands_for(least: int, miss: float = 1e-6) -> int:
+    """Bands of which a pair at the limit shares none with probability ``miss`` at most: 24 for 85, 35 for 80."""
+    n = 1 if least == 100 else math.ceil(math.log(miss) / math.log(1 - (least / 100) ** ROWS))
+    if n * ROWS > SAMPLES:
+        raise ValueError(f"a similarity of {least} % needs more than {SAMPLES} MinHash samples")
+    return n
+
+
+def most_odd(least: int = LEAST, miss: float = 1e-7) -> int:
     """Bits in which the sketches of a pair at the limit differ at most, but for one pair in 1/``miss``.
 
     The number of samples that differ is binomial; each flips two bits of the XOR, bits flipped
     twice falling back. Both spreads are taken at the normal approximation's quantile.
     """
     quantile = 5.2 if miss >= 1e-7 else 6.0
-    p = 1 - LEAST / 100
+    p = 1 - least / 100
     differ = SAMPLES * p + quantile * (SAMPLES * p * (1 - p)) ** 0.5
     odd = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * differ))
     return int(odd + quantile * (odd * (1 - odd / (BITS / 2)) / 4 + 1) ** 0.5)
@@ -86,22 +97,22 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(mixed(x))
 
 
-def signature(s: np.ndarray) -> tuple[bytes, bytes]:
-    """Band keys (24 longs) and the odd sketch (8 longs) of a set."""
+def signature(s: np.ndarray, bands: int) -> tuple[bytes, bytes]:
+    """Band keys (``bands`` longs) and the odd sketch (8 longs) of a set."""
     low = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
     h = (s >> np.uint64(32)).astype(np.uint32)
     for i in range(0, len(h), 512):
         part = h[i : i + 512, None] * _A + _C
         np.minimum(low, part.min(axis=0), out=low)
     values = mixed(low.astype(np.uint64) + (_places << np.uint64(32)))
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
     for r in range(ROWS):
-        keys = mixed(keys * _B + values[r : BANDS * ROWS : ROWS])
+        keys = mixed(keys * _B + values[r : bands * ROWS : ROWS])
     odd = np.bincount((values >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
     return keys.tobytes(), np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, n_bands: int) -> DataFrame:
     """(doc_id, text) -> doc_id, n, two fingerprints of the set, band keys, sketch as longs."""
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n", "fp1", "fp2")), T.StructField("bands", T.BinaryType()), *(T.StructField(f"s{i}", T.LongType()) for i in range(LONGS))])
 
@@ -113,7 +124,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     fp.append((int(s.sum(dtype=np.uint64)), int(mixed(s ^ _B).sum(dtype=np.uint64))))
-                x, y = signature(s) if len(s) else (b"", bytes(BITS // 8))
+                x, y = signature(s, n_bands) if len(s) else (b"", bytes(BITS // 8))
                 bands.append(x)
                 sketches.append(y)
             marks = np.frombuffer(b"".join(sketches), "<i8").reshape(-1, LONGS)
@@ -134,26 +145,26 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def band_keys(reps: DataFrame) -> DataFrame:
+def band_keys(reps: DataFrame, n_bands: int) -> DataFrame:
     """(rep, bands, ...) -> a row (key, rep) per band."""
     schema = T.StructType([T.StructField("key", T.LongType()), reps.schema["rep"]])
 
     def run(batches):
         for b in batches:
             keys = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n_bands)))], schema.names)
 
     return reps.select("rep", "bands").mapInArrow(run, schema)
 
 
-def alike(left: str, right: str) -> Column:
+def alike(left: str, right: str, least: int) -> Column:
     """Whether two sets can be linked, by their sizes and sketches."""
     a, b = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
     odd = sum((F.bit_count(a(f"s{i}").bitwiseXOR(b(f"s{i}"))) for i in range(1, LONGS)), F.bit_count(a("s0").bitwiseXOR(b("s0"))))
-    return (F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * LEAST) & (odd <= most_odd())
+    return (F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * least) & (odd <= most_odd(least))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """The pairs (a, b) whose full sets are near enough.
 
     The set of b travels once a pair, that of a once a pair's salt: a document of very many pairs
@@ -173,7 +184,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 raw = sa.as_buffer()
                 if last is None or not raw.equals(last):
                     last, x = raw, np.frombuffer(raw, np.uint64)
-                if near_enough(x, np.frombuffer(sb.as_buffer(), np.uint64)):
+                if near_enough(x, np.frombuffer(sb.as_buffer(), np.uint64), least):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -218,7 +229,7 @@ def searched(rows: DataFrame, search, schema: T.StructType | None = None) -> Dat
     return rows.repartition(*at).sortWithinPartitions(*at).mapInArrow(run, schema or rows.schema)
 
 
-def _possible(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _possible(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows of side 0 and of side 1, which of these can link, and in how many bits they differ."""
     side = t.column("side").to_numpy()
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -228,21 +239,21 @@ def _possible(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     for m in marks:
         odd += np.bitwise_count(m[left][:, None] ^ m[right][None, :])
     nl, nr = n[left][:, None], n[right][None, :]
-    can = (label[left][:, None] != label[right][None, :]) & (odd <= most_odd()) & (np.minimum(nl, nr) * 100 >= np.maximum(nl, nr) * LEAST)
+    can = (label[left][:, None] != label[right][None, :]) & (odd <= most_odd(least)) & (np.minimum(nl, nr) * 100 >= np.maximum(nl, nr) * least)
     return left, right, can, odd
 
 
-def screened(t: pa.Table):
+def screened(t: pa.Table, least: int):
     """The rows of a block that have a possible partner."""
-    left, right, can, _ = _possible(t)
+    left, right, can, _ = _possible(t, least)
     keep = np.concatenate([left[can.any(axis=1)], right[can.any(axis=0)]])
     if len(keep):
         yield from t.take(pa.array(keep)).to_batches()
 
 
-def linked(t: pa.Table):
+def linked(t: pa.Table, least: int):
     """Confirmed links of a block; a pair whose ends a link of this block connects already is passed over."""
-    left, right, can, odd = _possible(t)
+    left, right, can, odd = _possible(t, least)
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
     label, rep = t.column("label").to_pylist(), t.column("rep").to_pylist()
     root: dict = {}
@@ -257,7 +268,7 @@ def linked(t: pa.Table):
     for k in np.argsort(odd[i, j], kind="stable").tolist():
         p, q = int(left[i[k]]), int(right[j[k]])
         a, b = find(label[p]), find(label[q])
-        if a != b and near_enough(sets[p], sets[q]):
+        if a != b and near_enough(sets[p], sets[q], least):
             root[a] = b
             found.append((min(rep[p], rep[q]), max(rep[p], rep[q])))
     if found:
@@ -265,18 +276,21 @@ def linked(t: pa.Table):
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], kind) for c in (0, 1)], ["a", "b"])
 
 
-def near_enough(x: np.ndarray, y: np.ndarray) -> bool:
+def near_enough(x: np.ndarray, y: np.ndarray, least: int) -> bool:
     """Whether two sorted sets link."""
     small, large = (x, y) if len(x) < len(y) else (y, x)
     at = np.searchsorted(large, small)
     at[at == len(large)] = 0
     both = int((large[at] == small).sum())
-    return both * 100 >= (len(x) + len(y) - both) * LEAST
+    return both * 100 >= (len(x) + len(y) - both) * least
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` and ``kept``.
 
+    Documents link at a Jaccard similarity of ``least`` percent; the number of bands, the size
+    filter, the bound on sketches and the last comparison follow it.
+
     1. Documents of equal sets (size and two 64-bit fingerprints) form a class; the smallest id
        stands for it from here on.
     2. MinHash band keys put classes into buckets. Each class is paired with the smallest and the
@@ -298,18 +312,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     rep = base.schema["doc_id"].dataType
-    signed = written(signatures(base), "signatures")
+    n_bands = bands_for(least)
+    signed = written(signatures(base, n_bands), "signatures")
     group = ["n", "fp1", "fp2"]
     marks = [f"s{i}" for i in range(LONGS)]
     usable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     first = [F.first(c).alias(c) for c in ("bands", *marks)]
     reps = written(usable.groupBy(*group).agg(F.min("doc_id").alias("rep"), *first), "classes")
-    keys = band_keys(reps)
+    keys = band_keys(reps, n_bands)
     ends = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     buckets = written(keys.join(written(ends, "bucket-ends"), "key"), "buckets")
     star = buckets.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(buckets.select("rep", "high")).where("a <> b").distinct()
     sketch = reps.select("rep", "n", *marks)
-    pairs = written(_alike_pairs(star, sketch), "pairs")
+    pairs = written(_alike_pairs(star, sketch, least), "pairs")
 
     def sets_of(some: DataFrame) -> DataFrame:
         ids = some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct()
@@ -317,7 +332,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return written(full_sets(base.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
 
     sets = sets_of(pairs)
-    links = written(confirmed(pairs, sets), "confirmed")
+    links = written(confirmed(pairs, sets, least), "confirmed")
     labels = components(links)
 
     label = F.coalesce("label", "rep")
@@ -325,11 +340,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed_up = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     placed = written(placed.join(mixed_up, "key", "left_semi"), "mixed")
     if not placed.isEmpty():
-        rows = written(searched(block_rows(placed, sketch), screened), "near-rows")
+        rows = written(searched(block_rows(placed, sketch), partial(screened, least=least)), "near-rows")
         if not rows.isEmpty():
             ids = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
             sets = sets_of(ids).select(F.col("doc_id").alias("rep"), "set")
-            found = written(searched(rows.join(sets, "rep").select(*rows.columns, "set"), linked, T.StructType([T.StructField("a", rep), T.StructField("b", rep)])).distinct(), "confirmed")
+            found = written(searched(rows.join(sets, "rep").select(*rows.columns, "set"), partial(linked, least=least), T.StructType([T.StructField("a", rep), T.StructField("b", rep)])).distinct(), "confirmed")
             if not found.isEmpty():
                 labels = components(links.union(found))
 
@@ -339,14 +354,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return whole.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _alike_pairs(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+def _alike_pairs(pairs: DataFrame, sketch: DataFrame, least: int) -> DataFrame:
     left, right = (sketch.select(F.col("rep").alias(c), F.struct("n", *(f"s{i}" for i in range(LONGS))).alias(f"of_{c}")) for c in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").where(alike("of_a", "of_b")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(alike("of_a", "of_b", least)).select("a", "b")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone_id"))
+    gone = near_duplicates(docs, id_col, text_col, least).where("not kept").select(F.col(id_col).alias("__gone_id"))
     gone = written(gone, "copies")  # of known size: broadcast if small, else a shuffled join
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]), "left_anti")
 

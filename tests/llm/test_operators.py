@@ -166,6 +166,23 @@ def test_blocks_lose_no_link(monkeypatch, spark):
     assert got == components_by_brute_force(texts)
 
 
+def test_pipeline_drops_near_copies_from_80_percent_on(spark):
+    """One changed word of 50 spoils five of 46 shingles: 41 of 51 are shared, 0.804."""
+    import corpus_pipeline
+
+    texts = {}
+    for i in range(40):
+        words = [f"d{i}w{j}" for j in range(50)]
+        texts[2 * i] = " ".join(words)
+        texts[2 * i + 1] = " ".join([*words[:25], "other", *words[26:]])
+    texts[80], texts[81] = " ".join(f"y{j}" for j in range(45)), " ".join("z" if j == 22 else f"y{j}" for j in range(45))  # 36 of 46: 0.783
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.reject_near_copies(spark, df, "").collect())
+    assert kept == [*range(0, 80, 2), 80, 81]
+    assert near_dedup.near_duplicates(df).where("kept").count() == 82  # op8's contract is 0.85
+    assert (near_dedup.bands_for(85), near_dedup.bands_for(80), near_dedup.bands_for(100)) == (24, 35, 1)
+
+
 @pytest.fixture(scope="module")
 def codec():
     return subword.codec()
