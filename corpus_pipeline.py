@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and of a segmentation sampled from its lattice."""
-    return subword.segment(docs, k=1, keep=("lang", "source"))
+    """Token ids of each document and of its top two sampled segmentations, and whether all decode to the text."""
+    return subword.segment(docs, keep=("lang", "source"))
 
 
 STAGES = [

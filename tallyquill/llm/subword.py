@@ -380,9 +380,10 @@ def batches_of(texts: list[str], most: int = BATCH_CHARS):
 
 
 def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, ``ids`` and ``samples``; the columns ``keep`` are carried along.
+    """One row per input row: id, ``ids``, ``round_trip`` and ``samples``; the columns ``keep`` are carried along.
 
-    ``ids`` is the library's encoding of the whole text. ``samples`` holds the top ``k``
+    ``ids`` is the library's encoding of the whole text, ``round_trip`` whether it and every sample
+    decode to the text. ``samples`` holds the top ``k``
     segmentations of its lattice, drawn without replacement: (ids, log_prob, perturbed,
     log_inclusion), the largest perturbed log-probability first. The weights of the pieces are
     Zipf's, by rank. Draws depend on the row's id, the text and ``k`` only, not on partitions.
@@ -394,19 +395,21 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("seed"), text_of(text_col).alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
     sample = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("log_prob", T.DoubleType()), T.StructField("perturbed", T.DoubleType()), T.StructField("log_inclusion", T.DoubleType())])
-    schema = T.StructType([rows.schema["id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("samples", T.ArrayType(sample)), *(rows.schema[f"kept_{i}"] for i in range(len(keep)))])
+    schema = T.StructType([rows.schema["id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType()), T.StructField("samples", T.ArrayType(sample)), *(rows.schema[f"kept_{i}"] for i in range(len(keep)))])
     arrow = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())]))
 
     def run(batches):
+        spelled = Spelled(codec(path))
         for b in batches:
             texts = b.column(2).to_pylist()
             seeds = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for lo, hi in batches_of(texts):
                 ids, samples = segmented(texts[lo:hi], seeds[lo:hi], k, path)
+                back = [spelled.same(t, [x, *(s[0] for s in one)]) for t, x, one in zip(texts[lo:hi], ids, samples, strict=True)]
                 some = [{"ids": s[0], "log_prob": s[1], "perturbed": s[2], "log_inclusion": s[3]} for one in samples for s in one]
                 lengths = np.concatenate([[0], np.cumsum([len(one) for one in samples])])
                 listed = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(some, arrow.value_type))
-                out = [b.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), listed]
+                out = [b.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.bool_()), listed]
                 out += [b.column(3 + i).slice(lo, hi - lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(out, schema.names)
 

@@ -224,6 +224,18 @@ def test_segments_decode_and_differ(spark, codec, edges):
     assert rows[1]["ids"] == [] and rows[1]["samples"] == [] and rows[6]["lang"] == "en"
 
 
+def test_pipeline_samples_twice_and_decodes(spark, codec, edges):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.encode(spark, edges.where("doc_id <> 7"), "").collect()
+    assert rows and all(r["round_trip"] for r in rows)
+    for r in rows:
+        drawn = {tuple(x["ids"]) for x in r["samples"]}
+        assert len(drawn) == len(r["samples"]) == (2 if r["ids"] else 0)
+    same, wrong = subword.Spelled(codec), codec.encode("one text")
+    assert same.same("one text", [np.array(wrong)]) and not same.same("another", [np.array(wrong)])
+
+
 def test_samples_follow_the_lattice():
     pieces = [" ", "a", "b", "ab", " a", "ba"]
     voc = subword.Vocabulary(pieces, np.log(np.array([0.3, 0.2, 0.1, 0.15, 0.2, 0.05])), list(range(6)), list(range(100, 356)), -9.0)
