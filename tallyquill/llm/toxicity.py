@@ -34,9 +34,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Costs of the channel, as negative logarithms: a sign for a letter, noise between letters, a letter repeated, a sign that means itself, a space left out.
 SIGN, NOISE, AGAIN, ITSELF, GAP = 1.0, 2.5, 0.4, 3.0, 6.0
 UNSEEN = 12.0
-_REPEATED = re.compile(r"(.)\1\1")
+_REPEATED = re.compile(r"(.)\1")
 _CORE = re.compile(r"^[^\w@$!|+(€¡£*]+|[\W_]+$")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€*])(?:[ .\-_*·]{1,3}(?:[^\W_]|[@$!|+€])){3,}(?![^\s.,;:!?])")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€*])(?:[ .\-_*·]{1,3}(?:[^\W_]|[@$!|+€])){2,}(?![^\s.,;:!?])")
 
 
 @dataclass
@@ -95,7 +95,10 @@ class Language:
 
 
 def clear_words(token: str, language: Language | None) -> list[str]:
-    """The words that a lower-cased token stands for."""
+    """The words that a lower-cased token stands for.
+
+    Letters alone stand for themselves and, if one is doubled, for what the lattice restores too.
+    """
     if token.isalpha() and not _REPEATED.search(token):
         return [token]
     core = _CORE.sub("", token)

@@ -279,6 +279,21 @@ def test_obfuscated_words_are_restored():
     assert toxicity.clear_words("", m) == [] and toxicity.clear_words("123", m) == []
 
 
+def test_doubled_letters_and_three_spaced_ones_are_restored():
+    words = Counter({"idiot": 50, "stupid": 50, "loser": 40, "the": 300, "of": 200, "and": 200, "moron": 20, "ass": 30, "apple": 30})
+    grams = Counter()
+    for w, n in words.items():
+        s = "^^" + w + "$"
+        for i in range(len(s) - 2):
+            grams[s[i : i + 3]] += n
+    m = toxicity.Language(dict(grams))
+    for said, meant in {"iddiot": "idiot", "stuupid": "stupid", "ssttuuppiidd": "stupid", "mmoron": "moron", "(mmoron)": "moron"}.items():
+        assert meant in toxicity.clear_words(said, m), said
+    assert "apple" in toxicity.clear_words("apple", m) and toxicity.clear_words("idiot", m) == ["idiot"]
+    assert toxicity.clear_words("apple", None) == ["apple"]
+    assert toxicity.spaced_words("an a s s here", m) == ["ass"] and toxicity.spaced_words("a b", m) == []
+
+
 def test_toxicity_edges(spark, edges):
     labels = spark.createDataFrame([(4, 1), (5, None), (6, 0), (7, 0), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(edges, labels)
