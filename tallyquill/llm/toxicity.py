@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from tallyquill.llm.common import keep_only, text_of, written
 from tallyquill.shipping import ship
 
-#: Labelled rows that the model is fitted on at most, features and trigrams that it keeps at most.
-MOST_ROWS, MOST_FEATURES, MOST_TRIGRAMS = 20_000, 4_000, 60_000
+#: Labelled rows that the regression is fitted on at most, features that it keeps at most.
+MOST_ROWS, MOST_FEATURES = 20_000, 4_000
 #: Log likelihood ratio below which a feature may be chance, there being very many.
 LEAST_RATIO = 7.0
 LEAST_SCORE = 0.3
@@ -28,6 +28,8 @@ PREFIXES = range(3, 9)
 LEVELS = ((2, 1 / 400), (2, 1 / 150), (3, 1 / 150), (3, 1 / 60))
 #: Tokens of which a Python worker keeps the features.
 MOST_KNOWN = 500_000
+#: Words that a task counts before it turns them into trigrams.
+MOST_COUNTED = 200_000
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "¡": "i", "£": "l", "*": "aeiou"}
@@ -183,13 +185,55 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, n: int, penalty: float = 0.2
     return float(w[n]), w[:n]
 
 
+def language_of(docs: DataFrame, text_col: str = "text", most_counted: int = MOST_COUNTED) -> Language:
+    """The trigrams of the words of all documents, a word counting once a document.
+
+    Each task counts its words and gives its trigrams; their sums come to the driver. Their number
+    grows with the scripts and languages in the documents, far slower than the documents do.
+    """
+
+    def count(batches):
+        known: dict[str, list[str]] = {}
+        seen: Counter = Counter()
+        grams: Counter = Counter()
+
+        def spell():
+            for w, n in seen.items():
+                spelled = "^^" + w + "$"
+                for i in range(len(spelled) - 2):
+                    grams[spelled[i : i + 3]] += n
+            seen.clear()
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words: set[str] = set()
+                for t in set(text.lower().split()):
+                    found = known.get(t)
+                    if found is None:
+                        found = [w for w in clear_words(t, None) if len(w) > 1]
+                        if len(known) < most_counted:
+                            known[t] = found
+                    words.update(found)
+                seen.update(words)
+                if len(seen) > most_counted:
+                    spell()
+        spell()
+        out = list(grams.items())
+        for i in range(0, len(out), 50_000):
+            key, n = zip(*out[i : i + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], ["key", "n"])
+
+    counts = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return Language({r["key"]: r["n"] for r in counts.collect()})
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> Model:
     """A model fitted on at most ``most_rows`` labelled rows that are not held out.
 
     The rows are those with the smallest hash of their id. Their beginnings of words are counted by
-    label in the executors; the ``MOST_FEATURES`` with the largest likelihood ratio, the most
-    frequent trigrams, and the chosen features of the sampled rows come to the driver, all bounded
-    by parameters. Labels that are null, and documents without a label, teach nothing. With no
+    label in the executors; the ``MOST_FEATURES`` with the largest likelihood ratio and the chosen
+    features of the sampled rows come to the driver, bounded by parameters. The trigram model that
+    restores words is counted over all of ``docs``. Labels that are null, and documents without a label, teach nothing. With no
     positive or no negative label the score is the same for all texts.
     """
     spark = docs.sparkSession
@@ -202,7 +246,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches):
         tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        grams: Counter = Counter()
         rows = [0, 0]
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -214,12 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                         begun[w[:k]] = begun.get(w[:k], 0) + n
                 tally[y > 0].update(levelled(begun, len(tokens)))
                 rows[y > 0] += 1
-                for w in words:
-                    if len(w) > 1:
-                        spelled = "^^" + w + "$"
-                        grams.update(spelled[i : i + 3] for i in range(len(spelled) - 2))
         keys = list(tally[0].keys() | tally[1].keys())
-        out = [("f", k, tally[1][k], tally[0][k]) for k in keys] + [("g", k, 0, n) for k, n in grams.items()] + [("n", "", rows[1], rows[0])]
+        out = [("f", k, tally[1][k], tally[0][k]) for k in keys] + [("n", "", rows[1], rows[0])]
         for i in range(0, len(out), 50_000):
             kind, key, pos, neg = zip(*out[i : i + 50_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(pos, pa.int64()), pa.array(neg, pa.int64())], ["kind", "key", "pos", "neg"])
@@ -231,8 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not pos or not neg:
         rate = min(max((pos + 0.5) / (pos + neg + 1) if pos else 0.0, 1e-6), 1 - 1e-6)
         return Model(math.log(rate / (1 - rate)), {}, None)
-    grams = counts.where("kind = 'g'").orderBy(F.col("neg").desc(), "key").limit(MOST_TRIGRAMS).collect()
-    language = Language({r["key"]: r["neg"] for r in grams})
+    language = language_of(docs, text_col)
     part = lambda n, m: F.when(n > 0, n * F.log(n / m)).otherwise(0.0)
     seen, share = F.col("pos") + F.col("neg"), pos / (pos + neg)
     ratio = part(F.col("pos").cast("double"), seen * share) + part(F.col("neg").cast("double"), seen * (1 - share))

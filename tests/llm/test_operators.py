@@ -294,6 +294,21 @@ def test_doubled_letters_and_three_spaced_ones_are_restored():
     assert toxicity.spaced_words("an a s s here", m) == ["ass"] and toxicity.spaced_words("a b", m) == []
 
 
+def test_language_is_counted_on_all_documents(spark):
+    texts = ["the idiot, the end", "Idiot", "unlabelled zwxqvk zwxqvk", None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    want = Counter()
+    for t in texts:
+        for w in set(re.findall("[a-z]+", (t or "").lower())):
+            want.update(f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))
+    assert toxicity.language_of(docs).counts == want == toxicity.language_of(docs, most_counted=2).counts
+
+    many = [(i, "you are stupid stupid" if i % 2 else "a good day") for i in range(40)] + [(99, "zwxqvk")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(many, "doc_id long, text string"), labels, most_rows=20)
+    assert model.language.counts["zwx"] == 1 and model.language.counts["^st"] == 20
+
+
 def test_toxicity_edges(spark, edges):
     labels = spark.createDataFrame([(4, 1), (5, None), (6, 0), (7, 0), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(edges, labels)
