@@ -22,6 +22,8 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset("article body div html main section table td th blockquote aside nav header footer form ul ol dl li".split())
 NEVER = frozenset("head title script style noscript template nav header footer aside form button select textarea iframe object svg canvas dialog menu search option".split())
+#: Elements that show no text of their own.
+SILENT = frozenset("head title script style noscript template iframe object svg canvas".split())
 #: Words in an element's class, id or role that mark what surrounds an article.
 AROUND = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu "
@@ -56,6 +58,9 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, int, bool]] = []  # tag, its number among containers (0: none), shut out
         self.shut = 0
         self.boxes = 1
+        self.tag_of = {0: ""}  # containers by number; 0 is the page
+        self.around: dict[int, int] = {}  # elements that surround an article and hold text, by container
+        self.heard = True
         self.parts: list[str] = []
         self.tags = 0
         self.linked = self.chars = 0
@@ -66,10 +71,13 @@ class Lines(HTMLParser):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open if n), self.linked / max(1, self.chars)))
+                self.lines.append((text, self.tags, self.path(), self.linked / max(1, self.chars)))
             self.parts = []
         self.tags = self.linked = self.chars = 0
 
+    def path(self) -> tuple[int, ...]:
+        return (0, *(n for _, n, _ in self.open if n))
+
     def drop(self, at: int) -> None:
         for tag, _, shut in self.open[at:]:
             self.shut -= shut
@@ -91,10 +99,13 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         shut = tag in NEVER or bool(attrs) and tag not in ("html", "body", "article", "main") and surrounds(attrs)
+        if shut and not self.shut:
+            self.heard = tag in SILENT
         self.shut += shut
         self.links += tag == "a"
         if tag in CONTAINERS:
             self.boxes += 1
+            self.tag_of[self.boxes] = tag
         self.open.append((tag, self.boxes if tag in CONTAINERS else 0, shut))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -117,6 +128,11 @@ class Lines(HTMLParser):
             self.parts.append(data)
             self.chars += len(data)
             self.linked += len(data) * bool(self.links)
+        elif not self.heard and data.strip():
+            self.heard = True
+            at = next(i for i, (_, _, shut) in enumerate(self.open) if shut)
+            for n in (0, *(n for _, n, _ in self.open[:at] if n)):
+                self.around[n] = self.around.get(n, 0) + 1
 
 
 def dense(lines: list[tuple[str, int, tuple[int, ...], float]]) -> list[bool]:
@@ -133,11 +149,13 @@ def dense(lines: list[tuple[str, int, tuple[int, ...], float]]) -> list[bool]:
 
 
 def main_text(html: str) -> str:
-    """The lines of the innermost container that holds nearly all dense text, joined by a space.
+    """The lines of the container that holds the article, joined by a space.
 
     Elements that surround an article, by their tag or by a word of their class, id or role, give no
-    lines at all. The region is widened from the dense lines to their container, since short
-    paragraphs between long ones are part of the article too.
+    lines at all. The innermost container of nearly all dense text is widened to the outermost
+    ``article`` around it, or else ``main``, and from there on to the outermost container that adds
+    neither an element that surrounds an article nor a line of links. So headlines, short paragraphs
+    and what stands before and after a long section, list or quotation stay.
     """
     p = Lines()
     p.feed(html)
@@ -152,9 +170,17 @@ def main_text(html: str) -> str:
             total += len(text)
             for n in boxes:
                 weight[n] = weight.get(n, 0) + len(text)
-    inside = [n for n, w in weight.items() if w >= SHARE * total]
-    best = max(inside, default=None)
-    return " ".join(text for text, _, boxes, _ in p.lines if best is None or best in boxes)
+    best = max(n for n, w in weight.items() if w >= SHARE * total)
+    up = next(boxes for _, _, boxes, _ in p.lines if best in boxes)
+    up = up[: up.index(best) + 1]
+    links: dict[int, int] = {}
+    for _, _, boxes, linked in p.lines:
+        if linked > 0.5:
+            for n in boxes:
+                links[n] = links.get(n, 0) + 1
+    best = next((n for tag in ("article", "main") for n in up if p.tag_of[n] == tag), best)
+    best = next(n for n in up if n == best or all(c.get(n, 0) == c.get(best, 0) for c in (p.around, links)))
+    return " ".join(text for text, _, boxes, _ in p.lines if best in boxes)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -329,6 +329,21 @@ def test_html_regions():
     assert html_text.main_text("<p>a&nbsp;b&#33;<!-- c --></p>\n<p>d") == "a b! d"
 
 
+@pytest.mark.parametrize("part", ["<section><p>{}</p></section>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<table><tr><td>{}</td></tr></table>", "<div><div><p>{}</p></div></div>"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>", "<main><div>{}</div></main>"])
+def test_html_keeps_what_stands_around_a_long_part(part, around):
+    long = ("many words of the long part " * 80).strip()
+    inner = f"<h1>Headline</h1><p>intro</p>{part.format(long)}<p>end</p>"
+    assert html_text.main_text(PAGE.format(around.format(inner))) == f"Headline intro {long} end"
+    assert html_text.main_text(f"<html><head><title>t</title></head><body>{inner}</body></html>") == f"Headline intro {long} end"
+
+
+def test_html_widening_stops_at_lists_of_links():
+    long = ("many words of the long part " * 80).strip()
+    links = "<div>" + "<a href='/x'>other page</a><br>" * 5 + "</div>"
+    assert html_text.main_text(f"<body>{links}<div><h1>Headline</h1><div><p>{long}</p></div></div></body>") == f"Headline {long}"
+
+
 def test_html_pages(spark, tiny):
     got = {r["page_id"]: r for r in html_text.op10_html_text(spark, tiny).collect()}
     pages = spark.read.parquet(f"{tiny}/pages.parquet").collect()
