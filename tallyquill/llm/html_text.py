@@ -1,9 +1,10 @@
-"""Main text of web pages from streaming parser events and line densities."""
+"""Main text of web pages: streaming parser events, line densities, content regions."""
 
 from __future__ import annotations
 
 import math
 import re
+from heapq import heapify, heappop, heappush
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -30,65 +31,92 @@ AROUND = frozenset(
     "nav navbar navigation newsletter notice notices notification pagination popup promo promoted related replies reply respond share sharing sidebar "
     "social sponsor sponsored subscribe toolbar widget complementary contentinfo search".split()
 )
+#: Words that say nothing of their own beside one of the above in a compound name.
+NEUTRAL = frozenset(
+    "site page main top bottom left right upper lower primary secondary global local inner outer box bar block area section list item items unit slot zone group post article entry "
+    "blog news story desktop mobile sticky fixed button buttons link links icon icons form input module panel row text title".split()
+)
+#: Of the names above those of whole pages' parts; others may stand inside an article as well.
+PAGE_PARTS = frozenset("breadcrumb breadcrumbs contentinfo footer header masthead menu nav navbar navigation sidebar toolbar".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SIGMA, REACH = 2.0, 6
 KERNEL = [math.exp(-(i * i) / (2 * SIGMA * SIGMA)) for i in range(-REACH, REACH + 1)]
-#: Share of the dense lines' characters that the chosen container has to hold.
+#: Share of the dense characters that the heaviest regions have to hold to be the page's content.
 SHARE = 0.9
 
 
-def surrounds(attrs: list[tuple[str, str | None]]) -> bool:
+def surrounding_words(name: str) -> set[str]:
+    """What a whole class name, id or role says of the surroundings of articles, if it names them.
+
+    A compound name does so if each of its words does or is neutral: ``site-footer`` does,
+    ``has-sidebar`` and ``social-policy`` don't.
+    """
+    if name.lower() in AROUND:
+        return {name.lower()}
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return AROUND.intersection(words) if all(w in AROUND or w in NEUTRAL or w.isdigit() for w in words) else set()
+
+
+def surrounds(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """What the attributes say of an element that surrounds an article or isn't shown; empty for others."""
+    found = set()
     for key, value in attrs:
         if key in ("class", "id", "role") and value:
-            if not AROUND.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-                return True
-        elif key in ("hidden",) or key == "aria-hidden" and value == "true":
-            return True
-        elif key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            for name in value.split():
+                found |= surrounding_words(name)
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and _HIDDEN.search(value):
+            found.add("hidden")
+    return found
 
 
 class Lines(HTMLParser):
-    """Collects lines: text between block borders, its count of tags, and the containers around it."""
+    """Collects lines: text between block borders, its count of tags, and the container around it.
+
+    Containers are numbered in page order and know the one around them, so memory and time are in
+    proportion to the page, however deep it nests.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, its number among containers (0: none), shut out
+        self.open: list[tuple[str, int, bool]] = []  # tag, the innermost container from here on, shut out
+        self.count: dict[str, int] = {}  # open elements by tag
+        self.borders: list[int] = []  # places in ``open`` of containers and of what a block closes
         self.shut = 0
-        self.boxes = 1
-        self.tag_of = {0: ""}  # containers by number; 0 is the page
-        self.around: dict[int, int] = {}  # elements that surround an article and hold text, by container
+        self.tag_of, self.parent = [""], [0]  # containers by number; 0 is the page
+        self.around: list[int] = []  # containers that hold text of a page's parts
         self.heard = True
         self.parts: list[str] = []
         self.tags = 0
         self.linked = self.chars = 0
-        self.links = 0
-        self.lines: list[tuple[str, int, tuple[int, ...], float]] = []
+        self.lines: list[tuple[str, int, int, float]] = []
+
+    @property
+    def box(self) -> int:
+        return self.open[-1][1] if self.open else 0
 
     def end_line(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, self.path(), self.linked / max(1, self.chars)))
+                self.lines.append((text, self.tags, self.box, self.linked / max(1, self.chars)))
             self.parts = []
         self.tags = self.linked = self.chars = 0
 
-    def path(self) -> tuple[int, ...]:
-        return (0, *(n for _, n, _ in self.open if n))
-
     def drop(self, at: int) -> None:
         for tag, _, shut in self.open[at:]:
             self.shut -= shut
-            self.links -= tag == "a"
+            self.count[tag] -= 1
         del self.open[at:]
+        while self.borders and self.borders[-1] >= at:
+            self.borders.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
             if tag != "br":
-                for at in range(len(self.open) - 1, -1, -1):
+                for at in reversed(self.borders):
                     there = self.open[at][0]
                     if there == "p" or there == tag == "li" or there in ("dt", "dd") and tag in ("dt", "dd") or there == "head" and tag == "body":
                         self.drop(at)
@@ -98,15 +126,20 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        shut = tag in NEVER or bool(attrs) and tag not in ("html", "body", "article", "main") and surrounds(attrs)
+        named = surrounds(attrs) if attrs and tag not in ("html", "body", "article", "main") else ()
+        shut = tag in NEVER or bool(named)
+        box = self.box
         if shut and not self.shut:
-            self.heard = tag in SILENT
+            self.heard, self.shut_in = tag not in PAGE_PARTS and PAGE_PARTS.isdisjoint(named), box
         self.shut += shut
-        self.links += tag == "a"
         if tag in CONTAINERS:
-            self.boxes += 1
-            self.tag_of[self.boxes] = tag
-        self.open.append((tag, self.boxes if tag in CONTAINERS else 0, shut))
+            self.tag_of.append(tag)
+            self.parent.append(box)
+            box = len(self.parent) - 1
+        if tag in CONTAINERS or tag in ("p", "dt", "dd", "head"):
+            self.borders.append(len(self.open))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.open.append((tag, box, shut))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -118,25 +151,29 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self.drop(at)
-                break
+        if self.count.get(tag):
+            at = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag)
+            self.drop(at)
 
     def handle_data(self, data: str) -> None:
         if not self.shut:
             self.parts.append(data)
             self.chars += len(data)
-            self.linked += len(data) * bool(self.links)
+            self.linked += len(data) * bool(self.count.get("a"))
         elif not self.heard and data.strip():
             self.heard = True
-            at = next(i for i, (_, _, shut) in enumerate(self.open) if shut)
-            for n in (0, *(n for _, n, _ in self.open[:at] if n)):
-                self.around[n] = self.around.get(n, 0) + 1
+            self.around.append(self.shut_in)
 
+    def parse_html_declaration(self, i: int) -> int:
+        """Marked sections, which the parser knows a few of, are comments up to their ">" as in browsers."""
+        if self.rawdata.startswith("<![", i):
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else -1
+        return super().parse_html_declaration(i)
 
-def dense(lines: list[tuple[str, int, tuple[int, ...], float]]) -> list[bool]:
-    """Which lines lie in clusters whose smoothed text-to-tag ratio is above the threshold."""
+
+def dense(lines: list[tuple[str, int, int, float]]) -> tuple[list[float], list[float], float]:
+    """The lines' smoothed and own text-to-tag ratios (linked text left out), and the threshold above which lines are dense."""
     ratio = [len(text) * (1 - linked) / max(1, tags) for text, tags, _, linked in lines]
     smooth = []
     for i in range(len(ratio)):
@@ -145,17 +182,65 @@ def dense(lines: list[tuple[str, int, tuple[int, ...], float]]) -> list[bool]:
         smooth.append(sum(a * b for a, b in zip(ratio[lo:hi], k, strict=True)) / sum(k))
     mean = sum(smooth) / len(smooth)
     spread = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    return [x >= min(spread, mean) for x in smooth]
+    return smooth, ratio, min(spread, mean)
+
+
+def regions(lines: list[tuple[str, int, int, float]]) -> list[range]:
+    """The content regions: of the runs of dense lines the heaviest ones that hold ``SHARE`` of all dense text.
+
+    Smoothing blurs the ends of a run: lines there that aren't dense themselves aren't of the region.
+    """
+    smooth, ratio, least = dense(lines)
+    runs, weight = [], []
+    for i, x in enumerate(smooth):
+        if x >= least:
+            if not runs or runs[-1].stop != i:
+                runs.append(range(i, i))
+            runs[-1] = range(runs[-1].start, i + 1)
+    for n, r in enumerate(runs):
+        own = [i for i in r if ratio[i] >= least] or r
+        runs[n] = range(own[0], own[-1] + 1)
+        weight.append(sum(len(lines[i][0]) for i in runs[n]))
+    chosen, left = [], SHARE * sum(weight)
+    for n in sorted(range(len(runs)), key=lambda n: (-weight[n], n)):
+        if chosen and left <= 0:
+            break
+        chosen.append(runs[n])
+        left -= weight[n]
+    return sorted(chosen, key=lambda r: r.start)
+
+
+def enclosing(boxes: set[int], parent: list[int]) -> int:
+    """The innermost container around all of some; one around another has the smaller number."""
+    left = [-n for n in boxes]
+    heapify(left)
+    while True:
+        n = -left[0]
+        while left and -left[0] == n:
+            heappop(left)
+        if not left:
+            return n
+        heappush(left, -parent[n])
+
+
+def outermost(kind: str, tag_of: list[str], parent: list[int]) -> list[int]:
+    """For each container the outermost one of a kind that it is in, 0 where there is none."""
+    found = [0] * len(parent)
+    for n in range(1, len(parent)):
+        found[n] = found[parent[n]] or (n if tag_of[n] == kind else 0)
+    return found
 
 
 def main_text(html: str) -> str:
-    """The lines of the container that holds the article, joined by a space.
+    """The lines of the content, joined by a space.
 
-    Elements that surround an article, by their tag or by a word of their class, id or role, give no
-    lines at all. The innermost container of nearly all dense text is widened to the outermost
-    ``article`` around it, or else ``main``, and from there on to the outermost container that adds
-    neither an element that surrounds an article nor a line of links. So headlines, short paragraphs
-    and what stands before and after a long section, list or quotation stay.
+    Elements that surround an article, by their tag or by a name among their class, id or role, give
+    no lines at all. Runs of lines whose smoothed text-to-tag ratio is high are the content regions.
+    If most of their text lies in ``article`` elements (else, in ``main``), the outermost of these that
+    hold a region are the content; else the innermost container of all regions is. The container
+    of the content is then widened to the outermost one that adds neither a part of the whole page
+    (a menu, header, footer or sidebar) nor a line of links. So headlines, short paragraphs and what stands before, between
+    and after long sections, lists or quotations stay.
     """
     p = Lines()
     p.feed(html)
@@ -163,32 +248,44 @@ def main_text(html: str) -> str:
     p.end_line()
     if not p.lines:
         return ""
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, boxes, _), keep in zip(p.lines, dense(p.lines), strict=True):
-        if keep:
-            total += len(text)
-            for n in boxes:
-                weight[n] = weight.get(n, 0) + len(text)
-    best = max(n for n, w in weight.items() if w >= SHARE * total)
-    up = next(boxes for _, _, boxes, _ in p.lines if best in boxes)
-    up = up[: up.index(best) + 1]
-    links: dict[int, int] = {}
-    for _, _, boxes, linked in p.lines:
-        if linked > 0.5:
-            for n in boxes:
-                links[n] = links.get(n, 0) + 1
-    best = next((n for tag in ("article", "main") for n in up if p.tag_of[n] == tag), best)
-    best = next(n for n in up if n == best or all(c.get(n, 0) == c.get(best, 0) for c in (p.around, links)))
-    return " ".join(text for text, _, boxes, _ in p.lines if best in boxes)
+    chosen = [i for r in regions(p.lines) for i in r]
+    total = sum(len(p.lines[i][0]) for i in chosen)
+    best = enclosing({p.lines[i][2] for i in chosen}, p.parent)
+    for kind in ("article", "main"):
+        inside = outermost(kind, p.tag_of, p.parent)
+        held = [i for i in chosen if inside[p.lines[i][2]]]
+        if 2 * sum(len(p.lines[i][0]) for i in held) > total:
+            parts = {inside[p.lines[i][2]] for i in held}
+            if len(parts) > 1:
+                return " ".join(text for text, _, box, _ in p.lines if inside[box] in parts)
+            best = parts.pop()
+            break
+    counts = [[0] * len(p.parent) for _ in range(2)]  # parts of the page and lines of links by container, those inside it included
+    for n in p.around:
+        counts[0][n] += 1
+    for _, _, box, linked in p.lines:
+        counts[1][box] += linked > 0.5
+    for c in counts:
+        for n in range(len(c) - 1, 0, -1):
+            c[p.parent[n]] += c[n]
+    up = best
+    while up:
+        up = p.parent[up]
+        if all(c[up] == c[best] for c in counts):
+            best = up
+    within = [False] * len(p.parent)
+    for n in range(len(p.parent)):
+        within[n] = n == best or bool(n) and within[p.parent[n]]
+    return " ".join(text for text, _, box, _ in p.lines if within[box])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: id, url, ``text`` (empty if none) and ``n_chars``, its code points.
 
     Null html counts as empty, which gives an empty text; so does a page of nothing but what
-    surrounds an article. Pages are read whole. Rows are independent, so ties and repeated rows need
-    no rule. An empty table gives no rows. Other columns are not read.
+    surrounds an article. Pages are read whole, in time and memory in proportion to their length, and
+    broken markup is read as browsers do. Rows are independent, so ties and repeated rows need no
+    rule. An empty table gives no rows. Other columns are not read.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_of(html_col).alias("html"))

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -344,13 +345,48 @@ def test_html_widening_stops_at_lists_of_links():
     assert html_text.main_text(f"<body>{links}<div><h1>Headline</h1><div><p>{long}</p></div></div></body>") == f"Headline {long}"
 
 
+def test_html_keeps_all_sections_of_an_article():
+    long = ("many words of the long part " * 60).strip()
+    assert html_text.main_text(f"<article><h1>Title</h1><section>{long}</section><section>Short conclusion</section></article>") == f"Title {long} Short conclusion"
+    assert html_text.main_text(f"<article><h1>Title</h1><p>intro</p><ul><li>{long}</li><li>b</li></ul><p>closing</p></article>") == f"Title intro {long} b closing"
+    two = f"<article><p>{long}</p></article><div>Buy now!</div><article><p>{long}</p><p>end</p></article>"
+    assert html_text.main_text(f"<body>{two}<div>{'<a href=x>y</a> ' * 9}</div></body>") == f"{long} {long} end"
+
+
+def test_html_class_names_count_whole():
+    for name in ("page has-sidebar", "social-policy", "content-sidebar-wrap", "nonad", "headerless"):
+        assert html_text.main_text(f"<div class='{name}'><article><p>hello there</p></article></div>") == "hello there", name
+    for name in ("ad", "site-footer", "x mainNav", "post-comments", "ad-1", "Sidebar"):
+        assert html_text.main_text(f"<p>hello there</p><div class='{name}'><p>around</p></div>") == "hello there", name
+
+
+def test_html_density_decides_between_unmarked_regions():
+    long = ("many words of the long part " * 60).strip()
+    links = "<div>" + "".join(f"<p><a href='/{i}'>{'other page ' * 9}</a></p>" for i in range(30)) + "</div>"
+    inner = f"<h2>Head</h2><section><p>{long}</p></section><div class=ad>buy</div><section>end</section>"
+    assert html_text.main_text(f"<body>{links}<div>{inner}</div>{links}</body>") == f"Head {long} end"
+    assert html_text.main_text(f"<body><div>{links}</div><div><div>{inner}</div></div></body>") == f"Head {long} end"
+
+
+def test_html_broken_and_hostile_pages():
+    assert html_text.main_text("<p>a</p><![foo[x]]><p>b</p><![CDATA[zz]]>c<![endif]-->d <!--[if IE]>q<![endif]-->e") == "a b cd e"
+    r = random.Random(1)
+    parts = ["<", ">", "</", "<!", "<![", "<!--", "-->", "<?", "/>", "div", "p", "script", "style", "textarea", "title", "a", '"', "'", "=", " ", "&", "&#", "&#x", "amp;", "[", "]", "x", "\0", "<br", "<svg", "/", "ü"]
+    for _ in range(20_000):
+        html_text.main_text("".join(r.choice(parts) for _ in range(r.randint(1, 12))))
+    n = 20_000
+    assert html_text.main_text("<div>" * n + "".join(f"w{i} </div>" for i in range(n))) == " ".join(f"w{i}" for i in range(n))
+    for page in ("<div>" + "<b><p>x</p>" * n, "<div>" * n + "</x>" * n + "y", "<p>" * n + "a", "<ul>" + "<li>a" * n, "<div><p>a</p>" * n, "a " * 500_000):
+        began = time.time()
+        assert html_text.main_text(page)
+        assert time.time() - began < 10  # in proportion: well below a second
+
+
 def test_html_pages(spark, tiny):
     got = {r["page_id"]: r for r in html_text.op10_html_text(spark, tiny).collect()}
     pages = spark.read.parquet(f"{tiny}/pages.parquet").collect()
     for p in pages:
         inner = re.search(r"(?s)<article>(.*?)(?:</article>|$)", p["html"])[1]
-
-
         said = re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^<>]+>", "", re.sub(r"<(br|/?p|/?h1)>", " ", inner)))).strip()
         assert got[p["page_id"]]["text"] == said and got[p["page_id"]]["n_chars"] == len(said)
     one = html_text.extract_text(spark.createDataFrame([(1, None, None, "x")], "page_id long, url string, html string, text string")).first()
