@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyquill.llm.common import fold_case, text_of, written
+from tallyquill.llm.common import fold_case, text_of, told_apart, written
 
 #: Ways into which the groups of one digest are dealt before the last combining.
 SALTS = 64
@@ -48,10 +48,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone_id"))
+    """One row of each text, with all its columns: the one with the largest id.
+
+    Rows count, not ids: texts that differ each keep a row though their ids are equal, and of rows
+    that share id and text one stays. A null id loses to any other. Null texts count as empty ones,
+    which are equal. An empty table gives no rows.
+    """
+    rows, _ = told_apart(docs, id_col, "__row")
+    told = rows.select(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("__key"), text_col)
+    gone = exact_dedup(told, "__key", text_col).where("not kept").select(F.col("__key.row").alias("__row"))
     gone = written(gone, "copies")  # of known size: broadcast if small, else a shuffled join
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]), "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyquill.llm.common import keep_only, text_of, written
+from tallyquill.llm.common import keep_only, scratch, text_of, told_apart, unwritten, written
 from tallyquill.llm.components import components
 from tallyquill.shipping import ship
 
@@ -25,6 +25,8 @@ SAMPLES, BITS = 256, 512
 LONGS = BITS // 64
 #: Classes on one side of a block in which a bucket is searched in full.
 BLOCK = 256
+#: A key with more than one part in so many of all rows is hot.
+HOT = 2000
 #: Words of which a Python worker keeps the hash.
 MOST_KNOWN = 400_000
 _M1, _M2, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -197,8 +199,8 @@ def block_rows(placed: DataFrame, sketch: DataFrame) -> DataFrame:
     share = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     sizes = share.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
     parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = written(sizes.select("key", F.col("top.label").alias("major"), parts(F.col("all") - F.col("top.m")).alias("nl"), parts(F.col("all")).alias("nr")), "bucket-sizes")
-    rows = placed.join(sizes, "key").join(sketch, "rep")
+    sizes = written(sizes.select("key", F.col("top.label").alias("major"), parts(F.col("all") - F.col("top.m")).alias("nl"), parts(F.col("all")).alias("nr"), F.col("all").alias("m")), "bucket-sizes")
+    rows = meet(placed, sizes).drop("m").join(sketch, "rep")
     dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     data = ["rep", "label", "n", *(f"s{i}" for i in range(LONGS))]
@@ -285,11 +287,45 @@ def near_enough(x: np.ndarray, y: np.ndarray, least: int) -> bool:
     return both * 100 >= (len(x) + len(y) - both) * least
 
 
+def meet(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` (key, ...) with their key's one row of ``facts`` (key, m, ...), m being at most the key's rows.
+
+    Keys with more than one part in ``HOT`` of all rows, of which there can't be more than ``HOT``, are
+    broadcast, so that their rows stay where they are; the rest are joined by key.
+    """
+    total = facts.agg(F.sum("m").alias("m")).first()["m"] or 0
+    hot, cold = facts.where(F.col("m") * HOT > total), facts.where(F.col("m") * HOT <= total)
+    return rows.join(F.broadcast(hot), "key").union(rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` and ``kept``.
 
-    Documents link at a Jaccard similarity of ``least`` percent; the number of bands, the size
-    filter, the bound on sketches and the last comparison follow it.
+    Documents link at a Jaccard similarity of ``least`` percent, and ``component_id`` is the smallest
+    id of all documents that links lead to; ``kept`` is whether the id is its component's. See
+    ``row_components`` for the search.
+
+    Null, empty and blank texts have no shingles and link with nothing. Each row is a document: rows
+    that share an id, whether their texts differ or not, take part with a text each, and rows of a
+    null id take part like others, the null losing to any id. An empty table gives no rows. Other
+    columns are not read.
+    """
+    ship(docs.sparkSession)
+    rows, by_id = told_apart(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), "id", "doc_id")
+    found = row_components(rows.select("doc_id", "text"), least)
+    if not by_id:
+        found = found.join(rows.select("doc_id", "id"), "doc_id")
+        smallest = found.groupBy("component").agg(F.min("id").alias("component_id"))
+        found = found.join(smallest, "component")
+    else:
+        found = found.withColumns({"id": F.col("doc_id").cast(rows.schema["id"].dataType), "component_id": F.col("component").cast(rows.schema["id"].dataType)})
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def row_components(base: DataFrame, least: int) -> DataFrame:
+    """(doc_id, text), the ids being longs, there and different -> doc_id, n (size of its set), component.
+
+    The number of bands, the size filter, the bound on sketches and the last comparison follow ``least``.
 
     1. Documents of equal sets (size and two 64-bit fingerprints) form a class; the smallest id
        stands for it from here on.
@@ -303,55 +339,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        A bucket is cut into blocks of bounded size for that; a block keeps the classes with a possible
        partner, then, given the sets of these, emits a link only where its ends aren't connected yet.
        So no connection within a bucket is lost, whatever its size, and no pairs are listed.
-
-    Null, empty and blank texts have no shingles and link with nothing. ``kept`` is whether the id is
-    its component's. Rows that share id and text get equal results; ids have to tell different texts
-    apart. Rows of a null id link with nothing. An empty table gives no rows. Other columns are not
-    read.
     """
-    ship(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    rep = base.schema["doc_id"].dataType
-    n_bands = bands_for(least)
-    signed = written(signatures(base, n_bands), "signatures")
-    group = ["n", "fp1", "fp2"]
-    marks = [f"s{i}" for i in range(LONGS)]
-    usable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    first = [F.first(c).alias(c) for c in ("bands", *marks)]
-    reps = written(usable.groupBy(*group).agg(F.min("doc_id").alias("rep"), *first), "classes")
-    keys = band_keys(reps, n_bands)
-    ends = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    buckets = written(keys.join(written(ends, "bucket-ends"), "key"), "buckets")
-    star = buckets.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(buckets.select("rep", "high")).where("a <> b").distinct()
-    sketch = reps.select("rep", "n", *marks)
-    pairs = written(_alike_pairs(star, sketch, least), "pairs")
-
-    def sets_of(some: DataFrame) -> DataFrame:
-        ids = some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct()
-        # at every size the same way, since the ids of the candidates grow with the input
-        return written(full_sets(base.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
-
-    sets = sets_of(pairs)
-    links = written(confirmed(pairs, sets, least), "confirmed")
-    labels = components(links)
-
-    label = F.coalesce("label", "rep")
-    placed = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", label.alias("label"))
-    mixed_up = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    placed = written(placed.join(mixed_up, "key", "left_semi"), "mixed")
-    if not placed.isEmpty():
-        rows = written(searched(block_rows(placed, sketch), partial(screened, least=least)), "near-rows")
-        if not rows.isEmpty():
-            ids = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-            sets = sets_of(ids).select(F.col("doc_id").alias("rep"), "set")
-            found = written(searched(rows.join(sets, "rep").select(*rows.columns, "set"), partial(linked, least=least), T.StructType([T.StructField("a", rep), T.StructField("b", rep)])).distinct(), "confirmed")
-            if not found.isEmpty():
-                labels = components(links.union(found))
-
+    with scratch(base.sparkSession) as keep:
+        n_bands = bands_for(least)
+        signed = written(signatures(base, n_bands), "signatures")
+        group = ["n", "fp1", "fp2"]
+        marks = [f"s{i}" for i in range(LONGS)]
+        first = [F.first(c).alias(c) for c in ("bands", *marks)]
+        reps = written(signed.where("n > 0").groupBy(*group).agg(F.min("doc_id").alias("rep"), *first), "classes")
+        sketch = reps.select("rep", "n", *marks)
+        keys = band_keys(reps, n_bands)
+        ends = written(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high"), "bucket-ends")
+        buckets = written(meet(keys, ends).drop("m"), "buckets")
+
+        def sets_of(some: DataFrame) -> DataFrame:
+            ids = some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct()
+            # at every size the same way, since the ids of the candidates grow with the input
+            return written(full_sets(base.join(ids.hint("merge"), "doc_id", "left_semi")), "sets")
+
+        star = buckets.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(buckets.select("rep", "high")).where("a <> b").distinct()
+        pairs = written(_alike_pairs(star, sketch, least), "pairs")
+        sets = sets_of(pairs)
+        links = written(confirmed(pairs, sets, least), "confirmed")
+        unwritten(ends, sets, pairs)
+        labels = components(links)
+
+        label = F.coalesce("label", "rep")
+        placed = buckets.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", label.alias("label"))
+        mixed_up = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+        placed = written(meet(placed, written(mixed_up.select("key", "m"), "mixed-keys")).drop("m"), "mixed")
+        unwritten(buckets)
+        if not placed.isEmpty():
+            rows = written(searched(block_rows(placed, sketch), partial(screened, least=least)), "near-rows")
+            if not rows.isEmpty():
+                sets = sets_of(rows.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).select(F.col("doc_id").alias("rep"), "set")
+                pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+                found = written(searched(rows.join(sets, "rep").select(*rows.columns, "set"), partial(linked, least=least), pair).distinct(), "confirmed")
+                if not found.isEmpty():
+                    labels = components(links.union(found))
+        keep += [signed, reps, labels]
     members = signed.select("doc_id", *group).join(reps.select(*group, "rep"), group, "left")
-    whole = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
-    return whole.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    whole = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    return whole.select("doc_id", "n", F.coalesce("label", "rep", "doc_id").alias("component"))
 
 
 def _alike_pairs(pairs: DataFrame, sketch: DataFrame, least: int) -> DataFrame:
@@ -360,10 +389,18 @@ def _alike_pairs(pairs: DataFrame, sketch: DataFrame, least: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, least).where("not kept").select(F.col(id_col).alias("__gone_id"))
-    gone = written(gone, "copies")  # of known size: broadcast if small, else a shuffled join
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]), "left_anti")
+    """The rows of ``docs`` that stay, one document of each component, with all their columns.
+
+    Rows count, not ids, as in ``near_duplicates``: a text that is like no other keeps its row
+    though another row has its id. The row with the smallest id stays or, where ids repeat or are
+    missing, the row that was read first. Null, empty and blank texts all stay. An empty table gives
+    no rows.
+    """
+    ship(docs.sparkSession)
+    rows, _ = told_apart(docs, id_col, "__row")
+    found = row_components(rows.select(F.col("__row").alias("doc_id"), text_of(text_col).alias("text")), least)
+    gone = written(found.where("component <> doc_id").select(F.col("doc_id").alias("__row")), "copies")  # of known size: broadcast if small, else a shuffled join
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
