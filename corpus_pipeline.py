@@ -46,8 +46,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``, each one's rows written as Parquet and read again."""
+    """All stages over the table ``documents``, each one's rows written as Parquet and read again.
+
+    What a stage writes on its way, and the rows that it read, are deleted once its own are written.
+    """
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scratch(spark) as keep:
+            kept = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep.append(kept)
+        common.unwritten(docs)
+        docs = kept
     return docs
