@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +17,12 @@ from tallyquill.shipping import ship
 
 #: Code points of the texts that are segmented together, beyond the first text.
 BATCH_CHARS = 700_000
-#: Chunks of which a Python worker keeps the ids.
-MOST_KNOWN = 150_000
+#: Bytes of the ids and lattices of chunks that a Python worker keeps.
+MOST_BYTES = 160 << 20
 #: Zipf weights of the pieces: a piece of rank r has probability in proportion to 1 / (r + OFFSET).
 OFFSET = 10.0
-HIGHEST, REACH = 38.0, 60.0
+#: Nodes of a path that are held one by one; those behind are one node together until it is popped.
+NEAR = 32
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP, _ROUND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _BASE, _SLOT1, _SLOT2 = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -90,17 +92,50 @@ class Vocabulary:
         return found
 
 
+class Grown:
+    """An array that grows at its end and can be cut back."""
+
+    def __init__(self, kind: type) -> None:
+        self.a, self.n = np.empty(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        need = self.n + len(x)
+        if need > len(self.a):
+            a = np.empty(max(need, len(self.a) * 3 // 2), self.a.dtype)
+            a[: self.n] = self.a[: self.n]
+            self.a = a
+        self.a[self.n : need] = x
+        self.n = need
+
+
 class Lattices:
-    """The lattices of some distinct chunks, row by row: a row per character and one per end."""
+    """Lattices of distinct chunks, one after another: rows for characters and ends, cells for pieces.
+
+    The cells of a row are the pieces that begin at its character, the shortest first: the share of
+    the segmentations from here on that the row's cells up to this one take (``cdf``), the cell's own
+    share (``logp``), the piece's length and id. A character outside the vocabulary is a cell too; if
+    it has several bytes, its id is minus its code point minus 1.
+    """
 
-    def __init__(self, voc: Vocabulary, chunks: list[str]) -> None:
+    def __init__(self, voc: Vocabulary) -> None:
+        self.voc = voc
+        self.base, self.end = Grown(np.int64), Grown(np.int64)  # by chunk: its first and its last row
+        self.first, self.count = Grown(np.int64), Grown(np.int16)  # by row: its cells
+        self.cdf, self.logp = Grown(np.float32), Grown(np.float32)
+        self.length, self.id = Grown(np.int16), Grown(np.int32)
+
+    def parts(self) -> list[Grown]:
+        return [x for x in vars(self).values() if isinstance(x, Grown)]
+
+    def add(self, chunks: list[str]) -> None:
+        voc = self.voc
         lengths = np.array([len(c) for c in chunks], np.int64)
-        self.base = np.concatenate([[0], np.cumsum(lengths + 1)])
-        n, most = int(self.base[-1]), min(voc.longest, int(lengths.max(initial=1)))
+        base = np.concatenate([[0], np.cumsum(lengths + 1)])
+        n, most = int(base[-1]), voc.longest  # the same width always: sums don't depend on which chunks come together
         codes = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        rem = np.repeat(self.base[1:] - 1, lengths + 1) - np.arange(n)
-        self.logp = np.full((n, most), -np.inf, np.float32)
-        self.piece = np.full((n, most), -1, np.int32)
+        rem = np.repeat(base[1:] - 1, lengths + 1) - np.arange(n)
+        logp = np.full((n, most), -np.inf, np.float32)
+        piece = np.full((n, most), -1, np.int32)
         rows, h = np.flatnonzero(rem > 0), np.zeros(0, np.uint64)
         for length in range(1, most + 1):
             if length > 1:
@@ -111,31 +146,54 @@ class Lattices:
             h = h * _BASE + codes[rows + length - 1]
             found = voc.find(h)
             hit = np.flatnonzero(found >= 0)
-            self.logp[rows[hit], length - 1] = voc.weights[found[hit]]
-            self.piece[rows[hit], length - 1] = found[hit]
+            logp[rows[hit], length - 1] = voc.weights[found[hit]]
+            piece[rows[hit], length - 1] = found[hit]
             more = found != -2
             rows, h = rows[more], h[more]
-        lone = np.flatnonzero((rem > 0) & (self.piece[:, 0] < 0))
-        self.codes = (codes - np.uint64(1)).astype(np.int64)
-        told = [len(chr(int(c)).encode("utf-8", "surrogatepass")) for c in codes[lone] - np.uint64(1)]
-        self.logp[lone, 0] = voc.byte_weight * np.array(told, np.float64)
-        self.cdf = np.zeros((n, most), np.float32)
+        lone = np.flatnonzero((rem > 0) & (piece[:, 0] < 0))
+        codes = (codes - np.uint64(1)).astype(np.int64)
+        told = 1 + (codes[lone] > 0x7F) + (codes[lone] > 0x7FF) + (codes[lone] > 0xFFFF)  # bytes of the character
+        logp[lone, 0] = voc.byte_weight * told
         beta = np.zeros(n)
         by_rem = np.argsort(rem.astype(np.uint16) if n and rem.max() < 65536 else rem, kind="stable")
         cuts = np.searchsorted(rem[by_rem], np.arange(1, int(rem.max(initial=0)) + 2))
         for r in range(len(cuts) - 1):  # from the ends backwards
             rows = by_rem[cuts[r] : cuts[r + 1]]
             k = min(most, r + 1)
-            x = self.logp[rows, :k] + beta[rows[:, None] + np.arange(1, k + 1)]
+            x = logp[rows, :k] + beta[rows[:, None] + np.arange(1, k + 1)]
             top = x.max(axis=1)
-            e = np.exp((x - top[:, None]).astype(np.float32))
-            total = np.log(e.sum(axis=1, dtype=np.float64))
-            beta[rows] = top + total
-            self.logp[rows, :k] = x - (top + total)[:, None]
-            c = np.cumsum(e, axis=1)
-            self.cdf[rows, :k] = c
-            self.cdf[rows, k:] = c[:, -1:]
-        self.end = self.base[1:] - 1
+            beta[rows] = top + np.log(np.exp((x - top[:, None]).astype(np.float32)).sum(axis=1, dtype=np.float64))
+            logp[rows, :k] = x - beta[rows][:, None]
+        is_cell = logp > -np.inf
+        count = is_cell.sum(axis=1)
+        row, place = np.nonzero(is_cell)
+        lp = logp[row, place].astype(np.float64)
+        after = np.cumsum(count)
+        upto = np.cumsum(np.exp(logp), axis=1)
+        cdf = upto[row, place] / upto[row, -1]
+        cdf[after[count > 0] - 1] = 2.0  # above every uniform number
+        ids = np.where(piece[row, place] >= 0, voc.ids[piece[row, place]], np.int32(-1))
+        odd = np.flatnonzero(ids < 0)
+        code = codes[row[odd]]
+        ids[odd] = np.where(code < 128, np.array(voc.byte_ids, np.int32)[np.minimum(code, 127)], -1 - code)
+        self.first.add(self.cdf.n + after - count)
+        self.count.add(count)
+        self.base.add(self.end.a[self.end.n - 1] + 1 + base[:-1] if self.end.n else base[:-1])
+        self.end.add(self.base.a[self.base.n - len(chunks) : self.base.n] + lengths)
+        for part, x in ((self.cdf, cdf), (self.logp, lp), (self.length, place + 1), (self.id, ids)):
+            part.add(x)
+
+    def others(self, cells: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """log of the share that the other cells of their rows take."""
+        share = -np.expm1(np.minimum(self.logp.a[cells].astype(np.float64), 0.0))
+        near = np.flatnonzero(share < 0.01)  # single precision can't tell the others from 1 - p there
+        if len(near):
+            at = self.first.a[rows[near], None] + np.arange(self.voc.longest)
+            known = np.arange(self.voc.longest) < self.count.a[rows[near], None]
+            beside = np.where(known & (at != cells[near, None]), np.exp(self.logp.a[np.minimum(at, self.logp.n - 1)].astype(np.float64)), 0.0)
+            share[near] = beside.sum(axis=1)
+        with np.errstate(divide="ignore"):
+            return np.log(share)
 
 
 class Sampler:
@@ -146,106 +204,150 @@ class Sampler:
     distribution is a Gumbel located at the set's log-probability, which the lattice's backward sums
     give exactly. The best node is popped; its best segmentation is followed to the end of the text,
     drawing each next piece, and at every piece the set of the segmentations not taken becomes a node
-    of its own, with a value drawn below the popped one. So the kth popped node is the kth largest of
+    of its own, with a value drawn below the popped one; far down the path, where the sets are small,
+    they are one node, which is taken apart if it is popped. So the kth popped node is the kth largest of
     all perturbed segmentations, drawn without replacement. The search stops after k pops; the best
     value left is the threshold for the inclusion scores.
     """
 
-    def __init__(self, voc: Vocabulary) -> None:
-        self.voc = voc
+    def __init__(self, lattices: Lattices) -> None:
+        self.lat = lattices
 
-    def sample(self, chunks: list[str], kind: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    def sample(self, kind: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text its samples: (piece ids, log-probability, perturbed, log inclusion).
 
-        ``chunks`` are distinct; ``kind`` says which ones follow another in all texts, ``sizes`` how
-        many each text has.
+        ``kind`` has the places of the texts' chunks among the lattices, ``sizes`` how many each text has.
         """
         if not len(kind) or not k:
             return [[] for _ in sizes]
-        lat = Lattices(self.voc, chunks)
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        n_texts = len(sizes)
-        lengths = (lat.end - lat.base[:-1])[kind]
+        lat = self.lat
+        base, end, cell_of, cdf, length, logp = (x.a for x in (lat.base, lat.end, lat.first, lat.cdf, lat.length, lat.logp))
+        n_texts, first = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+        doc = np.repeat(np.arange(n_texts), sizes)
+        lengths = (end - base[: len(end)])[kind]
         ahead = np.cumsum(lengths) - lengths
-        at = ahead - np.repeat(ahead[np.minimum(first[:-1], len(kind) - 1)], sizes)
+        shift = ahead - np.repeat(ahead[np.minimum(first[:-1], len(kind) - 1)], sizes) - base[kind]  # from a row to a place in the text
+        ends = end[kind]
         full = np.flatnonzero(sizes)
 
         def dive(rnd: int, docs: np.ndarray, occ: np.ndarray, row: np.ndarray):
-            """Follows each text from the row on in the chunk; pieces as (occurrence, row, length), by text."""
+            """Follows each text from the row on in the chunk: cells and rows of its pieces, occurrences and how many each has, cuts by text."""
             reps = first[docs + 1] - occ
-            occs = np.repeat(occ - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(int(reps.sum()))
-            rows = lat.base[kind[occs]]
-            starts = np.concatenate([[0], np.cumsum(reps)[:-1]])
+            starts = np.cumsum(reps) - reps
+            occs = np.repeat(occ - starts, reps) + np.arange(int(reps.sum()))
+            rows = base[kind[occs]]
             rows[starts] = row
-            live = np.flatnonzero(rows < lat.end[kind[occs]])
+            upto, moved, seed = ends[occs], shift[occs], seeds[doc[occs]]
+            live = np.flatnonzero(rows < upto)
             n_pieces = np.zeros(len(occs), np.int64)
             steps = []
             while len(live):
-                o, r = occs[live], rows[live]
-                u = uniform(seeds[doc[o]], rnd, at[o] + r - lat.base[kind[o]])
-                c = lat.cdf[r]
-                j = (c > (u * c[:, -1])[:, None]).argmax(axis=1)
-                steps.append((live, r, j))
-                rows[live] = r + j + 1
+                r = rows[live]
+                u = uniform(seed[live], rnd, moved[live] + r)
+                cell = cell_of[r]
+                later = np.flatnonzero(cdf[cell] <= u)
+                while len(later):
+                    cell[later] += 1
+                    later = later[cdf[cell[later]] <= u[later]]
+                steps.append((live, cell))
+                r += length[cell]
+                rows[live] = r
                 n_pieces[live] += 1
-                live = live[rows[live] < lat.end[kind[o]]]
+                live = live[r < upto[live]]
             offset = np.concatenate([[0], np.cumsum(n_pieces)])
-            p_row, p_len = np.empty(offset[-1], np.int64), np.empty(offset[-1], np.int64)
-            for s, (live, r, j) in enumerate(steps):
-                p_row[offset[live] + s], p_len[offset[live] + s] = r, j
-            p_occ = np.repeat(occs, n_pieces)
-            return p_occ, p_row, p_len, offset[np.concatenate([starts, [len(occs)]])]
-
-        #: paths[d]: of each path its pieces (occurrence, row, length), log-probabilities before them, rest values, parent
+            p_cell = np.empty(offset[-1], np.int64)
+            for s, (live, cell) in enumerate(steps):
+                p_cell[offset[live] + s] = cell
+            return p_cell, occs, offset, offset[np.concatenate([starts, [len(occs)]])]
+
+        def values(d: np.ndarray, cells: np.ndarray, places: np.ndarray, prefix: np.ndarray, bound, rnd: int) -> np.ndarray:
+            """Of the nodes of what texts ``d`` didn't take at these pieces."""
+            rows = places - shift[occurrence(d, places)]
+            return below(prefix + lat.others(cells, rows), bound, uniform(seeds[d], rnd + 1_000_003, places))
+
+        turns = np.cumsum(lengths)  # where occurrences end, in the texts one after another
+        starts_at = np.concatenate([[0], turns])[first[:-1]]
+
+        def occurrence(d: np.ndarray, places: np.ndarray) -> np.ndarray:
+            """The chunk occurrence in which a place of a text lies."""
+            return np.searchsorted(turns, starts_at[d] + places, side="right")
+
+        def apart(d: int, path: dict, top: float) -> int:
+            """Takes the node behind the first ``NEAR`` pieces apart; returns which of its parts has its value.
+
+            A part has the largest value of all with the probability of its share, and the other
+            values are drawn below it.
+            """
+            cells = path["cell"][NEAR:]
+            prefix = path["prefix"][NEAR] + np.concatenate([[0.0], np.cumsum(logp[cells], dtype=np.float64)[:-1]])
+            places = path["place"][NEAR] + np.concatenate([[0], np.cumsum(length[cells], dtype=np.int64)[:-1]])
+            who = np.full(len(cells), d)
+            share = np.cumsum(np.exp(prefix - prefix[0] + lat.others(cells, places - shift[occurrence(who, places)])))
+            u = uniform(seeds[d : d + 1], path["rnd"] + 5_000_003, places[:1])
+            t = int((share > u[0] * share[-1]).argmax())
+            g = values(who, cells, places, prefix, top, path["rnd"])
+            g[t] = top
+            path.update(g=np.concatenate([path["g"][:NEAR], g]), prefix=np.concatenate([path["prefix"][:NEAR], prefix]), place=np.concatenate([path["place"][:NEAR], places]), together=False)
+            return t
+
+        #: paths[d]: the paths of a text: their pieces' cells and, for the nodes, the places of the pieces, the
+        #: log-probabilities before them and the values
         paths: list[list[dict]] = [[] for _ in range(n_texts)]
         out: list[list[tuple[np.ndarray, float, float, float]]] = [[] for _ in range(n_texts)]
         value = gumbel(uniform(seeds, -1, np.zeros(n_texts, np.int64)))
-        docs, occ, row = full, first[full], lat.base[kind[first[full]]]
-        forced: list[tuple | None] = [None] * len(full)
+        docs, occ, row = full, first[full], base[kind[first[full]]]
+        shared: list[np.ndarray] = [np.empty(0, np.int32)] * len(full)
+        before = np.zeros(len(full))  # log-probabilities of the shared pieces
         for rnd in range(k):
             if not len(docs):
                 break
-            p_occ, p_row, p_len, cut = dive(rnd, docs, occ, row)
-            lp = lat.logp[p_row, p_len].astype(np.float64)
-            before = np.array([0.0 if f is None else f[3] for f in forced])
-            upto = np.concatenate([[0.0], np.cumsum(lp)])
+            p_cell, occs, offset, cut = dive(rnd, docs, occ, row)
+            lp = logp[p_cell].astype(np.float64)
+            ids = lat.id.a[p_cell]
+            odd = bool((ids < 0).any())
+            at = shift[occ] + row
             counts = np.diff(cut)
-            prefix = upto[:-1] + np.repeat(before - upto[cut[:-1]], counts)
-            total = before + upto[cut[1:]] - upto[cut[:-1]]
-            ids, long = self.named(p_row, p_len, lat)
-            heads = [np.empty(0, np.int32) if f is None else f[4] for f in forced]
-            # uniform numbers of 53 bits give Gumbel numbers below HIGHEST, so a node far below the best can't be it
-            where = np.flatnonzero(prefix >= np.repeat(value[docs] - REACH, counts))
-            near = np.searchsorted(where, cut)
-            g_near = self.rest(lat, p_occ[where], p_row[where], p_len[where], prefix[where], lp[where], np.repeat(value[docs], np.diff(near)), rnd, seeds, doc, at, kind)
-            for i, d in enumerate(docs):
-                a, b = int(cut[i]), int(cut[i + 1])
-                m = int(near[i + 1] - near[i])
-                g = g_near[near[i] : near[i + 1]]
-                if m < b - a and g.max(initial=-np.inf) < value[d] - REACH + HIGHEST:
-                    m = b - a
-                    g = self.rest(lat, p_occ[a:b], p_row[a:b], p_len[a:b], prefix[a:b], lp[a:b], value[d], rnd, seeds, doc, at, kind)
-                found = ids[a:b] if not long.size else self.spelled(ids[a:b], p_row[a:b], lat)
-                out[d].append((np.concatenate([heads[i], found]) if len(heads[i]) else found, float(total[i]), float(value[d]), 0.0))
-                paths[d].append({"occ": p_occ[a : a + m], "row": p_row[a : a + m], "len": p_len[a : a + m], "ids": ids[a : a + m], "prefix": prefix[a : a + m], "g": g, "head": heads[i], "out": {}})
-            nxt_docs, nxt_occ, nxt_row, nxt_forced = [], [], [], []
-            for d in docs:
-                tops = [(float(p["g"].max()), n) for n, p in enumerate(paths[d]) if len(p["g"])]
-                top, n = max(tops, default=(-np.inf, 0))
-                if top == -np.inf:
-                    out[d].append((np.empty(0, np.int32), 0.0, -np.inf, 0.0))  # no segmentation is left
-                    continue
-                if rnd == k - 1:
+            some = np.flatnonzero(counts)
+            total = before.copy()
+            total[some] += np.add.reduceat(lp, cut[some]) if len(some) else 0.0
+            there = np.arange(NEAR) < counts[:, None]
+            near = np.minimum(cut[:-1, None] + np.arange(NEAR), max(len(p_cell) - 1, 0))
+            prefix = before[:, None] + np.cumsum(np.where(there, lp[near], 0.0), axis=1) if len(p_cell) else np.zeros(there.shape)
+            prefix = np.concatenate([before[:, None], prefix], axis=1)
+            steps = np.cumsum(np.where(there, length[p_cell[near]], 0), axis=1, dtype=np.int64) if len(p_cell) else np.zeros(there.shape, np.int64)
+            places = at[:, None] + np.concatenate([np.zeros((len(docs), 1), np.int64), steps], axis=1)
+            g = np.full(there.shape, -np.inf)
+            i, j = np.nonzero(there)
+            g[i, j] = values(docs[i], p_cell[near[i, j]], places[i, j], prefix[i, j], value[docs[i]], rnd)
+            # all that shares the first NEAR pieces, but for the path itself, is one node
+            far = np.flatnonzero(counts > NEAR)
+            with np.errstate(divide="ignore"):
+                behind = prefix[far, NEAR] + np.log(-np.expm1(np.minimum(total[far] - prefix[far, NEAR], 0.0)))
+            g = np.concatenate([g, np.full((len(docs), 1), -np.inf)], axis=1)
+            g[far, NEAR] = below(behind, value[docs[far]], uniform(seeds[docs[far]], rnd + 4_000_003, places[far, NEAR]))
+            for i, d in enumerate(docs.tolist()):
+                a, b, head, m = int(cut[i]), int(cut[i + 1]), shared[i], min(NEAR + 1, int(counts[i]))
+                found = self.spelled(ids[a:b]) if odd else ids[a:b]
+                out[d].append((np.concatenate([head, found]) if len(head) else found, float(total[i]), float(value[d]), 0.0))
+                paths[d].append({"cell": p_cell[a:b], "place": places[i, :m], "prefix": prefix[i, :m], "g": g[i, :m], "head": head, "rnd": rnd, "together": m > NEAR, "out": {}})
+            nxt_docs, nxt_occ, nxt_row, nxt_heads = [], [], [], []
+            for d in docs.tolist():
+                top, n = max(((float(p["g"].max(initial=-np.inf)), n) for n, p in enumerate(paths[d])), default=(-np.inf, 0))
+                if top == -np.inf or rnd == k - 1:  # no segmentation is left, or its value is the threshold
                     out[d].append((np.empty(0, np.int32), 0.0, top, 0.0))
                     continue
                 path = paths[d][n]
                 t = int(path["g"].argmax())
-                r, o = int(path["row"][t]), int(path["occ"][t])
-                gone = path["out"].setdefault(t, [int(path["len"][t])])
-                left = np.exp(lat.logp[r].astype(np.float64))
+                if path["together"] and t == NEAR:
+                    t += apart(d, path, top)
+                cell, place = int(path["cell"][t]), int(path["place"][t])
+                o = int(occurrence(np.array([d]), np.array([place]))[0])
+                r = place - int(shift[o])
+                begin = int(cell_of[r])
+                gone = path["out"].setdefault(t, [cell - begin])
+                left = np.exp(logp[begin : begin + int(lat.count.a[r])].astype(np.float64))
                 left[gone] = 0.0
-                u = uniform(seeds[d : d + 1], rnd + 2_000_003, np.array([at[o] + r - lat.base[kind[o]]]))
+                u = uniform(seeds[d : d + 1], rnd + 2_000_003, np.array([place]))
                 j = int((np.cumsum(left) > u[0] * left.sum()).argmax())
                 value[d] = top
                 log_before = float(path["prefix"][t])
@@ -253,52 +355,30 @@ class Sampler:
                 left[j] = 0.0
                 mass = float(left.sum())
                 if mass > 0:
-                    u = uniform(seeds[d : d + 1], rnd + 3_000_003, np.array([at[o] + r - lat.base[kind[o]]]))
+                    u = uniform(seeds[d : d + 1], rnd + 3_000_003, np.array([place]))
                     path["g"][t] = below(np.array([log_before + np.log(mass)]), np.array([top]), u)[0]
                 else:
                     path["g"][t] = -np.inf
-                one, _ = self.named(np.array([r]), np.array([j]), lat)
-                shared = np.concatenate([path["head"], self.spelled(np.append(path["ids"][:t], one), np.append(path["row"][:t], r), lat)])
                 nxt_docs.append(d)
                 nxt_occ.append(o)
-                nxt_row.append(r + j + 1)
-                nxt_forced.append((o, r, j, log_before + float(lat.logp[r, j]), shared))
-            docs, occ, row, forced = np.array(nxt_docs, np.int64), np.array(nxt_occ, np.int64), np.array(nxt_row, np.int64), nxt_forced
+                nxt_row.append(r + int(length[begin + j]))
+                nxt_heads.append((np.concatenate([path["head"], self.spelled(lat.id.a[np.append(path["cell"][:t], begin + j)])]), log_before + float(logp[begin + j])))
+            docs, occ, row = np.array(nxt_docs, np.int64), np.array(nxt_occ, np.int64), np.array(nxt_row, np.int64)
+            shared, before = [x for x, _ in nxt_heads], np.array([x for _, x in nxt_heads])
         found = []
         for samples in out:
             threshold = samples[-1][2] if samples else 0.0
             found.append([(ids, lp, g, log_inclusion(lp, threshold)) for ids, lp, g, _ in samples[:-1]])
         return found
 
-    def rest(self, lat, occ, row, length, prefix, lp, bound, rnd: int, seeds, doc, at, kind) -> np.ndarray:
-        """Values of the nodes of what wasn't taken at these pieces."""
-        with np.errstate(divide="ignore", over="ignore"):
-            others = -np.expm1(lp)
-            near = np.flatnonzero(others < 0.01)  # single precision can't tell the others from 1 - p there
-            p = np.exp(lat.logp[row[near]])
-            p[np.arange(len(near)), length[near]] = 0.0
-            others[near] = p.sum(axis=1, dtype=np.float64)
-            u = uniform(seeds[doc[occ]], rnd + 1_000_003, at[occ] + row - lat.base[kind[occ]])
-            return below(prefix + np.log(others), bound, u)
-
-    def named(self, rows: np.ndarray, lengths: np.ndarray, lat: Lattices) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces, and where characters outside the vocabulary have several bytes (-1 there)."""
-        pieces = lat.piece[rows, lengths]
-        ids = np.where(pieces >= 0, self.voc.ids[pieces], np.int32(-1))
-        odd = np.flatnonzero(pieces < 0)
-        code = lat.codes[rows[odd]]
-        plain = code < 128
-        ids[odd[plain]] = np.array(self.voc.byte_ids, np.int32)[code[plain]]
-        return ids, odd[~plain]
-
-    def spelled(self, ids: np.ndarray, rows: np.ndarray, lat: Lattices) -> np.ndarray:
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
         """The ids, with the bytes of the characters for which one id isn't enough."""
         odd = np.flatnonzero(ids < 0)
         if not len(odd):
             return ids
         parts, last = [], 0
-        for i in odd:
-            parts += [ids[last:i], np.array([self.voc.byte_ids[x] for x in chr(int(lat.codes[rows[i]])).encode("utf-8", "surrogatepass")], np.int32)]
+        for i in odd.tolist():
+            parts += [ids[last:i], np.array([self.lat.voc.byte_ids[x] for x in chr(-1 - int(ids[i])).encode("utf-8", "surrogatepass")], np.int32)]
             last = i + 1
         return np.concatenate([*parts, ids[last:]]).astype(np.int32)
 
@@ -322,31 +402,57 @@ class Codec(PrefixCounts):
         ranks = np.arange(len(place)) + OFFSET
         norm = np.log((1 / ranks).sum())
         self.voc = Vocabulary([sp.id_to_piece(i).replace(SPACE, " ") for i in place], -np.log(ranks) - norm, place, [bytes_at[b] for b in range(256)], float(-np.log(ranks[-1]) - norm))
-        self.sampler = Sampler(self.voc)
         self.begins = np.array([sp.id_to_piece(i).startswith(SPACE) for i in range(sp.get_piece_size())])
-        self.coded: dict[str, np.ndarray] = {"": np.array([sp.piece_to_id(SPACE)], np.int32)}
-
-    def chunk_ids(self, chunks: list[str]) -> list[np.ndarray]:
-        """The library's ids of distinct chunks; those not known yet are encoded as one text.
-
-        Chunks without a space inside stay apart in it, each beginning with a space mark.
+        self.lat = Lattices(self.voc)
+        self.sampler = Sampler(self.lat)
+        self.tokens, self.n_tokens, self.first_token = Grown(np.int32), Grown(np.int64), Grown(np.int64)
+        self.place: dict[str, int] = {}
+        self.kept = [(x, 0) for x in self.parts()]
+        self.place_of([""])
+
+    def parts(self) -> list[Grown]:
+        return [*self.lat.parts(), self.tokens, self.n_tokens, self.first_token]
+
+    def add(self, chunks: list[str]) -> None:
+        """Ids and lattices of new chunks. Those without a space inside are encoded as one text, in which
+        they stay apart, each beginning with a space mark; they come first."""
+        single = [c for c in chunks if c and " " not in c]
+        ids = np.array(self.sp.encode(" ".join(single)) if single else [], np.int32)
+        counts = np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids))) if single else np.empty(0, np.int64)
+        if len(counts) != len(single):
+            raise ValueError("a chunk's pieces don't begin with a space mark")
+        other = [np.array(self.sp.encode(c) if c else [self.sp.piece_to_id(SPACE)], np.int32) for c in chunks[len(single) :]]
+        counts = np.concatenate([counts, np.array([len(x) for x in other], np.int64)])
+        self.first_token.add(self.tokens.n + np.cumsum(counts) - counts)
+        self.n_tokens.add(counts)
+        self.tokens.add(np.concatenate([ids, *other]))
+        self.lat.add([" " + c for c in chunks])
+
+    def place_of(self, chunks: list[str]) -> np.ndarray:
+        """Where the ids and lattices of distinct chunks are, those of new chunks being added.
+
+        A worker keeps them from batch to batch, up to ``MOST_BYTES``; what comes then stays for one batch.
         """
-        found = list(map(self.coded.get, chunks))
-        places = [i for i, x in enumerate(found) if x is None]
-        single = [i for i in places if " " not in chunks[i]]
-        if single:
-            ids = np.array(self.sp.encode(" ".join([chunks[i] for i in single])), np.int32)
-            for i, x in zip(single, np.split(ids, np.flatnonzero(self.begins[ids])[1:]), strict=True):
-                found[i] = x
-        for i in places:
-            if found[i] is None:
-                found[i] = np.array(self.sp.encode(chunks[i]), np.int32)
-        if len(self.coded) < MOST_KNOWN:
-            self.coded.update((chunks[i], found[i].copy()) for i in places)
-        return found
+        for part, n in self.kept:
+            part.n = n
+        found = list(map(self.place.get, chunks))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            plain = [i for i in new if (c := chunks[i]) and " " not in c]
+            if len(plain) < len(new):
+                new = plain + [i for i in new if not chunks[i] or " " in chunks[i]]
+            n = self.lat.base.n
+            self.add([chunks[i] for i in new])
+            for j, i in enumerate(new, n):
+                found[i] = j
+            if sum(x.n * x.a.itemsize for x in self.parts()) + 100 * len(self.place) < MOST_BYTES:
+                self.place.update((chunks[i], found[i]) for i in new)
+                self.kept = [(x, x.n) for x in self.parts()]
+        return np.array(found, np.int64)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.chunk_ids(self.chunks(text)) for i in ids.tolist()]
+        at = {c: i for c, i in zip(kinds, self.place_of(kinds).tolist(), strict=True)} if (kinds := list(set(self.chunks(text)))) else {}
+        return [x for c in self.chunks(text) for x in self.tokens.a[self.first_token.a[at[c]] :][: self.n_tokens.a[at[c]]].tolist()]
 
     def decode(self, ids) -> str:
         """The text whose segmentation this is; the space that the encoder puts in front goes."""
@@ -379,6 +485,14 @@ def batches_of(texts: list[str], most: int = BATCH_CHARS):
         yield start, len(texts)
 
 
+def offsets(lists: list) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]), pa.int32())
+
+
+def listed(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(offsets(arrays), pa.array(np.concatenate([np.empty(0, np.int32), *arrays]), pa.int32()))
+
+
 def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, ``ids``, ``round_trip`` and ``samples``; the columns ``keep`` are carried along.
 
@@ -390,7 +504,9 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     Null text counts as empty, which has no pieces and no samples. Where a text has fewer than ``k``
     segmentations all are returned, with inclusion 1. Rows that share id and text share their draws;
-    a null id is a seed like others. Texts are segmented whole; an empty table gives no rows.
+    a null id is a seed like others. Texts are segmented whole; an empty table gives no rows. A worker
+    keeps ids and lattices of chunks up to ``MOST_BYTES``, and beside that what ``BATCH_CHARS`` code
+    points, or one longer text, need.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("seed"), text_of(text_col).alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
@@ -406,33 +522,47 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             for lo, hi in batches_of(texts):
                 ids, samples = segmented(texts[lo:hi], seeds[lo:hi], k, path)
                 back = [spelled.same(t, [x, *(s[0] for s in one)]) for t, x, one in zip(texts[lo:hi], ids, samples, strict=True)]
-                some = [{"ids": s[0], "log_prob": s[1], "perturbed": s[2], "log_inclusion": s[3]} for one in samples for s in one]
-                lengths = np.concatenate([[0], np.cumsum([len(one) for one in samples])])
-                listed = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(some, arrow.value_type))
-                out = [b.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.bool_()), listed]
+                some = [s for one in samples for s in one]
+                drawn = pa.StructArray.from_arrays([listed([s[0] for s in some]), *(pa.array([s[i] for s in some], pa.float64()) for i in (1, 2, 3))], fields=list(arrow.value_type))
+                out = [b.column(0).slice(lo, hi - lo), listed(ids), pa.array(back, pa.bool_()), pa.ListArray.from_arrays(offsets(samples), drawn)]
                 out += [b.column(3 + i).slice(lo, hi - lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(out, schema.names)
 
     return rows.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, **{f"kept_{i}": c for i, c in enumerate(keep)}})
 
 
+def split_chunks(c: Codec, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The chunks of some texts: which of the distinct ones each is, these, and how many each text has."""
+    odd = [i for i, t in enumerate(texts) if not t or t[0] == " " or "  " in t or SPACE in t]
+    plain = set(odd) ^ set(range(len(texts)))
+    at = sorted(plain)
+    parts = pc.split_pattern(pa.array([texts[i] for i in at], pa.large_string()), " ")
+    told = [c.chunks(texts[i]) for i in odd]
+    values = pa.concat_arrays([parts.flatten(), pa.array([x for ch in told for x in ch], pa.large_string())]).dictionary_encode()
+    kind = values.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[at] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    sizes[odd] = [len(x) for x in told]
+    if odd:  # back into the order of the texts
+        order = at + odd
+        begin = np.zeros(len(texts), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        kind = kind[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(kind))]
+    return kind, values.dictionary.to_pylist(), sizes
+
+
 def segmented(texts: list[str], seeds: np.ndarray, k: int, path: str | None = None):
     """Ids and samples of some texts."""
     c = codec(path)
-    split = [c.chunks(t) for t in texts]
-    sizes = np.array([len(x) for x in split], np.int64)
-    flat = pa.array([x for ch in split for x in ch], pa.large_string()).dictionary_encode()
-    kind, kinds = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist()
+    kind, kinds, sizes = split_chunks(c, texts)
     if not len(kind):
         return [np.empty(0, np.int32) for _ in texts], [[] for _ in texts]
-    told = c.chunk_ids(kinds)
-    lengths = np.array([len(x) for x in told], np.int64)
-    begin = (np.cumsum(lengths) - lengths)[kind]
-    reps = lengths[kind]
+    kind = c.place_of(kinds)[kind]
+    reps = c.n_tokens.a[kind]
     upto = np.cumsum(reps)
-    ids = np.concatenate(told)[np.repeat(begin - (upto - reps), reps) + np.arange(int(upto[-1]))]
-    cuts = np.concatenate([[0], upto])[np.cumsum(sizes)[:-1]]
-    return np.split(ids, cuts), c.sampler.sample([" " + x for x in kinds], kind, sizes, seeds, k)
+    ids = c.tokens.a[np.repeat(c.first_token.a[kind] - (upto - reps), reps) + np.arange(int(upto[-1]))]
+    cuts = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], c.sampler.sample(kind, sizes, seeds, k)
 
 
 def segment_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, path: str | None = None) -> DataFrame:

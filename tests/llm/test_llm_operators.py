@@ -55,7 +55,28 @@ def test_empty_tables(none, spark):
 def test_exact_dedup_edges(edges):
     got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(edges).collect()}
     assert {(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 5, 4, False), (5, 5, 4, True), (None, 5, 4, False), (6, 6, 1, True), (7, 7, 1, True), (8, 8, 1, True), (9, 9, 1, True)} == got
-    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(edges).select("doc_id").collect()) == [2, 3, 5, 5, 6, 7, 8, 9]
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(edges).select("doc_id").collect()) == [2, 3, 5, 6, 7, 8, 9]
+
+
+def test_rows_count_and_not_ids(spark):
+    """Texts of their own stay though their id is another row's; of equal rows one stays."""
+    rows = [(5, "same"), (6, "same"), (5, "other text of its own"), (7, "Twice"), (7, "twice"), (7, "twice"), (None, "nobody's"), (None, "nobody's"), (None, None), (8, "")]
+    df = spark.createDataFrame([(*r, "x", {"k": 1}) for r in rows], "doc_id long, text string, __gone_id string, extra map<string,int>").repartition(3)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] or "")
+    got = exact_dedup.drop_copies(df)
+    assert got.columns == df.columns
+    kept = sorted(map(key, got.collect()))
+    assert [(i, t.lower()) for _, i, t in kept] == [(5, "other text of its own"), (6, "same"), (7, "twice"), (8, ""), (None, "nobody's")]
+    said = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    near = [(5, said(1)), (6, said(1) + " end"), (5, said(2)), (7, said(3)), (7, said(3)), (None, said(1)), (None, None), (9, ""), (9, " ")]
+    df = spark.createDataFrame([(*r, "x") for r in near], "doc_id long, text string, component string")
+    got = near_dedup.drop_near_copies(df)
+    assert got.columns == df.columns
+    assert Counter((r["text"] or "").split("x")[0] for r in got.collect()) == {"w1": 1, "w2": 1, "w3": 1, "": 2, " ": 1}
+    found = sorted(((r["doc_id"], r["component_id"], r["n_shingles"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()), key=repr)
+    assert found == sorted([(5, 5, 56, True), (6, 5, 57, False), (5, 5, 56, True), (7, 7, 56, True), (7, 7, 56, True), (None, 5, 56, False), (None, None, 0, True), (9, 9, 0, True), (9, 9, 0, True)], key=repr)
+    names = spark.createDataFrame([("b", said(1)), ("a", said(1)), ("c", said(2))], "doc_id string, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(names).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
 
 
 def test_mix_edges(edges):
@@ -225,6 +246,81 @@ def test_segments_decode_and_differ(spark, codec, edges):
     assert rows[1]["ids"] == [] and rows[1]["samples"] == [] and rows[6]["lang"] == "en"
 
 
+def lattice_of(codec, text):
+    """Pieces and weights that begin at each character of what the encoder sees, by plain search; None for a character told by bytes."""
+    sp, s = codec.sp, (" " + text.replace("▁", " ")) if text else ""
+    weight = {sp.id_to_piece(int(i)).replace("▁", " "): (int(i), w) for i, w in zip(codec.voc.ids, codec.voc.weights, strict=True)}
+    rows = []
+    for i in range(len(s)):
+        ways = [(j, [weight[s[i:j]][0]], float(weight[s[i:j]][1])) for j in range(i + 1, min(len(s), i + codec.voc.longest) + 1) if s[i:j] in weight and " " not in s[i + 1 : j].lstrip(" ")[1:]]
+        if s[i] not in weight:
+            b = s[i].encode("utf-8", "surrogatepass")
+            ways.append((i + 1, [codec.voc.byte_ids[x] for x in b], codec.voc.byte_weight * len(b)))
+        rows.append(ways)
+    return rows
+
+
+def log_mass(rows):
+    beta = [0.0] * (len(rows) + 1)
+    for i in range(len(rows) - 1, -1, -1):
+        beta[i] = float(np.logaddexp.reduce([w + beta[j] for j, _, w in rows[i]]))
+    return beta[0]
+
+
+@pytest.mark.parametrize("near", [1, 2, 32])
+def test_all_segmentations_of_short_texts_are_drawn_once(codec, monkeypatch, near):
+    """With k above their number the search emits every segmentation of the lattice once, with its probability."""
+    monkeypatch.setattr(subword, "NEAR", near)
+    texts = ["the", "in the", "aé漢", "x1 ab", ""]
+    _, samples = subword.segmented(texts, np.arange(5).astype(np.uint64) + 3, 400)
+    for text, some in zip(texts, samples, strict=True):
+        rows = lattice_of(codec, text)
+
+        def walk(i):
+            return [((), 0.0)] if i == len(rows) else [((*ids, *rest), w + v) for j, ids, w in rows[i] for rest, v in walk(j)]
+
+        want = dict(walk(0)) if text else {}
+        total = log_mass(rows) if text else 0.0
+        got = {tuple(s[0].tolist()): s[1] for s in some}
+        assert len(got) == len(some) and got.keys() == want.keys() and len(want) < 400
+        assert all(abs(got[k] - (want[k] - total)) < 1e-3 for k in want) and all(s[3] == 0 for s in some)
+
+
+def test_lattices_of_a_full_store_stay_right(monkeypatch, codec):
+    texts, seeds = fuzz(60, 11) + ["one two three"] * 3, np.arange(63).astype(np.uint64)
+    want = subword.segmented(texts, seeds, 2)
+    monkeypatch.setattr(subword, "MOST_BYTES", 0)
+    small = subword.Codec()
+    monkeypatch.setattr(subword, "codec", lambda path=None: small)
+    for _ in range(2):  # nothing but the empty chunk is kept from batch to batch
+        got = subword.segmented(texts, seeds, 2)
+        assert [x.tolist() for x in got[0]] == [x.tolist() for x in want[0]]
+        assert [[s[0].tolist() for s in x] for x in got[1]] == [[s[0].tolist() for s in x] for x in want[1]]
+
+
+def test_op3_query_equals_a_plain_version(spark, codec, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("seed")).collect()}
+    digest = lambda ids: hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+    got = subword.op3_sentencepiece(spark, tiny).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(rows)
+    for r in got:
+        text = rows[r["doc_id"]]["text"] or ""
+        ids = codec.sp.encode(text)
+        assert (r["n_tokens"], r["ids_sha256"], r["round_trip"]) == (len(ids), digest(ids), True)
+        _, (alone,) = subword.segmented([text], np.array([rows[r["doc_id"]]["seed"]], np.int64).view(np.uint64), 2)  # other texts in a batch don't matter
+        assert [(s["n_pieces"], s["sha256"], s["log_prob"]) for s in r["samples"]] == [(len(s[0]), digest(s[0]), s[1]) for s in alone]
+        if text and len(text) < 3000:
+            lattice = lattice_of(codec, text)
+            total = log_mass(lattice)
+            for s in alone:  # each sample is a path of the lattice with this probability
+                at, n, weight = 0, 0, 0.0
+                while n < len(s[0]):
+                    j, piece, w = next(x for x in sorted(lattice[at], key=lambda x: -len(x[1])) if x[1] == s[0][n : n + len(x[1])].tolist())
+                    at, n, weight = j, n + len(piece), weight + w
+                assert at == len(lattice) and abs(weight - total - s[1]) < 1e-3 * max(1.0, abs(weight) / 100)
+
+
 def test_pipeline_samples_twice_and_decodes(spark, codec, edges):
     import corpus_pipeline
 
@@ -237,7 +333,10 @@ def test_pipeline_samples_twice_and_decodes(spark, codec, edges):
     assert same.same("one text", [np.array(wrong)]) and not same.same("another", [np.array(wrong)])
 
 
-def test_samples_follow_the_lattice():
+@pytest.mark.parametrize("near", [1, 2, 32])
+def test_samples_follow_the_lattice(monkeypatch, near):
+    """Pairs drawn without replacement have the frequencies of the enumerated lattice, however the nodes are held."""
+    monkeypatch.setattr(subword, "NEAR", near)
     pieces = [" ", "a", "b", "ab", " a", "ba"]
     voc = subword.Vocabulary(pieces, np.log(np.array([0.3, 0.2, 0.1, 0.15, 0.2, 0.05])), list(range(6)), list(range(100, 356)), -9.0)
 
@@ -248,7 +347,9 @@ def test_samples_follow_the_lattice():
     p = {tuple(map(pieces.index, s)): math.exp(sum(weight[x] for x in s)) for s in (a + b for a in splits(" ab") for b in splits(" ba"))}
     p = {s: x / sum(p.values()) for s, x in p.items()}
     n = 8000
-    got = subword.Sampler(voc).sample([" ab", " ba"], np.tile([0, 1], n), np.full(n, 2), np.arange(n).astype(np.uint64) * np.uint64(7919), 2)
+    lattices = subword.Lattices(voc)
+    lattices.add([" ab", " ba"])
+    got = subword.Sampler(lattices).sample(np.tile([0, 1], n), np.full(n, 2), np.arange(n).astype(np.uint64) * np.uint64(7919), 2)
     pairs = Counter((tuple(x[0][0].tolist()), tuple(x[1][0].tolist())) for x in got)
     expected = {(a, b): n * p[a] * p[b] / (1 - p[a]) for a in p for b in p if a != b}
     chi = sum((pairs[k] - e) ** 2 / e for k, e in expected.items())
