@@ -9,16 +9,13 @@ from pyspark.sql import functions as F
 
 from tallyquill.shipping import ship
 
-#: Vectors in a block of candidates and, on average, in a block of queries.
-BLOCK, QUERIES = 4096, 1024
+#: Vectors in a block of candidates, queries in one of theirs, and queries that meet a copy of a candidate, on average.
+BLOCK, PIECE, QUERIES = 4096, 1024, 16_384
 #: Depth to which the lists are read in the first round; it doubles from round to round.
 FIRST_DEPTH = 32
-#: Ways into which the candidate blocks that meet one block of queries are dealt.
-WAYS = 48
-
-
-def quantised(vector: Column, scale: int = 256) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+#: Ways into which the candidates are dealt, at least, and how many candidates a way has at most on average.
+WAYS, WAY = 48, 262_144
+LARGEST = (1 << 63) - 1
 
 
 def usable(vector: Column) -> Column:
@@ -26,6 +23,26 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def whole(v: np.ndarray, scale: int) -> np.ndarray:
+    """``floor(scale * x)`` of doubles as 64-bit integers or, where one doesn't fit 62 bits, as Python's."""
+    if not len(v) or np.abs(v).max() * float(scale) < 2.0**62:
+        return np.floor(v * float(scale)).astype(np.int64)
+    out = np.empty(len(v), object)
+    out[:] = [int(x) * scale if abs(x) >= 2.0**53 else int(np.floor(x * scale)) for x in v.tolist()]
+    return out
+
+
+def sort_key(score: int) -> bytes:
+    """Bytes in the order of exact scores: sign and length, then the digits of this length."""
+    n = (score.bit_length() + 7) // 8
+    head, body = (0x8000 + n, score) if score >= 0 else (0x7FFF - n, score + (1 << (8 * n)))
+    return head.to_bytes(2, "big") + body.to_bytes(n, "big")
+
+
+def nearest_long(score: int) -> int:
+    return max(-LARGEST - 1, min(LARGEST, score))
+
+
 class Lists:
     """A block of vectors with its per-dimension lists, sorted by component."""
 
@@ -33,7 +50,6 @@ class Lists:
         self.ids, self.x = ids, x
         self.order = np.argsort(x, axis=0, kind="stable").T.copy()  # ascending, one row a dimension
         self.columns = x.T.copy()
-        self.reach = int(np.abs(x).max(initial=0))
 
     def search(self, q: np.ndarray, own: int, k: int, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best k of (scores, ids) and this block, ``own`` left out; best first.
@@ -66,7 +82,10 @@ class Lists:
                     new, got = new[good], got[good]
                 if len(new):
                     scores, ids = np.concatenate([scores, got]), np.concatenate([ids, self.ids[new]])
-                    best = np.lexsort((ids, -scores))[:k]
+                    if scores.dtype == object:
+                        best = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+                    else:
+                        best = np.lexsort((ids, -scores))[:k]
                     scores, ids = scores[best], ids[best]
             bound = self.columns[up, self.order[up, n - end]] @ q[up] + self.columns[down, self.order[down, end - 1]] @ q[down]
             if end == n or len(scores) >= k and bound < scores[-1]:
@@ -75,27 +94,83 @@ class Lists:
         return scores, ids
 
 
-def _packed(batches):
-    """Blocks of vectors of one length: (dim, ids, components)."""
-    for b in batches:
-        by_dim: dict[int, tuple[list, list]] = {}
-        for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids, rows = by_dim.setdefault(len(v), ([], []))
-            ids.append(i)
-            rows.append(v)
-        out = [(d, np.array(ids[i : i + BLOCK], "<i8").tobytes(), np.array(rows[i : i + BLOCK], "<i8").reshape(-1, d).astype("<i4", casting="unsafe").tobytes()) for d, (ids, rows) in by_dim.items() for i in range(0, len(ids), BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["dim", "ids", "x"]) if out else pa.RecordBatch.from_pylist([], pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("x", pa.binary())]))
+def _packer(scale: int, size: int):
+    """Rows (part, id, vector) as blocks of vectors of one length and part: (dim, part, kind, ids, components).
+
+    ``kind`` is the type of the components; those beyond 62 bits are in blocks of their own, as decimal text.
+    """
+    schema = pa.schema([("dim", pa.int32()), ("part", pa.int32()), ("kind", pa.string()), ("ids", pa.binary()), ("x", pa.binary())])
+
+    def pack(batches):
+        held: dict[tuple, tuple[list, list]] = {}
+
+        def flush(key):
+            ids, rows = held.pop(key)
+            kind, x = "text", b""
+            if key[2]:
+                x = " ".join(str(c) for r in rows for c in r).encode()
+            else:
+                many = np.stack(rows)
+                most = int(np.abs(many).max(initial=0))
+                kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
+                x = many.astype(kind).tobytes()
+            return pa.RecordBatch.from_pylist([{"dim": key[0], "part": key[1], "kind": kind, "ids": np.array(ids, "<i8").tobytes(), "x": x}], schema)
+
+        for b in batches:
+            lists = b.column(2)
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            for n, (part, i) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                v = whole(values[cuts[n] : cuts[n + 1]], scale)
+                key = len(v), part, v.dtype == object
+                ids, rows = held.setdefault(key, ([], []))
+                ids.append(i)
+                rows.append(v)
+                if len(ids) == size:
+                    yield flush(key)
+        for key in list(held):
+            yield flush(key)
+
+    return pack, "dim int, part int, kind string, ids binary, x binary"
+
+
+def _unpacked(dim: int, kind: str, ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if kind == "text":
+        out = np.empty(len(ids) // 8 * dim, object)
+        out[:] = [int(c) for c in x.split()]
+    else:
+        out = np.frombuffer(x, kind).astype(np.int64)
+    return np.frombuffer(ids, "<i8"), out.reshape(len(ids) // 8, dim)
+
+
+def _reach(x: np.ndarray) -> int:
+    return max((abs(int(c)) for c in (x.max(initial=0), x.min(initial=0))), default=0)
+
+
+#: Types for scores, the faster ones first.
+TYPES = [np.dtype(np.float64), np.dtype(np.int64), np.dtype(object)]
+
+
+def _type_for(a: int, b: int, dim: int) -> np.dtype:
+    """The fastest type in which inner products of components up to ``a`` and ``b`` are exact."""
+    most = a * b * max(1, dim)
+    return TYPES[0 if most < 1 << 52 else 1 if most < 1 << 62 else 2]
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest integer inner product for each query.
 
-    Components x become ``floor(scale * x)``, which have to fit 31 bits. Returns ``query_id``,
+    Components x become ``floor(scale * x)``, exactly, whatever their size. Returns ``query_id``,
     ``rank`` (from 1), ``vec_id`` and ``score``; ties go to the smaller id. A query's own id is no
-    candidate for it. Blocks of queries (about 1,024, dealt by a hash of the id) meet blocks of at
-    most 4,096 candidates in an equi-join by block and way; each task runs the threshold algorithm
-    on its pairs of blocks, carrying a query's best k from block to block, and emits k rows a query;
-    the last step ranks those.
+    candidate for it. A score beyond 64 bits is returned as the nearest long; ranks go by the exact
+    scores.
+
+    Candidates, in blocks of 4,096, are dealt to ways (48, or more so that a way has about 262,144),
+    and queries to groups of about 16,384. A way and a group meet in an equi-join, and the threshold
+    algorithm runs on each pair of their blocks, carrying a query's best k from block to block; k rows
+    a query and way are left for the last ranking. So a candidate is copied once per 16,384 queries
+    and a query once per 262,144 candidates: where all pairs have to be ruled out, as on random
+    vectors, work grows with the square, but the rows moved are a ten-thousandth of the pairs.
 
     Vectors that are null, or hold a null or non-finite component, take no part, nor do rows
     with a null id. Vectors of another length than the query's are no candidates. Repeated query
@@ -104,48 +179,54 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     read.
     """
     ship(vectors.sparkSession)
-    rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"))
-    asked = queries.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"))
-    n_blocks = max(1, -(-asked.count() // QUERIES))
-    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
-    ways = F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))).alias("way")
-    asked = asked.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("qb")).agg(F.collect_list(F.struct("id", "v")).alias("qs"))
-    asked = asked.select("dim", "qb", ways, "qs")
-    blocks = rows.mapInArrow(_packed, "dim int, ids binary, x binary").withColumn("way", F.pmod(F.xxhash64("ids"), F.lit(WAYS)).cast("int"))
-    blocks = blocks.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("qb"), "way", "ids", "x")
-    pairs = blocks.join(asked, ["dim", "qb", "way"])
+    of = lambda df: df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows, asked = of(vectors), of(queries).groupBy("id").agg(F.min("v").alias("v"))
+    n_asked = asked.count()
+    n_groups, n_ways = max(1, -(-n_asked // QUERIES)), max(WAYS, -(-rows.count() // WAY))
+    n_pieces = max(1, -(-n_asked // PIECE))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    pack, schema = _packer(scale, BLOCK)
+    pieces = asked.select(dealt("id", n_pieces).alias("part"), "id", "v").repartition("part").mapInArrow(_packer(scale, 2 * PIECE)[0], schema)
+    pieces = pieces.select("dim", F.pmod("part", F.lit(n_groups)).alias("group"), every(n_ways).alias("way"), F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+    blocks = rows.select(F.lit(0).alias("part"), "id", "v").mapInArrow(pack, schema)
+    blocks = blocks.select("dim", every(n_groups).alias("group"), dealt("ids", n_ways).alias("way"), "kind", "ids", "x")
+    pairs = blocks.join(pieces, ["dim", "group", "way"])
 
     def search(batches):
         state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         at = None
 
         def flush():
-            found = [(q, s, i) for q, (ss, ii) in state.items() for s, i in zip(ss.tolist(), ii.tolist(), strict=True)]
+            found = [(q, nearest_long(int(s)), i, sort_key(int(s))) for q, (ss, ii) in state.items() for s, i in zip(ss.tolist(), ii.tolist(), strict=True)]
             state.clear()
-            columns = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "score", "vec_id"])
+            columns = zip(*found, strict=True) if found else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["query_id", "score", "vec_id", "key"])
 
+        last, x, lists = None, None, {}
         for b in batches:
-            for r in range(b.num_rows):
-                row = {name: b.column(name)[r] for name in ("dim", "qb", "ids", "x", "qs")}
-                dim, qb = row["dim"].as_py(), row["qb"].as_py()
-                if at is not None and at != (dim, qb):
+            for row in b.to_pylist():
+                if at is not None and at != (row["dim"], row["group"]):
                     yield flush()
-                at = dim, qb
-                x = np.frombuffer(row["x"].as_py(), "<i4").reshape(-1, dim)
-                qs = row["qs"].as_py()
-                reach = max((abs(c) for q in qs for c in q["v"]), default=0)
-                exact = np.float64 if reach * int(np.abs(x).max(initial=0)) * max(1, dim) < 1 << 52 else np.int64
-                lists = Lists(np.frombuffer(row["ids"].as_py(), "<i8"), x.astype(exact))
-                for q in qs:
-                    have = state.get(q["id"], (np.empty(0, exact), np.empty(0, np.int64)))
-                    scores, ids = lists.search(np.array(q["v"], exact), q["id"], k, *have)
-                    if len(ids):
-                        state[q["id"]] = scores, ids
+                at = row["dim"], row["group"]
+                if last != row["ids"]:
+                    last, (ids, x), lists = row["ids"], _unpacked(row["dim"], row["kind"], row["ids"], row["x"]), {}
+                q_ids, qs = _unpacked(row["dim"], row["q_kind"], row["q_ids"], row["q"])
+                least = _type_for(_reach(x), _reach(qs), row["dim"])
+                for q_id, q in zip(q_ids.tolist(), qs, strict=True):
+                    scores, best = state.get(q_id, (np.empty(0, least), np.empty(0, np.int64)))
+                    kind = TYPES[max(TYPES.index(scores.dtype), TYPES.index(least))]
+                    if kind not in lists:
+                        lists[kind] = Lists(ids, x.astype(kind))
+                    if scores.dtype != kind:
+                        scores = np.array([int(s) for s in scores.tolist()], kind)
+                    scores, best = lists[kind].search(q.astype(kind), q_id, k, scores, best)
+                    if len(best):
+                        state[q_id] = scores, best
         yield flush()
 
-    best = pairs.select("dim", "qb", "ids", "x", "qs").mapInArrow(search, "query_id long, score long, vec_id long")
-    by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = pairs.select("dim", "group", "kind", "ids", "x", "q_kind", "q_ids", "q").mapInArrow(search, "query_id long, score long, vec_id long, key binary")
+    by_score = Window.partitionBy("query_id").orderBy(F.col("key").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
