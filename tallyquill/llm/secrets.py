@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -33,10 +35,36 @@ NOT_SECRET = re.compile(r"(?i)^(?:true|false|null|none|undefined|changeme|exampl
 LEAST_SCORE = 4.0
 LEAST_LITERAL = 6
 
-_SIGN = re.compile(r"=>|:=|(?<![=!<>:])=(?!=)|:(?![:/=])")
-_LEFT = re.compile(r"""(?:(["'])([A-Za-z_][\w.\- ]{0,79})\1|((?:[A-Za-z_][\w.-]*(?:\[["'])?)?[A-Za-z_][\w.-]*)(?:["']\])?)[ \t]*(?::[ \t]*\w+[ \t]*)?$""", re.A)
-_TERM = re.compile(r"""[ \t]*(?:(?P<q>["'`])(?P<s>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<name>[A-Za-z_][\w.]*)(?![\w\-/+=(])|(?P<bare>[^\s"'`,;#(){}\[\]+]{1,4096}))""", re.A)
-_PLUS = re.compile(r"[ \t]*(?:\+|\.\.)(?=[ \t\"'`A-Za-z_])")
+#: Without one of these no name in a text can say that it holds a secret.
+_SENSITIVE = re.compile("pass|pwd|secret|token|key|credential|bearer|private|signing|encryption|auth|salt|pin|dsn|webhook|client|api", re.I)
+#: Tokens of source and configuration syntax.
+_TOKEN = re.compile(
+    r"""
+    (?P<triple>(?:\b[rRbBuUfF]{1,2})?(?P<tq>\"{3}|'{3})(?P<t>(?:\\.|[^\\])*?)(?P=tq))
+  | (?P<heredoc><<[-~]?[ \t]*(?P<hq>["']?)(?P<h>[A-Za-z_]\w*)(?P=hq)[^\n]*\n)
+  | (?P<string>(?:\b[rRbBuUfF]{1,2}(?=["'])|(?<!\w))(?:"(?P<s>(?:\\.|[^"\\\n])*)"|'(?P<s1>(?:\\.|[^'\\\n])*)'|`(?P<s2>(?:\\.|[^`\\])*)`))
+  | (?P<comment>(?<![\w:/"'])//|/\*|(?<![\w&])\#(?![{\w])|\#(?=[ ])|(?<![\w-])--(?=[ ]))
+  | (?P<element><(?P<e>[A-Za-z_][\w.:-]*)>(?P<ev>[^<>\s][^<>]*)</(?P=e)\s*>)
+  | (?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)
+  | (?P<compare>[=!<>]==?|[<>]=|::)
+  | (?P<sign>=>|:=|\?=|=|:)
+  | (?P<join>\+=?|\.\.?|&)
+  | (?P<open>[(\[{])
+  | (?P<close>[)\]}])
+  | (?P<skip>[ \t\r\f]+|\\\r?\n)
+  | (?P<line>\n)
+  | (?P<other>.)
+    """,
+    re.X | re.S | re.A,
+)
+_BARE = re.compile(r"[^\s\"'`]+")
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[ \t]*(?:\#[^\n]*)?\r?\n")
+_NAMED_IN = re.compile(r"\$\{([A-Za-z_][\w.]*)\}|\$([A-Za-z_]\w*)|\#\{([A-Za-z_]\w*)\}|%\(([A-Za-z_]\w*)\)s|\{([A-Za-z_][\w.]*)\}")
+_CODE = re.compile(r"[A-Za-z_]\w*(?:(?:\.|->|::)[A-Za-z_]\w*)+\Z")
+_KEY = re.compile(r"[\w .\-]+\Z")
+_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY")
+#: Words that may stand before a name at the beginning of a line of configuration.
+_LEADS = ("", "export", "set", "-", "ENV", "ARG", "setenv", "local", "declare", "-e")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -45,59 +73,266 @@ def name_score(name: str) -> float:
     return sum(NAME_WORDS.get(w, 0.0) for w in set(words)) if words else 0.0
 
 
-def entropy(s: str) -> float:
-    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
+def literal_score(name: str, length: int, letters: Counter, sample: str | None, spaced: bool) -> float:
+    """What the name says plus half the value's entropy a character; 0 for what can't be a secret.
 
-
-def literal_score(name: str, value: str) -> float:
-    """0 for what can't be a secret."""
+    ``sample`` is the value where it is short enough to be a placeholder.
+    """
     said = name_score(name)
-    if said < 2 or len(value) < LEAST_LITERAL or NOT_SECRET.match(value) or " " in value.strip():
+    if said < 2 or length < LEAST_LITERAL or spaced or sample is not None and NOT_SECRET.match(sample):
         return 0.0
-    return said + entropy(value) / 2
+    return said - sum(n / length * math.log2(n / length) for n in letters.values()) / 2
 
 
-def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """Name-literal pairs of source or configuration syntax: (target's name, value, spans of its literals).
+class Source:
+    """Name-literal pairs of a text in source or configuration syntax.
 
-    A sign (``=``, ``:``, ``:=``, ``=>``) with a name to its left starts a pair; the right side is a
-    literal, a name whose constant is known from before in the text, or a sum of these. An unquoted
-    value counts only where nothing but the name and ``export`` stands before it on its line.
+    ``pairs`` has (target's name, place, terms, whether it binds a constant); a term is a literal, (start,
+    end), or the name of a constant. Literals are strings, triple-quoted strings, here-documents, YAML
+    blocks, element contents, and unquoted values where a line of configuration begins with the name.
     """
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    found, done = [], 0
-    for sign in _SIGN.finditer(text):
-        if sign.start() < done:
-            continue
-        line = text.rfind("\n", 0, sign.start()) + 1
-        left = _LEFT.search(text[max(line, sign.start() - 120) : sign.start()])
-        if not left:
-            continue
-        name, at, value, spans = left[2] or left[3], sign.end(), "", []
-        head = text[max(line, sign.start() - 120) : max(line, sign.start() - 120) + left.start()].strip()
-        alone = head in ("", "export", "set", "-", "ENV")
-        while term := _TERM.match(text, at):
-            if term["s"] is not None:
-                value += term["s"]
-                spans.append(term.span("s"))
-            elif term["name"] and term["name"] in constants:
-                value += constants[term["name"]][0]
-                spans += constants[term["name"]][1]
-            elif alone and not spans:
-                value = term["name"] or term["bare"]
-                spans.append(term.span("name" if term["name"] else "bare"))
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.pairs: list[tuple[str, int, list, bool]] = []
+        self.lines: dict[str, list[int]] | None = None
+        self.tokens = self.lex()
+        self.read()
+
+    def lex(self) -> list[tuple[str, int, int, int, int]]:
+        """(kind, start, end, and for literals the content's start and end)."""
+        out, at, text = [], 0, self.text
+        while at < len(text):
+            m = _TOKEN.match(text, at)
+            a, b = m.span()
+            kind = next((k for k in ("triple", "heredoc", "string", "element") if m[k] is not None), m.lastgroup)
+            inner = (a, b)
+            if kind == "triple":
+                inner = m.span("t")
+            elif kind == "string":
+                inner = next(m.span(g) for g in ("s", "s1", "s2") if m[g] is not None)
+            elif kind == "heredoc":
+                end = self.line_of(m["h"], b)
+                if end is None:
+                    kind, b = "other", a + 2
+                else:
+                    kind, inner, b = "triple", (b, max(b, end - 1)), end + len(m["h"])
+            elif kind == "element":
+                self.pairs.append((m["e"], a, [m.span("ev")], False))
+            if kind not in ("skip", "other") or kind == "other" and text[a:b] in ",;*?":
+                out.append((kind, a, b, *inner))
+            at = b
+            if kind == "sign" and text[a] == ":" and (block := _BLOCK.match(text, b)):
+                found = self.block(a, block.end())
+                if found:
+                    out.append(("triple", found[0], found[1], *found))
+                    at = found[1]
+        return out
+
+    def line_of(self, word: str, after: int) -> int | None:
+        """The start of the first line from ``after`` on that is this word alone."""
+        if self.lines is None:
+            self.lines, at = {}, 0
+            for line in self.text.split("\n"):
+                if line.strip().isidentifier():
+                    self.lines.setdefault(line.strip(), []).append(at + len(line) - len(line.lstrip()))
+                at += len(line) + 1
+        places = self.lines.get(word, [])
+        i = bisect_left(places, after)
+        return places[i] if i < len(places) else None
+
+    def block(self, sign: int, start: int) -> tuple[int, int] | None:
+        """The lines from ``start`` on that are further in than the sign's line."""
+        text = self.text
+        line = text.rfind("\n", 0, sign) + 1
+        depth = len(text[line:sign]) - len(text[line:sign].lstrip(" -"))
+        at = end = start
+        while at < len(text):
+            stop = text.find("\n", at)
+            stop = len(text) if stop < 0 else stop
+            said = text[at:stop].strip()
+            if said:
+                if len(text[at:stop]) - len(text[at:stop].lstrip(" ")) <= depth:
+                    break
+                end = stop
+            at = stop + 1
+        content = start + len(text[start:end]) - len(text[start:end].lstrip())
+        return (content, end) if end > start else None
+
+    def read(self) -> None:
+        tokens, i, commented, begun = self.tokens, 0, False, 0
+        while i < len(tokens):
+            kind, a, b, x, y = tokens[i]
+            if kind == "line":
+                commented, begun = False, i + 1
+            elif kind == "comment":
+                commented = True
+                begun = i + 1
+            elif kind == "sign":
+                name, head = self.target(i, begun)
+                if name:
+                    terms, stop = self.value(i + 1, head)
+                    if terms:
+                        self.pairs.append((name, a, terms, not commented))
+                        i = max(i, stop - 1)
+            elif kind == "open" and self.text[a] == "(" and i + 3 < len(tokens) and [t[0] for t in tokens[i + 1 : i + 4]] == ["string", "other", "string"] and self.text[tokens[i + 2][1]] == ",":
+                name = self.text[tokens[i + 1][3] : tokens[i + 1][4]]  # define("NAME", "literal")
+                if _KEY.match(name):
+                    self.pairs.append((name, a, [(tokens[i + 3][3], tokens[i + 3][4])], not commented))
+            i += 1
+
+    def target(self, i: int, begun: int) -> tuple[str | None, bool]:
+        """The name that a sign assigns to, and whether nothing but it stands before the sign on its line."""
+        tokens, text, j = self.tokens, self.text, i - 1
+        said = lambda t: text[t[3] : t[4]]
+        if j >= begun and tokens[j][0] == "other" and text[tokens[j][1]] == "?":
+            j -= 1
+        if j < begun:
+            return None, False
+        if tokens[j][0] == "close" and text[tokens[j][1]] == "]" and j - 1 >= begun and tokens[j - 1][0] in ("string", "name"):
+            return said(tokens[j - 1]), False
+        if j - 2 >= begun and text[tokens[i][1] : tokens[i][2]] == "=" and tokens[j][0] == "name" and tokens[j - 1][0] == "sign" and tokens[j - 2][0] == "name":
+            j -= 2  # name: type = value
+        if tokens[j][0] == "string" and _KEY.match(said(tokens[j])) or tokens[j][0] == "name":
+            line = tokens[begun][1] if begun < len(tokens) else 0
+            lead = text[line : tokens[j][1]].strip() if tokens[j][1] - line < 40 else "?"
+            return said(tokens[j]), lead in _LEADS
+        return None, False
+
+    def value(self, i: int, alone: bool) -> tuple[list, int]:
+        """The terms of the expression from token ``i`` on, and where it ends."""
+        tokens, text, terms, joined, wrapped = self.tokens, self.text, [], True, False
+        if i < len(tokens) and tokens[i][0] == "open" and text[tokens[i][1]] == "(":
+            i, wrapped = i + 1, True
+        first = i
+        while i < len(tokens):
+            kind, a, b, x, y = tokens[i]
+            if kind in ("string", "triple"):  # adjacent literals are one
+                if not joined and kind == "triple":
+                    break
+                terms.append((x, y))
+                joined = False
+            elif kind == "name" and joined:
+                called = i + 1 < len(tokens) and tokens[i + 1][0] == "open" and tokens[i + 1][1] == b
+                if called:
+                    return [], first
+                if alone and i == first and not wrapped:
+                    end = _BARE.match(text, a).end()
+                    if end > b or i + 1 == len(tokens) or tokens[i + 1][0] in ("line", "comment"):
+                        return self.bare(a, first)
+                terms.append(text[a:b])
+                joined = False
+            elif kind == "join":
+                joined = True
+            elif kind == "line" and (wrapped or joined and i > first):
+                pass
+            elif alone and i == first and not wrapped and kind not in ("line", "comment"):
+                return self.bare(a, first)
             else:
                 break
-            at = term.end()
-            plus = _PLUS.match(text, at)
-            if not plus:
-                break
-            at = plus.end()
-        if spans:
-            constants[name] = value, spans
-            found.append((name, value, spans))
-            done = at
-    return found
+            i += 1
+        if alone and not terms and not wrapped and first > 0:
+            return self.bare(tokens[first - 1][2], first)
+        return terms, i
+
+    def bare(self, at: int, first: int) -> tuple[list, int]:
+        """An unquoted value: all up to white space or a quote, but for a separator at its end."""
+        text = self.text
+        while at < len(text) and text[at] in " \t":
+            at += 1
+        m = _BARE.match(text, at)
+        if not m:
+            return [], first
+        a, b = m.span()
+        while b > a and text[b - 1] in ",;":
+            b -= 1
+        said = text[a:b]
+        if said[:1] in "([{<" or _CODE.match(said) and not any(c.isdigit() for c in said) or re.search(r"\w\(", said):
+            return [], first
+        stop = first
+        while stop < len(self.tokens) and self.tokens[stop][1] < b:
+            stop += 1
+        return [(a, b)], stop
+
+    def found(self) -> set[tuple[int, int]]:
+        """The literals that make up values of targets whose names say that they are secret."""
+        bound: dict[str, list[tuple[int, int]]] = {}
+        for n, (name, at, _, binds) in enumerate(self.pairs):
+            if binds:
+                bound.setdefault(name, []).append((at, n))
+        for some in bound.values():
+            some.sort()
+
+        def constant(name: str, at: int) -> int | None:
+            """The pair that a name stands for: the last one before, else the first one after."""
+            some = bound.get(name)
+            if not some:
+                return None
+            i = bisect_left(some, (at, -1))
+            return some[i - 1][1] if i else some[0][1]
+
+        parts: list[list] = []  # of each pair its literals and the pairs of its constants
+        for n, (_, at, terms, _) in enumerate(self.pairs):
+            mine: list = []
+            for t in terms:
+                if isinstance(t, str):
+                    other = constant(t, at)
+                    if other is not None and other != n:
+                        mine.append(other)
+                    continue
+                mine.append(t)
+                for m in _NAMED_IN.finditer(self.text, *t):
+                    other = constant(next(g for g in m.groups() if g), at)
+                    if other is not None and other != n:
+                        mine.append(other)
+            parts.append(mine)
+        told: dict[int, tuple[int, Counter, str | None, bool]] = {}
+        secret: set[int] = set()
+        for n, (name, *_) in enumerate(self.pairs):
+            if name_score(name) >= 2 and literal_score(name, *self.told_of(n, parts, told)) >= LEAST_SCORE:
+                secret.add(n)
+        spans, todo = set(), list(secret)
+        while todo:
+            for p in parts[todo.pop()]:
+                if isinstance(p, tuple):
+                    if p[1] > p[0]:
+                        spans.add(p)
+                elif p not in secret:
+                    secret.add(p)
+                    todo.append(p)
+        return spans
+
+    def told_of(self, n: int, parts: list[list], told: dict) -> tuple[int, Counter, str | None, bool]:
+        """Length, letters, value if short, and whether it has blanks inside a line, of a pair's value; constants in it count once each."""
+        todo = [n]
+        open_: set[int] = set()
+        while todo:
+            at = todo[-1]
+            if at in told:
+                todo.pop()
+                continue
+            need = [p for p in parts[at] if isinstance(p, int) and p not in told and p not in open_] if at not in open_ else []
+            if need:
+                open_.add(at)
+                todo += need
+                continue
+            length, letters, sample, spaced = 0, Counter(), "", False
+            for p in parts[at]:
+                if isinstance(p, tuple):
+                    value = _NAMED_IN.sub("", self.text[p[0] : p[1]]) if any(isinstance(q, int) for q in parts[at]) else self.text[p[0] : p[1]]
+                    if not _PEM.match(value.lstrip()):
+                        lines = [x.strip() for x in value.strip().split("\n")]
+                        spaced |= any(" " in x or "\t" in x for x in lines)
+                        value = "".join(lines)
+                    more = len(value), Counter(value), value if len(value) < 300 else None, False
+                else:
+                    more = told.get(p, (0, Counter(), "", False))
+                length, letters = length + more[0], letters + more[1]
+                sample = sample + more[2] if sample is not None and more[2] is not None and len(sample) + len(more[2]) < 300 else None
+                spaced |= more[3]
+            told[at] = length, letters, sample, spaced
+            todo.pop()
+        return told[n]
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -109,12 +344,13 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     if "AKIA" in text:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    more = set()
-    if "=" in text or ":" in text:
-        for name, value, spans in pairs(text):
-            if literal_score(name, value) >= LEAST_SCORE:
-                more.update((a, 3, b) for a, b in spans if b > a)
-    return sorted(base), sorted(m for m in more if not any(a < m[2] and m[0] < b for a, _, b in base))
+    base.sort()
+    if not _SENSITIVE.search(text) or not any(c in text for c in "=:<,"):
+        return base, []
+    upto = list(itertools.accumulate((e for _, _, e in base), max))
+    starts = [a for a, _, _ in base]
+    inside = lambda a, b: (i := bisect_right(starts, a)) > 0 and upto[i - 1] >= b
+    return base, sorted((a, 3, b) for a, b in Source(text).found() if not inside(a, b))
 
 
 def said(spans: list[tuple[int, int, int]]) -> str:
@@ -125,8 +361,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id and ``spans``, an array of (kind, start, end, base), by start, then kind.
 
     Offsets are code points, end exclusive. ``base`` marks spans of the three base patterns; kind
-    ``named`` are literals bound, directly or through constants, to names that say they are secret,
-    unless they touch a base span.
+    ``named`` are whole literals bound, directly or through constants, to names that say they are
+    secret, unless they lie within a base span.
 
     Null text counts as empty, which has no spans. Rows are independent, so ties and repeated rows
     need no rule. Long texts are scanned whole. An empty table gives no rows. Other columns are not
