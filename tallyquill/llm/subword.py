@@ -6,17 +6,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyquill.llm.common import keep_only, text_of
-from tallyquill.llm.token_counts import SPACE, PrefixCounts, model_path
+from tallyquill.llm.pieces import SPACE, Grown, Vocabulary, batches_of, n_bytes
+from tallyquill.llm.token_counts import PrefixCounts, split_chunks
 from tallyquill.shipping import ship
 
-#: Code points of the texts that are segmented together, beyond the first text.
-BATCH_CHARS = 700_000
 #: Bytes of the ids and lattices of chunks that a Python worker keeps.
 MOST_BYTES = 160 << 20
 #: Zipf weights of the pieces: a piece of rank r has probability in proportion to 1 / (r + OFFSET).
@@ -25,7 +23,6 @@ OFFSET = 10.0
 NEAR = 32
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP, _ROUND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-_BASE, _SLOT1, _SLOT2 = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def uniform(seed: np.ndarray, rnd: int, at: np.ndarray) -> np.ndarray:
@@ -46,68 +43,6 @@ def below(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     return -np.logaddexp(-bound, -(location + gumbel(u)))
 
 
-class Vocabulary:
-    """Pieces, their weights, and a table that finds the piece of a substring's hash."""
-
-    def __init__(self, pieces: list[str], log_weights: np.ndarray, ids: list[int], byte_ids: list[int], byte_weight: float) -> None:
-        self.ids, self.weights = np.array(ids, np.int32), log_weights
-        self.byte_ids, self.byte_weight = byte_ids, byte_weight
-        self.longest = max(map(len, pieces))
-        keys: dict[int, int] = {}
-        for i, p in enumerate(pieces):
-            h = 0
-            for c in p:
-                h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-                keys.setdefault(h, -1)  # a beginning of a piece
-            keys[h] = i
-        hashes, places = np.array(list(keys), np.uint64), np.array(list(keys.values()), np.int32)
-        self.bits = (max(10, (16 * len(hashes)).bit_length()), 17)
-        self.keys = [np.zeros(1 << n, np.uint64) for n in self.bits]
-        self.values = [np.full(1 << n, -2, np.int32) for n in self.bits]
-        self.multiplier = [_SLOT1, _SLOT2]
-        at = self.slots(hashes, 0)
-        _, first = np.unique(at, return_index=True)
-        self.keys[0][at[first]], self.values[0][at[first]] = hashes[first], places[first]
-        rest = np.delete(np.arange(len(hashes)), first)  # those whose slot was taken go to the second, small table
-        for i in range(1000):
-            self.multiplier[1] = np.uint64(int(_SLOT2) + 2 * i)
-            at = self.slots(hashes[rest], 1)
-            if len(np.unique(at)) == len(at):
-                break
-        else:
-            raise ValueError("the tables of pieces are too small")
-        self.keys[1][at], self.values[1][at] = hashes[rest], places[rest]
-
-    def slots(self, h: np.ndarray, t: int) -> np.ndarray:
-        return ((h * self.multiplier[t]) >> np.uint64(64 - self.bits[t])).astype(np.int64)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """What has these hashes: the place of a piece, -1 for a beginning of pieces only, -2 for neither."""
-        at = self.slots(h, 0)
-        found = np.where(self.keys[0][at] == h, self.values[0][at], np.int32(-2))
-        miss = np.flatnonzero(found == -2)
-        at = self.slots(h[miss], 1)
-        hit = np.flatnonzero(self.keys[1][at] == h[miss])
-        found[miss[hit]] = self.values[1][at[hit]]
-        return found
-
-
-class Grown:
-    """An array that grows at its end and can be cut back."""
-
-    def __init__(self, kind: type) -> None:
-        self.a, self.n = np.empty(1 << 12, kind), 0
-
-    def add(self, x: np.ndarray) -> None:
-        need = self.n + len(x)
-        if need > len(self.a):
-            a = np.empty(max(need, len(self.a) * 3 // 2), self.a.dtype)
-            a[: self.n] = self.a[: self.n]
-            self.a = a
-        self.a[self.n : need] = x
-        self.n = need
-
-
 class Lattices:
     """Lattices of distinct chunks, one after another: rows for characters and ends, cells for pieces.
 
@@ -117,8 +52,8 @@ class Lattices:
     it has several bytes, its id is minus its code point minus 1.
     """
 
-    def __init__(self, voc: Vocabulary) -> None:
-        self.voc = voc
+    def __init__(self, voc: Vocabulary, log_weights: np.ndarray, byte_weight: float, byte_ids: list[int]) -> None:
+        self.voc, self.weights, self.byte_weight, self.byte_ids = voc, log_weights.astype(np.float32), byte_weight, byte_ids
         self.base, self.end = Grown(np.int64), Grown(np.int64)  # by chunk: its first and its last row
         self.first, self.count = Grown(np.int64), Grown(np.int16)  # by row: its cells
         self.cdf, self.logp = Grown(np.float32), Grown(np.float32)
@@ -129,32 +64,13 @@ class Lattices:
 
     def add(self, chunks: list[str]) -> None:
         voc = self.voc
-        lengths = np.array([len(c) for c in chunks], np.int64)
-        base = np.concatenate([[0], np.cumsum(lengths + 1)])
-        n, most = int(base[-1]), voc.longest  # the same width always: sums don't depend on which chunks come together
-        codes = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        lengths, base, codes, piece = voc.pieces_in(chunks)
+        n, most = len(piece), voc.longest  # the same width always: sums don't depend on which chunks come together
         rem = np.repeat(base[1:] - 1, lengths + 1) - np.arange(n)
-        logp = np.full((n, most), -np.inf, np.float32)
-        piece = np.full((n, most), -1, np.int32)
-        rows, h = np.flatnonzero(rem > 0), np.zeros(0, np.uint64)
-        for length in range(1, most + 1):
-            if length > 1:
-                far = rem[rows] >= length
-                rows, h = rows[far], h[far]
-            else:
-                h = np.zeros(len(rows), np.uint64)
-            h = h * _BASE + codes[rows + length - 1]
-            found = voc.find(h)
-            hit = np.flatnonzero(found >= 0)
-            logp[rows[hit], length - 1] = voc.weights[found[hit]]
-            piece[rows[hit], length - 1] = found[hit]
-            more = found != -2
-            rows, h = rows[more], h[more]
+        logp = np.where(piece >= 0, self.weights[piece], np.float32(-np.inf))
         lone = np.flatnonzero((rem > 0) & (piece[:, 0] < 0))
-        codes = (codes - np.uint64(1)).astype(np.int64)
-        told = 1 + (codes[lone] > 0x7F) + (codes[lone] > 0x7FF) + (codes[lone] > 0xFFFF)  # bytes of the character
-        logp[lone, 0] = voc.byte_weight * told
-        beta = np.zeros(n)
+        logp[lone, 0] = self.byte_weight * n_bytes(codes[lone])
+        beta, share = np.zeros(n), np.zeros((n, most), np.float32)
         by_rem = np.argsort(rem.astype(np.uint16) if n and rem.max() < 65536 else rem, kind="stable")
         cuts = np.searchsorted(rem[by_rem], np.arange(1, int(rem.max(initial=0)) + 2))
         for r in range(len(cuts) - 1):  # from the ends backwards
@@ -162,20 +78,23 @@ class Lattices:
             k = min(most, r + 1)
             x = logp[rows, :k] + beta[rows[:, None] + np.arange(1, k + 1)]
             top = x.max(axis=1)
-            beta[rows] = top + np.log(np.exp((x - top[:, None]).astype(np.float32)).sum(axis=1, dtype=np.float64))
+            e = np.exp((x - top[:, None]).astype(np.float32))
+            total = e.sum(axis=1, dtype=np.float64)
+            beta[rows] = top + np.log(total)
             logp[rows, :k] = x - beta[rows][:, None]
+            share[rows, :k] = e
         is_cell = logp > -np.inf
         count = is_cell.sum(axis=1)
         row, place = np.nonzero(is_cell)
         lp = logp[row, place].astype(np.float64)
         after = np.cumsum(count)
-        upto = np.cumsum(np.exp(logp), axis=1)
+        upto = np.cumsum(share, axis=1)
         cdf = upto[row, place] / upto[row, -1]
         cdf[after[count > 0] - 1] = 2.0  # above every uniform number
         ids = np.where(piece[row, place] >= 0, voc.ids[piece[row, place]], np.int32(-1))
         odd = np.flatnonzero(ids < 0)
         code = codes[row[odd]]
-        ids[odd] = np.where(code < 128, np.array(voc.byte_ids, np.int32)[np.minimum(code, 127)], -1 - code)
+        ids[odd] = np.where(code < 128, np.array(self.byte_ids, np.int32)[np.minimum(code, 127)], -1 - code)
         self.first.add(self.cdf.n + after - count)
         self.count.add(count)
         self.base.add(self.end.a[self.end.n - 1] + 1 + base[:-1] if self.end.n else base[:-1])
@@ -378,7 +297,7 @@ class Sampler:
             return ids
         parts, last = [], 0
         for i in odd.tolist():
-            parts += [ids[last:i], np.array([self.lat.voc.byte_ids[x] for x in chr(-1 - int(ids[i])).encode("utf-8", "surrogatepass")], np.int32)]
+            parts += [ids[last:i], np.array([self.lat.byte_ids[x] for x in chr(-1 - int(ids[i])).encode("utf-8", "surrogatepass")], np.int32)]
             last = i + 1
         return np.concatenate([*parts, ids[last:]]).astype(np.int32)
 
@@ -397,17 +316,15 @@ class Codec(PrefixCounts):
     def __init__(self, path: str | None = None) -> None:
         super().__init__(path)
         sp = self.sp
-        place = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         bytes_at = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
-        ranks = np.arange(len(place)) + OFFSET
+        ranks = np.arange(len(self.voc.ids)) + OFFSET
         norm = np.log((1 / ranks).sum())
-        self.voc = Vocabulary([sp.id_to_piece(i).replace(SPACE, " ") for i in place], -np.log(ranks) - norm, place, [bytes_at[b] for b in range(256)], float(-np.log(ranks[-1]) - norm))
         self.begins = np.array([sp.id_to_piece(i).startswith(SPACE) for i in range(sp.get_piece_size())])
-        self.lat = Lattices(self.voc)
+        self.lat = Lattices(self.voc, -np.log(ranks) - norm, float(-np.log(ranks[-1]) - norm), [bytes_at[b] for b in range(256)])
         self.sampler = Sampler(self.lat)
         self.tokens, self.n_tokens, self.first_token = Grown(np.int32), Grown(np.int64), Grown(np.int64)
         self.place: dict[str, int] = {}
-        self.kept = [(x, 0) for x in self.parts()]
+        self.marks = [(x, 0) for x in self.parts()]
         self.place_of([""])
 
     def parts(self) -> list[Grown]:
@@ -433,7 +350,7 @@ class Codec(PrefixCounts):
 
         A worker keeps them from batch to batch, up to ``MOST_BYTES``; what comes then stays for one batch.
         """
-        for part, n in self.kept:
+        for part, n in self.marks:
             part.n = n
         found = list(map(self.place.get, chunks))
         new = [i for i, x in enumerate(found) if x is None]
@@ -447,7 +364,7 @@ class Codec(PrefixCounts):
                 found[i] = j
             if sum(x.n * x.a.itemsize for x in self.parts()) + 100 * len(self.place) < MOST_BYTES:
                 self.place.update((chunks[i], found[i]) for i in new)
-                self.kept = [(x, x.n) for x in self.parts()]
+                self.marks = [(x, x.n) for x in self.parts()]
         return np.array(found, np.int64)
 
     def encode(self, text: str) -> list[int]:
@@ -473,18 +390,6 @@ def codec(path: str | None = None) -> Codec:
     return _codecs[path]
 
 
-def batches_of(texts: list[str], most: int = BATCH_CHARS):
-    """Ranges of texts with about ``most`` code points each."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def offsets(lists: list) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]), pa.int32())
 
@@ -531,26 +436,6 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return rows.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, **{f"kept_{i}": c for i, c in enumerate(keep)}})
 
 
-def split_chunks(c: Codec, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """The chunks of some texts: which of the distinct ones each is, these, and how many each text has."""
-    odd = [i for i, t in enumerate(texts) if not t or t[0] == " " or "  " in t or SPACE in t]
-    plain = set(odd) ^ set(range(len(texts)))
-    at = sorted(plain)
-    parts = pc.split_pattern(pa.array([texts[i] for i in at], pa.large_string()), " ")
-    told = [c.chunks(texts[i]) for i in odd]
-    values = pa.concat_arrays([parts.flatten(), pa.array([x for ch in told for x in ch], pa.large_string())]).dictionary_encode()
-    kind = values.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = np.zeros(len(texts), np.int64)
-    sizes[at] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
-    sizes[odd] = [len(x) for x in told]
-    if odd:  # back into the order of the texts
-        order = at + odd
-        begin = np.zeros(len(texts), np.int64)
-        begin[order] = np.cumsum(sizes[order]) - sizes[order]
-        kind = kind[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(kind))]
-    return kind, values.dictionary.to_pylist(), sizes
-
-
 def segmented(texts: list[str], seeds: np.ndarray, k: int, path: str | None = None):
     """Ids and samples of some texts."""
     c = codec(path)
@@ -596,16 +481,16 @@ def segment_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 class Spelled:
-    """Decodes many ids at once through a table of all pieces' bytes."""
+    """Decodes many ids at once through a table of all pieces' bytes, and compares with a text."""
 
     def __init__(self, c: Codec) -> None:
         sp = c.sp
         told = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(sp.get_piece_size())]
-        self.table = np.array(told, object)
+        self.pieces = told
 
     def same(self, text: str, many: list[np.ndarray]) -> bool:
         want = (" " + text.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if text else b""
-        return all(b"".join(self.table[ids].tolist()) == want for ids in many)
+        return all(b"".join(map(self.pieces.__getitem__, ids.tolist())) == want for ids in many)
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -8,12 +8,14 @@ import random
 import re
 import time
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyquill.llm import chat, common, exact_dedup, html_text, mixing, near_dedup, registry, secrets, subword, token_counts, topk, toxicity
+from tallyquill.llm import pieces as pieces_
 
 #: Nulls, empty and blank texts, ties, repeated rows, a long text, and extra columns with clashing names.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, norm string, salt int, size long, id string, h long, bands binary"
@@ -122,11 +124,50 @@ def test_secret_scan_equals_plain_patterns(spark, edges, tiny):
         assert row["base_sha256"] == digest and row["n_assign"] == sum(k == 0 for _, k, _ in base)
 
 
-def test_secret_scan_follows_constants():
-    named = lambda t: [t[a:b] for a, _, b in secrets.scan(t)[1]]
-    assert named('K = "abc9d8e7f6a5"\nclient_secret_key = K + "zz9"') == ["abc9d8e7f6a5", "zz9"]
-    assert named('{"privateKey": "MIIEvQIBADANBg"}') == ["MIIEvQIBADANBg"] and named("db_pwd = 'hunter2XYZ9'") == ["hunter2XYZ9"]
-    assert named("The key: a story about the token of love") == [] and named("credentials = 'changeme'") == []
+NAMED = [
+    ('K = "abc9d8e7f6a5"\nclient_secret_key = K + "zz9"', ["abc9d8e7f6a5","zz9"]),
+    ('{"privateKey": "MIIEvQIBADANBg"}', ["MIIEvQIBADANBg"]),
+    ("db_pwd = 'hunter2XYZ9'", ["hunter2XYZ9"]),
+    ("The key: a story about the token of love", []),
+    ("credentials = 'changeme'", []),
+    ('password = "abcdef$%^rest-of-my-secret!"', ["abcdef$%^rest-of-my-secret!"]),
+    ('private_key = encrypt(K)', []),
+    ('private_key = """line1abcd9\nline2XYZ77"""', ["line1abcd9\nline2XYZ77"]),
+    ('private_key: |\n  MIIEvQIBADANBgkq\n  hkiG9w0BAQEF\nnext: 3', ["MIIEvQIBADANBgkq\n  hkiG9w0BAQEF"]),
+    ('client_credential = f"pre9f8-{K}-post"\nK = "zz81kd02"', ["pre9f8-{K}-post","zz81kd02"]),
+    ('K="q1w2e3r4t5"\nauth_credential="${K}"', ["q1w2e3r4t5","${K}"]),
+    ('"%s_private_key": "s9df8g7h6j5"'%L, ["s9df8g7h6j5"]),
+    ('db_credentials='+('aB3+/x9='*1000), ['aB3+/x9='*1000]),
+    ('export DB_PWD=hunter2XYZ9;', ["hunter2XYZ9"]),
+    ('config["db_pwd"] = "hunter2XYZ9"', ["hunter2XYZ9"]),
+    ('pwd: str = "hunter2XYZ9"', ["hunter2XYZ9"]),
+    ('define("DB_PWD", "hunter2XYZ9")', ["hunter2XYZ9"]),
+    ('<db_pwd>hunter2XYZ9</db_pwd>', ["hunter2XYZ9"]),
+    ('private_key <<EOF\n', []),
+    ('PRIVATE_KEY=$(cat x)\n', []),
+    ('signing_key=<<EOF\nabc123XYZ9\nEOF\nz=1', ["abc123XYZ9"]),
+    ("it's the pwd: don't ask, she's gone", []),
+    ('pwd = self.pwd\npwd = os.getenv("DB_PWD")', []),
+    ('a = b\nb = a\npwd = a', []),
+    ('# pwd = "hunter2XYZ9"', ["hunter2XYZ9"]),
+    ('if pwd == "hunter2XYZ9": pass', []),
+    ('pwd = ("abc9d8" \n   "e7f6a5")', ["abc9d8","e7f6a5"]),
+    ('db_pwd: hunter2XYZ9 # old one', ["hunter2XYZ9"]),
+]
+
+
+@pytest.mark.parametrize(("text", "literals"), NAMED)
+def test_secret_scan_finds_literals_of_secret_names(text, literals):
+    assert [text[a:b] for a, _, b in secrets.scan(text)[1]] == literals
+
+
+def test_secret_scan_takes_time_in_proportion():
+    hostile = ['"' * 200_001, "'" * 200_001, "pwd=" * 100_000, "<<A\n" * 50_000, "pwd: |\n" * 50_000, "pwd=a+" * 50_000, "a=b\n" * 50_000 + "pwd=a", "".join(f"<<X{i}\n" for i in range(50_000)), '"""' * 50_001 + ":'", "`\\" * 100_000, "<a>b" * 50_000, '("a","b")' * 30_000]
+    hostile += ["\n".join(f"k{i} = k{i - 1} + 'x{i}'" for i in range(20_000)) + "\npwd=k19999+'z'", "pwd:\n" + "  - |\n" * 30_000, 'pwd["a"]' * 30_000, "/*" * 100_000, " pwd: |\n" + "\n" * 100_000 + " x:|\n" * 3000]
+    for text in hostile:
+        began = time.time()
+        secrets.scan(text + " pwd=")
+        assert time.time() - began < 10, text[:20]  # well below two seconds
 
 
 def test_topk_equals_brute_force(spark):
@@ -143,6 +184,32 @@ def test_topk_equals_brute_force(spark):
     assert got == want
 
 
+def test_topk_scores_of_any_size_are_exact(spark, monkeypatch):
+    """Components from 1e-3 to 1e38, products beyond 64 bits, several blocks, pieces, groups and ways."""
+    for name, n in {"BLOCK": 16, "PIECE": 8, "QUERIES": 16, "WAY": 64, "WAYS": 3}.items():
+        monkeypatch.setattr(topk, name, n)
+    r = random.Random(3)
+    rows = [(i, [r.choice([-1, 1]) * r.random() * 10 ** r.choice([-3, 0, 2, 5, 8] if i % 3 else [0, 15, 30, 38]) for _ in range(3)]) for i in range(300)] + [(301, [1e8, 0.0, 0.0]), (350, [1e30, 0.0, 0.0]), (400, [0.0, -0.5, 2.0**70]), (450, [1.0, 2.0])]
+    v = spark.createDataFrame([(i, x, "clash", 7) for i, x in rows], "vec_id long, embedding array<double>, id string, way int").repartition(4)
+    got = [tuple(t) for t in topk.exact_topk(v, v.where("vec_id % 5 = 0")).orderBy("query_id", "rank").collect()]
+    q = {i: [math.floor(Fraction(c) * 256) for c in x] for i, x in rows}
+    want = []
+    for i in sorted(k for k in q if k % 5 == 0):
+        best = sorted((-sum(a * b for a, b in zip(q[i], y, strict=True)), j) for j, y in q.items() if j != i and len(y) == len(q[i]))[:5]
+        want += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(best)]
+    assert got == want and any(abs(s) == 2**63 - 1 for _, _, _, s in got)
+    keys = [0, 1, -1, 255, 256, -256, -257, 2**80, -(2**80), 2**2000, -(2**2000)]
+    assert sorted(keys) == sorted(keys, key=topk.sort_key)
+
+
+def test_topk_of_long_vectors_and_repeated_rows(spark):
+    long = [float(i % 7) for i in range(50_000)]
+    v = spark.createDataFrame([(0, long), (1, long[1:] + [0.0]), (2, long), (2, long), (None, long), (50, []), (100, [])], "vec_id long, embedding array<float>")
+    got = [tuple(t) for t in topk.exact_topk(v, v.where("vec_id % 50 = 0"), k=3).orderBy("query_id", "rank").collect()]
+    same = sum(int(256 * x) ** 2 for x in long)
+    assert [(a, b, c) for a, b, c, _ in got] == [(0, 1, 2), (0, 2, 2), (0, 3, 1), (50, 1, 100), (100, 1, 50)] and got[0][3] == got[1][3] == same > got[2][3] and got[3][3] == 0
+
+
 def components_by_brute_force(texts):
     def words(t):
         return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans(common.UPPER, common.UPPER.lower())))
@@ -222,15 +289,48 @@ def test_token_counts_equal_the_library(spark, codec, tiny, edges):
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.op9_token_counts(spark, tiny).collect()}
     for r in spark.read.parquet(f"{tiny}/documents.parquet").collect():
         assert got[r["doc_id"]] == len(codec.sp.encode(r["text"]))
-    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(edges, prefixes=True).collect()}[1] == 0
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(edges).collect()}[1] == 0
+
+
+def test_every_prefix_counts_as_encoded_alone(codec, monkeypatch):
+    texts = fuzz(300, 2) + ["".join(fuzz(40, 8)), "internationalisations" * 9]
+    for long in (64, 2):  # chunks above this length are gone through one by one
+        monkeypatch.setattr(token_counts, "LONG", long)
+        c = token_counts.PrefixCounts()
+        for t, table in zip(texts, c.tables(texts), strict=True):
+            lengths = [len(codec.sp.encode(t[:i])) for i in range(len(t) + 1)]
+            assert table.tolist() == lengths == token_counts.unpacked(token_counts.packed(table)).tolist()
+            for budget in range(4):
+                assert c.truncate(t, budget) == max(i for i, n in enumerate(lengths) if n <= budget)
 
 
-def test_every_prefix_counts_as_encoded_alone(codec):
-    for t in fuzz(300, 2):
-        lengths = [len(codec.sp.encode(t[:i])) for i in range(len(t) + 1)]
-        assert [codec.at(t, i) for i in range(len(t) + 1)] == lengths
-        for budget in range(4):
-            assert codec.truncate(t, budget) == max(i for i, n in enumerate(lengths) if n <= budget)
+def test_stored_prefixes_answer_questions(spark, codec, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    stored = token_counts.count_tokens(docs, limit=100)
+    asked = stored.select("doc_id", "keep_chars", "over_limit", token_counts.tokens_at("prefix_steps", F.lit(57)).alias("at"), token_counts.tokens_at("prefix_steps", F.lit(10**6)).alias("all"), token_counts.chars_within("prefix_steps", F.lit(100)).alias("cut"), "n_tokens")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in asked.collect():
+        t = text[r["doc_id"]]
+        assert (r["at"], r["all"], r["cut"]) == (len(codec.sp.encode(t[:57])), r["n_tokens"], r["keep_chars"])
+        assert len(codec.sp.encode(t[: r["cut"]])) <= 100 and (r["cut"] == len(t)) == (not r["over_limit"] or len(codec.sp.encode(t)) <= 100)
+        assert all(len(codec.sp.encode(t[: r["cut"] + k])) > 100 for k in range(1, min(4, len(t) - r["cut"] + 1)))
+
+
+def test_counts_of_a_full_store_stay_right(monkeypatch, codec):
+    texts = fuzz(80, 4)
+    monkeypatch.setattr(token_counts, "MOST_BYTES", 0)
+    monkeypatch.setattr(token_counts, "MOST_PAIRS", 3)
+    c = token_counts.PrefixCounts()
+    for _ in range(2):
+        assert [t[-1] for t in c.tables(texts)] == [len(codec.sp.encode(t)) for t in texts]
+
+
+def test_long_texts_without_spaces_take_time_in_proportion(codec):
+    for t in ("a" * 200_000, "xyz漢" * 50_000):
+        began = time.time()
+        assert token_counts.counter().tables([t])[0][-1] == len(codec.sp.encode(t))
+        subword.segmented([t], np.zeros(1, np.uint64), 2)
+        assert time.time() - began < 60
 
 
 def test_segments_decode_and_differ(spark, codec, edges):
@@ -249,13 +349,13 @@ def test_segments_decode_and_differ(spark, codec, edges):
 def lattice_of(codec, text):
     """Pieces and weights that begin at each character of what the encoder sees, by plain search; None for a character told by bytes."""
     sp, s = codec.sp, (" " + text.replace("▁", " ")) if text else ""
-    weight = {sp.id_to_piece(int(i)).replace("▁", " "): (int(i), w) for i, w in zip(codec.voc.ids, codec.voc.weights, strict=True)}
+    weight = {sp.id_to_piece(int(i)).replace("▁", " "): (int(i), w) for i, w in zip(codec.voc.ids, codec.lat.weights, strict=True)}
     rows = []
     for i in range(len(s)):
         ways = [(j, [weight[s[i:j]][0]], float(weight[s[i:j]][1])) for j in range(i + 1, min(len(s), i + codec.voc.longest) + 1) if s[i:j] in weight and " " not in s[i + 1 : j].lstrip(" ")[1:]]
         if s[i] not in weight:
             b = s[i].encode("utf-8", "surrogatepass")
-            ways.append((i + 1, [codec.voc.byte_ids[x] for x in b], codec.voc.byte_weight * len(b)))
+            ways.append((i + 1, [codec.lat.byte_ids[x] for x in b], codec.lat.byte_weight * len(b)))
         rows.append(ways)
     return rows
 
@@ -338,16 +438,16 @@ def test_samples_follow_the_lattice(monkeypatch, near):
     """Pairs drawn without replacement have the frequencies of the enumerated lattice, however the nodes are held."""
     monkeypatch.setattr(subword, "NEAR", near)
     pieces = [" ", "a", "b", "ab", " a", "ba"]
-    voc = subword.Vocabulary(pieces, np.log(np.array([0.3, 0.2, 0.1, 0.15, 0.2, 0.05])), list(range(6)), list(range(100, 356)), -9.0)
+    log_weights = np.log(np.array([0.3, 0.2, 0.1, 0.15, 0.2, 0.05]))
 
     def splits(w):
         return [()] if not w else [(p, *rest) for p in pieces if w.startswith(p) for rest in splits(w[len(p) :])]
 
-    weight = dict(zip(pieces, voc.weights, strict=True))
+    weight = dict(zip(pieces, log_weights, strict=True))
     p = {tuple(map(pieces.index, s)): math.exp(sum(weight[x] for x in s)) for s in (a + b for a in splits(" ab") for b in splits(" ba"))}
     p = {s: x / sum(p.values()) for s, x in p.items()}
     n = 8000
-    lattices = subword.Lattices(voc)
+    lattices = subword.Lattices(pieces_.Vocabulary(pieces, list(range(6))), log_weights, -9.0, list(range(100, 356)))
     lattices.add([" ab", " ba"])
     got = subword.Sampler(lattices).sample(np.tile([0, 1], n), np.full(n, 2), np.arange(n).astype(np.uint64) * np.uint64(7919), 2)
     pairs = Counter((tuple(x[0][0].tolist()), tuple(x[1][0].tolist())) for x in got)
