@@ -40,9 +40,9 @@ _SENSITIVE = re.compile("pass|pwd|secret|token|key|credential|bearer|private|sig
 #: Tokens of source and configuration syntax.
 _TOKEN = re.compile(
     r"""
-    (?P<triple>(?:\b[rRbBuUfF]{1,2})?(?P<tq>\"{3}|'{3})(?P<t>(?:\\.|[^\\])*?)(?P=tq))
-  | (?P<heredoc><<[-~]?[ \t]*(?P<hq>["']?)(?P<h>[A-Za-z_]\w*)(?P=hq)[^\n]*\n)
-  | (?P<string>(?:\b[rRbBuUfF]{1,2}(?=["'])|(?<!\w))(?:"(?P<s>(?:\\.|[^"\\\n])*)"|'(?P<s1>(?:\\.|[^'\\\n])*)'|`(?P<s2>(?:\\.|[^`\\])*)`))
+    (?P<triple>(?:\b[rRbBuUfF]{1,2})?(?P<tq>\"{3}|'{3}))
+  | (?P<heredoc><<[-~]?[ \t]{0,3}(?P<hq>["']?)(?P<h>[A-Za-z_]\w*)(?P=hq))
+  | (?P<string>(?:\b[rRbBuUfF]{1,2}(?=["'])|(?<!\w))(?P<sq>["'`]))
   | (?P<comment>(?<![\w:/"'])//|/\*|(?<![\w&])\#(?![{\w])|\#(?=[ ])|(?<![\w-])--(?=[ ]))
   | (?P<element><(?P<e>[A-Za-z_][\w.:-]*)>(?P<ev>[^<>\s][^<>]*)</(?P=e)\s*>)
   | (?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)
@@ -58,7 +58,15 @@ _TOKEN = re.compile(
     re.X | re.S | re.A,
 )
 _BARE = re.compile(r"[^\s\"'`]+")
-_BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[ \t]*(?:\#[^\n]*)?\r?\n")
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[ \t]*\r?\n")
+#: What follows the quotes that open a string; some strings go over lines.
+_REST = {
+    '"': re.compile(r'((?:\\.|[^"\\\n])*)"', re.S),
+    "'": re.compile(r"((?:\\.|[^'\\\n])*)'", re.S),
+    "`": re.compile(r"((?:\\.|[^`\\])*)`", re.S),
+    '"' * 3: re.compile(r'((?:\\.|[^\\])*?)"{3}', re.S),
+    "'" * 3: re.compile(r"((?:\\.|[^\\])*?)'{3}", re.S),
+}
 _NAMED_IN = re.compile(r"\$\{([A-Za-z_][\w.]*)\}|\$([A-Za-z_]\w*)|\#\{([A-Za-z_]\w*)\}|%\(([A-Za-z_]\w*)\)s|\{([A-Za-z_][\w.]*)\}")
 _CODE = re.compile(r"[A-Za-z_]\w*(?:(?:\.|->|::)[A-Za-z_]\w*)+\Z")
 _KEY = re.compile(r"[\w .\-]+\Z")
@@ -102,21 +110,30 @@ class Source:
     def lex(self) -> list[tuple[str, int, int, int, int]]:
         """(kind, start, end, and for literals the content's start and end)."""
         out, at, text = [], 0, self.text
+        open_until = dict.fromkeys(_REST, 0)  # up to where quotes are known to stay open
+        line_end = -1
         while at < len(text):
             m = _TOKEN.match(text, at)
             a, b = m.span()
             kind = next((k for k in ("triple", "heredoc", "string", "element") if m[k] is not None), m.lastgroup)
             inner = (a, b)
-            if kind == "triple":
-                inner = m.span("t")
-            elif kind == "string":
-                inner = next(m.span(g) for g in ("s", "s1", "s2") if m[g] is not None)
+            if line_end < b and kind in ("heredoc", "string"):
+                line_end = text.find("\n", b)
+                line_end = len(text) if line_end < 0 else line_end
+            if kind in ("triple", "string"):
+                quotes = m["tq"] or m["sq"]
+                rest = None if a < open_until[quotes] else _REST[quotes].match(text, b)
+                if rest:
+                    inner, b = rest.span(1), rest.end()
+                else:
+                    open_until[quotes] = max(open_until[quotes], line_end if quotes in ("'", '"') else len(text))
+                    kind, b = "other", b if kind == "string" else b - 2
             elif kind == "heredoc":
-                end = self.line_of(m["h"], b)
+                end = self.line_of(m["h"], line_end + 1)
                 if end is None:
                     kind, b = "other", a + 2
                 else:
-                    kind, inner, b = "triple", (b, max(b, end - 1)), end + len(m["h"])
+                    kind, inner, b = "triple", (line_end + 1, max(line_end + 1, end - 1)), end + len(m["h"])
             elif kind == "element":
                 self.pairs.append((m["e"], a, [m.span("ev")], False))
             if kind not in ("skip", "other") or kind == "other" and text[a:b] in ",;*?":

@@ -136,7 +136,7 @@ NAMED = [
     ('private_key: |\n  MIIEvQIBADANBgkq\n  hkiG9w0BAQEF\nnext: 3', ["MIIEvQIBADANBgkq\n  hkiG9w0BAQEF"]),
     ('client_credential = f"pre9f8-{K}-post"\nK = "zz81kd02"', ["pre9f8-{K}-post","zz81kd02"]),
     ('K="q1w2e3r4t5"\nauth_credential="${K}"', ["q1w2e3r4t5","${K}"]),
-    ('"%s_private_key": "s9df8g7h6j5"'%L, ["s9df8g7h6j5"]),
+    ('"%s_private_key": "s9df8g7h6j5"' % ("x" * 90), ["s9df8g7h6j5"]),
     ('db_credentials='+('aB3+/x9='*1000), ['aB3+/x9='*1000]),
     ('export DB_PWD=hunter2XYZ9;', ["hunter2XYZ9"]),
     ('config["db_pwd"] = "hunter2XYZ9"', ["hunter2XYZ9"]),
@@ -164,6 +164,7 @@ def test_secret_scan_finds_literals_of_secret_names(text, literals):
 def test_secret_scan_takes_time_in_proportion():
     hostile = ['"' * 200_001, "'" * 200_001, "pwd=" * 100_000, "<<A\n" * 50_000, "pwd: |\n" * 50_000, "pwd=a+" * 50_000, "a=b\n" * 50_000 + "pwd=a", "".join(f"<<X{i}\n" for i in range(50_000)), '"""' * 50_001 + ":'", "`\\" * 100_000, "<a>b" * 50_000, '("a","b")' * 30_000]
     hostile += ["\n".join(f"k{i} = k{i - 1} + 'x{i}'" for i in range(20_000)) + "\npwd=k19999+'z'", "pwd:\n" + "  - |\n" * 30_000, 'pwd["a"]' * 30_000, "/*" * 100_000, " pwd: |\n" + "\n" * 100_000 + " x:|\n" * 3000]
+    hostile += ['"\\' * 100_000, '"""\\' * 50_000, "<<A" * 100_000, ": |#" * 50_000, "pwd=(" * 50_000, "pwd: " + "- " * 100_000]
     for text in hostile:
         began = time.time()
         secrets.scan(text + " pwd=")
