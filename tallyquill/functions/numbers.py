@@ -32,52 +32,94 @@ def unit_factor(unit: Column) -> Column:
     return F.when(u.contains("billion") | (u == "b"), 1e9).when(u.contains("million") | (u == "m"), 1e6).when(u.contains("thousand") | (u == "k"), 1e3).otherwise(1.0)
 
 
-def metrics_in(text: Column) -> Column:
-    """(metric, value) in order: amounts, then percentages (as shares), then counts."""
-    def family(pattern: str, name: int, value: int, unit: int | None, scale: float, suffix: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))  # the text is searched once, its groups are read from the matches
+#: The patterns above as they are applied to one stretch of letters, or one number, at a time.
+_AMOUNT, _PERCENT, _COUNT = (re.compile(p) for p in (AMOUNT, PERCENT, COUNT))
+_LETTERS, _DIGITS = re.compile(r"[a-z\s]+", re.I), re.compile(r"[\d,]+")
+
+
+def _found(pattern: re.Pattern, stretches: re.Pattern, text: str):
+    """All matches of a pattern that begins with a stretch of letters or of digits, in linear time.
+
+    If it matches from some place in a stretch of letters it does from the first one, so one try a
+    stretch is enough; a stretch that no number can follow isn't tried.
+    """
+    done = 0
+    for run in stretches.finditer(text):
+        at = max(done, run.start())
+        if at >= run.end() or stretches is _LETTERS and not (text[run.end() : run.end() + 1] in (":", "$", ",") or text[run.end() : run.end() + 1].isdigit()):
+            continue
+        if m := pattern.match(text, at):
+            done = m.end()
+            yield m
 
-        def one(m: Column) -> Column:
-            v = F.replace(F.regexp_extract(m, pattern, value), F.lit(","), F.lit("")).try_cast("double")
-            v = v * unit_factor(F.regexp_extract(m, pattern, unit)) if unit else v / scale
-            return F.struct(F.concat(F.lower(F.regexp_replace(F.regexp_extract(m, pattern, name), r"^\s+|\s+$", "")), F.lit(suffix)).alias("metric"), v.alias("value"))
 
-        return F.filter(F.transform(found, one), lambda r: r["value"].isNotNull())
+def metrics_of(text: str | None) -> list[tuple[str, float]]:
+    """C5 for Python callers: (metric, value), amounts, then percentages (as shares), then counts; the last value of a name counts."""
+    out: dict[str, float] = {}
+    for pattern, stretches, name, value, suffix in ((_AMOUNT, _LETTERS, 1, 2, ""), (_PERCENT, _LETTERS, 1, 2, " (%)"), (_COUNT, _DIGITS, 2, 1, "")):
+        for m in _found(pattern, stretches, text or ""):
+            try:
+                number = float(m[value].replace(",", ""))
+            except ValueError:
+                continue
+            if suffix:
+                number /= 100
+            elif pattern is _AMOUNT and m[3]:
+                number *= next(x for unit, x in UNITS if unit in m[3].lower())
+            out[m[name].strip().lower() + suffix] = number
+    return list(out.items())
+
+
+METRIC_ROW = T.ArrayType(T.StructType([T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType())]))
+
+
+def metrics_in(text: Column) -> Column:
+    """An array of (metric, value) per text. Matches that may not overlap need the match's end, so this runs in Arrow batches."""
 
-    return F.concat(family(AMOUNT, 1, 2, 3, 1.0, ""), family(PERCENT, 1, 2, None, 100.0, " (%)"), family(COUNT, 2, 1, None, 1.0, ""))
+    @F.pandas_udf(METRIC_ROW)
+    def found(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"metric": k, "value": v} for k, v in metrics_of(t)])
+
+    return found(text)
 
 
 NUMBER_ROW = T.ArrayType(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("is_currency", T.BooleanType()), T.StructField("is_percentage", T.BooleanType()), T.StructField("context", T.StringType()), T.StructField("position", T.IntegerType())]))
+#: How far around a match its context reaches, and how far behind it a unit counts.
+AROUND, UNIT_REACH = 30, 10
+_UNIT = re.compile("|".join(unit for unit, _ in UNITS))
 
 
-def number_details(text: str | None) -> list[dict]:
-    """All numbers of a text with what stands around them.
+def number_details(texts: pd.Series) -> pd.Series:
+    """All numbers of each text, with their context, place, unit and signs.
 
-    Units are consumed by the match, so unit and percent sign are looked for behind it.
+    Each property is a function of the two ends of a match: the unit is sought in what the match
+    left over, where the words come before the letters; a percent sign counts right behind it, a
+    dollar sign inside it or beside it.
     """
-    out = []
-    for m in ANY_NUMBER.finditer(text or ""):
-        try:
-            value = float(m[1].replace(",", ""))
-        except ValueError:
-            continue
-        lo, hi = max(0, m.start() - 30), min(len(text), m.end() + 30)
-        behind = text[m.end() : min(m.end() + 10, hi)]
-        factor = next((x for unit, x in UNITS if unit in behind), 1.0)
-        percent = behind[:1] == "%"
-        money = "$" in text[max(lo, m.start() - 1) : min(m.end() + 1, hi)]
-        out.append({"value": value * factor / (100 if percent else 1), "is_currency": money, "is_percentage": percent, "context": text[lo:hi].strip(), "position": m.start()})
-    return out
+    spans = [[(m.start(), m.end(), m[1].replace(",", "")) for m in ANY_NUMBER.finditer(t or "")] for t in texts]
+    flat = pd.DataFrame([(row, *x) for row, some in enumerate(spans) for x in some], columns=["row", "start", "end", "digits"])
+    flat["value"] = pd.to_numeric(flat["digits"], errors="coerce")
+    flat = flat[flat["value"].notna()].astype({"value": "float64"})
+    if flat.empty:
+        return pd.Series([[] for _ in spans], dtype=object)
+    text = texts.reset_index(drop=True)
+    cut = lambda lo, hi: [text[r][a:b] for r, a, b in zip(flat["row"], lo, hi, strict=True)]
+    flat["context"] = [x.strip() for x in cut((flat["start"] - AROUND).clip(lower=0), flat["end"] + AROUND)]
+    behind = cut(flat["end"], flat["end"] + UNIT_REACH)
+    units = dict(UNITS)
+    flat["factor"] = [min((list(units).index(u) for u in _UNIT.findall(x)), default=-1) for x in behind]
+    flat["factor"] = flat["factor"].map(dict(enumerate(units.values())) | {-1: 1.0})
+    flat["is_percentage"] = [x.startswith("%") for x in behind]
+    flat["is_currency"] = ["$" in x for x in cut((flat["start"] - 1).clip(lower=0), flat["end"] + 1)]
+    flat["value"] *= flat["factor"] / flat["is_percentage"].map({True: 100.0, False: 1.0})
+    flat = flat.rename(columns={"start": "position"})[["row", "value", "is_currency", "is_percentage", "context", "position"]]
+    by_row = {row: part.drop(columns="row").to_dict("records") for row, part in flat.groupby("row")}
+    return pd.Series([by_row.get(i, []) for i in range(len(spans))], dtype=object)
 
 
 def all_numbers(text: Column) -> Column:
     """C6; needs match offsets, which SQL functions don't give."""
-
-    @F.pandas_udf(NUMBER_ROW)
-    def details(s: pd.Series) -> pd.Series:
-        return s.map(number_details)
-
-    return details(text)
+    return F.pandas_udf(number_details, NUMBER_ROW)(text)
 
 
 def cell_number(c: Column) -> Column:
@@ -100,3 +142,25 @@ def row_numbers(cells: Column) -> Column:
     """the numbers of a table row, null if any cell has none."""
     values = F.transform(cells, lambda c: cell_number(F.trim(F.substring_index(F.trim(F.replace(c, F.lit("$"), F.lit(""))), "(", 1))))
     return F.when(~F.exists(values, lambda v: v.isNull()), values)
+
+
+_PLAIN = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*", re.A)
+
+
+def number_of(cell: str) -> float | None:
+    """F18 for Python callers."""
+    plain = cell.replace(",", "")
+    if _PLAIN.fullmatch(plain):
+        return float(plain)
+    if "%" in plain and _PLAIN.fullmatch(share := plain.replace("%", "")):
+        return float(share) / 100
+    if "const" in plain:
+        const = plain.replace("const_", "")
+        return -1.0 if const == "m1" else float(const) if _PLAIN.fullmatch(const) else None
+    return None
+
+
+def numbers_of(cells: list[str]) -> list[float] | None:
+    """F19 for Python callers."""
+    out = [number_of(c.replace("$", "").strip(" ").split("(")[0].strip(" ")) for c in cells]
+    return None if None in out else out

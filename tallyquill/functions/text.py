@@ -150,15 +150,28 @@ def robust_answer(c: Column) -> Column:
     return let(last_assistant_turn(c), find)
 
 
-def training_answer(c: Column) -> Column:
-    """the tag's number or lower-case text, else the first number said, else the text; as (num, str)."""
+def training_answer(c: Column, chat: bool = False) -> Column:
+    """the tag's number or lower-case text, else the first number said, else the text; as (num, str).
+
+    With ``chat`` the text "and" alone is 0, and without a tag the last assistant turn of chat markup
+    counts: its first number, else its text.
+    """
     inside = tag_content(c, ANSWER)
     clean = F.trim(F.regexp_replace(F.regexp_replace(inside, "[%$,]", ""), r"\s+", " "))
     is_number = clean.rlike(r"^-?\d+\.?\d*$")
     said = (r"(?i)(?:answer|result|value)(?:\s+is|\s*[:=])\s*([-\d\.\,]+)", r"(?i)(?:=|equals)\s*([-\d\.\,]+)", r"(?i)(?:[\$£€])\s*([-\d\.\,]+)")
     numbers = F.coalesce(*(to_double(F.replace(F.regexp_extract(c, p, 1), F.lit(","), F.lit(""))) for p in said))
-    num = F.when(inside.isNotNull(), F.when(is_number, clean.try_cast("double"))).otherwise(numbers)
-    text = F.when(inside.isNotNull(), F.when(~is_number, F.lower(clean))).when(numbers.isNull(), F.lower(strip(c)))
+    num = F.when(inside.isNotNull(), F.when(is_number, clean.try_cast("double")))
+    text = F.when(inside.isNotNull(), F.when(~is_number, F.lower(clean)))
+    if chat:
+        turns = F.regexp_extract_all(c, F.lit(r"(?s)<\|im_start\|>assistant\n(.*?)<\|im_end\|>"), 1)
+        turn = strip(F.element_at(F.when(F.size(turns) > 0, turns), -1))
+        first = F.nullif(F.regexp_extract(turn, r"(-?\d+\.?\d*)", 1), F.lit(""))
+        mere = F.lower(strip(c)) == "and"
+        num = F.when(mere, F.lit(0.0)).when(inside.isNotNull(), num).when(turn.isNotNull(), first.try_cast("double")).otherwise(numbers)
+        text = F.when(mere, F.lit(None).cast("string")).when(inside.isNotNull(), text).when(turn.isNotNull(), F.when(first.isNull(), F.lower(turn))).when(numbers.isNull(), F.lower(strip(c)))
+    else:
+        num, text = F.when(inside.isNotNull(), num).otherwise(numbers), F.when(inside.isNotNull(), text).when(numbers.isNull(), F.lower(strip(c)))
     return F.struct(num.alias("num"), text.alias("str"))
 
 
@@ -242,6 +255,18 @@ def prompt(context: Column, history: Column, question: Column) -> Column:
     return F.concat(F.lit("Context:\n"), context, F.lit("\n\n"), history_text(history), F.lit("Question: "), question, F.lit("\nAnswer:"))
 
 
+def chat_prompt(context: Column, history: Column, question: Column, rules: str) -> Column:
+    """the two messages of a chat prompt, ``rules`` and what is asked, as an array of (role, content)."""
+    asked = F.concat(F.lit("CONTEXT:\n"), context, F.lit("\n\nQUESTION:\n"), question, F.lit("\n\nPREVIOUS CONVERSATION:\n"), history_text(history))
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(rules).alias("content")), F.struct(F.lit("user").alias("role"), asked.alias("content")))
+
+
+def instruct_prompt(question: Column, context: Column, rules: str) -> Column:
+    """the prompt of an instruction model, with the context where there is one."""
+    opening = F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit(CONTEXT_OPENING), context, F.lit("\n\n"))).otherwise("")
+    return F.concat(F.lit(f"<s>[INST] <<SYS>>\n{rules}\n<</SYS>>\n\n"), opening, question, F.lit(" [/INST]"))
+
+
 #: Per template the text before the first message, and before and after each role's.
 TEMPLATES = {
     "qwen": ("", {r: (f"<|im_start|>{r}\n", "<|im_end|>\n") for r in ("system", "user", "assistant")}),
@@ -251,6 +276,14 @@ TEMPLATES = {
     "gemma-3": ("<bos>", {"system": ("", "\n"), "user": ("<start_of_turn>user\n", "<end_of_turn>\n"), "assistant": ("<start_of_turn>model\n", "<end_of_turn>\n")}),
     "llama-3.1": ("", {r: (f"<|{r}|>\n", "\n") for r in ("system", "user", "assistant")}),
 }
+#: The models' own formats, for the names that have no template above.
+TEMPLATES |= {
+    "llama-2": ("<s>", {"system": ("<<SYS>>\n", "\n<</SYS>>\n\n"), "user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s><s>")}),
+    "phi-4": ("", {r: (f"<|im_start|>{r}<|im_sep|>", "<|im_end|>") for r in ("system", "user", "assistant")}),
+    "gemma": TEMPLATES["gemma-3"],
+    "phi-2": ("", {"system": ("", "\n"), "user": ("Instruct: ", "\n"), "assistant": ("Output: ", "\n")}),
+    "falcon": ("", {"system": ("System: ", "\n"), "user": ("User: ", "\n"), "assistant": ("Falcon: ", "\n")}),
+}
 
 
 def render(messages: Column, template: str) -> Column:
@@ -297,6 +330,10 @@ def route(question: Column) -> Column:
     return F.when(F.lower(question).rlike(r"table|row|column|total|how much|how many|percent|\d{4}"), "table").otherwise("text")
 
 
+#: What stands before a context.
+CONTEXT_OPENING = "I'm looking at some financial data. Here's the context:\n\n"
+
+
 def prompt_answer(c: Column) -> Column:
     """the tag, else the number after "answer is" or "=", else a remark."""
     said = (r"(?i)(?:answer|result|value)(?:\s+is|\s*[:=])\s*([\d\.\,\$]+)", r"(?i)(?:=|equals)\s*([\d\.\,\$]+)")

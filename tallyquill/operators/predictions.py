@@ -44,8 +44,14 @@ def with_matches(df: DataFrame, pred: str = "pred", label: str = "label", fuzzy:
         df = df.withColumn("answer_match", F.col("__sure") | F.coalesce(ratio > 0.8, F.lit(False))).drop("__sure")
     else:
         df = df.withColumn("answer_match", sure)
-    program = lambda c: F.filter(F.split(F.regexp_extract(F.col(c), r"(?s)<begin_of_program>\s*(.*?)\s*<end_of_program>", 1), r"\s+"), lambda t: t != "")
-    return df.withColumn("program_match", program(pred) == program(label))
+    return df.withColumn("program_match", program_words(F.col(pred)) == program_words(F.col(label)))
+
+
+def program_words(c: Column) -> Column:
+    """the words of the program's tag; EOF where there is no tag."""
+    tag = r"(?s)<begin_of_program>\s*(.*?)\s*<end_of_program>"
+    words = F.filter(F.split(F.regexp_extract(c, tag, 1), r"\s+"), lambda t: t != "")
+    return F.when(F.coalesce(c, F.lit("")).rlike(tag), words).otherwise(F.array(F.lit("EOF")))
 
 
 def match_rates(df: DataFrame) -> DataFrame:
@@ -74,13 +80,17 @@ def profile(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFram
 
 
 def metric_values(nodes: DataFrame, id_col: str = "node_id", text_col: str = "content") -> DataFrame:
-    """(node_id, metric, value); in a node the last value of a metric counts."""
-    found = nodes.select(F.col(id_col).alias("node_id"), F.posexplode(metrics_in(F.col(text_col))).alias("at", "m"))
-    return found.groupBy("node_id", F.col("m.metric").alias("metric")).agg(F.max_by("m.value", "at").alias("value"))
+    """(node_id, metric, value); in a node the last value of a metric counts. A row's metrics are settled in the row."""
+    return nodes.select(F.col(id_col).alias("node_id"), F.explode(metrics_in(F.col(text_col))).alias("m")).select("node_id", "m.metric", "m.value")
 
 
 def metric_stats(values: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """Mean, median, min and max by metric, of the wanted metrics where these are given."""
+    """Mean, median, min and max by metric, of the wanted metrics where these are given.
+
+    Equal values are counted first, so what a metric's one row is made of are its distinct values.
+    """
     if wanted is not None:
         values = values.join(wanted.select("metric").distinct(), "metric", "left_semi")
-    return values.groupBy("metric").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("n"))
+    counted = values.where(F.col("value").isNotNull()).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum("n")
+    return counted.groupBy("metric").agg((F.sum(F.col("value") * F.col("n")) / n).alias("mean"), F.percentile("value", F.lit(0.5), F.col("n")).alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), n.alias("n"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -16,22 +22,102 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def score(cosine: Column, mode: str = "cosine") -> Column:
-    """``cosine``, or ``exp_neg_l2sq``: exp of minus the squared distance of unit vectors."""
-    return cosine if mode == "cosine" else F.exp(2 * cosine - 2)
+#: Letters that the stand-in embedding counts.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(text: Column) -> Column:
+    """A stand-in embedding without a model: how often each letter comes."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(c)))).cast("double") for c in LETTERS))
+
+
+def embedded(df: DataFrame, text_col: str, embed: Callable[[Column], Column] = letter_counts, to: str = "vec") -> DataFrame:
+    """R2: adds the vector of a text. ``embed`` is any function of columns, a vectorised Python function of a model included."""
+    return df.withColumn(to, embed(F.col(text_col)))
+
+
+#: Vectors in a block; queries in a group, and nodes in a way, at most on average.
+BLOCK, GROUP, WAY = 2048, 8192, 65_536
 
 
-def vector_topk(queries: DataFrame, nodes: DataFrame, k: int = 5, mode: str = "cosine", ways: int = 16) -> DataFrame:
+def _blocks(df: DataFrame, part: Column) -> DataFrame:
+    """(id, v) -> blocks of vectors of one length and part: (dim, part, ids, x), ids ascending."""
+    kind = df.schema["id"].dataType
+    schema = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("x", T.BinaryType())])
+
+    def pack(batches):
+        for b in batches:
+            sizes = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+            parts = b.column(0).to_numpy(zero_copy_only=False)
+            for dim, at in sorted(set(zip(sizes.tolist(), parts.tolist(), strict=True))):
+                rows = b.take(pa.array(np.flatnonzero((sizes == dim) & (parts == at))))
+                rows = rows.take(pc.sort_indices(rows.column(1)))
+                x = rows.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+                ids = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([at], pa.int32()), ids, pa.array([x], pa.binary())], schema.names)
+
+    def cut(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK):
+                yield from pack([b.slice(lo, BLOCK)])
+
+    return df.select(part.cast("int").alias("part"), "id", "v").mapInArrow(cut, schema)
+
+
+def vector_topk(queries: DataFrame, nodes: DataFrame, k: int = 5, mode: str = "cosine", by: Column | None = None) -> DataFrame:
     """Queries (query_id, vec) x nodes (node_id, vec) -> query_id, node_id, score, seq (from 1).
 
-    Blocks of queries meet salted nodes in an equi-join, so no side needs to be small; each task
-    keeps k rows a query before the last ranking (WindowGroupLimit).
+    ``mode`` is ``cosine``, or ``exp_neg_l2sq``: exp of minus the squared distance of unit vectors.
+    With ``by``, a whole number of the nodes, each query has its k best of every value (column ``part``).
+
+    Blocks of unit vectors meet in an equi-join by group of queries and way of nodes, both in
+    proportion to the rows, so no side needs to be small. A task multiplies two blocks as matrices
+    and keeps k rows a query; the last ranking is of those. Scores are compared to nine decimals,
+    ties going to the smaller node; null vectors, and vectors of another length, are never hits.
+    """
+    q = queries.where(F.col("vec").isNotNull()).select(F.col("query_id").alias("id"), unit(F.col("vec")).alias("v"))
+    n = nodes.where(F.col("vec").isNotNull()).select(F.col("node_id").alias("id"), unit(F.col("vec")).alias("v"), (by if by is not None else F.lit(0)).alias("by"))
+    n_groups, n_ways = max(1, -(-q.count() // GROUP)), max(16, -(-n.count() // WAY))
+    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = _blocks(q, deal("id", n_groups)).select("dim", F.col("part").alias("group"), every(n_ways).alias("way"), F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+    right = _blocks(n, F.col("by")).select("dim", every(n_groups).alias("group"), deal("x", n_ways).cast("int").alias("way"), "part", "ids", "x")
+    schema = T.StructType([T.StructField("query_id", q.schema["id"].dataType), T.StructField("node_id", n.schema["id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("place", T.DoubleType()), T.StructField("part", T.IntegerType())])
+
+    def multiply(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                dim, part = b.column(0)[r].as_py(), b.column(1)[r].as_py()
+                a, x = (np.frombuffer(b.column(c)[r].as_py(), "<f8") for c in (2, 4))
+                q_ids, ids = b.column(3)[r].values, b.column(5)[r].values
+                s = a.reshape(len(q_ids), dim) @ x.reshape(len(ids), dim).T
+                s = s if mode == "cosine" else np.exp(2 * s - 2)
+                s = np.where(np.isnan(s), -np.inf, s)
+                place = np.round(s, 9)
+                least = -np.partition(-place, min(k, place.shape[1]) - 1, axis=1)[:, min(k, place.shape[1]) - 1]
+                i, j = np.nonzero(place >= least[:, None])
+                order = np.lexsort((j, -place[i, j], i))
+                i, j = i[order], j[order]
+                first = np.searchsorted(i, i)
+                some = np.flatnonzero((np.arange(len(i)) - first < k) & np.isfinite(place[i, j]))
+                i, j = i[some], j[some]
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(s[i, j]), pa.array(place[i, j]), pa.array(np.full(len(i), part, np.int32))], schema.names)
+
+    met = left.join(right, ["dim", "group", "way"]).select("dim", "part", "q", "q_ids", "x", "ids").mapInArrow(multiply, schema)
+    best = Window.partitionBy("query_id", *(["part"] if by is not None else [])).orderBy(F.col("place").desc(), "node_id")
+    ranked = met.withColumn("seq", F.row_number().over(best)).where(F.col("seq") <= k)
+    return ranked.select("query_id", "node_id", "score", *(["part"] if by is not None else []), "seq")
+
+
+def collection_hits(hits: DataFrame, k: int) -> list[DataFrame]:
+    """The k best of the text, the table and the context collection, from one search by ``is_table`` (part 0 and 1).
+
+    The best of all nodes are among the best of both kinds.
     """
-    q = queries.select("query_id", unit(F.col("vec")).alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("way"))
-    n = nodes.select("node_id", unit(F.col("vec")).alias("nv"), F.pmod(F.xxhash64("node_id"), F.lit(ways)).cast("int").alias("way"))
-    met = q.join(n, "way").select("query_id", "node_id", score(dot(F.col("qv"), F.col("nv")), mode).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "node_id")
-    return met.withColumn("seq", F.row_number().over(best)).where(F.col("seq") <= k)
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "node_id")
+    both = hits.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= k).drop("part")
+    return [*(hits.where((F.col("part") == part) & (F.col("seq") <= k)).drop("part") for part in (0, 1)), both]
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:

@@ -2,43 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyquill.functions.text import strip
 
 
-def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pipes: int = 2) -> DataFrame:
-    """(doc_id, pos, line, is_table, island): runs of lines with, or without, enough pipes are islands."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("is_table", F.length("line") - F.length(F.replace("line", F.lit("|"))) >= min_pipes)
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    new = F.when(F.col("is_table") == F.lag("is_table").over(by_doc), 0).otherwise(1)
-    return lines.withColumn("island", F.sum(new).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+PART = "array<struct<first_line:int,n_lines:int,is_table:boolean,content:string>>"
 
 
-def _joined(lines: DataFrame) -> DataFrame:
-    parts = lines.groupBy("doc_id", "island", "is_table").agg(F.min("pos").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    return parts.withColumn("content", F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).drop("ls")
+def islands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pipes: int = 2) -> DataFrame:
+    """(doc_id, parts): runs of lines with, or without, enough pipes, in order, as an array of (first_line, n_lines, is_table, content).
+
+    All in the document's own row: no line is exploded, and nothing is shuffled.
+    """
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), "\n").alias("ls"))
+    flags = F.transform("ls", lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"))) >= min_pipes)
+    flagged = lines.select("doc_id", "ls", flags.alias("fs"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: (i == 0) | (F.get("fs", i) != F.get("fs", i - 1)))
+    cut = flagged.select("doc_id", "ls", "fs", starts.alias("at"))
+    ends = F.concat(F.slice("at", 2, F.size("at")), F.array(F.size("ls")))
+
+    def part(a, b):
+        return F.struct(a.alias("first_line"), (b - a).alias("n_lines"), F.get("fs", a).alias("is_table"), F.array_join(F.slice("ls", a + 1, b - a), "\n").alias("content"))
+
+    return cut.select("doc_id", F.zip_with("at", ends, part).cast(PART).alias("parts"))
 
 
 def extract_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pipes: int = 2) -> DataFrame:
     """A row per table: doc_id, table_no (from 0), first_line, n_lines, content."""
-    tables = _joined(document_lines(docs, id_col, text_col, min_pipes).where("is_table"))
-    order = Window.partitionBy("doc_id").orderBy("first_line")
-    return tables.select("doc_id", (F.row_number().over(order) - 1).alias("table_no"), "first_line", "n_lines", "content")
+    some = docs.where(F.col(text_col).contains("|")) if min_pipes > 0 else docs
+    tables = islands(some, id_col, text_col, min_pipes).select("doc_id", F.posexplode(F.filter("parts", lambda p: p["is_table"])).alias("table_no", "t"))
+    return tables.select("doc_id", "table_no", "t.first_line", F.col("t.n_lines").cast("long").alias("n_lines"), "t.content")
 
 
 def split_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pipes: int = 2) -> DataFrame:
     """Text and table chunks in order; blank text islands take no number."""
-    parts = _joined(document_lines(docs, id_col, text_col, min_pipes))
-    parts = parts.withColumn("content", F.when(F.col("is_table"), F.col("content")).otherwise(strip(F.col("content")))).where("is_table or content <> ''")
-    doc = Window.partitionBy("doc_id")
-    n = F.row_number().over(doc.orderBy("first_line")) - 1
-    kind = F.when(F.col("is_table"), "table").otherwise("text")
-    has_table = F.max(F.col("is_table")).over(doc)
-    name = F.when(has_table, F.concat_ws("_", F.col("doc_id").cast("string"), kind, n.cast("string"))).otherwise(F.col("doc_id").cast("string"))
-    return parts.select("doc_id", name.alias("chunk_id"), kind.alias("type"), n.alias("chunk_no"), "content")
+    content = lambda p: F.struct(p["is_table"].alias("is_table"), F.when(p["is_table"], p["content"]).otherwise(strip(p["content"])).alias("content"))
+    kept = F.filter(F.transform("parts", content), lambda p: p["is_table"] | (p["content"] != ""))
+    found = islands(docs, id_col, text_col, min_pipes).select("doc_id", kept.alias("parts"))
+    parts = found.select("doc_id", F.exists("parts", lambda p: p["is_table"]).alias("has_table"), F.posexplode("parts").alias("n", "p"))
+    kind = F.when(F.col("p.is_table"), "table").otherwise("text")
+    name = F.when(F.col("has_table"), F.concat_ws("_", F.col("doc_id").cast("string"), kind, F.col("n").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    return parts.select("doc_id", name.alias("chunk_id"), kind.alias("type"), F.col("n").alias("chunk_no"), "p.content")
 
 
 def parse_pipe_table(content: Column) -> Column:
@@ -69,9 +75,10 @@ def parse_pipe_table(content: Column) -> Column:
 
 
 def table_data(content: Column) -> Column:
-    """T5: (header, rows, numeric): all rules dropped; the first line is a header where the second has more numbers.
+    """T5: (header, rows, numeric, numbers): all rules dropped; the first line is a header where the second has more numbers.
 
-    In a column whose cells are all numbers once ``$``, ``,`` and ``%`` are gone, ``numeric`` is true.
+    ``$``, ``,`` and ``%`` go from all cells. In a column whose cells are all numbers then, ``numeric``
+    is true and ``numbers`` has them; in others it has null.
     """
     lines = F.filter(F.transform(F.split(content, "\n"), strip), lambda x: (x != "") & ~F.replace(x, F.lit(" "), F.lit("")).rlike(r"^[-|]+$"))
     rows = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), strip))
@@ -80,9 +87,12 @@ def table_data(content: Column) -> Column:
     header = F.when(headed, F.get(rows, F.lit(0)))
     data = F.when(headed, F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(rows)
     width = F.coalesce(F.array_max(F.transform(data, F.size)), F.lit(0))
-    bare = lambda c: F.regexp_replace(c, "[$,%]", "").rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$")
-    numeric = F.when(width > 0, F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.forall(data, lambda r: F.coalesce(bare(F.get(r, i)), F.lit(False))))).otherwise(F.array().cast("array<boolean>"))
-    return F.struct(header.alias("header"), data.alias("rows"), numeric.alias("numeric"))
+    bare = F.transform(data, lambda r: F.transform(r, lambda c: F.regexp_replace(c, "[$,%]", "")))
+    is_number = lambda c: F.coalesce(c.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$"), F.lit(False))
+    columns = F.when(width > 0, F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.transform(bare, lambda r: F.get(r, i)))).otherwise(F.array().cast("array<array<string>>"))
+    numeric = F.transform(columns, lambda c: F.forall(c, is_number))
+    numbers = F.transform(columns, lambda c: F.when(F.forall(c, is_number), F.transform(c, lambda x: F.trim(x).try_cast("double"))))
+    return F.struct(header.alias("header"), bare.alias("rows"), numeric.alias("numeric"), numbers.alias("numbers"))
 
 
 def format_table(rows: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyquill.functions.text import canonical_answer, tagged
+from tallyquill.functions.text import CONTEXT_OPENING, canonical_answer, tagged
 from tallyquill.operators.programs import tokens_text, training_tokens
 
 
@@ -17,7 +17,7 @@ def conversations(turns: DataFrame, system: str = "", is_test: bool = False) ->
     (one in test data) are left out.
     """
     first = F.row_number().over(Window.partitionBy("id").orderBy("turn")) == 1
-    opening = F.concat(F.lit("I'm looking at some financial data. Here's the context:\n\n"), F.col("context"), F.lit("\n\n"), F.col("question"))
+    opening = F.concat(F.lit(CONTEXT_OPENING), F.col("context"), F.lit("\n\n"), F.col("question"))
     human = F.struct(F.lit("human").alias("role"), F.when(first, opening).otherwise(F.col("question")).alias("content"))
     reply = tagged(tokens_text(training_tokens(F.coalesce("program", F.lit("")))), canonical_answer(F.coalesce(F.col("answer").cast("string"), F.lit("N/A"))))
     assistant = F.struct(F.lit("assistant").alias("role"), reply.alias("content"))
@@ -44,10 +44,14 @@ def padded(ids: Column, length: int, pad: int = 0) -> Column:
 
 
 def marker_at(ids: Column, marker: Column) -> Column:
-    """The first place (from 0) where the marker begins, null if nowhere."""
-    n, m = F.size(ids), F.size(marker)
-    starts = F.when(n >= m, F.sequence(F.lit(0), F.greatest(n - m, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.get(F.filter(starts, lambda i: F.slice(ids, i + 1, m) == marker), F.lit(0))
+    """The first place (from 0) where the marker begins, null if nowhere.
+
+    Ids and marker are compared as text between separators, which one compiled search does.
+    """
+    said = lambda a: F.concat(F.lit(","), F.array_join(F.transform(a, lambda x: x.cast("string")), ",", "null"), F.lit(","))
+    place = F.instr(said(ids), said(marker))
+    before = F.substring(said(ids), F.lit(1), place)
+    return F.when(place > 0, F.length(before) - F.length(F.replace(before, F.lit(","))) - 1)
 
 
 def response_labels(ids: Column, marker: Column, masked: int = -100) -> Column:
@@ -89,3 +93,8 @@ def markers_in_order(text: Column, *markers: str) -> Column:
 def split_of(id_col: Column, percent: int, seed: int = 0) -> Column:
     """O3: "eval" for about ``percent`` of the ids, the same ones on every run."""
     return F.when(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(100)) < percent, "eval").otherwise("train")
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """O3: at most ``n`` rows, the first ones of a total order, as a limit on training examples."""
+    return df.orderBy(*order).limit(n)

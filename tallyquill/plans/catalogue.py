@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyquill.functions import numbers, outputs, text
-from tallyquill.operators import chunks, dialogue, predictions, programs, retrieval, tables, training
+from tallyquill.operators import chunks, dialogue, engine, predictions, programs, retrieval, tables, training
 from tallyquill.shipping import ship
 from tallyquill.sources import readers, writers
 
@@ -155,14 +155,14 @@ def document_chunks(t):
 
 
 @query("""
-SELECT n_regionkey AS id, ['name', 'key'] AS header, list([n_name, n_nationkey::VARCHAR] ORDER BY n_nationkey) AS rows, [false, true] AS numeric FROM nation GROUP BY n_regionkey""")
+SELECT n_regionkey AS id, ['name', 'key'] AS header, list([n_name, n_nationkey::VARCHAR] ORDER BY n_nationkey) AS rows, [false, true] AS numeric, [NULL, list(n_nationkey::DOUBLE ORDER BY n_nationkey)] AS numbers FROM nation GROUP BY n_regionkey""")
 def parse_pipe_rows(t):
     """Pipe tables built from nations, parsed again."""
     line = F.concat(F.lit("| "), F.col("n_name"), F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit(" |"))
     built = t("nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("ls"))
     content = F.concat(F.lit("| name | key |\n| --- | --- |\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
     parsed = built.select("id", tables.parse_pipe_table(content).alias("p"), tables.table_data(content).alias("d"))
-    return parsed.select("id", "p.header", "p.rows", "d.numeric")
+    return parsed.select("id", "p.header", "p.rows", "d.numeric", "d.numbers")
 
 
 @query("""
@@ -179,13 +179,13 @@ def html_table_format(t):
 
 
 @query("""
-SELECT 'doc_' || doc_id AS id, CASE WHEN lang = 'en' THEN lang || chr(10) || chr(10) ELSE chr(10) || chr(10) END || regexp_replace(source, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || left(text, 200) AS raw,
+SELECT 'doc_' || doc_id AS id, CASE WHEN lang = 'en' THEN lang || chr(10) || chr(10) ELSE chr(10) || chr(10) END || regexp_replace(source, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || text AS raw,
        '# doc_' || doc_id || chr(10) || chr(10) || CASE WHEN lang = 'en' THEN '## Pre-text' || chr(10) || chr(10) || lang || chr(10) || chr(10) ELSE '' END
-       || '## Table' || chr(10) || chr(10) || source || chr(10) || chr(10) || '## Post-text' || chr(10) || chr(10) || left(text, 200) || chr(10) || chr(10) || '---' || chr(10) AS markdown
+       || '## Table' || chr(10) || chr(10) || source || chr(10) || chr(10) || '## Post-text' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) AS markdown
 FROM documents""".replace("\\\\", "\\"))
 def kb_transform(t):
     """Knowledge rows and markdown of documents."""
-    docs = t("documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("lang") == "en", F.col("lang")).otherwise("").alias("pre"), F.col("source").alias("table"), F.substring("text", 1, 200).alias("post"))
+    docs = t("documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("lang") == "en", F.col("lang")).otherwise("").alias("pre"), F.col("source").alias("table"), F.coalesce("text", F.lit("")).alias("post"))
     return docs.select("id", tables.context_text(F.col("pre"), F.col("table"), F.col("post")).alias("raw"), writers.markdown(F.col("id"), F.col("pre"), F.col("table"), F.col("post")).alias("markdown"))
 
 
@@ -229,7 +229,7 @@ def metric_stats(t):
     """Sentences built from line items; counts aren't asked for."""
     rows = t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("node_id"), "l_quantity", "l_discount", "l_linenumber")
     said = F.concat(F.lit("total revenue was $"), F.col("l_quantity").cast("decimal(12,2)").cast("string"), F.lit(" million; profit margin: "), (F.col("l_discount") * 100).cast("decimal(8,2)").cast("string"), F.lit("%. "), F.col("l_linenumber").cast("string"), F.lit(" store units"))
-    values = predictions.metric_values(rows.select("node_id", said.alias("content")))
+    values = predictions.metric_values(_shipped(rows).select("node_id", said.alias("content")))
     wanted = rows.sparkSession.createDataFrame([("total revenue",), ("profit margin (%)",)], "metric string")
     return predictions.metric_stats(values, wanted)
 
@@ -252,18 +252,24 @@ def sentence_chunks(t):
 VECTORS = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
 h AS (
-  SELECT q.vec_id AS query_id, n.vec_id AS node_id, n.label < 3 AS is_table, list_cosine_similarity(q.e, n.e) AS score FROM v q JOIN v n ON n.vec_id % 20 <> 0 WHERE q.vec_id % 20 = 0),
+  SELECT q.vec_id AS query_id, n.vec_id AS node_id, n.label < 3 AS is_table, list_cosine_similarity(q.e, n.e) AS score FROM v q JOIN v n ON n.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
 a AS (
   SELECT *, row_number() OVER (PARTITION BY query_id, is_table ORDER BY round(score, 9) DESC, node_id) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) AS sc FROM h)
 """
 
 
-def _collections(t, k: int = 5):
-    """Hits of the text, the table and the context collection; vectors of small labels stand for tables."""
-    v = t("embeddings").select("vec_id", F.col("embedding").alias("vec"), (F.col("label") < 3).alias("is_table"))
+def _hits(t, k: int) -> DataFrame:
+    """One search over all vectors but the query's own, which is one of the k + 1 best; those of small labels stand for tables."""
+    v = _shipped(t("embeddings")).select("vec_id", F.col("embedding").alias("vec"), (F.col("label") < 3).cast("int").alias("is_table"))
     queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
-    nodes = v.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "node_id")
-    return [retrieval.vector_topk(queries, readers.collection(nodes, name), k) for name in ("text", "table", "context")]
+    found = retrieval.vector_topk(queries, v.withColumnRenamed("vec_id", "node_id"), k + 1, by=F.col("is_table")).where("query_id <> node_id")
+    order = Window.partitionBy("query_id", "part").orderBy("seq")
+    return found.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= k)
+
+
+def _collections(t, k: int = 5):
+    """Hits of the text, the table and the context collection."""
+    return retrieval.collection_hits(_hits(t, k), k)
 
 
 @query(VECTORS + "SELECT query_id, node_id, round(score, 6) AS score, sc::INT AS seq FROM a WHERE sc <= 5")
@@ -285,21 +291,21 @@ r AS (SELECT *, 'kept' AS part FROM kept UNION ALL SELECT query_id, node_id, sco
 )
 
 
-def _retrieved(t) -> DataFrame:
-    texts, tabs, contexts = _collections(t)
+def _retrieved(hits: DataFrame) -> DataFrame:
+    texts, tabs, contexts = retrieval.collection_hits(hits, 5)
     return retrieval.retrieve(texts, tabs.withColumn("seq", F.col("seq") + 100), contexts, least=0.3)
 
 
 @query(MERGED + "SELECT query_id, node_id, round(score, 6) AS score, part FROM r")
 def multi_query_merge(t):
-    """Merged, cut off, topped up with tables and contexts."""
-    return _retrieved(t).select("query_id", "node_id", F.round("score", 6).alias("score"), "part")
+    """Merged, cut off, topped up with tables and contexts."""
+    return _retrieved(_hits(t, 5)).select("query_id", "node_id", F.round("score", 6).alias("score"), "part")
 
 
 @query(MERGED + "SELECT query_id, count(*) FILTER (part = 'kept') AS n_kept, count(*) FILTER (part = 'table') AS n_table, count(*) FILTER (part = 'context') AS n_context, count(*) AS n_all, round(max(score), 6) AS best FROM r GROUP BY query_id")
 def retrieval_envelope(t):
     """R10, A11."""
-    return retrieval.envelope(_retrieved(t)).withColumn("best", F.round("best", 6))
+    return retrieval.envelope(_retrieved(_hits(t, 5))).withColumn("best", F.round("best", 6))
 
 
 @query(
@@ -315,8 +321,9 @@ def hybrid_keyword(t):
     """Contexts among the twenty nearest that hold a keyword of the question."""
     asked = t("conversations").where("turn = 0").select((F.col("conv_id") * 20).alias("query_id"), text.keywords(F.col("text")).alias("keywords"))
     docs = t("documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content"))
-    candidates = _collections(t, 20)[2].join(asked, "query_id").join(docs, "node_id")
-    return retrieval.keyword_hits(candidates, _retrieved(t)).select("query_id", "node_id", "seq")
+    hits = _hits(t, 20)  # the one search that all parts share
+    candidates = retrieval.collection_hits(hits, 20)[2].join(asked, "query_id").join(docs, "node_id")
+    return retrieval.keyword_hits(candidates, _retrieved(hits)).select("query_id", "node_id", "seq")
 
 
 @query(
@@ -329,9 +336,10 @@ e AS (SELECT a.query_id, a.node_id, n.na + row_number() OVER (PARTITION BY a.que
 SELECT query_id, node_id, rank::BIGINT AS rank FROM (SELECT * FROM f UNION ALL SELECT * FROM e WHERE rank <= 7)"""
 )
 def numeric_focus(t):
-    """Numeric nodes first, topped up with tables."""
-    _, _, contexts = _collections(t)
-    _, tabs, _ = _collections(t, 10)
+    """Numeric nodes first, topped up with tables."""
+    hits = _hits(t, 10)
+    _, _, contexts = retrieval.collection_hits(hits, 5)
+    _, tabs, _ = retrieval.collection_hits(hits, 10)
     return retrieval.numeric_first(contexts.withColumn("numeric", F.col("node_id") % 7 == 0), tabs, most=7)
 
 
@@ -413,8 +421,8 @@ def program_eval(t):
         .when(k == 1, F.concat(F.lit("greater("), q, F.lit(", "), (F.col("l_linenumber") * 10).cast("string"), F.lit(")")))
         .otherwise(F.concat(F.lit("subtract("), q, F.lit(", const_3), divide(#0, 0)")))
     )
-    r = programs.evaluate(programs.tokenize(said))
-    return t("lineitem").select("l_orderkey", "l_linenumber", r["invalid"].alias("invalid"), r["num"].alias("num"), r["str"].alias("str"))
+    r = programs.rounded(F.col("r"))
+    return _shipped(t("lineitem")).withColumn("r", programs.evaluate(programs.tokenize(said))).select("l_orderkey", "l_linenumber", r["invalid"].alias("invalid"), r["num"].alias("num"), r["str"].alias("str"))
 
 
 @query("""
@@ -424,7 +432,7 @@ def program_nested(t):
     o, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     nested = F.array(F.lit("divide("), o, F.lit("multiply("), c, F.lit("2"), F.lit(")"), F.lit(")"))
     flat = F.concat(programs.flatten(nested), F.array(F.lit("EOF")))
-    return t("orders").where("o_custkey > 0").select(F.col("o_orderkey").alias("id"), programs.tokens_text(flat).alias("flat"), programs.evaluate(flat)["num"].alias("num"))
+    return _shipped(t("orders")).where("o_custkey > 0").select(F.col("o_orderkey").alias("id"), programs.tokens_text(flat).alias("flat"), F.round(programs.evaluate(flat)["num"], 5).alias("num"))
 
 
 @query("""
@@ -435,13 +443,11 @@ def table_ops(t):
     rows = t("part").groupBy(F.col("p_brand").alias("brand")).agg(F.collect_list(cell).alias("cells"))
     s = programs.table_stats(F.col("cells"))
     ran = programs.evaluate(F.array(F.lit("table_max("), F.col("brand"), F.lit("none"), F.lit(")"), F.lit("EOF")), F.create_map("brand", "cells"))
-    return rows.select("brand", s["max"].alias("max"), s["min"].alias("min"), F.round(s["sum"], 4).alias("sum"), F.round(s["average"], 4).alias("average"), ran["num"].alias("program"))
+    return _shipped(rows).select("brand", s["max"].alias("max"), s["min"].alias("min"), F.round(s["sum"], 4).alias("sum"), F.round(s["average"], 4).alias("average"), F.round(ran["num"], 5).alias("program"))
 
 
-@query("""
-SELECT o_orderkey % 4 AS kind, count(*) AS n, count(*) FILTER (o_orderkey % 4 < 2) AS exe_right, count(*) FILTER (o_orderkey % 4 < 2) AS prog_right, count(*) FILTER (o_orderkey % 4 = 3) AS invalid FROM orders GROUP BY 1""")
-def program_scores(t):
-    """Predictions against gold programs: the same, turned round, with a wrong operand, broken."""
+def _scored_pairs(t) -> DataFrame:
+    """Predictions of four kinds beside the gold programs of their ids."""
     k, o, c = F.col("o_orderkey") % 4, (F.col("o_orderkey") + 7).cast("string"), (F.col("o_custkey") + 1).cast("string")
     tokens = lambda *x: F.array(*(y if not isinstance(y, str) else F.lit(y) for y in x))
     gold = tokens("add(", o, c, ")", "divide(", "#0", c, ")", "EOF")
@@ -449,8 +455,34 @@ def program_scores(t):
     wrong = tokens("add(", o, "5", ")", "divide(", "#0", "3", ")", "EOF")
     pred = F.when(k == 0, gold).when(k == 1, turned).when(k == 2, wrong).otherwise(tokens("add(", o, ")", "EOF"))
     value = (F.col("o_orderkey") + 7 + F.col("o_custkey") + 1) / (F.col("o_custkey") + 1)
-    rows = _shipped(t("orders")).select(k.alias("kind"), gold.alias("gold"), pred.alias("pred"), value.alias("exe_ans"))
-    return programs.scores(rows).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("exe_right").alias("exe_right"), F.count_if("prog_right").alias("prog_right"), F.count_if(F.col("invalid") == 1).alias("invalid"))
+    rows = _shipped(t("orders"))
+    return programs.with_gold(rows.select(F.col("o_orderkey").alias("id"), k.alias("kind"), pred.alias("pred")), rows.select(F.col("o_orderkey").alias("id"), gold.alias("gold"), value.alias("exe_ans")))
+
+
+@query("""
+SELECT o_orderkey % 4 AS kind, count(*) AS n, count(*) FILTER (o_orderkey % 4 < 2) AS exe_right, count(*) FILTER (o_orderkey % 4 < 2) AS prog_right, count(*) FILTER (o_orderkey % 4 = 3) AS invalid FROM orders GROUP BY 1""")
+def program_scores(t):
+    """Predictions against the gold programs of their ids: the same, turned round, with a wrong operand, broken."""
+    return programs.scores(_scored_pairs(t)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("exe_right").alias("exe_right"), F.count_if("prog_right").alias("prog_right"), F.count_if(F.col("invalid") == 1).alias("invalid"))
+
+
+@query("""
+SELECT count(*) AS n, count(*) FILTER (o_orderkey % 4 < 2) / count(*)::DOUBLE AS exe_acc, count(*) FILTER (o_orderkey % 4 < 2) / count(*)::DOUBLE AS prog_acc, 0::BIGINT AS unsound FROM orders""")
+def program_accuracy(t):
+    """The two accuracies among all predictions."""
+    return programs.accuracies(programs.scores(_scored_pairs(t)))
+
+
+@query("""
+SELECT count(*) AS n, 1.0::DOUBLE AS exe_acc, 1.0::DOUBLE AS prog_acc, 0::BIGINT AS unsound FROM orders""")
+def program_accuracy_nested(t):
+    """Nested predictions and gold programs, made flat before they are compared."""
+    o, c = (F.col("o_orderkey") + 7).cast("string"), (F.col("o_custkey") + 1).cast("string")
+    tokens = lambda *x: F.array(*(y if not isinstance(y, str) else F.lit(y) for y in x))
+    gold, pred = tokens("divide(", o, "add(", c, o, ")", ")", "EOF"), tokens("divide(", o, "add(", o, c, ")", ")")
+    value = (F.col("o_orderkey") + 7) / (F.col("o_custkey") + 1 + F.col("o_orderkey") + 7)
+    rows = _shipped(t("orders")).select(gold.alias("gold"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(pred, F.array(F.lit("EOF")))).otherwise(pred).alias("pred"), value.alias("exe_ans"))
+    return programs.accuracies(programs.nested_scores(rows))
 
 
 def _matched(t) -> DataFrame:
@@ -475,7 +507,7 @@ def prediction_profile(t):
 
 
 @query("""
-WITH b AS (SELECT o_orderkey % 5 AS k FROM orders) SELECT count(*) FILTER (k < 3) / count(*)::DOUBLE * 100 AS program_match, count(*) FILTER (k < 3) / count(*)::DOUBLE * 100 AS answer_match FROM b""")
+WITH b AS (SELECT o_orderkey % 5 AS k FROM orders) SELECT 100.0::DOUBLE AS program_match, count(*) FILTER (k < 3) / count(*)::DOUBLE * 100 AS answer_match FROM b""")
 def prediction_matches(t):
     """A8, A10."""
     return predictions.match_rates(predictions.with_matches(_shipped(_matched(t))))
@@ -485,13 +517,12 @@ def prediction_matches(t):
 
 
 @query("""
-WITH w AS (SELECT doc_id, list_transform(string_split(text, ' ')[1:40], lambda x: (length(x) % 11)::INT) AS ids FROM documents),
-m AS (SELECT doc_id, ids, len(ids) AS n, (SELECT min(i) FROM (SELECT unnest(range(1, len(ids))) AS i) WHERE ids[i] = 2 AND ids[i + 1] = 3) AS p FROM w),
-r AS (SELECT doc_id, unnest(range(1, n + 1)) AS i, ids, n, p FROM m)
-SELECT doc_id, list(CASE WHEN p IS NOT NULL AND i >= p THEN ids[i] ELSE -100 END ORDER BY i) AS labels, any_value(p - 1)::INT AS marker_at, list(ids[i] ORDER BY i)[1:8] AS head FROM r GROUP BY doc_id""")
+WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: (length(x) % 11)::INT) AS ids FROM documents),
+m AS (SELECT doc_id, ids, list_position(list_transform(ids, lambda x, i: x = 2 AND i < len(ids) AND ids[i + 1] = 3), true) AS p FROM w)
+SELECT doc_id, list_transform(ids, lambda x, i: CASE WHEN p > 0 AND i >= p THEN x ELSE -100 END) AS labels, CASE WHEN p > 0 THEN p - 1 END::INT AS marker_at, ids[1:8] AS head FROM m""")
 def label_mask(t):
     """Response labels over word lengths as ids, the marker being 2, 3."""
-    ids = F.transform(F.slice(F.split("text", " "), 1, 40), lambda x: F.length(x) % 11)
+    ids = F.transform(F.split("text", " "), lambda x: F.length(x) % 11)
     marker = F.array(F.lit(2), F.lit(3))
     docs = t("documents").select("doc_id", ids.alias("ids"))
     both = training.same_length(F.col("ids"), F.slice("ids", 1, 8))
@@ -499,12 +530,12 @@ def label_mask(t):
 
 
 @query("""
-WITH w AS (SELECT doc_id, list_transform(string_split(text, ' ')[1:20], lambda x: (length(x) * 3 - 9)::INT) AS ids FROM documents)
+WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: (length(x) * 3 - 9)::INT) AS ids FROM documents)
 SELECT doc_id, list_transform(list_filter(ids, lambda x: x >= 0), lambda x: least(x, 15)) AS safe, (list_position(ids, list_max(ids)) - 1)::BIGINT AS best, list_filter(ids, lambda x: x <> -100) AS counted,
        (ids || list_transform(range(24), lambda i: 0))[1:24] AS padded FROM w""")
 def token_repair(t):
     """D5, D7, D8."""
-    docs = t("documents").select("doc_id", F.transform(F.slice(F.split("text", " "), 1, 20), lambda x: F.length(x) * 3 - 9).alias("ids"))
+    docs = t("documents").select("doc_id", F.transform(F.split("text", " "), lambda x: F.length(x) * 3 - 9).alias("ids"))
     ids = F.col("ids")
     return docs.select("doc_id", training.safe_ids(ids, 16).alias("safe"), training.argmax(ids).alias("best"), training.unmasked(ids).alias("counted"), training.padded(ids, 24).alias("padded"))
 
