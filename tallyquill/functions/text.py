@@ -26,7 +26,7 @@ def strip(c: Column) -> Column:
 
 def to_double(c: Column) -> Column:
     """The number that a plain decimal literal says, else null; no casts that only one engine knows."""
-    return let(strip(c), lambda t: F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double")))
+    return F.when(c.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), strip(c).try_cast("double"))
 
 
 def double_text(d: Column) -> Column:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyquill.functions.numbers import metrics_in
+from tallyquill.functions.numbers import metrics_of
 from tallyquill.functions.text import strip, to_double, training_answer, validate_format
 
 
@@ -80,8 +83,21 @@ def profile(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFram
 
 
 def metric_values(nodes: DataFrame, id_col: str = "node_id", text_col: str = "content") -> DataFrame:
-    """(node_id, metric, value); in a node the last value of a metric counts. A row's metrics are settled in the row."""
-    return nodes.select(F.col(id_col).alias("node_id"), F.explode(metrics_in(F.col(text_col))).alias("m")).select("node_id", "m.metric", "m.value")
+    """(node_id, metric, value); in a node the last value of a metric counts.
+
+    A row's metrics are settled in the row, so nothing is shuffled.
+    """
+    rows = nodes.select(F.col(id_col).alias("node_id"), F.col(text_col).alias("content"))
+    schema = T.StructType([rows.schema["node_id"], T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType())])
+
+    def read(batches):
+        for b in batches:
+            found = [metrics_of(t) for t in b.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            metric, value = zip(*(m for f in found for m in f), strict=True) if len(at) else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(metric, pa.string()), pa.array(value, pa.float64())], schema.names)
+
+    return rows.mapInArrow(read, schema)
 
 
 def metric_stats(values: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

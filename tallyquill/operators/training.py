@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyquill.functions.text import CONTEXT_OPENING, canonical_answer, tagged
+from tallyquill.functions.text import CONTEXT_OPENING, canonical_answer, let, tagged
 from tallyquill.operators.programs import tokens_text, training_tokens
 
 
@@ -57,7 +57,7 @@ def marker_at(ids: Column, marker: Column) -> Column:
 def response_labels(ids: Column, marker: Column, masked: int = -100) -> Column:
     """The ids from the first marker on, all before (without a marker: all) masked."""
     at = F.coalesce(marker_at(ids, marker), F.size(ids))
-    return F.transform(ids, lambda x, i: F.when(i >= at, x).otherwise(F.lit(masked)))
+    return let(at, lambda begin: F.transform(ids, lambda x, i: F.when(i >= begin, x).otherwise(F.lit(masked))))  # sought once, not once an id
 
 
 def safe_ids(ids: Column, vocabulary: int) -> Column:
