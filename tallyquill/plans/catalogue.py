@@ -171,7 +171,7 @@ a AS (SELECT id, k, c1, c2, greatest(max(length(c1)) OVER (PARTITION BY id), 4)
 SELECT id, rpad('name', any_value(w1)::INT, ' ') || ' | ' || rpad('key', any_value(w2)::INT, ' ') || ' | -' || chr(10) || repeat('-', any_value(w1)::INT) || '-|-' || repeat('-', any_value(w2)::INT) || '-|--' || chr(10)
        || string_agg(rpad(c1, w1::INT, ' ') || ' | ' || rpad(c2, w2::INT, ' ') || ' | ' || '-', chr(10) ORDER BY k) AS formatted FROM a GROUP BY id""".replace("'-|--'", "'-|-' || '-'"))
 def html_table_format(t):
-    """HTML tables built from nations, numbered rows, entities and empty cells included."""
+    """HTML tables built from nations, numbered rows, entities and empty cells included."""
     row = F.concat(F.lit("<tr><td>"), (F.col("n_nationkey") + 1).cast("string"), F.lit('</td><td class="x">'), F.upper("n_name"), F.lit(" &amp; <b>"), F.col("n_name"), F.lit("</b></td><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td></td></tr>"))
     built = t("nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("rs"))
     html = F.concat(F.lit("<table><tr><th>0</th><th>name</th><th>key</th><td></td></tr>"), F.array_join(F.transform("rs", lambda x: x["row"]), ""), F.lit("</table>"))
@@ -184,7 +184,7 @@ SELECT 'doc_' || doc_id AS id, CASE WHEN lang = 'en' THEN lang || chr(10) || chr
        || '## Table' || chr(10) || chr(10) || source || chr(10) || chr(10) || '## Post-text' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) AS markdown
 FROM documents""".replace("\\\\", "\\"))
 def kb_transform(t):
-    """Knowledge rows and markdown of documents."""
+    """Contexts and markdown of documents."""
     docs = t("documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("lang") == "en", F.col("lang")).otherwise("").alias("pre"), F.col("source").alias("table"), F.coalesce("text", F.lit("")).alias("post"))
     return docs.select("id", tables.context_text(F.col("pre"), F.col("table"), F.col("post")).alias("raw"), writers.markdown(F.col("id"), F.col("pre"), F.col("table"), F.col("post")).alias("markdown"))
 
@@ -388,7 +388,7 @@ SELECT id, '<begin_of_program>' || chr(10) || CASE kind WHEN 0 THEN 'add( ' || a
        CASE kind WHEN 0 THEN a::DOUBLE WHEN 1 THEN a::DOUBLE WHEN 2 THEN a::DOUBLE END AS num FROM b"""
 )
 def output_clean(t):
-    """F5-F7, F10-F13."""
+    """F5, F6, F10-F13."""
     c = F.col("output")
     return _outputs(t).select("id", text.clean_output(c).alias("cleaned"), text.robust_answer(c).alias("answer"), text.is_valid_output(c).alias("valid"), text.validate_format(c).alias("format_ok"), text.training_answer(c)["num"].alias("num"))
 
@@ -559,7 +559,7 @@ def sharegpt_build(t):
 @query("""
 SELECT doc_id, CASE WHEN doc_id * 2654435761 % 100 < 10 THEN 'eval' ELSE 'train' END AS split FROM documents""")
 def split_hash(t):
-    """O3: a split by arithmetic on the id, which both engines know; ``training.split_of`` uses xxhash64."""
+    """An extension: a split by arithmetic on the id, which both engines know, as ``training.split_of`` (O3) does by xxhash64."""
     return t("documents").select("doc_id", F.when(F.col("doc_id") * F.lit(2654435761) % 100 < 10, "eval").otherwise("train").alias("split"))
 
 
@@ -567,7 +567,7 @@ def split_hash(t):
 SELECT i.item_id, CASE WHEN i.item_id % 2 = 0 THEN ['first', 'second part'] ELSE ['plain line'] END AS items, i.item_id % 3 = 0 AS needs, ['revenue', 'net income'] AS metrics,
   CASE i.item_id % 4 WHEN 0 THEN 'qwen' WHEN 1 THEN 'llama-3.1' WHEN 2 THEN 'llama-2' ELSE 'chatml' END AS template, i.item_id % 3 = 0 AS numeric FROM benchmark i""")
 def query_parsing(t):
-    """Lists, analyses, intents and template names."""
+    """Lists, analyses, intents and template names."""
     i = F.col("item_id")
     listed = F.when(i % 2 == 0, F.lit("1. first\n2 second part\n")).otherwise(F.lit("\nplain line\n"))
     analysis = F.concat(F.when(i % 3 == 0, "needs: True\n").otherwise("needs: no\n"), F.lit("financial_metrics: ['revenue', \"net income\", ]\noperations: []"))
@@ -584,6 +584,127 @@ def row_sentences(t):
     n = t("nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.count(F.lit(1)).cast("string").alias("n"), F.max("n_nationkey").cast("string").alias("m"))
     return n.select("id", text.remove_space(text.row_to_text(F.array(F.lit("x"), F.lit("a"), F.lit("b")), F.array(F.lit("total"), F.col("n"), F.col("m")))).alias("sentence"))
 
+# --- question answering ----------------------------------------------------------------------------------------------
+
+ASKED = """
+WITH q AS (SELECT item_id AS query_id, replace(text, chr(10), ' ') AS query FROM benchmark),
+x AS (SELECT query_id, -1 AS variant, query FROM q UNION ALL SELECT query_id, 0, trim(regexp_replace(lower(query), '^\\s+|\\s+$', '', 'g')) FROM q UNION ALL SELECT query_id, 1, 'z' || regexp_replace(query, '[aeiou]', '', 'g') || 'z' FROM q),
+ls AS (SELECT string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ') AS l),
+qv AS (SELECT query_id, variant, list_transform(l, lambda c: (length(lower(query)) - length(replace(lower(query), c, '')))::DOUBLE) AS e FROM x, ls),
+nv AS (SELECT doc_id AS node_id, contains(coalesce(text, ''), '|') AS is_table, list_transform(l, lambda c: (length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), c, '')))::DOUBLE) AS e FROM documents, ls),
+s AS (SELECT query_id, variant, node_id, is_table, list_cosine_similarity(qv.e, nv.e) AS score FROM qv, nv),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant, is_table ORDER BY round(score, 9) DESC, node_id) AS n FROM s WHERE isfinite(score))
+""".replace("\\\\", "\\")
+
+
+@query(ASKED + "SELECT query_id, node_id, round(max(score), 6) AS score, min((variant + 1) * 10 + CASE WHEN is_table THEN 5 ELSE 0 END + n)::BIGINT AS seq FROM r WHERE n <= 5 GROUP BY query_id, node_id")
+def query_variants(t):
+    """Questions, and the variants that a provider lists, against documents by letter counts."""
+    queries = _shipped(t("benchmark")).select(F.col("item_id").alias("query_id"), F.translate("text", "\n", " ").alias("query"))
+    listed = lambda p: F.concat(F.lit("1. "), F.lower(F.replace(p, F.lit(engine.EXPAND), F.lit(""))), F.lit("\n2. z"), F.regexp_replace(F.replace(p, F.lit(engine.EXPAND), F.lit("")), "[aeiou]", ""), F.lit("z"))
+    variants = engine.expanded(queries, listed)
+    nodes = retrieval.embedded(t("documents"), "text").select(F.col("doc_id").alias("node_id"), F.coalesce(F.col("text").contains("|"), F.lit(False)).alias("is_table"), "vec")
+    hits = engine.multi_query_hits(queries, variants, nodes, retrieval.letter_counts)
+    return hits.select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("seq").cast("long").alias("seq"))
+
+
+@query(VECTORS + "SELECT query_id, node_id, s::INT + CASE WHEN is_table THEN 10 ELSE 0 END AS place FROM a WHERE s <= 10")
+def numeric_nodes(t):
+    """Ten texts and ten tables for a query."""
+    return engine.numeric_nodes(_hits(t, 10)).select("query_id", "node_id", "place")
+
+
+@query("""
+WITH q AS (SELECT item_id AS query_id, replace(text, chr(10), ' ') AS query, item_id % 3 AS n FROM benchmark),
+a AS (SELECT query_id, query, n, 'ctext_search' || chr(10) || chr(10) || 'who is ' || query_id || '?' AS p1, 'ctable_search' || chr(10) || chr(10) || 'what total has ' || query_id || '?' AS p2 FROM q),
+f AS (SELECT *, 'Based on the following information:' || chr(10) || chr(10) || 'Question 1: who is ' || query_id || '?' || chr(10) || 'Answer 1: r' || length(p1) || chr(10) || chr(10)
+  || 'Question 2: what total has ' || query_id || '?' || chr(10) || 'Answer 2: r' || length(p2) || chr(10) || chr(10) || 'Please answer the original question: ' || query AS final FROM a),
+d AS (SELECT *, 'c' || CASE WHEN regexp_matches(lower(query), 'table|row|column|total|how much|how many|percent|[0-9]{4}') THEN 'table_search' ELSE 'text_search' END || chr(10) || chr(10) || query AS plain FROM f)
+SELECT query_id, CASE WHEN n = 0 THEN 'r' || length(plain) ELSE 'r' || length(final) END AS response, CASE WHEN n = 0 THEN 0 ELSE 2 END AS n_parts,
+  CASE WHEN n <> 0 THEN 'r' || length(p2) END AS second FROM d""")
+def sub_questions(t):
+    """A third of the questions is answered directly, the others by way of two, each sent to its tool."""
+    queries = _shipped(t("benchmark")).select(F.col("item_id").alias("query_id"), F.translate("text", "\n", " ").alias("query"), (F.col("item_id") % 3).alias("n"))
+    marked = queries.select("query_id", F.concat(F.col("n").cast("string"), F.lit("#"), F.col("query_id").cast("string"), F.lit("#"), F.col("query")).alias("query"))
+    said = lambda p: F.replace(p, F.lit(engine.SPLIT), F.lit(""))
+    key = lambda p: F.element_at(F.split(said(p), "#"), 2)
+    split = lambda p: F.when(said(p).startswith("0#"), said(p)).otherwise(F.concat(F.lit("1. who is "), key(p), F.lit("?\n2. what total has "), key(p), F.lit("?")))
+    find = lambda df: df.withColumn("context", F.concat(F.lit("c"), F.col("tool")))
+    respond = lambda p: F.concat(F.lit("r"), F.length(F.regexp_replace(p, r"[0-2]#\d+#", "")).cast("string"))
+    out = engine.sub_question_engine(marked, split, find, respond)
+    return out.select("query_id", "response", F.size("sub_questions").alias("n_parts"), F.get("sub_questions", F.lit(1))["response"].alias("second"))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey AS query_id, count(*) AS n_nodes, avg(l_quantity * 1e6) AS mean, median(l_quantity * 1e6) AS median, min(l_quantity * 1e6) AS min, max(l_quantity * 1e6) AS max FROM lineitem GROUP BY 1)
+SELECT query_id, n_nodes::INT AS n_metrics, mean, median, min, max, ['Calculated statistics for total revenue', 'Time period comparison requested: 2008, 2009'] AS steps, query_id % 2 = 0 AS asked FROM g""")
+def numeric_operations(t):
+    """The lines of an order as the nodes of a query."""
+    rows = _shipped(t("lineitem")).groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").agg(F.count(F.lit(1)).alias("c")).select("*", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("i"))
+    said = F.concat(F.lit("total revenue was $"), F.col("l_quantity").cast("decimal(12,2)").cast("string"), F.lit(" million"))
+    nodes = rows.select(F.col("l_orderkey").alias("query_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "i").alias("place"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "i").alias("node_id"), F.lit("s").alias("source"), F.lit(False).alias("is_table"), said.alias("content"))
+    analysis = F.concat(F.when(F.col("query_id") % 2 == 0, "true\n").otherwise("no\n"), F.lit("financial_metrics: ['total revenue', 'other']\ntime_periods: ['2008', '2009']"))
+    analyses = nodes.select("query_id").distinct().select("query_id", F.lit("how much?").alias("query"), text.query_analysis(analysis).alias("analysis"))
+    out = engine.numeric_operations(nodes, analyses, lambda p: F.lit(" done "))
+    got = lambda k: F.element_at("computed", F.lit(f"total revenue_{k}")).alias(k)
+    return out.select("query_id", F.size("extracted_metrics").alias("n_metrics"), got("mean"), got("median"), got("min"), got("max"), "steps", (F.coalesce("response", F.lit("")) == "done").alias("asked"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS id, (o_custkey % 1000)::VARCHAR AS a, o_orderkey % 3 AS k FROM orders)
+SELECT id, CASE k WHEN 2 THEN 'EOF' ELSE 'add( ' || a || ' 1 ) EOF' END AS program, CASE k WHEN 0 THEN a WHEN 1 THEN 'N/A' ELSE a END AS answer,
+  length('<s>[INST] <<SYS>>' || chr(10) || 'Only tags.' || chr(10) || '<</SYS>>' || chr(10) || chr(10) || CASE WHEN k = 0 THEN '' ELSE 'I''m looking at some financial data. Here''s the context:' || chr(10) || chr(10) || 'ctx' || chr(10) || chr(10) END || 'What of ' || a || '? [/INST]')::INT AS prompt_length FROM b""")
+def generation(t):
+    """Prompts for an instruction model, and programs and answers out of what repeats them."""
+    k, a = F.col("o_orderkey") % 3, (F.col("o_custkey") % 1000).cast("string")
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), k.alias("k"), a.alias("a"), F.concat(F.lit("What of "), a, F.lit("?")).alias("question"), F.when(k != 0, "ctx").alias("context"))
+    program, answer = F.concat(F.lit("<begin_of_program>add( "), F.col("a"), F.lit(" 1 ) EOF<end_of_program>")), F.concat(F.lit(" x <begin_of_answer> "), F.col("a"), F.lit("<end_of_answer>"))
+    said = F.when(F.col("k") == 0, F.concat(program, answer)).when(F.col("k") == 1, program).otherwise(answer)
+    out = engine.generated(rows.withColumn("said", said), lambda p: F.concat(p, F.lit("\n"), F.col("said")), "Only tags.")
+    return out.select("id", "program", "answer", F.length(text.instruct_prompt(F.col("question"), F.col("context"), "Only tags.")).alias("prompt_length"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS id, o_orderkey % 6 AS k, (o_custkey % 1000) AS v FROM orders)
+SELECT id, CASE k WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN 0 WHEN 4 THEN v WHEN 5 THEN v END::DOUBLE AS num, CASE k WHEN 3 THEN 'none said' END AS str,
+  CASE k WHEN 0 THEN ['EOF'] WHEN 1 THEN ['add(', '1', ')'] ELSE ['EOF'] END AS words,
+  CASE k WHEN 1 THEN v::VARCHAR || '%' WHEN 4 THEN v::VARCHAR WHEN 5 THEN v::VARCHAR || '.5' ELSE 'No explicit answer found' END AS shown FROM b""")
+def training_answers(t):
+    """tags, chat turns, phrases and the lone "and" of one model family."""
+    k, v = F.col("o_orderkey") % 6, (F.col("o_custkey") % 1000).cast("string")
+    turn = lambda x: F.concat(F.lit("<|im_start|>user\nhow?<|im_end|>\n<|im_start|>assistant\n"), x, F.lit("<|im_end|>"))
+    said = (
+        F.when(k == 0, turn(F.concat(F.lit("about "), v, F.lit(" or so")))).when(k == 1, F.concat(F.lit("<begin_of_program> add( 1 ) <end_of_program><begin_of_answer> "), v, F.lit("% <end_of_answer>")))
+        .when(k == 2, F.lit(" And ")).when(k == 3, turn(F.lit("None said"))).when(k == 4, F.concat(F.lit("the answer is "), v)).otherwise(F.concat(F.lit("= "), v, F.lit(".5")))
+    )
+    num = text.training_answer(said, chat=True)
+    return t("orders").select(F.col("o_orderkey").alias("id"), F.when(k == 5, F.floor(num["num"]).cast("double")).otherwise(num["num"]).alias("num"), num["str"].alias("str"), predictions.program_words(said).alias("words"), text.prompt_answer(said).alias("shown"))
+
+
+@query("""
+WITH b AS (SELECT item_id, item_id % 11 AS k, CASE item_id % 11 WHEN 0 THEN 'phi-4' WHEN 1 THEN 'qwen' WHEN 2 THEN 'llama-3.1' WHEN 3 THEN 'llama-2' WHEN 4 THEN 'gemma-3' WHEN 5 THEN 'gemma' WHEN 6 THEN 'phi-2' WHEN 7 THEN 'falcon' WHEN 8 THEN 'yi' WHEN 9 THEN 'claude' ELSE 'chatml' END AS template FROM benchmark),
+n AS (SELECT *, chr(10) AS nl FROM b)
+SELECT item_id, template, CASE WHEN template IN ('qwen', 'yi', 'chatml') THEN '<|im_start|>system' || nl || 's<|im_end|>' || nl || '<|im_start|>user' || nl || 'u<|im_end|>' || nl || '<|im_start|>assistant' || nl || 'a<|im_end|>' || nl
+  WHEN template = 'phi-4' THEN '<|im_start|>system<|im_sep|>s<|im_end|><|im_start|>user<|im_sep|>u<|im_end|><|im_start|>assistant<|im_sep|>a<|im_end|>'
+  WHEN template = 'llama-3.1' THEN '<|system|>' || nl || 's' || nl || '<|user|>' || nl || 'u' || nl || '<|assistant|>' || nl || 'a' || nl
+  WHEN template = 'llama-2' THEN '<s><<SYS>>' || nl || 's' || nl || '<</SYS>>' || nl || nl || '[INST] u [/INST] a </s><s>'
+  WHEN template IN ('gemma-3', 'gemma') THEN '<bos>s' || nl || '<start_of_turn>user' || nl || 'u<end_of_turn>' || nl || '<start_of_turn>model' || nl || 'a<end_of_turn>' || nl
+  WHEN template = 'phi-2' THEN 's' || nl || 'Instruct: u' || nl || 'Output: a' || nl WHEN template = 'falcon' THEN 'System: s' || nl || 'User: u' || nl || 'Falcon: a' || nl
+  ELSE 's' || nl || 'Human: u' || nl || 'Assistant: a' || nl END AS rendered FROM n""")
+def chat_templates(t):
+    """each template that a model's name can lead to."""
+    names = ["microsoft/phi4-mini", "Qwen2-7B", "Llama3.1-8B", "Mistral-7B", "google/gemma3-4b", "gemma-7b", "phi-2", "falcon-7b", "Yi-6B", "claude-x", "other"]
+    model = F.element_at(F.array(*map(F.lit, names)), (F.col("item_id") % len(names) + 1).cast("int"))
+    name = text.template_name(model)
+    messages = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(r[0]).alias("content")) for r in ("system", "user", "assistant")))
+    said = F.lit(None).cast("string")
+    for x in text.TEMPLATES:
+        said = F.when(name == x, text.render(messages, x)).otherwise(said)
+    return t("benchmark").select("item_id", name.alias("template"), said.alias("rendered"))
+
+
+# --- extension -------------------------------------------------------------------------------------------------------
+
 
 @query("""
 SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
