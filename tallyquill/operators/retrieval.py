@@ -17,8 +17,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """The vector in double precision, scaled to length 1; computed once a row, not once a pair."""
-    norm = F.sqrt(dot(v, v))
+    """The vector in double precision, scaled to length 1; computed once a row, not once a pair. One of zeros becomes one of nulls."""
+    norm = F.nullif(F.sqrt(dot(v, v)), F.lit(0.0))
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 

@@ -8,18 +8,20 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Bytes of an Arrow batch for a Python worker: texts differ in length by orders of magnitude, and what a
-#: worker makes of a batch is several times as large. A bound that the session sets itself stays.
-BATCH_BYTES, DEFAULT_BYTES, MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), 8 << 20
+#: A setting of this engine: bytes of an Arrow batch for a Python worker, where the session doesn't set Spark's own.
+#: Texts differ in length by orders of magnitude, and what a worker makes of a batch is several times as large.
+OWN_BYTES, BATCH_BYTES, MOST_BYTES = "tallyquill.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Adds this package's modules to the application's Python files, once a context.
 
-    It bounds the batches sent to the workers, too. The driver serves the archive to the executors; no executor reads the driver's disk.
+    The first call also bounds the batches sent to Python workers: to ``tallyquill.arrow.maxBytesPerBatch``
+    (8 MB), unless the session has a value of its own for Spark's setting, whichever it is. The driver
+    serves the archive to the executors; no executor reads the driver's disk.
     """
-    if spark.conf.get(BATCH_BYTES).rstrip("bB") == DEFAULT_BYTES:
-        spark.conf.set(BATCH_BYTES, str(MOST_BYTES))
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, spark.conf.get(OWN_BYTES, str(MOST_BYTES)))
     sc = spark.sparkContext
     if getattr(sc, "_tallyquill_shipped", False):
         return

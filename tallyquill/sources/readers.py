@@ -2,43 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyquill.operators.tables import context_text, format_table, table_text
 from tallyquill.sources import schemas
 
 
-def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array in one file; a malformed file fails. ``seq`` is not added: order comes from ids."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_array(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") -> DataFrame:
+    """The objects of JSON arrays, a file each; a malformed file fails."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", mode).json(path)
 
 
-def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
-    """Knowledge items, the last one of an id counting."""
-    items = spark.read.option("multiLine", True).option("wholetext", True).text(path)
-    parsed = items.select(F.posexplode(F.from_json("value", f"ARRAY<STRUCT<{_colons(schemas.KNOWLEDGE)}>>", {"mode": "FAILFAST"})).alias("seq", "item"))
-    last = parsed.groupBy("item.id").agg(F.max_by("item", "seq").alias("item"))
-    return last.select("item.*")
+def read_numbered(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") -> DataFrame:
+    """The objects of JSON arrays with ``seq``, their place in their file from 0.
+
+    The parser gives the rows of a file one by one and in order, so the numbers that rows get as they
+    are read rise with their places; they are counted by file.
+    """
+    rows = read_array(spark, path, schema, mode).select("*", F.col("_metadata.file_path").alias("__file")).withColumn("__at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("__file").orderBy("__at")) - 1
+    return rows.withColumn("seq", place)
 
 
-def _colons(ddl: str) -> str:
-    """Top-level ``a T, b T`` as ``a:T, b:T``."""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(ddl + ","):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            name, kind = ddl[start:i].strip().split(" ", 1)
-            out.append(f"{name}:{kind}")
-            start = i + 1
-    return ", ".join(out)
+def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
+    """Knowledge items, the last one of an id counting."""
+    items = read_numbered(spark, path, schemas.KNOWLEDGE)
+    data = [c for c in items.columns if c not in ("__file", "__at", "seq")]
+    return items.groupBy(F.col("id").alias("__id")).agg(F.max_by(F.struct(*data), F.struct("__file", "__at")).alias("item")).select("item.*")
 
 
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
     """Dialogues with their place in the file."""
-    whole = spark.read.option("wholetext", True).text(path)
-    parsed = whole.select(F.posexplode(F.from_json("value", f"ARRAY<STRUCT<{_colons(schemas.DIALOGUE)}>>", {"mode": "FAILFAST"})).alias("seq", "d"))
-    return parsed.select("seq", "d.*")
+    return read_numbered(spark, path, schemas.DIALOGUE).drop("__file", "__at")
 
 
 def inference_examples(dialogues: DataFrame) -> DataFrame:
@@ -70,9 +66,8 @@ def raw_output(df: DataFrame) -> Column:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(id, output); ids by place where the file has none."""
-    whole = spark.read.option("wholetext", True).text(path)
-    parsed = whole.select(F.posexplode(F.from_json("value", f"ARRAY<STRUCT<{_colons(schemas.PREDICTION)}>>")).alias("seq", "p")).select("seq", "p.*")
+    """(id, output); ids by place where the file has none."""
+    parsed = read_numbered(spark, path, schemas.PREDICTION, "PERMISSIVE")
     return parsed.select(F.coalesce("id", F.concat(F.lit("example_"), F.col("seq").cast("string"))).alias("id"), raw_output(parsed).alias("output"))
 
 

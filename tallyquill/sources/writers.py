@@ -30,12 +30,26 @@ def write_markdown(docs: DataFrame, path: str) -> None:
     docs.select(markdown(F.col("id"), F.col("pre"), F.col("table"), F.col("post")).alias("value")).write.mode("overwrite").text(path)
 
 
-def evaluation_json(metrics: DataFrame, results: DataFrame, path: str) -> None:
-    """K1: the metrics and the results of the examples, side by side."""
+def evaluation_tables(metrics: DataFrame, results: DataFrame, path: str) -> None:
+    """K1, at any size: the metrics and the results of the examples, side by side."""
     metrics.write.mode("overwrite").json(f"{path}/metrics")
     results.write.mode("overwrite").json(f"{path}/example_results")
 
 
+def evaluation_json(metrics: DataFrame, results: DataFrame, path: str, id_col: str = "example_id") -> None:
+    """K1: one JSON object, ``{"metrics": ..., "example_results": [...]}``, the results in order of their ids, which differ.
+
+    It is one file, so one task writes it, row by row; nothing is gathered in memory.
+    """
+    row = lambda df: F.to_json(F.struct(*df.columns))
+    head = metrics.limit(1).select(F.lit(0).alias("part"), F.lit(None).cast("string").alias("key"), F.concat(F.lit('{"metrics": '), row(metrics), F.lit(', "example_results": [')).alias("value"))
+    smallest = results.agg(F.min(F.col(id_col).cast("string")).alias("least")).first()["least"]
+    comma = F.when(F.col(id_col).cast("string").eqNullSafe(F.lit(smallest)), "").otherwise(", ")
+    body = results.select(F.lit(1).alias("part"), F.col(id_col).cast("string").alias("key"), F.concat(comma, row(results)).alias("value"))
+    tail = metrics.limit(1).select(F.lit(2).alias("part"), F.lit(None).cast("string").alias("key"), F.lit("]}").alias("value"))
+    head.union(body).union(tail).coalesce(1).sortWithinPartitions("part", "key").select("value").write.mode("overwrite").text(path)
+
+
 def write_splits(df: DataFrame, path: str) -> None:
     """K4: a folder per split."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)

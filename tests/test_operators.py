@@ -1,12 +1,16 @@
 import json
+import random
+import re
+import time
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyquill.functions import text
-from tallyquill.operators import chunks, dialogue, predictions, retrieval, tables, training
+from tallyquill.functions import numbers, text
+from tallyquill.operators import chunks, dialogue, predictions, programs, retrieval, tables, training
 from tallyquill.sources import readers, writers
 from tallyquill.streaming import ingest
 
@@ -120,6 +124,69 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.write_splits(training.with_splits(train=docs, test=docs), str(tmp_path / "s"))
     assert readers.read_split(spark, str(tmp_path / "s")).count() == 1 and readers.read_split(spark, str(tmp_path / "s"), "validation").count() == 1
     assert writers.inspect(docs)["first"]["id"] == "i"
+    results = spark.createDataFrame([("b", 1.0), ("a", 0.5), ("c", 0.0)], "example_id string, accuracy double").repartition(3)
+    writers.evaluation_json(spark.createDataFrame([(0.5, 3)], "overall_accuracy double, examples_evaluated long"), results, str(tmp_path / "e"))
+    (part,) = (tmp_path / "e").glob("part-*")
+    assert json.loads(part.read_text()) == {"metrics": {"overall_accuracy": 0.5, "examples_evaluated": 3}, "example_results": [{"example_id": x, "accuracy": y} for x, y in (("a", 0.5), ("b", 1.0), ("c", 0.0))]}
+
+
+def test_J2_fails_on_ids_that_are_missing_or_twice_there(spark):
+    gold = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("c", 4)], "id string, g int")
+    pred = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    assert sorted(map(tuple, programs.with_gold(pred("a", "b", "a"), gold).select("id", "g").collect())) == [("a", 1), ("a", 1), ("b", 2)]
+    for wrong in ("c", "x", None):
+        with pytest.raises(Exception, match="gold row"):
+            programs.with_gold(pred("a", wrong), gold).collect()
+
+
+def test_P10_answers_may_be_words(spark):
+    rows = [("greater( 5 3 ) EOF", "yes"), ("greater( 3 5 ) EOF", "yes"), ("add( 1 2 ) EOF", "3.0"), ("add( 1 2 EOF", "3.0")]
+    df = spark.createDataFrame([(p.split(), p.split(), a) for p, a in rows], "gold array<string>, pred array<string>, exe_ans string")
+    got = programs.scores(df).select("exe_right", "prog_right", "sound").collect()
+    assert [tuple(r) for r in got] == [(True, True, True), (False, True, False), (True, True, True), (False, False, True)]
+    assert tuple(programs.accuracies(programs.scores(df)).first()) == (4, 0.5, 0.75, 1)
+
+
+def test_R4_modes_parts_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    monkeypatch.setattr(retrieval, "GROUP", 2)
+    r = np.random.RandomState(2)
+    x = r.normal(size=(40, 5)).round(1)
+    nodes = [(i, [float(c) for c in v], i % 3) for i, v in enumerate(x)] + [(100, None, 0), (101, [0.0] * 5, 1), (102, [1.0, 2.0], 2)]
+    queries = spark.createDataFrame([(f"q{i}", [float(c) for c in x[i]]) for i in range(7)], "query_id string, vec array<double>").repartition(2)
+    got = retrieval.vector_topk(queries, spark.createDataFrame(nodes, "node_id long, vec array<double>, kind int").repartition(3), 4, "exp_neg_l2sq", by=F.col("kind")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(7):
+        for kind in range(3):
+            best = sorted((-round(float(np.exp(2 * unit[q] @ unit[i] - 2)), 9), i) for i in range(40) if i % 3 == kind)[:4]
+            assert [(-round(g["score"], 9), g["node_id"]) for g in sorted((g for g in got if g["query_id"] == f"q{q}" and g["part"] == kind), key=lambda g: g["seq"])] == best
+
+
+def test_T1_without_tables_or_text(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "no | table"), (4, "a|b|c\nx\n\n|d|\ne|f|"), (5, "\n\n")], "doc_id long, text string")
+    assert [tuple(r) for r in tables.extract_tables(df).orderBy("first_line").collect()] == [(4, 0, 0, 1, "a|b|c"), (4, 1, 3, 2, "|d|\ne|f|")]
+    assert [tuple(r) for r in tables.split_document(df).orderBy("doc_id", "chunk_no").collect()] == [(3, "3", "text", 0, "no | table"), (4, "4_table_0", "table", 0, "a|b|c"), (4, "4_text_1", "text", 1, "x"), (4, "4_table_2", "table", 2, "|d|\ne|f|")]
+
+
+def test_C5_linear_and_alike(spark):
+    """One try a stretch finds what the patterns find over the whole text, and long prose takes no time."""
+    r = random.Random(4)
+    parts = ["revenue", "growth", "rate", "net income", " ", " was ", ": ", "$", "5", "1,200.5", "%", " million", " m", ".", "stores", " years", "the ", "\n", "1.2.3", ",", "k"]
+    for _ in range(4000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        want = {}
+        for pattern, name, value, suffix in ((numbers.AMOUNT, 1, 2, ""), (numbers.PERCENT, 1, 2, " (%)"), (numbers.COUNT, 2, 1, "")):
+            for m in re.finditer(pattern, t):
+                try:
+                    v = float(m[value].replace(",", ""))
+                except ValueError:
+                    continue
+                unit = (m[3] or "").lower() if pattern is numbers.AMOUNT else ""
+                want[m[name].strip().lower() + suffix] = v / 100 if suffix else v * (next(x for u, x in numbers.UNITS if u in unit) if unit else 1)
+        assert dict(numbers.metrics_of(t)) == want, t
+    began = time.time()
+    assert numbers.metrics_of("the growth of words " * 20_000) == [] and numbers.metrics_of(None) == []
+    assert time.time() - began < 5
 
 
 def test_streaming_matches_batch(spark, tiny, tmp_path):
