@@ -25,10 +25,8 @@ SAMPLES, BITS = 256, 512
 LONGS = BITS // 64
 #: Classes on one side of a block in which a bucket is searched in full.
 BLOCK = 256
-#: A key with more than one part in so many of all rows is hot.
-HOT = 2000
 #: Words of which a Python worker keeps the hash.
-MOST_KNOWN = 400_000
+MOST_KNOWN = 200_000
 _M1, _M2, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,8 +197,8 @@ def block_rows(placed: DataFrame, sketch: DataFrame) -> DataFrame:
     share = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     sizes = share.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
     parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = written(sizes.select("key", F.col("top.label").alias("major"), parts(F.col("all") - F.col("top.m")).alias("nl"), parts(F.col("all")).alias("nr"), F.col("all").alias("m")), "bucket-sizes")
-    rows = meet(placed, sizes).drop("m").join(sketch, "rep")
+    sizes = written(sizes.select("key", F.col("top.label").alias("major"), parts(F.col("all") - F.col("top.m")).alias("nl"), parts(F.col("all")).alias("nr")), "bucket-sizes")
+    rows = placed.join(sizes, "key").join(sketch, "rep")
     dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     data = ["rep", "label", "n", *(f"s{i}" for i in range(LONGS))]
@@ -287,17 +285,6 @@ def near_enough(x: np.ndarray, y: np.ndarray, least: int) -> bool:
     return both * 100 >= (len(x) + len(y) - both) * least
 
 
-def meet(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """``rows`` (key, ...) with their key's one row of ``facts`` (key, m, ...), m being at most the key's rows.
-
-    Keys with more than one part in ``HOT`` of all rows, of which there can't be more than ``HOT``, are
-    broadcast, so that their rows stay where they are; the rest are joined by key.
-    """
-    total = facts.agg(F.sum("m").alias("m")).first()["m"] or 0
-    hot, cold = facts.where(F.col("m") * HOT > total), facts.where(F.col("m") * HOT <= total)
-    return rows.join(F.broadcast(hot), "key").union(rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -349,8 +336,8 @@ def row_components(base: DataFrame, least: int) -> DataFrame:
         reps = written(signed.where("n > 0").groupBy(*group).agg(F.min("doc_id").alias("rep"), *first), "classes")
         sketch = reps.select("rep", "n", *marks)
         keys = band_keys(reps, n_bands)
-        ends = written(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high"), "bucket-ends")
-        buckets = written(meet(keys, ends).drop("m"), "buckets")
+        ends = written(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high"), "bucket-ends")
+        buckets = written(keys.join(ends, "key"), "buckets")  # a hot key is a skewed join, which adaptive execution splits
 
         def sets_of(some: DataFrame) -> DataFrame:
             ids = some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct()
@@ -366,8 +353,9 @@ def row_components(base: DataFrame, least: int) -> DataFrame:
 
         label = F.coalesce("label", "rep")
         placed = buckets.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", label.alias("label"))
-        mixed_up = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-        placed = written(meet(placed, written(mixed_up.select("key", "m"), "mixed-keys")).drop("m"), "mixed")
+        mixed_up = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        # the keys are written first: in a stage that also groups by key a hot key's join couldn't be split
+        placed = written(placed.join(written(mixed_up, "mixed-keys"), "key"), "mixed")
         unwritten(buckets)
         if not placed.isEmpty():
             rows = written(searched(block_rows(placed, sketch), partial(screened, least=least)), "near-rows")
