@@ -28,8 +28,8 @@ PREFIXES = range(3, 9)
 LEVELS = ((2, 1 / 400), (2, 1 / 150), (3, 1 / 150), (3, 1 / 60))
 #: Tokens of which a Python worker keeps the features.
 MOST_KNOWN = 500_000
-#: Words that a task counts before it turns them into trigrams.
-MOST_COUNTED = 200_000
+#: Tokens that a task counts before it turns them into trigrams.
+MOST_COUNTED = 400_000
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "¡": "i", "£": "l", "*": "aeiou"}
@@ -143,23 +143,25 @@ class Reader:
         self.chosen, self.language = chosen, language
         self.bases = {k.partition("#")[0] for k in chosen}
         self.known: dict[str, tuple[str, ...]] = {}
+        self.plain: set[str] = set()  # tokens known to have no feature, which most have
 
     def of_token(self, token: str) -> tuple[str, ...]:
         found = tuple({w[:n] for w in clear_words(token, self.language) for n in PREFIXES if len(w) >= n and w[:n] in self.bases})
-        if len(self.known) < MOST_KNOWN:
-            self.known[token] = found
+        if len(self.known) + len(self.plain) < MOST_KNOWN:
+            if found:
+                self.known[token] = found
+            else:
+                self.plain.add(token)
         return found
 
     def features(self, text: str) -> set[str]:
         text = text.lower()
         tokens = text.split()
         known, counts = self.known, {}
-        for t, n in Counter(tokens).items():
-            found = known.get(t)
-            if found is None:
-                found = self.of_token(t)
-            for k in found:
-                counts[k] = counts.get(k, 0) + n
+        said = Counter(tokens)
+        for t in said.keys() - self.plain:
+            for k in known.get(t) or self.of_token(t):
+                counts[k] = counts.get(k, 0) + said[t]
         for w in spaced_words(text, self.language):
             for k in {w[:n] for n in PREFIXES if len(w) >= n and w[:n] in self.bases}:
                 counts[k] = counts.get(k, 0) + 1
@@ -186,35 +188,28 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, n: int, penalty: float = 0.2
 
 
 def language_of(docs: DataFrame, text_col: str = "text", most_counted: int = MOST_COUNTED) -> Language:
-    """The trigrams of the words of all documents, a word counting once a document.
+    """The trigrams of the words of all documents, a token of them counting once a document.
 
-    Each task counts its words and gives its trigrams; their sums come to the driver. Their number
-    grows with the scripts and languages in the documents, far slower than the documents do.
+    Each task counts its tokens and gives the trigrams of their words; the sums come to the driver.
+    Their number grows with the scripts and languages in the documents, far slower than the documents do.
     """
 
     def count(batches):
-        known: dict[str, list[str]] = {}
         seen: Counter = Counter()
         grams: Counter = Counter()
 
         def spell():
-            for w, n in seen.items():
-                spelled = "^^" + w + "$"
-                for i in range(len(spelled) - 2):
-                    grams[spelled[i : i + 3]] += n
+            for t, n in seen.items():
+                for w in clear_words(t, None):
+                    if len(w) > 1:
+                        spelled = "^^" + w + "$"
+                        for i in range(len(spelled) - 2):
+                            grams[spelled[i : i + 3]] += n
             seen.clear()
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                words: set[str] = set()
-                for t in set(text.lower().split()):
-                    found = known.get(t)
-                    if found is None:
-                        found = [w for w in clear_words(t, None) if len(w) > 1]
-                        if len(known) < most_counted:
-                            known[t] = found
-                    words.update(found)
-                seen.update(words)
+                seen.update(set(text.lower().split()))
                 if len(seen) > most_counted:
                     spell()
         spell()
