@@ -112,9 +112,10 @@ def number_details(texts: pd.Series) -> pd.Series:
     flat["is_percentage"] = [x.startswith("%") for x in behind]
     flat["is_currency"] = ["$" in x for x in cut((flat["start"] - 1).clip(lower=0), flat["end"] + 1)]
     flat["value"] *= flat["factor"] / flat["is_percentage"].map({True: 100.0, False: 1.0})
-    flat = flat.rename(columns={"start": "position"})[["row", "value", "is_currency", "is_percentage", "context", "position"]]
-    by_row = {row: part.drop(columns="row").to_dict("records") for row, part in flat.groupby("row")}
-    return pd.Series([by_row.get(i, []) for i in range(len(spans))], dtype=object)
+    out: list[list[dict]] = [[] for _ in spans]
+    for row, record in zip(flat["row"], flat.rename(columns={"start": "position"})[NUMBER_ROW.elementType.names].to_dict("records"), strict=True):
+        out[row].append(record)
+    return pd.Series(out, dtype=object)
 
 
 def all_numbers(text: Column) -> Column:
