@@ -703,6 +703,59 @@ def chat_templates(t):
     return t("benchmark").select("item_id", name.alias("template"), said.alias("rendered"))
 
 
+@query("""
+SELECT page_id, regexp_replace(html, '<.*?>', '', 'g') AS plain, CASE WHEN regexp_matches(lower(url), 'table|row|column|total|how much|how many|percent|[0-9]{4}') THEN 'table' ELSE 'text' END AS tool,
+  strpos(html, '<body') > 0 AND strpos(html, '<article') > strpos(html, '<body') AND strpos(html, '</html>') > strpos(html, '<article') AS in_order FROM pages""")
+def page_cleaning(t):
+    """Pages without their tags, the route of their addresses, markers in order."""
+    return t("pages").select("page_id", text.clean_html(F.col("html")).alias("plain"), text.route(F.col("url")).alias("tool"), training.markers_in_order(F.col("html"), "<body", "<article", "</html>").alias("in_order"))
+
+
+@query("""
+WITH m AS (SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN 'about ' || turn || ' of it' WHEN 1 THEN 'nothing' ELSE '<begin_of_answer>' || turn || '<end_of_answer>' END AS said FROM conversations),
+i AS (SELECT *, CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN '<begin_of_program>' || chr(10) || 'EOF' || chr(10) || '<end_of_program>' || chr(10) || chr(10) || '<begin_of_answer>' || chr(10) || turn || chr(10) || '<end_of_answer>' ELSE said END AS content FROM m)
+SELECT conv_id, list(content ORDER BY turn) AS contents, CASE WHEN count(*) FILTER (role = 'assistant') > 0 THEN regexp_replace(arg_max(content, turn) FILTER (role = 'assistant'), '^\\s+|\\s+$', '', 'g') ELSE string_agg('<|im_start|>' || role || chr(10) || content || '<|im_end|>' || chr(10), '' ORDER BY turn) END AS last_said FROM i GROUP BY conv_id""".replace("\\\\", "\\"))
+def answer_tags(t):
+    """numbers of untagged replies get tags; the last reply is read back from the rendered chat."""
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("about "), F.col("turn").cast("string"), F.lit(" of it"))).when(F.col("turn") % 3 == 1, "nothing").otherwise(F.concat(F.lit("<begin_of_answer>"), F.col("turn").cast("string"), F.lit("<end_of_answer>")))
+    held = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", said.alias("content")))).alias("ms"))
+    tagged = held.select("conv_id", text.inject_answer_tags(F.col("ms")).alias("ms"))
+    return tagged.select("conv_id", F.transform("ms", lambda m: m["content"]).alias("contents"), text.last_assistant_turn(text.render(F.col("ms"), "chatml")).alias("last_said"))
+
+
+@query("""
+SELECT 'doc_' || doc_id AS id, regexp_replace(CASE WHEN doc_id % 2 = 0 THEN ' ' || lang ELSE '' END || chr(10) || chr(10) || source || chr(10) || chr(10) || text, '^\\s+|\\s+$', '', 'g') AS content, 'made' AS source, lang AS filename FROM documents""".replace("\\\\", "\\"))
+def knowledge_base(t):
+    """Documents as knowledge items."""
+    docs = t("documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("filename"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.col("lang"))).otherwise("").alias("pre"), F.col("source").alias("table"), F.col("text").alias("post"))
+    return writers.knowledge_rows(docs, "made").select("id", "content", "metadata.source", "metadata.filename")
+
+
+@query("""
+WITH c AS (SELECT conv_id AS id, list(text ORDER BY turn) FILTER (role = 'user') AS q, list(length(text) ORDER BY turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY 1),
+x AS (SELECT id, q, a, unnest(range(0, least(coalesce(len(q), 0), coalesce(len(a), 0)))) AS turn FROM c)
+SELECT id, turn::INT AS turn, q[turn + 1] AS question, a[turn + 1]::VARCHAR AS gold, 'train' AS split FROM x WHERE id % 2 = 0
+UNION ALL SELECT id, turn::INT, q[turn + 1], a[turn + 1]::VARCHAR, 'test' FROM x WHERE id % 2 = 1""")
+def zipped_turns(t):
+    """Questions and answers as parallel arrays, zipped to turns up to the shorter one, in two splits."""
+    of = lambda role, c: F.transform(F.filter("ms", lambda m: m["role"] == role), lambda m: m[c])
+    held = t("conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", F.length("text").alias("n")))).alias("ms"))
+    turns = dialogue.turns_of(held.select("id", of("user", "text").alias("q"), of("assistant", "n").alias("a")), "q", "a")
+    return training.with_splits(train=turns.where("id % 2 = 0"), test=turns.where("id % 2 = 1"))
+
+
+@query("""
+SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN rpad('k', greatest(1, length(n_name))::INT, ' ') || chr(10) || repeat('-', greatest(1, length(n_name))::INT) || chr(10) || rpad(n_name, greatest(1, length(n_name))::INT, ' ')
+  WHEN 1 THEN 'No table data found.' WHEN 2 THEN n_name || chr(10) || repeat('-', length(n_name)::INT) ELSE '' END AS shown FROM nation""")
+def table_cascade(t):
+    """The annotation's table, its sentinel, a direct table, or none."""
+    k, cells = F.col("n_nationkey") % 4, F.array(F.array("n_name"))
+    none = F.array().cast("array<array<string>>")
+    html = F.when(k == 0, F.concat(F.lit("<table><tr><td>k</td></tr><tr><td>"), F.col("n_name"), F.lit("</td></tr></table>"))).otherwise("")
+    shown = tables.table_text(k < 2, html, none, F.when(k == 2, cells).otherwise(none))
+    return t("nation").select(F.col("n_nationkey").alias("id"), shown.alias("shown"))
+
+
 # --- extension -------------------------------------------------------------------------------------------------------
 
 
