@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyquill.functions.numbers import numbers_in
 
@@ -21,37 +26,56 @@ def word_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return parts.select("doc_id", "chunk_no", F.size("part").alias("n_words"), F.array_join("part", " ").alias("content"))
 
 
+_SENTENCE, _WORD = re.compile(r"(?<=[.!?])\s+"), re.compile(r"\S+")
+
+
+def packed_sentences(text: str | None, size: int, overlap: int) -> list[tuple[int, str]]:
+    """The chunks of a text with their numbers of words, in one pass over its sentences."""
+    out: list[tuple[int, str]] = []
+    now: list[tuple[str, int]] = []
+    n = 0
+
+    def close() -> None:
+        out.append((n, " ".join(s for s, _ in now)))
+
+    for s in _SENTENCE.split(text or ""):
+        if not s.strip(" "):
+            continue
+        words = len(_WORD.findall(s))
+        if now and n + words > size:
+            close()
+            first, kept = len(now), 0
+            while first > 1 and kept + now[first - 1][1] <= overlap:
+                first -= 1
+                kept += now[first][1]
+            now, n = (now[first:], kept) if kept + words <= size else ([], 0)
+        now.append((s, words))
+        n += words
+    if now:
+        close()
+    return out
+
+
 def sentence_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 512, overlap: int = 50) -> DataFrame:
     """Whole sentences packed greedily into chunks of at most ``size`` words.
 
     A chunk begins with those last sentences of the one before that have at most ``overlap`` words.
-    A sentence longer than ``size`` is a chunk of its own. One pass of a fold over the sentences.
+    A sentence longer than ``size`` is a chunk of its own. Time is in proportion to the text; the
+    packing depends on all that was packed before, so it runs in Arrow batches.
     """
-    sentences = F.filter(F.split(F.col(text_col), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
-    empty = F.array().cast("array<struct<s:string,n:int>>")
-    start = F.struct(F.array().cast("array<string>").alias("done"), empty.alias("now"), F.lit(0).alias("n"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y["n"])
-    text = lambda a: F.array_join(F.transform(a, lambda x: x["s"]), " ")
-
-    def tail(now: Column) -> Column:
-        keep = F.filter(now, lambda x, i: (i > 0) & (total(F.slice(now, i + 1, F.size(now))) <= overlap))
-        return keep
-
-    def add(acc: Column, s: Column) -> Column:
-        n = F.size(words_of(s))
-        one = F.array(F.struct(s.alias("s"), n.alias("n")))
-        fits = (acc["n"] + n <= size) | (F.size(acc["now"]) == 0)
-        kept = tail(acc["now"])
-        kept = F.when(total(kept) + n <= size, kept).otherwise(empty)
-        return F.struct(
-            F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(text(acc["now"])))).alias("done"),
-            F.when(fits, F.concat(acc["now"], one)).otherwise(F.concat(kept, one)).alias("now"),
-            F.when(fits, acc["n"] + n).otherwise(total(kept) + n).alias("n"),
-        )
-
-    packed = F.aggregate(sentences, start, add, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(text(acc["now"])))).otherwise(acc["done"]))
-    parts = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(packed).alias("chunk_no", "content"))
-    return parts.select("doc_id", "chunk_no", F.concat_ws("_", F.col("doc_id").cast("string"), F.lit("text_chunk"), F.col("chunk_no").cast("string")).alias("node_id"), F.size(words_of(F.col("content"))).alias("n_words"), "content")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, k) for c, k in (("chunk_no", T.IntegerType()), ("n_words", T.IntegerType()), ("content", T.StringType())))])
+
+    def pack(batches):
+        for b in batches:
+            found = [packed_sentences(t, size, overlap) for t in b.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            flat = [(i, *c) for f in found for i, c in enumerate(f)]
+            columns = zip(*flat, strict=True) if flat else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.string()), strict=True))], schema.names)
+
+    parts = rows.mapInArrow(pack, schema)
+    return parts.select("doc_id", "chunk_no", F.concat_ws("_", F.col("doc_id").cast("string"), F.lit("text_chunk"), F.col("chunk_no").cast("string")).alias("node_id"), "n_words", "content")
 
 
 def annotate(nodes: DataFrame, text_col: str = "content", most: int = 10) -> DataFrame:

@@ -244,7 +244,7 @@ def number_details(t):
 @query()
 def sentence_chunks(t):
     """Whole sentences packed into chunks."""
-    return chunks.sentence_chunks(t("documents"), size=128, overlap=20)
+    return chunks.sentence_chunks(_shipped(t("documents")), size=128, overlap=20)
 
 
 # --- retrieval -------------------------------------------------------------------------------------------------------

@@ -50,6 +50,28 @@ def test_C1_chunks_keep_all_sentences(spark):
     assert got[1]["content"].split()[:3] == got[0]["content"].split()[-3:]
 
 
+def test_C1_equals_a_plain_packing(spark):
+    """Each chunk is the longest run of sentences that fits, after the overlap of the one before."""
+    r = random.Random(6)
+    for _ in range(300):
+        sentences = [" ".join("w" * r.randint(1, 3) for _ in range(r.randint(1, 9))) + r.choice(".!?") for _ in range(r.randint(0, 20))]
+        size, overlap = r.randint(5, 15), r.randint(0, 6)
+        count = lambda some: sum(len(s.split()) for s in some)
+        want, start, end = [], 0, 0
+        while end < len(sentences):
+            stop = end + 1
+            while stop < len(sentences) and count(sentences[start : stop + 1]) <= size:
+                stop += 1
+            want.append((count(sentences[start:stop]), " ".join(sentences[start:stop])))
+            if stop == len(sentences):
+                break
+            back = next(b for b in range(start + 1, stop + 1) if count(sentences[b:stop]) <= overlap)
+            start, end = (back if count(sentences[back : stop + 1]) <= size else stop), stop
+        assert chunks.packed_sentences(" ".join(sentences), size, overlap) == want
+    df = spark.createDataFrame([(1, None), (2, "  "), (3, "A b. " * 20_000)], "doc_id long, text string")
+    assert {x["doc_id"] for x in chunks.sentence_chunks(df).collect()} == {3}
+
+
 def test_C4_overwritten_edges(spark):
     nodes = spark.createDataFrame([(1, i, f"n{i}") for i in range(3)] + [(2, 0, "m")], "doc_id long, chunk_no int, node_id string")
     got = {(r["source"], r["target"], r["distance"]) for r in chunks.node_edges(nodes).collect()}
