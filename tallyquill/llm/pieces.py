@@ -6,7 +6,7 @@ import numpy as np
 
 SPACE = "▁"
 #: Code points of the texts that are worked on together, beyond the first text.
-BATCH_CHARS = 700_000
+BATCH_CHARS = 250_000
 BASE, _SLOT1, _SLOT2 = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -81,6 +81,38 @@ class Vocabulary:
             rows, h = rows[more], h[more]
         return lengths, base, (codes - np.uint64(1)).astype(np.int64), piece
 
+    def cells_in(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        """Lengths, first rows and code points of chunks, as ``pieces_in`` has them, and for the pieces in
+        them, row by row and the shorter ones first: row, length, place. A character that is no piece
+        alone is a cell of its own, at place -1."""
+        lengths = np.array([len(c) for c in chunks], np.int64)
+        base = np.concatenate([[0], np.cumsum(lengths + 1)])
+        codes = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        rem = np.repeat(base[1:] - 1, lengths + 1) - np.arange(len(codes))
+        rows = np.flatnonzero(rem > 0)
+        h = np.zeros(len(rows), np.uint64)
+        count = np.zeros(len(codes), np.int64)
+        hits = []
+        for length in range(1, self.longest + 1):
+            if length > 1:
+                far = rem[rows] >= length
+                rows, h = rows[far], h[far]
+            h = h * BASE + codes[rows + length - 1]
+            found = self.find(h)
+            hit = np.flatnonzero(found >= 0) if length > 1 else np.arange(len(found))
+            hits.append((rows[hit], np.maximum(found[hit], -1)))
+            count[rows[hit]] += 1
+            more = found != -2
+            rows, h = rows[more], h[more]
+        n = int(count.sum())
+        at = np.cumsum(count) - count
+        row, size, piece = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int32)
+        for length, (some, found) in enumerate(hits, 1):
+            to = at[some]
+            row[to], size[to], piece[to] = some, length, found
+            at[some] += 1
+        return lengths, base, (codes - np.uint64(1)).astype(np.int64), row, size, piece
+
 
 class Grown:
     """An array that grows at its end and can be cut back."""

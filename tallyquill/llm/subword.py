@@ -63,35 +63,36 @@ class Lattices:
         return [x for x in vars(self).values() if isinstance(x, Grown)]
 
     def add(self, chunks: list[str]) -> None:
-        voc = self.voc
-        lengths, base, codes, piece = voc.pieces_in(chunks)
-        n, most = len(piece), voc.longest  # the same width always: sums don't depend on which chunks come together
-        rem = np.repeat(base[1:] - 1, lengths + 1) - np.arange(n)
-        logp = np.where(piece >= 0, self.weights[piece], np.float32(-np.inf))
-        lone = np.flatnonzero((rem > 0) & (piece[:, 0] < 0))
-        logp[lone, 0] = self.byte_weight * n_bytes(codes[lone])
-        beta, share = np.zeros(n), np.zeros((n, most), np.float32)
-        by_rem = np.argsort(rem.astype(np.uint16) if n and rem.max() < 65536 else rem, kind="stable")
-        cuts = np.searchsorted(rem[by_rem], np.arange(1, int(rem.max(initial=0)) + 2))
-        for r in range(len(cuts) - 1):  # from the ends backwards
-            rows = by_rem[cuts[r] : cuts[r + 1]]
-            k = min(most, r + 1)
-            x = logp[rows, :k] + beta[rows[:, None] + np.arange(1, k + 1)]
-            top = x.max(axis=1)
-            e = np.exp((x - top[:, None]).astype(np.float32))
-            total = e.sum(axis=1, dtype=np.float64)
-            beta[rows] = top + np.log(total)
-            logp[rows, :k] = x - beta[rows][:, None]
-            share[rows, :k] = e
-        is_cell = logp > -np.inf
-        count = is_cell.sum(axis=1)
-        row, place = np.nonzero(is_cell)
-        lp = logp[row, place].astype(np.float64)
+        lengths, base, codes, row, size, piece = self.voc.cells_in(chunks)
+        rem = np.repeat(base[1:] - 1, lengths + 1) - np.arange(len(codes))
+        count = np.bincount(row, minlength=len(codes))
         after = np.cumsum(count)
-        upto = np.cumsum(share, axis=1)
-        cdf = upto[row, place] / upto[row, -1]
+        first = after - count
+        weight = np.where(piece >= 0, self.weights[piece], self.byte_weight * n_bytes(codes[row]))
+        beta, share = np.zeros(len(codes)), np.zeros(len(row))
+        by_rem = np.argsort(rem.astype(np.uint16) if len(rem) and rem.max() < 65536 else rem, kind="stable")
+        cuts = np.searchsorted(rem[by_rem], np.arange(1, int(rem.max(initial=0)) + 2)).tolist()
+        for lo, hi in zip(cuts, cuts[1:], strict=False):  # from the ends backwards; sums within a row don't depend on other rows
+            rows = by_rem[lo:hi]
+            n = count[rows]
+            begin = np.cumsum(n) - n
+            cells = np.repeat(first[rows] - begin, n) + np.arange(int(n.sum()))
+            x = weight[cells] + beta[row[cells] + size[cells]]
+            top = np.maximum.reduceat(x, begin)
+            e = np.exp(x - np.repeat(top, n))
+            total = np.add.reduceat(e, begin)
+            beta[rows] = top + np.log(total)
+            share[cells] = e / np.repeat(total, n)
+        lp = weight + beta[row + size] - beta[row]
+        cdf, place = share, np.arange(len(row)) - first[row]
+        at = np.flatnonzero(place == 1)
+        while len(at):
+            cdf[at] += cdf[at - 1]
+            at = at + 1
+            at = at[at < len(row)]
+            at = at[place[at] > 1]
         cdf[after[count > 0] - 1] = 2.0  # above every uniform number
-        ids = np.where(piece[row, place] >= 0, voc.ids[piece[row, place]], np.int32(-1))
+        ids = np.where(piece >= 0, self.voc.ids[piece], np.int32(-1))
         odd = np.flatnonzero(ids < 0)
         code = codes[row[odd]]
         ids[odd] = np.where(code < 128, np.array(self.byte_ids, np.int32)[np.minimum(code, 127)], -1 - code)
@@ -99,7 +100,7 @@ class Lattices:
         self.count.add(count)
         self.base.add(self.end.a[self.end.n - 1] + 1 + base[:-1] if self.end.n else base[:-1])
         self.end.add(self.base.a[self.base.n - len(chunks) : self.base.n] + lengths)
-        for part, x in ((self.cdf, cdf), (self.logp, lp), (self.length, place + 1), (self.id, ids)):
+        for part, x in ((self.cdf, cdf), (self.logp, lp), (self.length, size), (self.id, ids)):
             part.add(x)
 
     def others(self, cells: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -313,8 +314,9 @@ def log_inclusion(log_p: float, threshold: float) -> float:
 class Codec(PrefixCounts):
     """Encoding by chunks with the library's ids, decoding, and sampling."""
 
-    def __init__(self, path: str | None = None) -> None:
+    def __init__(self, path: str | None = None, most_bytes: int | None = None) -> None:
         super().__init__(path)
+        self.most_bytes = MOST_BYTES if most_bytes is None else most_bytes
         sp = self.sp
         bytes_at = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
         ranks = np.arange(len(self.voc.ids)) + OFFSET
@@ -348,7 +350,7 @@ class Codec(PrefixCounts):
     def place_of(self, chunks: list[str]) -> np.ndarray:
         """Where the ids and lattices of distinct chunks are, those of new chunks being added.
 
-        A worker keeps them from batch to batch, up to ``MOST_BYTES``; what comes then stays for one batch.
+        A worker keeps them from batch to batch, up to ``most_bytes``; what comes then stays for one batch.
         """
         for part, n in self.marks:
             part.n = n
@@ -362,7 +364,7 @@ class Codec(PrefixCounts):
             self.add([chunks[i] for i in new])
             for j, i in enumerate(new, n):
                 found[i] = j
-            if sum(x.n * x.a.itemsize for x in self.parts()) + 100 * len(self.place) < MOST_BYTES:
+            if sum(x.n * x.a.itemsize for x in self.parts()) + 100 * len(self.place) < self.most_bytes:
                 self.place.update((chunks[i], found[i]) for i in new)
                 self.marks = [(x, x.n) for x in self.parts()]
         return np.array(found, np.int64)
@@ -380,14 +382,16 @@ class Codec(PrefixCounts):
         return b"".join(out).decode("utf-8", "surrogatepass").replace(SPACE, " ")[1:]
 
 
-_codecs: dict[str | None, Codec] = {}
+_codecs: dict[tuple[str | None, int | None], Codec] = {}
 
 
-def codec(path: str | None = None) -> Codec:
+def codec(path: str | None = None, most_bytes: int | None = None) -> Codec:
+    """The one of this process."""
     keep_only("subword", _codecs.clear)
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    if (path, most_bytes) not in _codecs:
+        _codecs.clear()
+        _codecs[path, most_bytes] = Codec(path, most_bytes)
+    return _codecs[path, most_bytes]
 
 
 def offsets(lists: list) -> pa.Array:
@@ -398,7 +402,7 @@ def listed(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets(arrays), pa.array(np.concatenate([np.empty(0, np.int32), *arrays]), pa.int32()))
 
 
-def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, path: str | None = None, keep: tuple[str, ...] = (), most_bytes: int | None = None) -> DataFrame:
     """One row per input row: id, ``ids``, ``round_trip`` and ``samples``; the columns ``keep`` are carried along.
 
     ``ids`` is the library's encoding of the whole text, ``round_trip`` whether it and every sample
@@ -410,7 +414,7 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     Null text counts as empty, which has no pieces and no samples. Where a text has fewer than ``k``
     segmentations all are returned, with inclusion 1. Rows that share id and text share their draws;
     a null id is a seed like others. Texts are segmented whole; an empty table gives no rows. A worker
-    keeps ids and lattices of chunks up to ``MOST_BYTES``, and beside that what ``BATCH_CHARS`` code
+    keeps ids and lattices of chunks up to ``most_bytes`` (``MOST_BYTES``), and beside that what ``BATCH_CHARS`` code
     points, or one longer text, need.
     """
     ship(docs.sparkSession)
@@ -420,12 +424,12 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     arrow = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())]))
 
     def run(batches):
-        spelled = Spelled(codec(path))
+        spelled = Spelled(codec(path, most_bytes))
         for b in batches:
             texts = b.column(2).to_pylist()
             seeds = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for lo, hi in batches_of(texts):
-                ids, samples = segmented(texts[lo:hi], seeds[lo:hi], k, path)
+                ids, samples = segmented(texts[lo:hi], seeds[lo:hi], k, path, most_bytes)
                 back = [spelled.same(t, [x, *(s[0] for s in one)]) for t, x, one in zip(texts[lo:hi], ids, samples, strict=True)]
                 some = [s for one in samples for s in one]
                 drawn = pa.StructArray.from_arrays([listed([s[0] for s in some]), *(pa.array([s[i] for s in some], pa.float64()) for i in (1, 2, 3))], fields=list(arrow.value_type))
@@ -436,9 +440,9 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return rows.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, **{f"kept_{i}": c for i, c in enumerate(keep)}})
 
 
-def segmented(texts: list[str], seeds: np.ndarray, k: int, path: str | None = None):
+def segmented(texts: list[str], seeds: np.ndarray, k: int, path: str | None = None, most_bytes: int | None = None):
     """Ids and samples of some texts."""
-    c = codec(path)
+    c = codec(path, most_bytes)
     kind, kinds, sizes = split_chunks(c, texts)
     if not len(kind):
         return [np.empty(0, np.int32) for _ in texts], [[] for _ in texts]
