@@ -33,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and of its top two sampled segmentations, and whether all decode to the text."""
-    return subword.segment(docs, keep=("lang", "source"))
+    return subword.segment(docs, keep=("lang", "source"), most_bytes=32 << 20)  # the stages before have filled the executors' heaps
 
 
 STAGES = [

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,6 +127,11 @@ def keep_only(name: str, clear: Callable[[], None]) -> None:
     Workers live through the stages of a pipeline; what they know of words is bounded for one
     operator, not for all of them together.
     """
-    for other in [x for x in _kept if x != name]:
+    others = [x for x in _kept if x != name]
+    for other in others:
         _kept.pop(other)()
+    if others:  # what was freed goes back to the machine, for the executor's own memory
+        gc.collect()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
     _kept[name] = clear

@@ -26,7 +26,7 @@ LONGS = BITS // 64
 #: Classes on one side of a block in which a bucket is searched in full.
 BLOCK = 256
 #: Words of which a Python worker keeps the hash.
-MOST_KNOWN = 200_000
+MOST_KNOWN = 100_000
 _M1, _M2, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
