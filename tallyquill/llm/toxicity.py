@@ -27,9 +27,9 @@ PREFIXES = range(3, 9)
 #: A beginning counts again where it comes so often at least, and in so large a share of the words.
 LEVELS = ((2, 1 / 400), (2, 1 / 150), (3, 1 / 150), (3, 1 / 60))
 #: Tokens of which a Python worker keeps the features.
-MOST_KNOWN = 500_000
+MOST_KNOWN = 150_000
 #: Tokens that a task counts before it turns them into trigrams.
-MOST_COUNTED = 400_000
+MOST_COUNTED = 200_000
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "¡": "i", "£": "l", "*": "aeiou"}
@@ -37,6 +37,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SIGN, NOISE, AGAIN, ITSELF, GAP = 1.0, 2.5, 0.4, 3.0, 6.0
 UNSEEN = 12.0
 _REPEATED = re.compile(r"(.)\1")
+_RUN = re.compile(r"(.)\1+", re.S)
 _CORE = re.compile(r"^[^\w@$!|+(€¡£*]+|[\W_]+$")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€*])(?:[ .\-_*·]{1,3}(?:[^\W_]|[@$!|+€])){2,}(?![^\s.,;:!?])")
 
@@ -144,9 +145,21 @@ class Reader:
         self.bases = {k.partition("#")[0] for k in chosen}
         self.known: dict[str, tuple[str, ...]] = {}
         self.plain: set[str] = set()  # tokens known to have no feature, which most have
+        self.single = {_RUN.sub(r"\1", k) for k in self.bases}
+        self.lengths = sorted({len(k) for k in self.single})
+
+    def hopeless(self, token: str) -> bool:
+        """Whether letters alone can't be restored to a word with a feature: with each letter's repeats made
+        one, a word begins like its token, and no feature begins so."""
+        core = _CORE.sub("", token)
+        if not core.isalpha():
+            return False
+        single = _RUN.sub(r"\1", core)
+        return not any(single[:n] in self.single for n in self.lengths)
 
     def of_token(self, token: str) -> tuple[str, ...]:
-        found = tuple({w[:n] for w in clear_words(token, self.language) for n in PREFIXES if len(w) >= n and w[:n] in self.bases})
+        words = () if self.hopeless(token) else clear_words(token, self.language)
+        found = tuple({w[:n] for w in words for n in PREFIXES if len(w) >= n and w[:n] in self.bases})
         if len(self.known) + len(self.plain) < MOST_KNOWN:
             if found:
                 self.known[token] = found

@@ -387,14 +387,11 @@ def test_all_segmentations_of_short_texts_are_drawn_once(codec, monkeypatch, nea
         assert all(abs(got[k] - (want[k] - total)) < 1e-3 for k in want) and all(s[3] == 0 for s in some)
 
 
-def test_lattices_of_a_full_store_stay_right(monkeypatch, codec):
+def test_lattices_of_a_full_store_stay_right(codec):
     texts, seeds = fuzz(60, 11) + ["one two three"] * 3, np.arange(63).astype(np.uint64)
     want = subword.segmented(texts, seeds, 2)
-    monkeypatch.setattr(subword, "MOST_BYTES", 0)
-    small = subword.Codec()
-    monkeypatch.setattr(subword, "codec", lambda path=None: small)
     for _ in range(2):  # nothing but the empty chunk is kept from batch to batch
-        got = subword.segmented(texts, seeds, 2)
+        got = subword.segmented(texts, seeds, 2, None, 0)
         assert [x.tolist() for x in got[0]] == [x.tolist() for x in want[0]]
         assert [[s[0].tolist() for s in x] for x in got[1]] == [[s[0].tolist() for s in x] for x in want[1]]
 
@@ -497,6 +494,24 @@ def test_doubled_letters_and_three_spaced_ones_are_restored():
     assert toxicity.spaced_words("an a s s here", m) == ["ass"] and toxicity.spaced_words("a b", m) == []
 
 
+def test_tokens_passed_over_have_no_feature():
+    r = random.Random(2)
+    words = ["idiot", "stupid", "loser", "moron", "ass", "apple", "the", "glass", "assess", "éé", "ill"]
+    grams = Counter()
+    for w in words:
+        s = "^^" + w + "$"
+        for i in range(len(s) - 2):
+            grams[s[i : i + 3]] += 5
+    reader = toxicity.Reader({"idi", "idio#1", "stup", "ass", "mor", "éé"}, toxicity.Language(dict(grams)))
+    passed = 0
+    for _ in range(5000):
+        token = "".join(c * r.choice([1, 1, 2, 3]) for c in r.choice(words)[: r.randint(1, 6)]) + r.choice(["", "", ",", "!!", "0"])
+        found = {w[:n] for w in toxicity.clear_words(token, reader.language) for n in toxicity.PREFIXES if len(w) >= n and w[:n] in reader.bases}
+        passed += reader.hopeless(token)
+        assert set(reader.of_token(token)) == found and not (reader.hopeless(token) and found), token
+    assert passed > 500
+
+
 def test_language_is_counted_on_all_documents(spark):
     texts = ["the idiot, the end", "Idiot", "unlabelled zwxqvk zwxqvk", None, ""]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
