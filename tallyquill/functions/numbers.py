@@ -37,18 +37,16 @@ _AMOUNT, _PERCENT, _COUNT = (re.compile(p) for p in (AMOUNT, PERCENT, COUNT))
 _LETTERS, _DIGITS = re.compile(r"[a-z\s]+", re.I), re.compile(r"[\d,]+")
 
 
-def _found(pattern: re.Pattern, stretches: re.Pattern, text: str):
+def _found(pattern: re.Pattern, stretches: list[tuple[int, int]], text: str):
     """All matches of a pattern that begins with a stretch of letters or of digits, in linear time.
 
     If it matches from some place in a stretch of letters it does from the first one, so one try a
-    stretch is enough; a stretch that no number can follow isn't tried.
+    stretch is enough.
     """
     done = 0
-    for run in stretches.finditer(text):
-        at = max(done, run.start())
-        if at >= run.end() or stretches is _LETTERS and not (text[run.end() : run.end() + 1] in (":", "$", ",") or text[run.end() : run.end() + 1].isdigit()):
-            continue
-        if m := pattern.match(text, at):
+    for start, end in stretches:
+        at = start if start > done else done
+        if at < end and (m := pattern.match(text, at)):
             done = m.end()
             yield m
 
@@ -56,8 +54,12 @@ def _found(pattern: re.Pattern, stretches: re.Pattern, text: str):
 def metrics_of(text: str | None) -> list[tuple[str, float]]:
     """C5 for Python callers: (metric, value), amounts, then percentages (as shares), then counts; the last value of a name counts."""
     out: dict[str, float] = {}
-    for pattern, stretches, name, value, suffix in ((_AMOUNT, _LETTERS, 1, 2, ""), (_PERCENT, _LETTERS, 1, 2, " (%)"), (_COUNT, _DIGITS, 2, 1, "")):
-        for m in _found(pattern, stretches, text or ""):
+    if not text or not (digits := [m.span() for m in _DIGITS.finditer(text)]):
+        return []
+    ended = text + " "  # stretches of letters that a number can follow
+    letters = [(m.start(), e) for m in _LETTERS.finditer(text) if (c := ended[e := m.end()]) in ":$," or c.isdigit()]
+    for pattern, stretches, name, value, suffix in ((_AMOUNT, letters, 1, 2, ""), (_PERCENT, letters, 1, 2, " (%)"), (_COUNT, digits, 2, 1, "")):
+        for m in _found(pattern, stretches, text):
             try:
                 number = float(m[value].replace(",", ""))
             except ValueError:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyquill.functions.text import strip
+from tallyquill.functions.text import let, strip
 
 
 PART = "array<struct<first_line:int,n_lines:int,is_table:boolean,content:string>>"
@@ -16,17 +16,20 @@ def islands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
     All in the document's own row: no line is exploded, and nothing is shuffled.
     """
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), "\n").alias("ls"))
-    flags = F.transform("ls", lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"))) >= min_pipes)
-    flagged = lines.select("doc_id", "ls", flags.alias("fs"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: (i == 0) | (F.get("fs", i) != F.get("fs", i - 1)))
-    cut = flagged.select("doc_id", "ls", "fs", starts.alias("at"))
-    ends = F.concat(F.slice("at", 2, F.size("at")), F.array(F.size("ls")))
+    def runs(ls: Column) -> Column:
+        return let(F.transform(ls, lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"))) >= min_pipes), lambda fs: let(begins(fs), lambda at: cut(ls, fs, at)))
 
-    def part(a, b):
-        return F.struct(a.alias("first_line"), (b - a).alias("n_lines"), F.get("fs", a).alias("is_table"), F.array_join(F.slice("ls", a + 1, b - a), "\n").alias("content"))
+    def begins(fs: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(fs) - 1), lambda i: (i == 0) | (F.get(fs, i) != F.get(fs, i - 1)))
 
-    return cut.select("doc_id", F.zip_with("at", ends, part).cast(PART).alias("parts"))
+    def cut(ls: Column, fs: Column, at: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            return F.struct(a.alias("first_line"), (b - a).alias("n_lines"), F.get(fs, a).alias("is_table"), F.array_join(F.slice(ls, a + 1, b - a), "\n").alias("content"))
+
+        return F.zip_with(at, F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(ls))), part).cast(PART)
+
+    # each array is bound once: a column of an inner select would be computed again for every element
+    return docs.select(F.col(id_col).alias("doc_id"), let(F.split(F.col(text_col), "\n"), runs).alias("parts"))
 
 
 def extract_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pipes: int = 2) -> DataFrame:
