@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyquill.llm import chat, exact_dedup, filter_audit, html_text, mixing, near_dedup, secrets, subword, token_counts, topk, toxicity
+from tallyquill.llm import chat, exact_dedup, filter_audit, html_text, mixing, near_dedup, secrets, spelling, subword, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_html_text": html_text.op10_html_text,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 ORACLES = {
