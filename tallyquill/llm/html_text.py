@@ -22,25 +22,38 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINERS = frozenset("article body div html main section table td th blockquote aside nav header footer form ul ol dl li".split())
-NEVER = frozenset("head title script style noscript template nav header footer aside form button select textarea iframe object svg canvas dialog menu search option".split())
+NEVER = frozenset("head title script style noscript template nav header footer aside button select textarea label iframe object svg canvas dialog menu search option".split())
 #: Elements that show no text of their own.
 SILENT = frozenset("head title script style noscript template iframe object svg canvas".split())
 #: Words in an element's class, id or role that mark what surrounds an article.
 AROUND = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu "
+    "ad ads adsbygoogle advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu "
     "nav navbar navigation newsletter notice notices notification pagination popup promo promoted related replies reply respond share sharing sidebar "
     "social sponsor sponsored subscribe toolbar widget complementary contentinfo search".split()
 )
-#: Words that say nothing of their own beside one of the above in a compound name.
+#: Of these, words that say so wherever they stand in a compound name; the others have to be its head.
+ANYWHERE = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies disqus footer nav navbar newsletter sponsor sponsored".split())
+#: Words behind the head of a compound name that say nothing of their own.
 NEUTRAL = frozenset(
     "site page main top bottom left right upper lower primary secondary global local inner outer box bar block area section list item items unit slot zone group post article entry "
-    "blog news story desktop mobile sticky fixed button buttons link links icon icons form input module panel row text title".split()
+    "blog news story desktop mobile sticky fixed button buttons link links icon icons form input module panel row text title wrap wrapper container holder content body thread".split()
 )
+#: Words before one of the above by which an element tells of it and isn't it; of whole layouts; of an article.
+TELLING = frozenset("has have no non not with without show shows hide hides toggle".split())
+LAYOUT = frozenset("wrap wrapper container layout".split())
+OWN = frozenset("article entry post story content".split())
 #: Of the names above those of whole pages' parts; others may stand inside an article as well.
 PAGE_PARTS = frozenset("breadcrumb breadcrumbs contentinfo footer header masthead menu nav navbar navigation sidebar toolbar".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+CONTROLS = frozenset("input select textarea button".split())
+#: Characters of text a control that a form has to have for being more than a form.
+FORM_TEXT = 100
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_TAG = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']*)))?""")
+_MARKUP = re.compile(r"<[a-zA-Z/!?]")
 SIGMA, REACH = 2.0, 6
 KERNEL = [math.exp(-(i * i) / (2 * SIGMA * SIGMA)) for i in range(-REACH, REACH + 1)]
 #: Share of the dense characters that the heaviest regions have to hold to be the page's content.
@@ -48,15 +61,26 @@ SHARE = 0.9
 
 
 def surrounding_words(name: str) -> set[str]:
-    """What a whole class name, id or role says of the surroundings of articles, if it names them.
+    """What a class name, id or role says of the surroundings of articles, if it names them.
 
-    A compound name does so if each of its words does or is neutral: ``site-footer`` does,
-    ``has-sidebar`` and ``social-policy`` don't.
+    A compound name does so by its head, the last word that isn't neutral (``site-footer``, ``menu-item``),
+    or by a word that does wherever it stands (``cookie-law``, ``disqus_thread``). ``social-policy`` doesn't, nor do
+    names that tell of a part (``has-sidebar``) or of a layout (``content-sidebar-wrap``). The header of
+    an article is ``own-header``.
     """
-    if name.lower() in AROUND:
-        return {name.lower()}
     words = [w.lower() for w in _WORDS.findall(name)]
-    return AROUND.intersection(words) if all(w in AROUND or w in NEUTRAL or w.isdigit() for w in words) else set()
+    named = [i for i, w in enumerate(words) if w in AROUND]
+    if not named or TELLING.intersection(words[: named[-1]]):
+        return set()
+    if "sidebar" in words and "content" in words and LAYOUT.intersection(words):
+        return set()
+    head = len(words) - 1
+    while head > named[-1] and (words[head] in NEUTRAL or words[head].isdigit()):
+        head -= 1
+    found = {words[i] for i in named}
+    if found == {"header"} and OWN.intersection(words):
+        return {"own-header"}
+    return found if head == named[-1] or found & ANYWHERE else set()
 
 
 def surrounds(attrs: list[tuple[str, str | None]]) -> set[str]:
@@ -80,10 +104,12 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, the innermost container from here on, shut out
+        self.open: list[tuple[str, int, bool, bool]] = []  # tag, the innermost container from here on, shut out, heard for its headings
         self.count: dict[str, int] = {}  # open elements by tag
         self.borders: list[int] = []  # places in ``open`` of containers and of what a block closes
-        self.shut = 0
+        self.shut = self.headed = 0
+        self.forms: list[list[int]] = [[0, 0, 1]]  # controls, characters, whether it holds an article's parts; 0 is no form
+        self.quotes_hold, self.comments_end = True, True
         self.tag_of, self.parent = [""], [0]  # containers by number; 0 is the page
         self.around: list[int] = []  # containers that hold text of a page's parts
         self.heard = True
@@ -91,22 +117,29 @@ class Lines(HTMLParser):
         self.tags = 0
         self.linked = self.chars = 0
         self.lines: list[tuple[str, int, int, float]] = []
+        self.form_of: list[int] = []  # by line
 
     @property
     def box(self) -> int:
         return self.open[-1][1] if self.open else 0
 
+    @property
+    def form(self) -> int:
+        return len(self.forms) - 1 if self.count.get("form") else 0
+
     def end_line(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
                 self.lines.append((text, self.tags, self.box, self.linked / max(1, self.chars)))
+                self.form_of.append(self.form)
             self.parts = []
         self.tags = self.linked = self.chars = 0
 
     def drop(self, at: int) -> None:
-        for tag, _, shut in self.open[at:]:
+        for tag, _, shut, headed in self.open[at:]:
             self.shut -= shut
+            self.headed -= headed
             self.count[tag] -= 1
         del self.open[at:]
         while self.borders and self.borders[-1] >= at:
@@ -124,10 +157,19 @@ class Lines(HTMLParser):
                     if there in CONTAINERS:
                         break
         self.tags += 1
+        if tag in CONTROLS and ("type", "hidden") not in attrs and self.form:
+            self.forms[-1][0] += 1
         if tag in VOID:
             return
-        named = surrounds(attrs) if attrs and tag not in ("html", "body", "article", "main") else ()
-        shut = tag in NEVER or bool(named)
+        named = surrounds(attrs) if attrs and tag not in ("html", "body", "article", "main", "form") else set()
+        if tag == "form" and not self.form:  # forms don't nest
+            self.forms.append([0, 0, 0])
+        elif tag in ("article", "main", "h1") and self.form:
+            self.forms[-1][2] = 1
+        headed = tag == "header" and named <= {"header", "own-header"} or tag != "header" and bool(named) and named <= {"header", "own-header"} and tag not in NEVER
+        headed = headed and ("own-header" in named or bool(self.count.get("article") or self.count.get("main")))
+        shut = (tag in NEVER or bool(named)) and not headed
+        self.headed += headed
         box = self.box
         if shut and not self.shut:
             self.heard, self.shut_in = tag not in PAGE_PARTS and PAGE_PARTS.isdisjoint(named), box
@@ -139,7 +181,7 @@ class Lines(HTMLParser):
         if tag in CONTAINERS or tag in ("p", "dt", "dd", "head"):
             self.borders.append(len(self.open))
         self.count[tag] = self.count.get(tag, 0) + 1
-        self.open.append((tag, box, shut))
+        self.open.append((tag, box, shut, headed))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -156,14 +198,55 @@ class Lines(HTMLParser):
             self.drop(at)
 
     def handle_data(self, data: str) -> None:
+        if self.headed and not any(self.count.get(h) for h in HEADINGS):
+            return
         if not self.shut:
             self.parts.append(data)
             self.chars += len(data)
-            self.linked += len(data) * bool(self.count.get("a"))
+            linked = len(data) * bool(self.count.get("a"))
+            self.linked += linked
+            if self.form and not linked:
+                self.forms[-1][1] += len(data.strip())
         elif not self.heard and data.strip():
             self.heard = True
             self.around.append(self.shut_in)
 
+    def parse_starttag(self, i: int) -> int:
+        """From the first tag on whose quotes never close, a tag ends at the next ">", whatever its quotes say."""
+        if self.quotes_hold:
+            end = super().parse_starttag(i)
+            if end >= 0:
+                return end
+            self.quotes_hold = False
+        end = self.rawdata.find(">", i) + 1
+        name = _TAG.match(self.rawdata, i + 1)
+        tag = name[0].lower()
+        self.handle_starttag(tag, [(m[1].lower(), m[2] or m[3] or m[4]) for m in _ATTRIBUTE.finditer(self.rawdata, name.end(), max(name.end(), end - 1))])
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
+        return end
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """From the first comment on that never ends, a comment ends at the next ">"."""
+        if self.comments_end:
+            end = super().parse_comment(i, report)
+            if end >= 0:
+                return end
+            self.comments_end = False
+        return self.rawdata.find(">", i) + 1
+
+    def read(self, html: str) -> None:
+        """The whole page. Behind its last ">" no markup is complete, so what begins there ends the page, as in browsers."""
+        cut = html.rfind(">") + 1
+        rest = html[cut:]
+        begun = _MARKUP.search(rest)
+        self.rawdata = html[:cut] + (rest[: begun.start()] if begun else rest)
+        self.close()
+        self.end_line()
+        kept = [holds or chars > FORM_TEXT * controls for controls, chars, holds in self.forms]
+        if not all(kept):
+            self.lines = [x for x, form in zip(self.lines, self.form_of, strict=True) if kept[form]]
+
     def parse_html_declaration(self, i: int) -> int:
         """Marked sections, which the parser knows a few of, are comments up to their ">" as in browsers."""
         if self.rawdata.startswith("<![", i):
@@ -235,7 +318,8 @@ def main_text(html: str) -> str:
     """The lines of the content, joined by a space.
 
     Elements that surround an article, by their tag or by a name among their class, id or role, give
-    no lines at all. Runs of lines whose smoothed text-to-tag ratio is high are the content regions.
+    no lines at all, nor do forms whose controls outweigh their text (a form that holds an article, or more
+    text than its controls account for, is the page's frame). An article's own header gives its headings. Runs of lines whose smoothed text-to-tag ratio is high are the content regions.
     If most of their text lies in ``article`` elements (else, in ``main``), the outermost of these that
     hold a region are the content; else the innermost container of all regions is. The container
     of the content is then widened to the outermost one that adds neither a part of the whole page
@@ -243,9 +327,7 @@ def main_text(html: str) -> str:
     and after long sections, lists or quotations stay.
     """
     p = Lines()
-    p.feed(html)
-    p.close()
-    p.end_line()
+    p.read(html)
     if not p.lines:
         return ""
     chosen = [i for r in regions(p.lines) for i in r]

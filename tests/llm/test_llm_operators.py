@@ -577,6 +577,49 @@ def test_html_class_names_count_whole():
         assert html_text.main_text(f"<p>hello there</p><div class='{name}'><p>around</p></div>") == "hello there", name
 
 
+@pytest.mark.parametrize("name", "disqus_thread user-comments reader-comments comment-thread comments-wrapper fb-comments ad-container google-ads adsbygoogle newsletter-signup related-content nav-wrapper footer-wrapper cookie-law site-header menu-item".split())
+def test_html_names_of_surroundings(name):
+    for tag in ("div", "section"):
+        assert html_text.main_text(f"<article><p>hello there</p><{tag} class='x {name}'><p>around</p></{tag}><p>end</p></article>") == "hello there end"
+        assert html_text.main_text(f"<div><p>hello there</p><{tag} id={name}><p>around</p></{tag}><p>end</p></div>") == "hello there end"
+
+
+def test_html_forms():
+    long = ("many words of the long part " * 30).strip()
+    box = "<form><p>Subscribe to our letters</p><input type=email><button>Go</button></form>"
+    assert html_text.main_text(f"<body><div><h2>Head</h2><p>{long}</p>{box}<p>end</p></div></body>") == f"Head {long} end"
+    page = f"<input type=hidden><nav>a</nav><h1>Head</h1><p>{long}</p><label>Name</label><input name=q><p>end</p>"
+    assert html_text.main_text(f"<body><form id=aspnetForm>{page}</form></body>") == f"Head {long} end"
+    assert html_text.main_text(f"<body><form id=aspnetForm>{page.replace('h1', 'h3')}</form></body>") == f"Head {long} end"
+    assert html_text.main_text(f"<form><article><p>short</p></article>{'<input>' * 9}</form>") == "short"
+    assert html_text.main_text("<form><p>Leave a reply</p><textarea>x</textarea><input></form>") == ""
+
+
+def test_html_keeps_headings_of_an_articles_header():
+    body = "<p>hello there</p>"
+    for head in ("<header><h1>Title</h1><p>by me</p></header>", "<div class=entry-header><h1>Title</h1><span>today</span></div>", "<header class='post-header'><div><h1>Title</h1></div></header>"):
+        assert html_text.main_text(f"<article>{head}{body}</article>") == "Title hello there", head
+    assert html_text.main_text(f"<header><h1>Site</h1></header><article>{body}</article>") == "hello there"
+    assert html_text.main_text(f"<div class=site-header><h1>Site</h1></div><div>{body}</div>") == "hello there"
+
+
+HOSTILE = ["<a ", '<a href="', "<a href='", "<!--", "<!", "</", "</a ", "<?", "<![", '<a b="c', "<a =", "<p><a x='", "&", "&#", "<script>", "<textarea>", "</script ", '<a "', "<a b=\"'", "--", "-- ", "<!-- --"]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+@pytest.mark.parametrize("end", ["", ">", "--", "\">", "'>"])
+def test_html_unfinished_markup_takes_time_in_proportion(part, end):
+    page = "<p>before</p>" + part * (1_000_000 // len(part)) + end
+    began = time.time()
+    assert html_text.main_text(page).startswith("before")
+    assert time.time() - began < 8  # about a second for the slowest; a page of a tenth takes a tenth
+
+
+def test_html_unfinished_markup_ends_the_page():
+    assert html_text.main_text("<p>a</p> b <c") == "a b" and html_text.main_text("a < b and 2<3") == "a < b and 2<3"
+    assert html_text.main_text("<p>a</p><!-- x <p>b</p>") == "a b" and html_text.main_text('<p>a</p><a href="x <p>b</p> c <p>d</p>') == "a b c d"
+
+
 def test_html_density_decides_between_unmarked_regions():
     long = ("many words of the long part " * 60).strip()
     links = "<div>" + "".join(f"<p><a href='/{i}'>{'other page ' * 9}</a></p>" for i in range(30)) + "</div>"
