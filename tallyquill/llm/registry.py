@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyquill.llm import chat, exact_dedup, filter_audit, html_text, mixing, near_dedup, secrets, spelling, subword, token_counts, topk, toxicity
+from tallyquill.llm import ann, chat, exact_dedup, filter_audit, html_text, mixing, near_dedup, secrets, spelling, subword, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_text": html_text.op10_html_text,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_nearest": ann.op13_nearest,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,

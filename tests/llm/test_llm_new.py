@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyquill.llm import filter_audit, registry, spelling
+from tallyquill.llm import ann, filter_audit, registry, spelling
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzÀÉéÿ"
 
@@ -156,3 +156,106 @@ def test_removal_polynomial_is_exact():
         assert p.corner(chosen) == sum(n for m, n in enumerate(counts) if m & chosen)
     assert sum(p.shapley(b) for b in filter_audit.BIT.values()) == p.corner(31)
     assert np.prod([p.shapley(b).denominator <= 60 for b in filter_audit.BIT.values()])
+
+
+def neighbours_by_brute_force(rows, queries, k):
+    """By id the ids and scores of the nearest, over rows (id, vector) of which ids may repeat."""
+    usable, out = {}, {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            usable[i] = min(usable.get(i, v), v)
+    for q in {i for i, _ in queries} & set(usable):
+        a = np.array(usable[q], float)
+        a /= abs(a).max()
+        near = []
+        for i, v in usable.items():
+            if i != q and len(v) == len(a):
+                b = np.array(v, float)
+                b /= abs(b).max()
+                near.append((-float(a @ b) / float(np.sqrt(a @ a) * np.sqrt(b @ b)), i))
+        out[q] = [(i, -s) for s, i in sorted(near)[:k]]
+    return {q: x for q, x in out.items() if x}
+
+
+def found(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(out[r["query_id"]])
+    return out
+
+
+def recall(got, want):
+    assert set(got) == set(want) and all(len(got[q]) == len(want[q]) for q in want)
+    return sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+
+
+def vector_rows(n, dim, seed, clusters):
+    """Half in tight clusters of their own sizes, half anywhere."""
+    rng = np.random.default_rng(seed)
+    centers = rng.standard_normal((clusters, dim))
+    near = centers[(rng.random(n // 2) ** 3 * clusters).astype(int)] + 0.15 * rng.standard_normal((n // 2, dim))
+    return [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(np.concatenate([near, rng.standard_normal((n - n // 2, dim))]))]
+
+
+@pytest.mark.parametrize(("dim", "lists"), [(64, 100), (24, 60), (3, 50)])
+def test_neighbours_are_found(spark, monkeypatch, dim, lists):
+    monkeypatch.setattr(ann, "LIST", lists)
+    rows = vector_rows(3000, dim, dim, 20)
+    asked = [r for r in rows if r[0] % 25 == 0]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got, want = found(ann.nearest(frame, frame.where("vec_id % 25 = 0"))), neighbours_by_brute_force(rows, asked, 5)
+    assert recall(got, want) >= 0.95
+    scores = {(q, i): s for q, x in neighbours_by_brute_force(rows, asked, 3000).items() for i, s in x}
+    assert all(abs(s - scores[q, i]) < 1e-12 for q, x in got.items() for i, s in x)
+
+
+def test_clustered_queries_probe_few_lists():
+    rows = np.array([v for _, v in vector_rows(8000, 32, 1, 40)])
+    u = ann.units(rows)
+    space = ann.Space(u, len(u) * ann.LIST // 100)
+    at, along = space.nearest(u)
+    for i in range(len(space.rows)):
+        own = along[at == i]
+        space.rows[i], space.mean[i], space.var[i] = len(own), own.mean() if len(own) else 0, own.var() if len(own) else 0
+    probed = {"near": [], "far": []}
+    for kind, asked in (("near", u[:4000:100]), ("far", u[4000::100])):
+        for q in asked:
+            cosines = space.centers @ q
+            first = space.first_lists(cosines, 6)
+            least = np.sort(u[np.isin(at, first)] @ q)[-6]
+            probed[kind].append(len(first) + len(space.lists_for(cosines, least, 6)))
+    assert np.mean(probed["near"]) < 0.25 * len(space.rows) < np.mean(probed["far"])
+
+
+def test_early_tests_keep_what_is_near():
+    rng = np.random.default_rng(4)
+    q = ann.units(rng.standard_normal((1, 128)))[0]
+    x = ann.units(q + np.linspace(0.02, 0.4, 4000)[:, None] * rng.standard_normal((4000, 128)))
+    turn = np.linalg.qr(rng.standard_normal((128, 128)))[0]
+    distance = ((x - q) ** 2).sum(axis=1)
+    most = float(np.sort(distance)[200])
+    left = set(ann.scan((x @ turn).T.astype(np.float32), (q @ turn).astype(np.float32), most).tolist())
+    near = set(np.flatnonzero(distance <= most).tolist())
+    assert len(near & left) >= 0.99 * len(near) and len(left) <= len(near) + 5
+
+
+def test_neighbours_of_edge_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(60)]
+    rows += [(100 + i, rows[0][1]) for i in range(40)] + [(50, rows[0][1]), (50, [9.0] * 8), (200, None), (201, []), (202, [0.0] * 8), (203, [1.0, None]), (204, [float("nan"), 1.0]), (205, [float("inf")] * 8), (None, [1.0] * 8), (206, [1.0, 2.0]), (207, [1.0, 2.0]), (208, [1e200] * 8), (209, [1e-300] * 8), (210, [-3.0]), (211, rows[3][1]), (212, [4 * x for x in rows[3][1]])]
+    frame = spark.createDataFrame([(i, v, 1, 2, "x", [1]) for i, v in rows], "vec_id long, embedding array<double>, list int, dim int, v string, id array<int>")
+    got = found(ann.nearest(frame, frame))
+    want = neighbours_by_brute_force(rows, rows, 5)
+    assert set(got) == set(want) and 210 not in got and [i for i, _ in got[100]] == [0, 101, 102, 103, 104] and [i for i, _ in got[206]] == [207]
+    for q, x in want.items():
+        assert [round(s, 9) for _, s in got[q]] == [round(s, 9) for _, s in x], q
+        exact = [i for i, s in x if abs(s - 1) > 1e-9]
+        assert [i for i, s in got[q] if abs(s - 1) > 1e-9] == exact, q
+    assert found(ann.nearest(frame, frame.limit(0))) == {} and found(ann.nearest(frame.limit(0), frame)) == {}
+
+
+def test_op13_recall(spark, small):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got = found(registry.QUERIES["op13_nearest"](spark, small))
+    assert recall(got, neighbours_by_brute_force(rows, [r for r in rows if r[0] % 50 == 0], 5)) >= 0.95
