@@ -30,7 +30,11 @@ NAME_WORDS = {
     "apikey": 3.0, "credential": 3.0, "credentials": 3.0, "bearer": 2.0, "private": 1.5, "signing": 1.5, "encryption": 1.5,
     "access": 1.0, "auth": 1.5, "api": 1.0, "key": 1.5, "client": 0.5, "salt": 1.0, "pin": 1.0, "dsn": 1.0, "webhook": 1.0,
 }
-NOT_SECRET = re.compile(r"(?i)^(?:true|false|null|none|undefined|changeme|example|placeholder|redacted|x+|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|your[_-].*)$")
+#: Whole values that stand in for a secret, and words by which a value with blanks is a sentence.
+NOT_SECRET = frozenset("true false null none undefined changeme example placeholder redacted".split())
+PROSE = frozenset("a an the your you is are be must should to of for and or not no enter please invalid missing required use see this that with from when if".split())
+#: Attributes whose value names what the attribute ``value`` beside it sets.
+KEYS, VALUES = ("key", "name", "id"), ("value", "val", "content")
 #: Score from which a literal counts: what its name says, plus half its entropy a character.
 LEAST_SCORE = 4.0
 LEAST_LITERAL = 6
@@ -41,7 +45,7 @@ _SENSITIVE = re.compile("pass|pwd|secret|token|key|credential|bearer|private|sig
 _TOKEN = re.compile(
     r"""
     (?P<triple>(?:\b[rRbBuUfF]{1,2})?(?P<tq>\"{3}|'{3}))
-  | (?P<heredoc><<[-~]?[ \t]{0,3}(?P<hq>["']?)(?P<h>[A-Za-z_]\w*)(?P=hq))
+  | (?P<heredoc><<[-~]?[ \t]*(?P<hq>["']?)(?P<h>[A-Za-z_]\w*)(?P=hq))
   | (?P<string>(?:\b[rRbBuUfF]{1,2}(?=["'])|(?<!\w))(?P<sq>["'`]))
   | (?P<comment>(?<![\w:/"'])//|/\*|(?<![\w&])\#(?![{\w])|\#(?=[ ])|(?<![\w-])--(?=[ ]))
   | (?P<element><(?P<e>[A-Za-z_][\w.:-]*)>(?P<ev>[^<>\s][^<>]*)</(?P=e)\s*>)
@@ -69,6 +73,7 @@ _REST = {
 }
 _NAMED_IN = re.compile(r"\$\{([A-Za-z_][\w.]*)\}|\$([A-Za-z_]\w*)|\#\{([A-Za-z_]\w*)\}|%\(([A-Za-z_]\w*)\)s|\{([A-Za-z_][\w.]*)\}")
 _CODE = re.compile(r"[A-Za-z_]\w*(?:(?:\.|->|::)[A-Za-z_]\w*)+\Z")
+_NAME = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*\Z", re.A)
 _KEY = re.compile(r"[\w .\-]+\Z")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY")
 #: Words that may stand before a name at the beginning of a line of configuration.
@@ -81,13 +86,25 @@ def name_score(name: str) -> float:
     return sum(NAME_WORDS.get(w, 0.0) for w in set(words)) if words else 0.0
 
 
-def literal_score(name: str, length: int, letters: Counter, sample: str | None, spaced: bool) -> float:
-    """What the name says plus half the value's entropy a character; 0 for what can't be a secret.
+#: Letters of a value's beginning that tell a placeholder.
+HEAD = 16
 
-    ``sample`` is the value where it is short enough to be a placeholder.
-    """
+
+def stands_in(length: int, letters: Counter, head: str, tail: str) -> bool:
+    """Whether a value is a placeholder: by its letters and both of its ends, however long it is."""
+    low = head.lower()
+    return (
+        length <= HEAD and low in NOT_SECRET
+        or letters.keys() <= {"x", "X"} or letters.keys() <= {"*"}
+        or head[:1] == "<" and tail[-1:] == ">" or head[:2] == "${" and tail[-1:] == "}" or head[:2] == "{{" and tail == "}}"
+        or low[:5] in ("your_", "your-")
+    )
+
+
+def literal_score(name: str, length: int, letters: Counter, head: str, tail: str, prose: bool) -> float:
+    """What the name says plus half the value's entropy a character; 0 for what can't be a secret."""
     said = name_score(name)
-    if said < 2 or length < LEAST_LITERAL or spaced or sample is not None and NOT_SECRET.match(sample):
+    if said < 2 or length < LEAST_LITERAL or prose or stands_in(length, letters, head, tail):
         return 0.0
     return said - sum(n / length * math.log2(n / length) for n in letters.values()) / 2
 
@@ -96,7 +113,8 @@ class Source:
     """Name-literal pairs of a text in source or configuration syntax.
 
     ``pairs`` has (target's name, place, terms, whether it binds a constant); a term is a literal, (start,
-    end), or the name of a constant. Literals are strings, triple-quoted strings, here-documents, YAML
+    end), the name of a constant, or (start, end, name): a constant if one of this name is bound, else a
+    literal. Literals are strings, triple-quoted strings, here-documents, YAML
     blocks, element contents, and unquoted values where a line of configuration begins with the name.
     """
 
@@ -185,6 +203,8 @@ class Source:
             elif kind == "comment":
                 commented = True
                 begun = i + 1
+            elif kind == "sign" and (names := self.targets(i, begun)):
+                i = max(i, self.values(names, i, not commented) - 1)
             elif kind == "sign":
                 name, head = self.target(i, begun)
                 if name:
@@ -198,6 +218,33 @@ class Source:
                     self.pairs.append((name, a, [(tokens[i + 3][3], tokens[i + 3][4])], not commented))
             i += 1
 
+    def targets(self, i: int, begun: int) -> list[str]:
+        """The names of ``a, b = ...``, the line's first tokens; none if it isn't of this form."""
+        tokens, text = self.tokens, self.text
+        if text[tokens[i][1] : tokens[i][2]] not in ("=", ":=") or i - begun < 3 or (i - begun) % 2 == 0:
+            return []
+        names, j = [], i - 1
+        while j >= begun and tokens[j][0] == "name":
+            names.append(text[tokens[j][1] : tokens[j][2]])
+            if j == begun:
+                return names[::-1]
+            if tokens[j - 1][0] != "other" or text[tokens[j - 1][1]] != ",":
+                break
+            j -= 2
+        return []
+
+    def values(self, names: list[str], i: int, binds: bool) -> int:
+        """Pairs the names with the expressions behind token ``i``, and tells where these end."""
+        tokens, at, place = self.tokens, self.tokens[i][1], i + 1
+        for n, name in enumerate(names):
+            terms, stop = self.value(place, False)
+            if terms:
+                self.pairs.append((name, at, terms, binds))
+            if n == len(names) - 1 or stop >= len(tokens) or tokens[stop][0] != "other" or self.text[tokens[stop][1]] != ",":
+                return stop
+            place = stop + 1
+        return place
+
     def target(self, i: int, begun: int) -> tuple[str | None, bool]:
         """The name that a sign assigns to, and whether nothing but it stands before the sign on its line."""
         tokens, text, j = self.tokens, self.text, i - 1
@@ -213,9 +260,46 @@ class Source:
         if tokens[j][0] == "string" and _KEY.match(said(tokens[j])) or tokens[j][0] == "name":
             line = tokens[begun][1] if begun < len(tokens) else 0
             lead = text[line : tokens[j][1]].strip() if tokens[j][1] - line < 40 else "?"
-            return said(tokens[j]), lead in _LEADS
+            return self.key_before(j) or said(tokens[j]), lead in _LEADS
         return None, False
 
+    def key_before(self, j: int) -> str | None:
+        """What ``value`` at token ``j`` is the value of: the key, name or id that an attribute or field before it gives."""
+        tokens, text = self.tokens, self.text
+        if text[tokens[j][3] : tokens[j][4]] not in VALUES:
+            return None
+        j -= 1
+        while j >= 0 and (tokens[j][0] == "line" or tokens[j][0] == "other" and text[tokens[j][1]] == ","):
+            j -= 1
+        if j < 2 or tokens[j][0] not in ("string", "name") or tokens[j - 1][0] != "sign" or tokens[j - 2][0] not in ("string", "name"):
+            return None
+        key = text[tokens[j][3] : tokens[j][4]]
+        return key if text[tokens[j - 2][3] : tokens[j - 2][4]] in KEYS and _KEY.match(key) else None
+
+    def arguments(self, i: int) -> tuple[list, int] | None:
+        """The literals and constants between the bracket at token ``i`` and its end, and the token behind; None for other things."""
+        tokens, text, terms, depth = self.tokens, self.text, [], 0
+        while i < len(tokens):
+            kind, a, b, x, y = tokens[i]
+            if kind == "open":
+                if depth and tokens[i - 1][0] == "name":
+                    return None
+                depth += 1
+            elif kind == "close":
+                depth -= 1
+                if not depth:
+                    return terms, i + 1
+            elif kind in ("string", "triple"):
+                terms.append((x, y))
+            elif kind == "name":
+                terms.append(text[a:b])
+            elif kind == "sign" and terms and isinstance(terms[-1], str):
+                terms.pop()  # an argument's name
+            elif kind not in ("line", "join") and not (kind == "other" and text[a] == ","):
+                return None
+            i += 1
+        return None
+
     def value(self, i: int, alone: bool) -> tuple[list, int]:
         """The terms of the expression from token ``i`` on, and where it ends."""
         tokens, text, terms, joined, wrapped = self.tokens, self.text, [], True, False
@@ -230,10 +314,19 @@ class Source:
                 terms.append((x, y))
                 joined = False
             elif kind == "name" and joined:
-                called = i + 1 < len(tokens) and tokens[i + 1][0] == "open" and tokens[i + 1][1] == b
+                called = i + 1 < len(tokens) and tokens[i + 1][0] == "open" and tokens[i + 1][1] == b and text[b] != "{"
+                if called and text[a:b] in ("join", "format") and i - 2 >= first and tokens[i - 2][0] in ("string", "triple") and text[tokens[i - 1][1]] == ".":
+                    given = self.arguments(i + 1)  # of a literal's method that puts others into it
+                    if given is None:
+                        return [], first
+                    terms += given[0]
+                    i, joined = given[1], False
+                    continue
                 if called:
                     return [], first
                 if alone and i == first and not wrapped:
+                    if first and text[tokens[first - 1][2] : a].strip():  # figures before letters
+                        return self.bare(tokens[first - 1][2], first)
                     end = _BARE.match(text, a).end()
                     if end > b or i + 1 == len(tokens) or tokens[i + 1][0] in ("line", "comment"):
                         return self.bare(a, first)
@@ -264,12 +357,14 @@ class Source:
         while b > a and text[b - 1] in ",;":
             b -= 1
         said = text[a:b]
-        if said[:1] in "([{<" or _CODE.match(said) and not any(c.isdigit() for c in said) or re.search(r"\w\(", said):
+        if said[:1] in "([{<" or re.search(r"\w\(", said):
             return [], first
         stop = first
         while stop < len(self.tokens) and self.tokens[stop][1] < b:
             stop += 1
-        return [(a, b)], stop
+        if _CODE.match(said) and not any(c.isdigit() for c in said):  # a member of something; a constant, if it is bound
+            return [said], stop
+        return [(a, b, said) if _NAME.match(said) else (a, b)], stop
 
     def found(self) -> set[tuple[int, int]]:
         """The literals that make up values of targets whose names say that they are secret."""
@@ -292,18 +387,21 @@ class Source:
         for n, (_, at, terms, _) in enumerate(self.pairs):
             mine: list = []
             for t in terms:
-                if isinstance(t, str):
-                    other = constant(t, at)
+                if isinstance(t, str) or len(t) == 3:
+                    other = constant(t if isinstance(t, str) else t[2], at)
                     if other is not None and other != n:
                         mine.append(other)
-                    continue
+                        continue
+                    if isinstance(t, str):
+                        continue
+                    t = t[:2]
                 mine.append(t)
                 for m in _NAMED_IN.finditer(self.text, *t):
                     other = constant(next(g for g in m.groups() if g), at)
                     if other is not None and other != n:
                         mine.append(other)
             parts.append(mine)
-        told: dict[int, tuple[int, Counter, str | None, bool]] = {}
+        told: dict[int, tuple[int, Counter, str, str, bool]] = {}
         secret: set[int] = set()
         for n, (name, *_) in enumerate(self.pairs):
             if name_score(name) >= 2 and literal_score(name, *self.told_of(n, parts, told)) >= LEAST_SCORE:
@@ -319,8 +417,8 @@ class Source:
                     todo.append(p)
         return spans
 
-    def told_of(self, n: int, parts: list[list], told: dict) -> tuple[int, Counter, str | None, bool]:
-        """Length, letters, value if short, and whether it has blanks inside a line, of a pair's value; constants in it count once each."""
+    def told_of(self, n: int, parts: list[list], told: dict) -> tuple[int, Counter, str, str, bool]:
+        """Length, letters, both ends, and whether it has a sentence's words, of a pair's value; constants in it count once each."""
         todo = [n]
         open_: set[int] = set()
         while todo:
@@ -333,21 +431,21 @@ class Source:
                 open_.add(at)
                 todo += need
                 continue
-            length, letters, sample, spaced = 0, Counter(), "", False
+            length, letters, head, tail, prose = 0, Counter(), "", "", False
             for p in parts[at]:
                 if isinstance(p, tuple):
                     value = _NAMED_IN.sub("", self.text[p[0] : p[1]]) if any(isinstance(q, int) for q in parts[at]) else self.text[p[0] : p[1]]
+                    more_prose = False
                     if not _PEM.match(value.lstrip()):
                         lines = [x.strip() for x in value.strip().split("\n")]
-                        spaced |= any(" " in x or "\t" in x for x in lines)
+                        more_prose = any(" " in x or "\t" in x for x in lines) and not PROSE.isdisjoint(value.lower().split())
                         value = "".join(lines)
-                    more = len(value), Counter(value), value if len(value) < 300 else None, False
+                    more = len(value), Counter(value), value[:HEAD], value[-2:], more_prose
                 else:
-                    more = told.get(p, (0, Counter(), "", False))
+                    more = told.get(p, (0, Counter(), "", "", False))
                 length, letters = length + more[0], letters + more[1]
-                sample = sample + more[2] if sample is not None and more[2] is not None and len(sample) + len(more[2]) < 300 else None
-                spaced |= more[3]
-            told[at] = length, letters, sample, spaced
+                head, tail, prose = (head + more[2])[:HEAD], (tail + more[3])[-2:], prose or more[4]
+            told[at] = length, letters, head, tail, prose
             todo.pop()
         return told[n]
 

@@ -153,9 +153,57 @@ NAMED = [
     ('if pwd == "hunter2XYZ9": pass', []),
     ('pwd = ("abc9d8" \n   "e7f6a5")', ["abc9d8","e7f6a5"]),
     ('db_pwd: hunter2XYZ9 # old one', ["hunter2XYZ9"]),
+    ('K = "Zx9$Qw7!Rt5%Yu3^"\nclient_secret = K', ["Zx9$Qw7!Rt5%Yu3^"]),
+    ('client_secret = K;\nconst K = "Zx9$Qw7!Rt5%Yu3^";', ["Zx9$Qw7!Rt5%Yu3^"]),
+    ('class A:\n    K = "Zx9$Qw7!Rt5%Yu3^"\n    client_secret = K\n', ["Zx9$Qw7!Rt5%Yu3^"]),
+    ('k.v=Zx9$Qw7!Rt5%Yu3^\nclient.secret=k.v', ["Zx9$Qw7!Rt5%Yu3^"]),
+    ("K=Zx9Qw7Rt5Yu3\nexport CLIENT_SECRET=$K", ["Zx9Qw7Rt5Yu3", "$K"]),
+    ('client_secret_key = "%s"' % ("x" * 400), []),
+    ('client_secret_key = "%s"' % ("*" * 4000), []),
+    ('client_secret_key = "your-%s"' % ("k9" * 400), []),
+    ("private_key=<<      EOF\nabc123XYZ9\nEOF\n", ["abc123XYZ9"]),
+    ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+    ('passphrase = "Please enter your passphrase"', []),
+    ('user, client_secret = "bob", "Zx9$Qw7!Rt5%Yu3^"', ["Zx9$Qw7!Rt5%Yu3^"]),
+    ('K = "Zx9$Qw7!Rt5%Yu3^"\nuser, client_secret, n = "bob", K, 3', ["Zx9$Qw7!Rt5%Yu3^"]),
+    ('<add key="client_secret" value="Zx9$Qw7!Rt5%Yu3^"/>', ["Zx9$Qw7!Rt5%Yu3^"]),
+    ('env:\n  - name: CLIENT_SECRET\n    value: "Zx9$Qw7!Rt5%Yu3^"\n  - name: MODE\n    value: "production77"', ["Zx9$Qw7!Rt5%Yu3^"]),
+    ('client_secret = "".join(["Zx9$Qw", "7!Rt5%", "Yu3^"])', ["Zx9$Qw", "7!Rt5%", "Yu3^"]),
+    ('K = "7!Rt5%"\nclient_secret = "Zx9$Qw{}{end}".format(K, end="Yu3^")', ["7!Rt5%", "Zx9$Qw{}{end}", "Yu3^"]),
+    ('client_secret = ", ".join(f(x))', []),
 ]
 
 
+#: For each way to write an assignment: the text, and what a secret's literal looks like in it. N is a name, V a value, K another name.
+WAYS = [
+    ('N = "V"', "V"), ("N: 'V'", "V"), ('export N=V', "V"), ('{"N": "V"}', "V"), ('N=V', "V"), ("N: V", "V"), ('const N = "V";', "V"), ('config["N"] = "V"', "V"), ('K = "V"\nN = K', "V"),
+    ('N = K\nK = "V"', "V"), ('K = "V"\nlet N = K;', "V"), ('K=V\nN=${K}', "V ${K}"), ('K, N = 1, "V"', "V"), ("<N>V</N>", "V"), ('<add key="N" value="V"/>', "V"), ('N = """V"""', "V"),
+    ("N=<<EOK\nV\nEOK", "V"), ("N: |\n  V", "V"), ('N = ("V"\n  "V")', "V V"), ('define("N", "V")', "V"), ('N = "".join(["V", K])\nK = "V"', "V V"), ('N := "V"', "V"), ('# N = "V"', "V"),
+    ('if N == "V": pass', ""), ('N = f("V")', ""), ('print("V")', ""), ("N is V", ""),
+]
+
+
+def test_named_spans_equal_those_written():
+    """Assignments in every way, secret names and others, put together at random: the spans are those of secret names alone."""
+    r = random.Random(11)
+    for _ in range(300):
+        text, want = "", []
+        for n in range(r.randint(1, 12)):
+            way, shape = r.choice(WAYS)
+            value = lambda: "".join(r.choice("abcdefghjkmnpqrstuvwyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(r.randint(14, 20)))  # noqa: E731, B023
+            secret = r.random() < 0.6
+            name, other = (f"{r.choice(['db_pwd', 'DB_CREDENTIALS', 'signing_key', 'clientPassphrase'])}" if secret else r.choice(["colour", "monkey", "path_name", "title"])) + f"_{n}", f"shade_{n}"
+            part = way.replace("EOK", f"EO{n}K")
+            line = ""
+            for piece in re.split(r"(\$\{K\}|\bN\b|\bK\b|\bV\b)", part):
+                begin = len(text) + len(line)
+                line += {"N": name, "K": other, "V": value(), "${K}": "${%s}" % other}.get(piece, piece)
+                if piece in ("V", "${K}") and piece in shape.split() and secret:
+                    want.append((begin, 3, len(text) + len(line)))
+            text += line + "\n"
+        assert secrets.scan(text)[1] == sorted(want), text
+
+
 @pytest.mark.parametrize(("text", "literals"), NAMED)
 def test_secret_scan_finds_literals_of_secret_names(text, literals):
     assert [text[a:b] for a, _, b in secrets.scan(text)[1]] == literals
@@ -317,6 +365,12 @@ def test_stored_prefixes_answer_questions(spark, codec, tiny):
         assert all(len(codec.sp.encode(t[: r["cut"] + k])) > 100 for k in range(1, min(4, len(t) - r["cut"] + 1)))
 
 
+def test_steps_of_any_size_are_stored():
+    table = np.concatenate([[0], np.cumsum([1, 127, -127, 128, -128, 0, 3_000_000, -2_999_999, -1, 5])])
+    assert token_counts.unpacked(token_counts.packed(table)).tolist() == table.tolist()
+    assert token_counts.unpacked(token_counts.packed(table[:3])).tolist() == table[:3].tolist() and token_counts.packed(table[:1]) == b""
+
+
 def test_counts_of_a_full_store_stay_right(monkeypatch, codec):
     texts = fuzz(80, 4)
     monkeypatch.setattr(token_counts, "MOST_BYTES", 0)
