@@ -218,16 +218,40 @@ def longest_within(table: np.ndarray, budget: int) -> int:
     return int(fits[-1]) if len(fits) else 0
 
 
+#: The step that stands for a wider one, which follows in four bytes.
+WIDE = -128
+
+
 def packed(table: np.ndarray) -> bytes:
-    """A table as it is stored: what each code point adds, a signed byte each."""
+    """A table as it is stored: what each code point adds, a signed byte each, or five where that is too small."""
     steps = np.diff(table)
-    if len(steps) and (steps.max() > 127 or steps.min() < -128):
-        raise ValueError("a code point adds more tokens than a byte tells")
-    return steps.astype(np.int8).tobytes()
+    wide = np.flatnonzero((steps > 127) | (steps <= WIDE))
+    if not len(wide):
+        return steps.astype(np.int8).tobytes()
+    size = np.ones(len(steps), np.int64)
+    size[wide] = 5
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.int8)
+    out[at] = np.where(size == 1, steps, WIDE).astype(np.int8)
+    out[at[wide][:, None] + np.arange(1, 5)] = steps[wide].astype("<i4").view(np.int8).reshape(-1, 4)
+    return out.tobytes()
+
+
+def steps_of(stored: bytes) -> np.ndarray:
+    """What each code point adds."""
+    steps = np.frombuffer(stored, np.int8)
+    if not (steps == WIDE).any():
+        return steps
+    out, at = [], 0
+    while at < len(steps):
+        wide = steps[at] == WIDE
+        out.append(int.from_bytes(stored[at + 1 : at + 5], "little", signed=True) if wide else int(steps[at]))
+        at += 5 if wide else 1
+    return np.array(out, np.int64)
 
 
 def unpacked(stored: bytes) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.frombuffer(stored, np.int8), dtype=np.int64)])
+    return np.concatenate([[0], np.cumsum(steps_of(stored), dtype=np.int64)])
 
 
 def tokens_at(stored: Column, n_chars: Column) -> Column:
@@ -235,7 +259,7 @@ def tokens_at(stored: Column, n_chars: Column) -> Column:
 
     @F.pandas_udf("long")
     def at(tables: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or pd.isna(k) else int(np.frombuffer(t, np.int8)[: max(0, int(k))].sum(dtype=np.int64)) for t, k in zip(tables, n, strict=True)], dtype="Int64")
+        return pd.Series([None if t is None or pd.isna(k) else int(steps_of(t)[: max(0, int(k))].sum(dtype=np.int64)) for t, k in zip(tables, n, strict=True)], dtype="Int64")
 
     return at(stored, n_chars)
 
@@ -285,7 +309,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id, ``n_bytes``, ``n_tokens``, ``over_limit``, ``keep_chars`` and ``prefix_steps``.
 
     ``prefix_steps`` stores the exact token count of every prefix, as the tokens that each code point
-    adds, a signed byte each; the other columns are read from this table, and ``tokens_at`` and
+    adds, a signed byte each (five where that is too small); the other columns are read from this table, and ``tokens_at`` and
     ``chars_within`` answer further questions from it, without encoding again. ``keep_chars`` is the
     length of the longest prefix of at most ``limit`` tokens.
 
