@@ -17,8 +17,11 @@ from pyspark.sql import types as T
 from tallyquill.llm.common import keep_only, text_of, written
 from tallyquill.shipping import ship
 
-#: Labelled rows that the regression is fitted on at most, features that it keeps at most.
-MOST_ROWS, MOST_FEATURES = 20_000, 4_000
+#: Labelled rows that the regression is fitted on at most.
+MOST_ROWS = 20_000
+#: Letters that the trigram model tells apart, at most: those of most features. All others are one letter to it, ``OTHER``.
+ALPHABET = 128
+OTHER = "\ua78f"
 #: Log likelihood ratio below which a feature may be chance, there being very many.
 LEAST_RATIO = 7.0
 LEAST_SCORE = 0.3
@@ -28,8 +31,8 @@ PREFIXES = range(3, 9)
 LEVELS = ((2, 1 / 400), (2, 1 / 150), (3, 1 / 150), (3, 1 / 60))
 #: Tokens of which a Python worker keeps the features.
 MOST_KNOWN = 150_000
-#: Tokens that a task counts before it turns them into trigrams.
-MOST_COUNTED = 200_000
+#: Tokens that a task counts before it turns them into trigrams, and trigrams before it passes them on.
+MOST_COUNTED, MOST_GRAMS = 200_000, 500_000
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "¡": "i", "£": "l", "*": "aeiou"}
@@ -44,9 +47,10 @@ _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€*])(?:[ .\-_*·]{1,3}(?:[^\W_]|
 
 @dataclass
 class Language:
-    """A character trigram model, "^" and "$" standing for a word's ends."""
+    """A character trigram model, "^" and "$" standing for a word's ends, ``OTHER`` for letters outside the alphabet."""
 
     counts: dict[str, int]
+    alphabet: frozenset[str] | None = None  # None: all letters
     totals: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -64,6 +68,8 @@ class Language:
         nothing; a sign is a letter that it may stand for, itself, or nothing. Letters that stood
         apart may begin a new word. States are the last two characters restored.
         """
+        if self.alphabet is not None:
+            token = "".join([c if c in self.alphabet or not c.isalpha() else OTHER for c in token])
         best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
         last = ""
         for c in token:
@@ -200,11 +206,19 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, n: int, penalty: float = 0.2
     return float(w[n]), w[:n]
 
 
-def language_of(docs: DataFrame, text_col: str = "text", most_counted: int = MOST_COUNTED) -> Language:
+def alphabet_of(features: list[str], most: int = ALPHABET) -> frozenset[str]:
+    """The letters of most features, ties by code point, and those that signs may stand for."""
+    seen = Counter(c for k in features for c in set(k.partition("#")[0]))
+    return frozenset(sorted(seen, key=lambda c: (-seen[c], c))[:most]) | frozenset("".join(LEET.values()))
+
+
+def language_of(docs: DataFrame, alphabet: frozenset[str] | None = None, text_col: str = "text", most_counted: int = MOST_COUNTED) -> Language:
     """The trigrams of the words of all documents, a token of them counting once a document.
 
-    Each task counts its tokens and gives the trigrams of their words; the sums come to the driver.
-    Their number grows with the scripts and languages in the documents, far slower than the documents do.
+    Each task counts its tokens and gives the trigrams of their words, in which letters outside the alphabet
+    are ``OTHER``; the sums come to the driver. They are at most as many as the alphabet's letters and four
+    more, to the third power, however many documents and scripts there are: a restored word that holds
+    ``OTHER`` has no feature anyway, so it needn't be told which letter that is.
     """
 
     def count(batches):
@@ -220,28 +234,39 @@ def language_of(docs: DataFrame, text_col: str = "text", most_counted: int = MOS
                             grams[spelled[i : i + 3]] += n
             seen.clear()
 
+        def folded():
+            known = {} if alphabet is None else {ord(c): OTHER for c in set("".join(grams)) - alphabet - {"^", "$"}}
+            out: Counter = Counter()
+            for g, n in grams.items():
+                out[g.translate(known)] += n
+            grams.clear()
+            out = list(out.items())
+            for i in range(0, len(out), 50_000):
+                key, n = zip(*out[i : i + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], ["key", "n"])
+
         for b in batches:
             for text in b.column(0).to_pylist():
                 seen.update(set(text.lower().split()))
                 if len(seen) > most_counted:
                     spell()
+            if len(grams) > MOST_GRAMS:
+                yield from folded()
         spell()
-        out = list(grams.items())
-        for i in range(0, len(out), 50_000):
-            key, n = zip(*out[i : i + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], ["key", "n"])
+        yield from folded()
 
     counts = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return Language({r["key"]: r["n"] for r in counts.collect()})
+    return Language({r["key"]: r["n"] for r in counts.collect()}, alphabet)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> Model:
     """A model fitted on at most ``most_rows`` labelled rows that are not held out.
 
-    The rows are those with the smallest hash of their id. Their beginnings of words are counted by
-    label in the executors; the ``MOST_FEATURES`` with the largest likelihood ratio and the chosen
-    features of the sampled rows come to the driver, bounded by parameters. The trigram model that
-    restores words is counted over all of ``docs``. Labels that are null, and documents without a label, teach nothing. With no
+    The ids are those with the smallest hash; of rows that share one the smallest text teaches. Their
+    beginnings of words are counted by label in the executors; all with a likelihood ratio of ``LEAST_RATIO``
+    are features. These, and which rows have them, come to the driver, bounded by what ``most_rows``
+    documents hold. The trigram model that restores words is counted over all of ``docs``, for the letters of
+    the features (``language_of``), so its size is bounded too. Labels that are null, and documents without a label, teach nothing. With no
     positive or no negative label the score is the same for all texts.
     """
     spark = docs.sparkSession
@@ -249,7 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     taught = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     taught = taught.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     taught = taught.orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(taught), "id").select("text", "y")
+    sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(taught), "id")
+    sample = sample.groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")
     sample = written(sample, "taught")
 
     def count(batches):
@@ -278,12 +304,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not pos or not neg:
         rate = min(max((pos + 0.5) / (pos + neg + 1) if pos else 0.0, 1e-6), 1 - 1e-6)
         return Model(math.log(rate / (1 - rate)), {}, None)
-    language = language_of(docs, text_col)
     part = lambda n, m: F.when(n > 0, n * F.log(n / m)).otherwise(0.0)
     seen, share = F.col("pos") + F.col("neg"), pos / (pos + neg)
     ratio = part(F.col("pos").cast("double"), seen * share) + part(F.col("neg").cast("double"), seen * (1 - share))
-    chosen = counts.where((F.col("kind") == "f") & (F.col("pos") >= 2) & (F.col("pos") > seen * share) & (ratio >= LEAST_RATIO)).orderBy(ratio.desc(), "key").limit(MOST_FEATURES).select("key").collect()
+    chosen = counts.where((F.col("kind") == "f") & (F.col("pos") >= 2) & (F.col("pos") > seen * share) & (ratio >= LEAST_RATIO)).select("key").orderBy("key").collect()
     names = [r["key"] for r in chosen]
+    language = language_of(docs, alphabet_of(names), text_col)
     shared = spark.sparkContext.broadcast((set(names), language))
 
     def read(batches):

@@ -578,7 +578,36 @@ def test_language_is_counted_on_all_documents(spark):
     many = [(i, "you are stupid stupid" if i % 2 else "a good day") for i in range(40)] + [(99, "zwxqvk")]
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     model = toxicity.fit(spark.createDataFrame(many, "doc_id long, text string"), labels, most_rows=20)
-    assert model.language.counts["zwx"] == 1 and model.language.counts["^st"] == 20
+    assert model.language.counts["z" + 2 * toxicity.OTHER] == 1 and model.language.counts["^st"] == 20
+
+
+def test_language_of_any_script_stays_small(spark):
+    """However many letters there are, those outside the alphabet are one; counts and restored words are as by plain folding."""
+    r = random.Random(6)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(r.randint(2, 9))) + " stupid idiot" for _ in range(500)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    alphabet = toxicity.alphabet_of(["stu#1", "idi", "idio"], 6) | frozenset("supd")
+    assert frozenset("idsuto") <= alphabet and len(toxicity.alphabet_of([chr(0x4E00 + i) for i in range(5000)])) <= toxicity.ALPHABET + 30
+    want = Counter()
+    for t in texts:
+        for w in set(t.split()):
+            folded = "^^" + "".join(c if c in alphabet else toxicity.OTHER for c in w) + "$"
+            want.update(folded[i : i + 3] for i in range(len(w) + 1))
+    language = toxicity.language_of(docs, alphabet)
+    assert language.counts == want and len(want) < 40
+    assert language.restore("$tuup1d") == "stupid" and language.restore("\u4e01\u4e02") == 2 * toxicity.OTHER
+
+
+def test_repeated_ids_teach_once(spark):
+    docs = spark.createDataFrame([(i, "you are stupid stupid" if i % 2 else "a good day") for i in range(40)] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels).weights == toxicity.fit(docs.distinct(), labels).weights
+
+
+def test_toxicity_at_few_labels(spark, small):
+    """Of 14 held-out toxic documents 9 are found; what marks four of the others occurs in no other labelled row."""
+    got = toxicity.op5_toxicity(spark, small).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert ((got.predicted == 1) & (got.toxic == 1)).sum() >= 9 and ((got.predicted == 1) & (got.toxic == 0)).sum() == 0
 
 
 def test_toxicity_edges(spark, edges):
