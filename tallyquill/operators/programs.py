@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
+import random
+from functools import cache
+from hashlib import shake_128
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -133,49 +135,6 @@ def flatten(tokens: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda acc: acc["out"])
 
 
-class _Rational:
-    """A quotient of polynomials with exact coefficients; monomials are sorted tuples of symbols."""
-
-    def __init__(self, num: dict, den: dict) -> None:
-        self.num, self.den = num, den
-
-    @staticmethod
-    def symbol(name) -> _Rational:
-        return _Rational({(name,): Fraction(1)}, {(): Fraction(1)})
-
-    @staticmethod
-    def _times(a: dict, b: dict) -> dict:
-        out: dict = {}
-        for x, p in a.items():
-            for y, q in b.items():
-                k = tuple(sorted((*x, *y), key=repr))
-                out[k] = out.get(k, 0) + p * q
-        return {k: v for k, v in out.items() if v}
-
-    @staticmethod
-    def _plus(a: dict, b: dict, sign: int) -> dict:
-        out = dict(a)
-        for k, v in b.items():
-            out[k] = out.get(k, 0) + sign * v
-        return {k: v for k, v in out.items() if v}
-
-    def combine(self, other: _Rational, op: str) -> _Rational:
-        t = self._times
-        if op == "multiply":
-            return _Rational(t(self.num, other.num), t(self.den, other.den))
-        if op == "divide":
-            if not other.num:
-                raise ZeroDivisionError
-            return _Rational(t(self.num, other.den), t(self.den, other.num))
-        return _Rational(self._plus(t(self.num, other.den), t(other.num, self.den), 1 if op == "add" else -1), t(self.den, other.den))
-
-    def same(self, other: _Rational) -> bool:
-        return self._times(self.num, other.den) == self._times(other.num, self.den)
-
-    def key(self):
-        return tuple(sorted(self.num.items(), key=repr)), tuple(sorted(self.den.items(), key=repr))
-
-
 def _parsed(tokens: list[str]) -> list[tuple[str, str, str]] | None:
     body = tokens[:-1]
     if len(body) % 4 or not body:
@@ -189,25 +148,79 @@ def _parsed(tokens: list[str]) -> list[tuple[str, str, str]] | None:
     return steps
 
 
-def _value(steps: list, i: int, memo: dict) -> _Rational:
-    if i in memo:
-        return memo[i]
-    op, a, b = steps[i]
-    if op in TABLE_OPS:
-        out = _Rational.symbol((op, a, b))
-    else:
-        x, y = (_value(steps, int(s.replace("#", "")), memo) if "#" in s else _Rational.symbol(s) for s in (a, b))
-        out = x.combine(y, op) if op in ARITHMETIC[:4] else _Rational.symbol((op, x.key(), y.key()))
-    memo[i] = out
-    return out
+#: Bits that a prime has beyond the steps of a program; two expressions that differ are taken as equal with a chance of 1 in 2 to this power.
+SPARE_BITS = 128
+
+
+@cache
+def _prime(bits: int) -> int:
+    """A prime of this many bits, chosen at random once for all."""
+    choose = random.Random(bits)
+    small = [p for p in range(3, 2000, 2) if all(p % q for q in range(3, int(p**0.5) + 1, 2))]
+    while True:
+        n = choose.getrandbits(bits) | 1 << (bits - 1) | 1
+        if all(n % p for p in small) and all(pow(base, n - 1, n) == 1 for base in (2, 3, 5, 7, 11)):
+            return n
+
+
+def _modulus(steps: int) -> int:
+    """A prime above 2 to the power of ``steps`` + ``SPARE_BITS``, the next of the sizes that double from 256 bits on."""
+    bits = 256
+    while bits < steps + SPARE_BITS and bits < 2048:
+        bits *= 2
+    if bits >= steps + SPARE_BITS:
+        return _prime(bits)
+    return 2 ** next((e for e in MERSENNE if e >= steps + SPARE_BITS), MERSENNE[-1]) - 1
+
+
+#: Exponents of Mersenne primes, for longer programs.
+MERSENNE = (2203, 4423, 9689, 11213, 19937, 21701, 44497, 86243)
+
+
+def _at_point(steps: list, p: int) -> int | None:
+    """What the last step stands for, as a function of the operands, at a random point modulo ``p``; None if it has no meaning.
+
+    An operand's value is a hash of its name, so it is the same in all programs. Sums, products and
+    quotients are those of the field; a table step, a power or a comparison is an operand of its own, named by what it
+    is made of. Only the steps that the last one needs count.
+    """
+    point = lambda *name: int.from_bytes(shake_128(repr(name).encode()).digest(p.bit_length() // 8 + 16), "big") % p
+    value: dict[int, int] = {}
+    todo, entered = [len(steps) - 1], set()
+    while todo:
+        i = todo[-1]
+        op, a, b = steps[i]
+        if i in value:
+            todo.pop()
+            continue
+        if op in TABLE_OPS:
+            value[i] = point(op, a, b)
+            continue
+        needs = [int(x.replace("#", "")) if "#" in x else None for x in (a, b)]
+        if any(n is not None and not 0 <= n < len(steps) for n in needs):
+            return None
+        open_ = [n for n in needs if n is not None and n not in value]
+        if open_:
+            if i in entered:
+                return None  # steps that need each other
+            entered.add(i)
+            todo += open_
+            continue
+        x, y = (point(s) if n is None else value[n] for s, n in zip((a, b), needs, strict=True))
+        if op == "divide" and not y:
+            return None
+        value[i] = {"add": lambda: x + y, "subtract": lambda: x - y, "multiply": lambda: x * y, "divide": lambda: x * pow(y, -1, p)}.get(op, lambda: point(op, x, y))() % p  # noqa: B023
+    return value[len(steps) - 1]
 
 
 def programs_equal(gold: list[str], pred: list[str]) -> bool:
     """Whether two programs mean the same expression of the gold program's operands.
 
-    The prediction may use no other operands or table steps, and refer only to steps before. What
-    the last steps stand for is compared as quotients of polynomials, exactly; powers and comparisons
-    count as symbols of what they are made of.
+    The prediction may use no other operands or table steps, and refer only to steps before. Two quotients
+    of polynomials are the same if they agree at a random point modulo a random prime: a program of n steps has
+    a degree of at most 2^n, so two that differ agree with a chance below 2^-``SPARE_BITS``. This takes a step's
+    time a step, where multiplying out doubles with each squaring. Powers and comparisons count as symbols of
+    what they are made of.
     """
     gold, pred = list(gold), list(pred)
     if len(gold) == 2:
@@ -228,9 +241,11 @@ def programs_equal(gold: list[str], pred: list[str]) -> bool:
                     return False
             elif x not in operands:
                 return False
+    p = _modulus(max(len(a), len(b)))
     try:
-        return _value(a, len(a) - 1, {}).same(_value(b, len(b) - 1, {}))
-    except (ZeroDivisionError, IndexError, ValueError, RecursionError):
+        meant = _at_point(a, p)
+        return meant is not None and meant == _at_point(b, p)
+    except ValueError:  # a reference that is no number
         return False
 
 
