@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyquill.functions.numbers import all_numbers, metrics_in
-from tallyquill.functions.text import clean_output, instruct_prompt, numbered_list, program_and_answer, route, strip
-from tallyquill.operators.retrieval import collection_hits, merge_hits, vector_topk
+from tallyquill.functions.text import asks_for_numbers, clean_output, instruct_prompt, numbered_list, program_and_answer, query_analysis, route, strip
+from tallyquill.operators.retrieval import collection_hits, merge_hits, numeric_first, retrieve, vector_topk
 from tallyquill.operators.tables import table_data
+from tallyquill.store import once
 
 Provider = Callable[[Column], Column]
 
@@ -26,6 +27,8 @@ TOOLS = (
     ("table_search", "table", "Useful for searching through tables with financial data, metrics, and numerical information."),
     ("context_search", "context", "Useful for finding broader context and background information about financial data."),
 )
+CHOOSE = "Choose the tool that answers the question; its name is enough.\n"
+ANALYSE = "Say whether this question needs a computation, and list values_to_extract, operations, time_periods and financial_metrics: "
 REWRITE, EXPAND, SPLIT = "Rewrite this question for a search: ", "Give other questions that ask the same, as a numbered list: ", "Split this question into simpler ones, as a numbered list: "
 
 
@@ -44,9 +47,51 @@ def tools(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TOOLS, "tool string, collection string, description string")
 
 
-def with_tool(questions: DataFrame) -> DataFrame:
-    """The tool that a question goes to, by ``route``."""
-    return questions.withColumn("tool", F.when(route(F.col("question")) == "table", "table_search").otherwise("text_search"))
+def tool_prompt(question: Column) -> Column:
+    """A question with the tools that there are for it."""
+    listed = "".join(f"{tool}: {what}\n" for tool, _, what in TOOLS)
+    return F.concat(F.lit(CHOOSE + listed + "\nQuestion: "), question)
+
+
+def with_tool(questions: DataFrame, choose: Provider | None = None) -> DataFrame:
+    """Adds the tool that a question goes to: the first that the provider's response names, else by ``route``."""
+    routed = F.when(route(F.col("question")) == "table", "table_search").otherwise("text_search")
+    if choose is None:
+        return questions.withColumn("tool", routed)
+    named = F.nullif(F.regexp_extract(choose(tool_prompt(F.col("question"))), "|".join(tool for tool, _, _ in TOOLS), 0), F.lit(""))
+    return questions.withColumn("tool", F.coalesce(named, routed))
+
+
+def searched_by(tool: Column) -> Column:
+    """The parts of the nodes, 0 texts and 1 tables, that a tool's collection holds; the context collection holds both."""
+    said = F.array(F.lit(0), F.lit(1))
+    for name, collection, _ in TOOLS:
+        if collection != "context":
+            said = F.when(tool == name, F.array(F.lit(int(collection == "table")))).otherwise(said)
+    return said
+
+
+def tool_search(nodes: DataFrame, embed: Callable[[Column], Column], k: int = 5) -> Callable[[DataFrame], DataFrame]:
+    """A way to ``find`` contexts: the k nodes of its tool's collection nearest to a question, best first.
+
+    ``nodes`` has node_id, is_table, vec, content. Questions (question, tool, and any columns that tell them
+    apart) of all tools go into one search, each asking for its collection; hits come back to their question in
+    order. A question whose collection is empty has an empty context.
+    """
+
+    def find(questions: DataFrame) -> DataFrame:
+        marked = once(questions.withColumn("__key", F.monotonically_increasing_id()), "questions")
+        hits = vector_topk(marked.select(F.col("__key").alias("query_id"), embed(F.col("question")).alias("vec"), "tool"), nodes, k, by=F.col("is_table").cast("int"), asked=searched_by(F.col("tool")))
+        return with_context(marked, hits.withColumnRenamed("query_id", "__key"), nodes, "__key").drop("__key")
+
+    return find
+
+
+def with_context(questions: DataFrame, hits: DataFrame, nodes: DataFrame, key: str = "query_id") -> DataFrame:
+    """Adds ``context``: the contents of a question's hits (key, node_id, seq), in their order, blank lines between."""
+    held = hits.join(nodes.select("node_id", "content"), "node_id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "node_id", "content"))).alias("held"))
+    said = held.select(key, F.array_join(F.transform("held", lambda h: F.coalesce(h["content"], F.lit(""))), "\n\n").alias("context"))
+    return questions.join(said, key, "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def rewritten(queries: DataFrame, provider: Provider) -> DataFrame:
@@ -65,18 +110,30 @@ def with_sub_questions(queries: DataFrame, provider: Provider) -> DataFrame:
     return queries.withColumn("sub_questions", numbered_list(provider(F.concat(F.lit(SPLIT), F.col("query")))))
 
 
-def multi_query_hits(queries: DataFrame, variants: DataFrame, nodes: DataFrame, embed: Callable[[Column], Column], k: int = 5) -> DataFrame:
-    """Hits of a query's text and table search and of those of its variants, one row a node.
+def multi_query_search(queries: DataFrame, variants: DataFrame | None, nodes: DataFrame, embed: Callable[[Column], Column], k: int = 5) -> DataFrame:
+    """One search for queries and their variants: (query_id, variant, node_id, score, part, seq).
 
-    ``nodes`` has node_id, is_table, vec. A node's best score counts, in the order in which the nodes
-    were first seen: the query's texts, its tables, then variant by variant.
+    ``nodes`` has node_id, is_table, vec. Each has its k best texts (part 0) and tables (1); the query as it is
+    is variant -1.
     """
-    asked = queries.select("query_id", F.lit(-1).alias("variant"), "query").union(variants.select("query_id", "variant", "query"))
+    asked = queries.select("query_id", F.lit(-1).alias("variant"), "query")
+    if variants is not None:
+        asked = asked.union(variants.select("query_id", "variant", "query"))
     asked = asked.withColumn("key", F.concat_ws("#", F.col("query_id").cast("string"), F.col("variant").cast("string")))
     found = vector_topk(asked.select(F.col("key").alias("query_id"), embed(F.col("query")).alias("vec")), nodes, k, by=F.col("is_table").cast("int"))
+    return found.withColumnRenamed("query_id", "key").join(asked.select("key", F.col("query_id"), "variant"), "key").drop("key")
+
+
+def in_order_seen(found: DataFrame, k: int = 5) -> DataFrame:
+    """Hits of ``multi_query_search``, one row a node: its best score, in the order in which the nodes
+    were first seen, the query's texts, its tables, then variant by variant."""
     place = (F.col("variant") + 1) * 2 * k + F.col("part") * k + F.col("seq")
-    hits = found.withColumnRenamed("query_id", "key").join(asked.select("key", F.col("query_id"), "variant"), "key")
-    return merge_hits(hits.select("query_id", "node_id", "score", place.alias("seq")))
+    return merge_hits(found.where(F.col("seq") <= k).select("query_id", "node_id", "score", place.alias("seq")))
+
+
+def multi_query_hits(queries: DataFrame, variants: DataFrame, nodes: DataFrame, embed: Callable[[Column], Column], k: int = 5) -> DataFrame:
+    """Hits of a query's text and table search and of those of its variants, one row a node."""
+    return in_order_seen(multi_query_search(queries, variants, nodes, embed, k), k)
 
 
 def answered(questions: DataFrame, find: Callable[[DataFrame], DataFrame], respond: Provider) -> DataFrame:
@@ -84,22 +141,25 @@ def answered(questions: DataFrame, find: Callable[[DataFrame], DataFrame], respo
     return find(questions).withColumn("response", respond(F.concat(F.coalesce("context", F.lit("")), F.lit("\n\n"), F.col("question")))).drop("context")
 
 
-def sub_question_engine(queries: DataFrame, split: Provider, find: Callable[[DataFrame], DataFrame], respond: Provider) -> DataFrame:
+def sub_question_engine(queries: DataFrame, split: Provider, find: Callable[[DataFrame], DataFrame], respond: Provider, choose: Provider | None = None) -> DataFrame:
     """Queries (query_id, query) -> query_id, response, sub_questions (question, response).
 
     With at most one sub-question a query is answered directly. Else each sub-question goes to its
-    tool, and the last response is to the query with all questions and answers before it.
+    tool, and the last response is to the query with all questions and answers before it. Questions of
+    both sorts are found and answered together; what the provider splits a query into, and answers, is written
+    once.
     """
     listed = with_sub_questions(queries.select("query_id", "query"), split)
-    one = F.size("sub_questions") <= 1
-    direct = answered(with_tool(listed.where(one).select("query_id", F.col("query").alias("question"))), find, respond)
-    asked = with_tool(listed.where(~one).select("query_id", "query", F.posexplode("sub_questions").alias("no", "question")))
-    parts = answered(asked, find, respond).groupBy("query_id", "query").agg(F.array_sort(F.collect_list(F.struct("no", "question", "response"))).alias("parts"))
-    said = F.array_join(F.transform("parts", lambda p: F.concat(F.lit("Question "), (p["no"] + 1).cast("string"), F.lit(": "), p["question"], F.lit("\nAnswer "), (p["no"] + 1).cast("string"), F.lit(": "), p["response"], F.lit("\n\n"))), "")
-    final = F.concat(F.lit("Based on the following information:\n\n"), said, F.lit("Please answer the original question: "), F.col("query"))
+    whole = F.array(F.struct(F.lit(-1).alias("no"), F.col("query").alias("question")))
+    parts = F.transform("sub_questions", lambda q, i: F.struct(i.alias("no"), q.alias("question")))
+    asked = listed.select("query_id", "query", F.explode(F.when(F.size("sub_questions") > 1, parts).otherwise(whole)).alias("q")).select("query_id", "query", "q.no", "q.question")
+    said = once(answered(with_tool(asked, choose), find, respond).select("query_id", "query", "no", "question", "response"), "answers")
     kind = "array<struct<question:string,response:string>>"
-    whole = parts.select("query_id", respond(final).alias("response"), F.transform("parts", lambda p: F.struct(p["question"].alias("question"), p["response"].alias("response"))).cast(kind).alias("sub_questions"))
-    return direct.select("query_id", "response", F.array().cast(kind).alias("sub_questions")).union(whole)
+    direct = said.where("no < 0").select("query_id", "response", F.array().cast(kind).alias("sub_questions"))
+    held = said.where("no >= 0").groupBy("query_id", "query").agg(F.array_sort(F.collect_list(F.struct("no", "question", "response"))).alias("parts"))
+    told = F.array_join(F.transform("parts", lambda p: F.concat(F.lit("Question "), (p["no"] + 1).cast("string"), F.lit(": "), p["question"], F.lit("\nAnswer "), (p["no"] + 1).cast("string"), F.lit(": "), p["response"], F.lit("\n\n"))), "")
+    final = F.concat(F.lit("Based on the following information:\n\n"), told, F.lit("Please answer the original question: "), F.col("query"))
+    return direct.union(held.select("query_id", respond(final).alias("response"), F.transform("parts", lambda p: F.struct(p["question"].alias("question"), p["response"].alias("response"))).cast(kind).alias("sub_questions")))
 
 
 def numeric_nodes(hits: DataFrame, k: int = 10) -> DataFrame:
@@ -144,6 +204,52 @@ def numeric_operations(nodes: DataFrame, analyses: DataFrame, provider: Provider
     return out.select("query_id", "extracted_metrics", "extracted_numbers", "tables", "computed", "steps", response.alias("response"))
 
 
+def answer_questions(
+    queries: DataFrame, nodes: DataFrame, embed: Callable[[Column], Column], respond: Provider, rewrite: Provider | None = None, expand: Provider | None = None,
+    analyse: Provider | None = None, k: int = 5, wide: int = 10, least: float = 0.7, n: int = 3,
+) -> DataFrame:
+    """From questions (query_id, query) to responses, over nodes (node_id, is_table, has_numbers, source, vec, content).
+
+    A question is rewritten and given variants (R14), and all of these are searched at once (R5). What they
+    find is merged, cut off and topped up with tables and contexts (R6-R10). A question that asks for numbers (F24),
+    and of which the analysis says that it needs a computation, has its numeric nodes first, filled up with tables
+    (R12), and statistics and a computed response from its nearest texts and tables (R17). The others go by the nodes as
+    they were retrieved; both sorts are answered together, given their context.
+
+    What a provider says and what the search finds is written once each, and read by all steps that
+    need it: the plan of the rest has no search and asks no provider twice. Returns query_id, searched (the query as
+    it was searched), numeric, nodes (in order), response, computed, steps, numeric_response.
+    """
+    asked = queries.select("query_id", "query")
+    asked = rewritten(asked, rewrite) if rewrite else asked.withColumn("original", F.col("query"))
+    said = analyse(F.concat(F.lit(ANALYSE), F.col("original"))) if analyse else F.lit("")
+    asked = asked.withColumn("analysis", query_analysis(said))
+    asked = once(asked.withColumn("numeric", asks_for_numbers(F.col("original")) & F.col("analysis.needs_numerical_computation")), "questions")
+    variants = once(expanded(asked, expand), "variants") if expand else None
+    found = once(multi_query_search(asked, variants, nodes, embed, max(k, wide)), "hits")
+
+    own = found.where("variant < 0").drop("variant")
+    texts, tables, contexts = collection_hits(own, k)
+    final = retrieve(texts, tables, contexts, least, n, unique=in_order_seen(found, k))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.element_at(F.create_map(F.lit("kept"), F.lit(0), F.lit("table"), F.lit(1), F.lit("context"), F.lit(2)), F.col("part")), "seq", "node_id"))
+    final = once(final.withColumn("seq", place).select("query_id", "node_id", F.col("seq").cast("long").alias("seq")), "retrieved")
+
+    kind = asked.select("query_id", "numeric")
+    facts = nodes.select("node_id", (F.col("is_table") | F.col("has_numbers")).alias("numeric"))
+    focused = numeric_first(final.join(kind.where("numeric").select("query_id"), "query_id").join(facts, "node_id"), collection_hits(own, wide)[1].join(kind.where("numeric").select("query_id"), "query_id"))
+    plain = final.join(kind.where("numeric"), "query_id", "left_anti")
+    ordered = once(plain.union(focused.select("query_id", "node_id", "rank")), "ordered")
+
+    responses = with_context(asked, ordered, nodes)
+    responses = responses.withColumn("response", respond(F.concat("context", F.lit("\n\n"), "original"))).select("query_id", F.col("query").alias("searched"), "numeric", "response")
+    held = ordered.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "node_id"))), lambda h: h["node_id"]).alias("nodes"))
+
+    counted = asked.where("numeric")
+    near = numeric_nodes(own.join(counted.select("query_id"), "query_id"), wide).join(nodes.select("node_id", "source", "is_table", "content"), "node_id")
+    computed = numeric_operations(near, counted.select("query_id", F.col("original").alias("query"), "analysis"), respond).select("query_id", "computed", "steps", F.col("response").alias("numeric_response"))
+    return responses.join(held, "query_id", "left").join(computed, "query_id", "left").select("query_id", "searched", "numeric", F.coalesce("nodes", F.array().cast(held.schema["nodes"].dataType)).alias("nodes"), "response", "computed", "steps", "numeric_response")
+
+
 def generated(questions: DataFrame, provider: Provider, rules: str) -> DataFrame:
     """Questions (question, context, ...) with the program and answer that a text generator gives.
 

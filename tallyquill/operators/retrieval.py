@@ -65,23 +65,28 @@ def _blocks(df: DataFrame, part: Column) -> DataFrame:
     return df.select(part.cast("int").alias("part"), "id", "v").mapInArrow(cut, schema)
 
 
-def vector_topk(queries: DataFrame, nodes: DataFrame, k: int = 5, mode: str = "cosine", by: Column | None = None) -> DataFrame:
+def vector_topk(queries: DataFrame, nodes: DataFrame, k: int = 5, mode: str = "cosine", by: Column | None = None, asked: Column | None = None) -> DataFrame:
     """Queries (query_id, vec) x nodes (node_id, vec) -> query_id, node_id, score, seq (from 1).
 
     ``mode`` is ``cosine``, or ``exp_neg_l2sq``: exp of minus the squared distance of unit vectors.
     With ``by``, a whole number of the nodes, each query has its k best of every value (column ``part``).
+    With ``asked`` too, an array of such numbers, a query has its k best of the nodes of these values
+    together, so queries to several collections share a search; a block meets only queries that ask for it.
 
     Blocks of unit vectors meet in an equi-join by group of queries and way of nodes, both in
     proportion to the rows, so no side needs to be small. A task multiplies two blocks as matrices
     and keeps k rows a query; the last ranking is of those. Scores are compared to nine decimals,
     ties going to the smaller node; null vectors, and vectors of another length, are never hits.
     """
-    q = queries.where(F.col("vec").isNotNull()).select(F.col("query_id").alias("id"), unit(F.col("vec")).alias("v"))
+    every_part = by is None or asked is None
+    q = queries.where(F.col("vec").isNotNull()).select(F.col("query_id").alias("id"), unit(F.col("vec")).alias("v"), (F.array(F.lit(0)) if every_part else F.array_distinct(asked)).alias("asked"))
     n = nodes.where(F.col("vec").isNotNull()).select(F.col("node_id").alias("id"), unit(F.col("vec")).alias("v"), (by if by is not None else F.lit(0)).alias("by"))
     n_groups, n_ways = max(1, -(-q.count() // GROUP)), max(16, -(-n.count() // WAY))
     deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = _blocks(q, deal("id", n_groups)).select("dim", F.col("part").alias("group"), every(n_ways).alias("way"), F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+    # a pack holds the queries of one group that ask for one part
+    q = q.select("id", "v", F.explode("asked").alias("to")).withColumn("deal", F.col("to").cast("int") * n_groups + deal("id", n_groups).cast("int"))
+    left = _blocks(q, F.col("deal")).select("dim", F.pmod("part", F.lit(n_groups)).alias("group"), F.floor(F.col("part") / n_groups).cast("int").alias("to"), every(n_ways).alias("way"), F.col("ids").alias("q_ids"), F.col("x").alias("q"))
     right = _blocks(n, F.col("by")).select("dim", every(n_groups).alias("group"), deal("x", n_ways).cast("int").alias("way"), "part", "ids", "x")
     schema = T.StructType([T.StructField("query_id", q.schema["id"].dataType), T.StructField("node_id", n.schema["id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("place", T.DoubleType()), T.StructField("part", T.IntegerType())])
 
@@ -104,8 +109,12 @@ def vector_topk(queries: DataFrame, nodes: DataFrame, k: int = 5, mode: str = "c
                 i, j = i[some], j[some]
                 yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(s[i, j]), pa.array(place[i, j]), pa.array(np.full(len(i), part, np.int32))], schema.names)
 
-    met = left.join(right, ["dim", "group", "way"]).select("dim", "part", "q", "q_ids", "x", "ids").mapInArrow(multiply, schema)
-    best = Window.partitionBy("query_id", *(["part"] if by is not None else [])).orderBy(F.col("place").desc(), "node_id")
+    if every_part:
+        left, keys = left.drop("to"), ["dim", "group", "way"]
+    else:
+        right, keys = right.withColumn("to", F.col("part")), ["dim", "group", "way", "to"]
+    met = left.join(right, keys).select("dim", "part", "q", "q_ids", "x", "ids").mapInArrow(multiply, schema)
+    best = Window.partitionBy("query_id", *(["part"] if by is not None and asked is None else [])).orderBy(F.col("place").desc(), "node_id")
     ranked = met.withColumn("seq", F.row_number().over(best)).where(F.col("seq") <= k)
     return ranked.select("query_id", "node_id", "score", *(["part"] if by is not None else []), "seq")
 
@@ -140,13 +149,16 @@ def top_up(kept: DataFrame, extra: DataFrame, n: int = 2, unless: DataFrame | No
     return _first(extra.join((kept if unless is None else unless).select("query_id", "node_id"), ["query_id", "node_id"], "left_anti"), n)
 
 
-def retrieve(text_hits: DataFrame, table_hits: DataFrame, context_hits: DataFrame, least: float = 0.7, n: int = 3, more: int = 2) -> DataFrame:
-    """Kept, extra table and extra context hits with their part, counted by ``envelope``."""
-    unique = merge_hits(text_hits.unionByName(table_hits))
+def retrieve(text_hits: DataFrame, table_hits: DataFrame, context_hits: DataFrame, least: float = 0.7, n: int = 3, more: int = 2, unique: DataFrame | None = None) -> DataFrame:
+    """Kept, extra table and extra context hits with their part, counted by ``envelope``; ``seq`` is the order within a part.
+
+    ``unique`` has the merged hits, where there are more searches than the texts' and the tables'.
+    """
+    unique = merge_hits(text_hits.unionByName(table_hits)) if unique is None else unique
     kept = cutoff(unique, least, n)
     tables = top_up(kept, table_hits, more)
     contexts = top_up(kept, context_hits, more, unless=unique)
-    label = lambda df, part: df.select("query_id", "node_id", "score", F.lit(part).alias("part"))
+    label = lambda df, part: df.select("query_id", "node_id", "score", F.lit(part).alias("part"), F.col("seq").cast("long").alias("seq"))
     return label(kept, "kept").union(label(tables, "table")).union(label(contexts, "context"))
 
 

@@ -6,13 +6,15 @@ strings from columns, run the operator, and are checked against the columns them
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyquill import store
 from tallyquill.functions import numbers, outputs, text
-from tallyquill.operators import chunks, dialogue, engine, predictions, programs, retrieval, tables, training
+from tallyquill.operators import chunks, dialogue, engine, index, predictions, programs, retrieval, tables, training
 from tallyquill.shipping import ship
 from tallyquill.sources import readers, writers
 
@@ -259,12 +261,15 @@ a AS (
 
 
 def _hits(t, k: int) -> DataFrame:
-    """One search over all vectors but the query's own, which is one of the k + 1 best; those of small labels stand for tables."""
+    """One search over all vectors but the query's own, which is one of the k + 1 best; those of small labels stand for tables.
+
+    Its hits are written once, as several steps read them.
+    """
     v = _shipped(t("embeddings")).select("vec_id", F.col("embedding").alias("vec"), (F.col("label") < 3).cast("int").alias("is_table"))
     queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
     found = retrieval.vector_topk(queries, v.withColumnRenamed("vec_id", "node_id"), k + 1, by=F.col("is_table")).where("query_id <> node_id")
     order = Window.partitionBy("query_id", "part").orderBy("seq")
-    return found.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= k)
+    return store.once(found.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= k), "hits")
 
 
 def _collections(t, k: int = 5):
@@ -278,6 +283,21 @@ def vector_topk(t):
     return _collections(t)[2].select("query_id", "node_id", F.round("score", 6).alias("score"), "seq")
 
 
+@query(VECTORS + "SELECT query_id, node_id, round(score, 6) AS score, s::INT AS seq, is_table FROM a WHERE s <= 5")
+def stored_search(t):
+    """An index is written and read back; each query asks for its nearest texts, and for its nearest tables."""
+    v = _shipped(t("embeddings")).select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vec"), (F.col("label") < 3).cast("int").alias("collection"))
+    spark = v.sparkSession
+    path = f"{store.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.build(v, path)
+    held = index.load(spark, path)
+    asked = v.where("node_id % 20 = 0").select((F.col("node_id") * 2).alias("query_id"), "vec")
+    asked = asked.union(asked.select(F.col("query_id") + 1, "vec"))  # one query a collection
+    found = index.search(held, asked, 6, F.array(F.col("query_id") % 2)).select(F.floor(F.col("query_id") / 2).alias("query_id"), "node_id", "score", "seq", (F.col("query_id") % 2 == 1).alias("is_table")).where("query_id <> node_id")
+    order = Window.partitionBy("query_id", "is_table").orderBy("seq")
+    return found.withColumn("seq", F.row_number().over(order)).where("seq <= 5").select("query_id", "node_id", F.round("score", 6).alias("score"), "seq", "is_table")
+
+
 MERGED = (
     VECTORS
     + """,
@@ -321,7 +341,7 @@ def hybrid_keyword(t):
     """Contexts among the twenty nearest that hold a keyword of the question."""
     asked = t("conversations").where("turn = 0").select((F.col("conv_id") * 20).alias("query_id"), text.keywords(F.col("text")).alias("keywords"))
     docs = t("documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content"))
-    hits = _hits(t, 20)  # the one search that all parts share
+    hits = _hits(t, 20)
     candidates = retrieval.collection_hits(hits, 20)[2].join(asked, "query_id").join(docs, "node_id")
     return retrieval.keyword_hits(candidates, _retrieved(hits)).select("query_id", "node_id", "seq")
 
@@ -623,7 +643,7 @@ d AS (SELECT *, 'c' || CASE WHEN regexp_matches(lower(query), 'table|row|column|
 SELECT query_id, CASE WHEN n = 0 THEN 'r' || length(plain) ELSE 'r' || length(final) END AS response, CASE WHEN n = 0 THEN 0 ELSE 2 END AS n_parts,
   CASE WHEN n <> 0 THEN 'r' || length(p2) END AS second FROM d""")
 def sub_questions(t):
-    """A third of the questions is answered directly, the others by way of two, each sent to its tool."""
+    """The assembly alone, contexts being the tools' names: a third of the questions is answered directly, the others by way of two."""
     queries = _shipped(t("benchmark")).select(F.col("item_id").alias("query_id"), F.translate("text", "\n", " ").alias("query"), (F.col("item_id") % 3).alias("n"))
     marked = queries.select("query_id", F.concat(F.col("n").cast("string"), F.lit("#"), F.col("query_id").cast("string"), F.lit("#"), F.col("query")).alias("query"))
     said = lambda p: F.replace(p, F.lit(engine.SPLIT), F.lit(""))
@@ -635,6 +655,87 @@ def sub_questions(t):
     return out.select("query_id", "response", F.size("sub_questions").alias("n_parts"), F.get("sub_questions", F.lit(1))["response"].alias("second"))
 
 
+NEAR = """
+ls AS (SELECT string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ') AS l),
+qv AS (SELECT query_id, no, list_transform(l, lambda c: (length(lower(question)) - length(replace(lower(question), c, '')))::DOUBLE) AS e FROM t, ls),
+nv AS (SELECT doc_id AS node_id, coalesce(text, '') AS content, contains(coalesce(text, ''), '|') AS is_table, list_transform(l, lambda c: (length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), c, '')))::DOUBLE) AS e FROM documents, ls),
+s AS (SELECT query_id, no, node_id, is_table, list_cosine_similarity(qv.e, nv.e) AS score FROM qv, nv WHERE isfinite(list_cosine_similarity(qv.e, nv.e))),
+"""
+
+
+def _document_nodes(t) -> DataFrame:
+    """Documents as nodes; a bar makes a table, a figure a text with numbers."""
+    said = F.coalesce("text", F.lit(""))
+    return retrieval.embedded(t("documents"), "text").select(F.col("doc_id").alias("node_id"), said.contains("|").alias("is_table"), said.rlike("[0-9]").alias("has_numbers"), F.col("source").alias("source"), "vec", said.alias("content"))
+
+
+def _benchmark_questions(t) -> DataFrame:
+    return _shipped(t("benchmark")).select(F.col("item_id").alias("query_id"), text.strip(F.translate("text", "\n", " ")).alias("query"))
+
+
+BENCHMARK_QUESTIONS = "SELECT item_id AS query_id, regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS query FROM benchmark"
+
+
+@query(
+    f"""
+WITH q AS ({BENCHMARK_QUESTIONS}),
+p AS (
+  SELECT query_id, query, -1 AS no, query AS question FROM q WHERE length(query) % 3 = 0 UNION ALL SELECT query_id, query, 0, 'who said ' || query FROM q WHERE length(query) % 3 <> 0
+  UNION ALL SELECT query_id, query, 1, 'what total has ' || query FROM q WHERE length(query) % 3 <> 0 UNION ALL SELECT query_id, query, 2, 'background of ' || query FROM q WHERE length(query) % 3 <> 0),
+t AS (SELECT *, CASE WHEN starts_with(question, 'background of') THEN 'context' WHEN regexp_matches(lower(question), 'table|row|column|total|how much|how many|percent|[0-9]{{4}}') THEN 'table' ELSE 'text' END AS tool FROM p),
+{NEAR}
+r AS (SELECT s.*, row_number() OVER (PARTITION BY query_id, no ORDER BY round(score, 9) DESC, node_id) AS n FROM s JOIN t USING (query_id, no) WHERE tool = 'context' OR is_table = (tool = 'table')),
+x AS (SELECT query_id, no, string_agg(content, chr(10) || chr(10) ORDER BY n) AS context FROM r JOIN nv USING (node_id) WHERE n <= 3 GROUP BY ALL),
+a AS (SELECT t.*, md5(coalesce(context, '') || chr(10) || chr(10) || question) AS response FROM t LEFT JOIN x USING (query_id, no)),
+f AS (
+  SELECT query_id, md5('Based on the following information:' || chr(10) || chr(10) || string_agg('Question ' || no + 1 || ': ' || question || chr(10) || 'Answer ' || no + 1 || ': ' || response || chr(10) || chr(10), '' ORDER BY no)
+    || 'Please answer the original question: ' || any_value(query)) AS response, list(response ORDER BY no) AS parts FROM a WHERE no >= 0 GROUP BY query_id)
+SELECT query_id, response, parts FROM f UNION ALL SELECT query_id, response, []::VARCHAR[] FROM a WHERE no < 0"""
+)
+def sub_question_search(t):
+    """Sub-questions go to the text, table and context tools, whose nearest documents are their contexts; one search serves all."""
+    split = lambda p: F.when(F.length(_behind(p, engine.SPLIT)) % 3 == 0, _behind(p, engine.SPLIT)).otherwise(F.concat(F.lit("1. who said "), _behind(p, engine.SPLIT), F.lit("\n2. what total has "), _behind(p, engine.SPLIT), F.lit("\n3. background of "), _behind(p, engine.SPLIT)))
+    choose = lambda p: F.when(F.substring_index(p, "\nQuestion: ", -1).startswith("background of"), "The context_search tool.").otherwise("Any.")
+    out = engine.sub_question_engine(_benchmark_questions(t), split, engine.tool_search(_document_nodes(t), retrieval.letter_counts, 3), F.md5, choose)
+    return out.select("query_id", "response", F.transform("sub_questions", lambda q: q["response"]).alias("parts"))
+
+
+def _behind(prompt, opening: str):
+    """What a prompt asks about."""
+    return F.replace(prompt, F.lit(opening), F.lit(""))
+
+
+@query(
+    f"""
+WITH q AS (SELECT *, length(query) % 2 = 0 AND regexp_matches(lower(query), '{text.NUMERIC_TERMS}') AS numeric FROM ({BENCHMARK_QUESTIONS})),
+t AS (
+  SELECT query_id, -1 AS no, 'about ' || query AS question FROM q UNION ALL SELECT query_id, 0, lower('about ' || query) FROM q
+  UNION ALL SELECT query_id, 1, 'z' || regexp_replace('about ' || query, '[aeiou]', '', 'g') || 'z' FROM q),
+{NEAR}
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, no, is_table ORDER BY round(score, 9) DESC, node_id) AS n, row_number() OVER (PARTITION BY query_id, no ORDER BY round(score, 9) DESC, node_id) AS nc FROM s),
+u AS (SELECT query_id, node_id, max(score) AS score, min((no + 1) * 10 + is_table::INT * 5 + n) AS seq FROM r WHERE n <= 5 GROUP BY ALL),
+kept AS (SELECT query_id, node_id, 0 AS part, seq FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq, node_id) AS m FROM u WHERE score >= 0.7) WHERE m <= 3),
+tx AS (SELECT query_id, node_id, 1 AS part, n AS seq FROM (SELECT r.*, row_number() OVER (PARTITION BY r.query_id ORDER BY r.n, r.node_id) AS m FROM r ANTI JOIN kept USING (query_id, node_id) WHERE no = -1 AND is_table AND n <= 5) WHERE m <= 2),
+cx AS (SELECT query_id, node_id, 2 AS part, nc AS seq FROM (SELECT r.*, row_number() OVER (PARTITION BY r.query_id ORDER BY r.nc, r.node_id) AS m FROM r ANTI JOIN u USING (query_id, node_id) WHERE no = -1 AND nc <= 5) WHERE m <= 2),
+f AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY part, seq, node_id) AS seq FROM (SELECT * FROM kept UNION ALL SELECT * FROM tx UNION ALL SELECT * FROM cx)),
+b AS (SELECT f.*, is_table OR regexp_matches(content, '[0-9]') AS num FROM f JOIN nv USING (node_id) JOIN q USING (query_id) WHERE numeric),
+c AS (SELECT query_id, count(*) FILTER (num) AS nn, count(*) AS na FROM b GROUP BY query_id),
+e AS (SELECT r.query_id, r.node_id, c.na + row_number() OVER (PARTITION BY r.query_id ORDER BY r.n, r.node_id) AS seq FROM r ANTI JOIN b USING (query_id, node_id) JOIN c ON c.query_id = r.query_id AND c.nn < 3 WHERE no = -1 AND is_table AND n <= 10),
+o AS (
+  SELECT f.* FROM f JOIN q USING (query_id) WHERE NOT numeric UNION ALL SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY (NOT num)::INT, seq, node_id) FROM b UNION ALL SELECT * FROM e WHERE seq <= 5),
+x AS (SELECT query_id, list(node_id ORDER BY seq) AS nodes, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS context FROM o JOIN nv USING (node_id) GROUP BY query_id)
+SELECT query_id, 'about ' || query AS searched, numeric, coalesce(nodes, []) AS nodes, md5(coalesce(context, '') || chr(10) || chr(10) || query) AS response, numeric AS computed,
+  CASE WHEN numeric THEN ['Time period comparison requested: 2008, 2009'] END AS steps FROM q LEFT JOIN x USING (query_id)"""
+)
+def question_answers(t):
+    """From questions to responses, numeric and plain ones, by way of one search."""
+    rewrite = lambda p: F.concat(F.lit("about "), _behind(p, engine.REWRITE))
+    expand = lambda p: F.concat(F.lit("1. "), F.lower(_behind(p, engine.EXPAND)), F.lit("\n2. z"), F.regexp_replace(_behind(p, engine.EXPAND), "[aeiou]", ""), F.lit("z"))
+    analyse = lambda p: F.concat(F.when(F.length(_behind(p, engine.ANALYSE)) % 2 == 0, "true").otherwise("no"), F.lit("\ntime_periods: ['2008', '2009']"))
+    out = engine.answer_questions(_benchmark_questions(t), _document_nodes(t), retrieval.letter_counts, F.md5, rewrite, expand, analyse)
+    return out.select("query_id", "searched", "numeric", "nodes", "response", F.col("numeric_response").isNotNull().alias("computed"), "steps")
+
+
 @query("""
 WITH g AS (SELECT l_orderkey AS query_id, count(*) AS n_nodes, avg(l_quantity * 1e6) AS mean, median(l_quantity * 1e6) AS median, min(l_quantity * 1e6) AS min, max(l_quantity * 1e6) AS max FROM lineitem GROUP BY 1)
 SELECT query_id, n_nodes::INT AS n_metrics, mean, median, min, max, ['Calculated statistics for total revenue', 'Time period comparison requested: 2008, 2009'] AS steps, query_id % 2 = 0 AS asked FROM g""")
