@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyquill.functions.text import CONTEXT_OPENING, canonical_answer, let, tagged
+from tallyquill.functions.tokenizers import Tokenizer, tokenized
 from tallyquill.operators.programs import tokens_text, training_tokens
 
 
@@ -60,6 +61,46 @@ def response_labels(ids: Column, marker: Column, masked: int = -100) -> Column:
     return let(at, lambda begin: F.transform(ids, lambda x, i: F.when(i >= begin, x).otherwise(F.lit(masked))))  # sought once, not once an id
 
 
+def response_at(text: Column, instruction: str, response: str) -> Column:
+    """The code point (from 0) of the first response marker behind the first instruction marker, null without either."""
+    begun = F.instr(text, instruction)
+    found = F.when(begun > 0, F.call_function("locate", F.lit(response), text, (begun + len(instruction)).cast("int")))
+    return F.when(found > 0, found - 1)
+
+
+def text_labels(text: Column, tokens: Column, instruction: str, response: str, masked: int = -100) -> Column:
+    """The ids from the response marker on, as it is found in the text; all before masked.
+
+    ``tokens`` has ids, starts and ends. The first token that ends behind the marker's beginning is the first one
+    that counts, so a token that holds the end of the instruction and the marker's beginning does. Null where
+    the text has no instruction marker, or no response marker behind it: such a row stays as it is.
+    """
+    at = response_at(text, instruction, response)
+    before = let(at, lambda a: F.size(F.filter(tokens["ends"], lambda e: e <= a)))  # ends ascend
+    labels = let(before, lambda n: F.transform(tokens["ids"], lambda x, i: F.when(i >= n, x).otherwise(F.lit(masked))))
+    return F.when(at.isNotNull(), labels)
+
+
+def attention(ids: Column, length: int) -> Column:
+    """Ones for the ids that are left of a length, zeros for what fills it up."""
+    n = F.least(F.size(ids), F.lit(length))
+    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))
+
+
+def training_rows(rows: DataFrame, tokenizer: Tokenizer, length: int, text_col: str = "text", pad: int = 0, markers: tuple[str, str] | None = None, masked: int = -100) -> DataFrame:
+    """Adds ``input_ids`` and ``attention_mask`` of a length, and ``labels`` where ``markers`` gives those of instruction and response.
+
+    Texts are encoded once, in Arrow batches; cutting, filling and masking are columns. A row whose markers
+    aren't found has null labels and is otherwise like the others. Null text has nulls throughout.
+    """
+    out = rows.withColumn("__t", tokenized(F.col(text_col), tokenizer))
+    ids = F.col("__t.ids")
+    added = {"input_ids": padded(ids, length, pad), "attention_mask": F.when(ids.isNotNull(), attention(ids, length))}
+    if markers:
+        added["labels"] = padded(text_labels(F.col(text_col), F.col("__t"), *markers, masked=masked), length, masked)
+    return out.withColumns(added).drop("__t")
+
+
 def safe_ids(ids: Column, vocabulary: int) -> Column:
     """No negative ids or nulls; too large ones become the last id."""
     return F.transform(F.filter(ids, lambda x: x.isNotNull() & (x >= 0)), lambda x: F.least(x, F.lit(vocabulary - 1)))

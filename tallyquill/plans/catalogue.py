@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyquill import store
-from tallyquill.functions import numbers, outputs, text
+from tallyquill.functions import numbers, outputs, text, tokenizers
 from tallyquill.operators import chunks, dialogue, engine, index, predictions, programs, retrieval, tables, training
 from tallyquill.shipping import ship
 from tallyquill.sources import readers, writers
@@ -243,12 +243,34 @@ def number_details(t):
     return docs.select("doc_id", "n.*")
 
 
-@query()
+def _packing(length: str, size: int, overlap: int, counted: str) -> str:
+    """Sentences packed by a recursive query, a chunk a step: its first and last sentence, by the running sums of lengths."""
+    return f"""
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '') AS ss FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, ss, list_transform(ss, lambda x: {length}) AS ns FROM s WHERE len(ss) > 0),
+u AS (SELECT doc_id, unnest(ns) AS n, generate_subscripts(ns, 1) AS i FROM w),
+c AS (SELECT doc_id, list(total ORDER BY i) AS upto FROM (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS total FROM u) GROUP BY doc_id),
+r AS (
+  SELECT doc_id, 0 AS chunk_no, 1 AS a, greatest(1, len(list_filter(upto, lambda x: x <= {size}))) AS b, upto FROM c
+  UNION ALL
+  SELECT doc_id, chunk_no + 1, t, greatest(b + 1, len(list_filter(upto, lambda x: x <= coalesce(upto[t - 1], 0) + {size}))), upto FROM (
+    SELECT doc_id, chunk_no, b, upto, CASE WHEN upto[b + 1] - coalesce(upto[k - 1], 0) <= {size} THEN k ELSE b + 1 END AS t FROM (
+      SELECT *, least(b + 1, greatest(a + 1, len(list_filter(upto, lambda x: x < upto[b] - {overlap})) + 2)) AS k FROM r WHERE b < len(upto))))
+SELECT doc_id, chunk_no::INT AS chunk_no, doc_id || '_text_chunk_' || chunk_no AS node_id, (upto[b] - coalesce(upto[a - 1], 0))::INT AS {counted}, array_to_string(ss[a:b], ' ') AS content FROM r JOIN w USING (doc_id)"""
+
+
+@query(_packing("len(regexp_extract_all(x, '\\S+'))", 128, 20, "n_words"))
 def sentence_chunks(t):
-    """Whole sentences packed into chunks."""
+    """Whole sentences packed into chunks, by words."""
     return chunks.sentence_chunks(_shipped(t("documents")), size=128, overlap=20)
 
 
+@query(_packing("len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]{1,4}'))", 256, 40, "n_tokens"))
+def token_chunks(t):
+    """Whole sentences packed into chunks, by the tokens that a tokenizer gives."""
+    return chunks.sentence_chunks(_shipped(t("documents")), size=256, overlap=40, tokenizer=tokenizers.plain())
+
+
 # --- retrieval -------------------------------------------------------------------------------------------------------
 
 VECTORS = """
@@ -549,6 +571,30 @@ def label_mask(t):
     return docs.select("doc_id", training.response_labels(F.col("ids"), marker).alias("labels"), training.marker_at(F.col("ids"), marker).alias("marker_at"), both["ids"].alias("head"))
 
 
+ASK, SAY = "### Instruction:\n", "### Response:\n"
+PIECES = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]{{1,4}}')"
+
+
+@query(f"""
+WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND turn % 3 <> 2 THEN '{ASK[:-1]}' || chr(10) WHEN role = 'assistant' AND conv_id % 4 = 1 THEN 'so' || '{SAY[:-1]}' || chr(10) WHEN role = 'assistant' THEN '{SAY[:-1]}' || chr(10) ELSE '' END || coalesce(text, '') AS said FROM conversations),
+c AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN string_agg(said, ' ' ORDER BY turn) ELSE string_agg(said, chr(10) ORDER BY turn) END AS text FROM m GROUP BY conv_id),
+p AS (SELECT *, strpos(text, '{ASK[:-1]}' || chr(10)) AS a FROM c),
+q AS (SELECT *, CASE WHEN a > 0 THEN strpos(substr(text, a + {len(ASK)}), '{SAY[:-1]}' || chr(10)) ELSE 0 END AS z FROM p),
+b AS (SELECT *, CASE WHEN z > 0 THEN a + {len(ASK)} - 1 + z - 1 END AS place FROM q),
+k AS (SELECT *, list_transform({PIECES.format("text")}, lambda x: ((length(x) * 131 + ord(x) * 7 + ord(substr(x, length(x), 1))) % 32000)::INT) AS ids, {PIECES.format("substr(text, 1, place)")} AS pre FROM b),
+n AS (SELECT *, len(pre) - CASE WHEN len(pre) > 0 AND length(pre[-1]) < 4 AND regexp_matches(substr(text, place, 1), '[^\\x20\\x09-\\x0D]') THEN 1 ELSE 0 END AS before FROM k)
+SELECT conv_id, (ids || list_transform(range(64), lambda i: 0))[1:64] AS input_ids, list_transform(range(64), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END) AS attention_mask,
+  CASE WHEN place IS NOT NULL THEN (list_transform(ids, lambda x, i: CASE WHEN i > before THEN x ELSE -100 END) || list_transform(range(64), lambda i: -100))[1:64] END AS labels, place::INT AS marker_at FROM n""")
+def training_tokens(t):
+    """Conversations as texts, their ids, attention mask and labels; the response marker counts behind the instruction only, and may begin inside a token."""
+    lead = F.when((F.col("role") == "user") & (F.col("turn") % 3 != 2), ASK).when((F.col("role") == "assistant") & (F.col("conv_id") % 4 == 1), "so" + SAY).when(F.col("role") == "assistant", SAY).otherwise("")
+    held = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(lead, F.coalesce("text", F.lit(""))).alias("said")))).alias("ms"))
+    said = F.transform("ms", lambda m: m["said"])
+    texts = _shipped(held).select("conv_id", F.when(F.col("conv_id") % 2 == 0, F.array_join(said, " ")).otherwise(F.array_join(said, "\n")).alias("text"))
+    rows = training.training_rows(texts, tokenizers.plain(), 64, markers=(ASK, SAY))
+    return rows.select("conv_id", "input_ids", "attention_mask", "labels", training.response_at(F.col("text"), ASK, SAY).alias("marker_at"))
+
+
 @query("""
 WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: (length(x) * 3 - 9)::INT) AS ids FROM documents)
 SELECT doc_id, list_transform(list_filter(ids, lambda x: x >= 0), lambda x: least(x, 15)) AS safe, (list_position(ids, list_max(ids)) - 1)::BIGINT AS best, list_filter(ids, lambda x: x <> -100) AS counted,
