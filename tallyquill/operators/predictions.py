@@ -7,12 +7,13 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyquill.functions.numbers import metrics_of
 from tallyquill.functions.text import strip, to_double, training_answer, validate_format
+from tallyquill.store import once
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -100,13 +101,57 @@ def metric_values(nodes: DataFrame, id_col: str = "node_id", text_col: str = "co
     return rows.mapInArrow(read, schema)
 
 
+#: Bits of a value's key that a round of ``medians`` settles, and ways into which the values of a bucket are dealt.
+STEP, WAYS = 16, 32
+
+
+def order_key(value: Column) -> Column:
+    """A whole number in the order of doubles: their bits, turned round below zero."""
+
+    @F.pandas_udf("long")
+    def run(v: pd.Series) -> pd.Series:
+        bits = v.to_numpy(np.float64).view(np.int64)
+        return pd.Series(np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits))
+
+    return run(value)
+
+
+def medians(counted: DataFrame, by: str = "metric") -> DataFrame:
+    """The exact median of each metric from (metric, value, n), the value's count: (metric, median).
+
+    Values are looked at as 64-bit keys in their order. A histogram by the first 16 bits, of at most 65,536
+    buckets a metric, tells in which bucket the middle rank lies; only the values in it are counted by the next
+    16 bits, and so on. So no task holds a metric's values, however many it has: they are counted where they are,
+    and the buckets of one round meet alone. An even number of values has two middle ranks, which may go separate ways.
+    """
+    keyed = once(counted.select(by, "value", "n", order_key(F.col("value")).alias("key")).withColumn("way", F.pmod(F.xxhash64("key"), F.lit(WAYS)).cast("int")), "keyed")
+    n = keyed.groupBy(by).agg(F.sum("n").alias("n"))
+    rank = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))))
+    wanted = n.select(by, rank.alias("rank")).withColumn("prefix", F.lit(None).cast("long"))
+    for left in range(64 - STEP, -1, -STEP):
+        rows = keyed
+        if left < 64 - STEP:
+            every = wanted.select(by, "prefix").distinct().withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+            rows = keyed.withColumn("prefix", F.shiftright("key", left + STEP)).join(every, [by, "prefix", "way"])
+        else:
+            rows = keyed.withColumn("prefix", F.lit(None).cast("long"))
+        buckets = rows.groupBy(by, "prefix", F.shiftright("key", left).alias("bucket")).agg(F.sum("n").alias("n"), F.min("value").alias("value"))
+        upto = F.sum("n").over(Window.partitionBy(by, "prefix").orderBy("bucket"))
+        buckets = buckets.withColumn("upto", upto)
+        within = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+        met = wanted.select(by, "rank", "prefix").alias("w").join(buckets.alias("b"), (F.col(f"w.{by}") == F.col(f"b.{by}")) & F.col("w.prefix").eqNullSafe(F.col("b.prefix"))).where(within)
+        wanted = once(met.select(F.col(f"w.{by}").alias(by), (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), F.col("bucket").alias("prefix"), "value"), "middle")
+    return wanted.groupBy(by).agg(F.avg("value").alias("median"))
+
+
 def metric_stats(values: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Mean, median, min and max by metric, of the wanted metrics where these are given.
 
-    Equal values are counted first, so what a metric's one row is made of are its distinct values.
+    Equal values are counted first; sums are taken where the values are, and ``medians`` finds the middle.
     """
     if wanted is not None:
         values = values.join(wanted.select("metric").distinct(), "metric", "left_semi")
-    counted = values.where(F.col("value").isNotNull()).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = once(values.where(F.col("value").isNotNull()).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n")), "counted")
     n = F.sum("n")
-    return counted.groupBy("metric").agg((F.sum(F.col("value") * F.col("n")) / n).alias("mean"), F.percentile("value", F.lit(0.5), F.col("n")).alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), n.alias("n"))
+    sums = counted.groupBy("metric").agg((F.sum(F.col("value") * F.col("n")) / n).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), n.alias("n"))
+    return sums.join(medians(counted), "metric").select("metric", "mean", "median", "min", "max", "n")
