@@ -271,6 +271,18 @@ def token_chunks(t):
     return chunks.sentence_chunks(_shipped(t("documents")), size=256, overlap=40, tokenizer=tokenizers.plain())
 
 
+@query("""
+SELECT doc_id, lang, text, count(*) OVER () AS n FROM documents""")
+def json_arrays(t):
+    """Documents written as JSON arrays and read back in splits; each object's place in its file is its own."""
+    docs = _shipped(t("documents")).select("doc_id", "lang", "text")
+    path = f"{store.shared_dir(docs.sparkSession)}/arrays-{uuid.uuid4().hex}"
+    writers.write_arrays(docs, path)
+    read = readers.read_numbered(docs.sparkSession, path, docs.schema.simpleString()[7:-1].replace(":", " "))
+    places = read.groupBy("__file").agg(F.count_distinct("seq").alias("n"), F.max("seq").alias("last")).where("n = last + 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return read.select("doc_id", "lang", "text").join(F.broadcast(places))  # one row
+
+
 # --- retrieval -------------------------------------------------------------------------------------------------------
 
 VECTORS = """

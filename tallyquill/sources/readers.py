@@ -2,39 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyquill.operators.tables import context_text, format_table, table_text
 from tallyquill.sources import schemas
+from tallyquill.sources.arrays import read_objects
 
 
 def read_array(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") -> DataFrame:
-    """The objects of JSON arrays, a file each; a malformed file fails."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", mode).json(path)
+    """The objects of JSON arrays, a file each, read by as many tasks as Spark has splits; a malformed file fails."""
+    return read_objects(spark, path, schema, mode).select("item.*")
 
 
 def read_numbered(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") -> DataFrame:
-    """The objects of JSON arrays with ``seq``, their place in their file from 0.
-
-    The parser gives the rows of a file one by one and in order, so the numbers that rows get as they
-    are read rise with their places; they are counted by file.
-    """
-    rows = read_array(spark, path, schema, mode).select("*", F.col("_metadata.file_path").alias("__file")).withColumn("__at", F.monotonically_increasing_id())
-    place = F.row_number().over(Window.partitionBy("__file").orderBy("__at")) - 1
-    return rows.withColumn("seq", place)
+    """The objects of JSON arrays with ``seq``, their place in their file from 0, and ``__file``."""
+    return read_objects(spark, path, schema, mode).select("item.*", "__file", "seq")
 
 
 def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
     """Knowledge items, the last one of an id counting."""
-    items = read_numbered(spark, path, schemas.KNOWLEDGE)
-    data = [c for c in items.columns if c not in ("__file", "__at", "seq")]
-    return items.groupBy(F.col("id").alias("__id")).agg(F.max_by(F.struct(*data), F.struct("__file", "__at")).alias("item")).select("item.*")
+    items = read_objects(spark, path, schemas.KNOWLEDGE)
+    return items.groupBy(F.col("item.id").alias("__id")).agg(F.max_by("item", F.struct("__file", "seq")).alias("item")).select("item.*")
 
 
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
     """Dialogues with their place in the file."""
-    return read_numbered(spark, path, schemas.DIALOGUE).drop("__file", "__at")
+    return read_numbered(spark, path, schemas.DIALOGUE).drop("__file")
 
 
 def inference_examples(dialogues: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,24 @@ def write_markdown(docs: DataFrame, path: str) -> None:
     docs.select(markdown(F.col("id"), F.col("pre"), F.col("table"), F.col("post")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_arrays(df: DataFrame, path: str) -> None:
+    """Rows as JSON arrays, a file each task, in the layout that the sources read; an empty task writes an empty array."""
+
+    def lines(batches):
+        last = None
+        yield pa.RecordBatch.from_arrays([pa.array(["["])], ["value"])
+        for b in batches:
+            said = [x for x in b.column(0).to_pylist() if x is not None]
+            if not said:
+                continue
+            said, held = [*([last] if last is not None else []), *said], said[-1]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{x}," for x in said[:-1]], pa.string())], ["value"])
+            last = held
+        yield pa.RecordBatch.from_arrays([pa.array([*([last] if last is not None else []), "]"])], ["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def evaluation_tables(metrics: DataFrame, results: DataFrame, path: str) -> None:
     """K1, at any size: the metrics and the results of the examples, side by side."""
     metrics.write.mode("overwrite").json(f"{path}/metrics")
