@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyquill.functions.text import extract_answer, is_answer_correct
+from tallyquill.store import once
 
 
 def turns_of(dialogues: DataFrame, questions: str, answers: str, id_col: str = "id") -> DataFrame:
@@ -69,22 +72,71 @@ def mock_answers(turns: DataFrame) -> DataFrame:
     return asked.withColumn("predicted", extract_answer(mock_response(F.col("question"), F.col("__before")))).drop("__before")
 
 
-def provider_answers(turns: DataFrame, answer: Callable[[str, str, list], str]) -> DataFrame:
+def provider_answers(turns: DataFrame, answer: Callable[[str, str, list], str], history_col: str | None = None) -> DataFrame:
     """A provider that sees its own earlier answers: sequential within a dialogue, parallel over dialogues.
 
-    ``answer(question, context, history)`` is the user's; ``turns`` has id, turn, question, context.
+    ``answer(question, context, history)`` is the user's; ``turns`` has id, turn, question, context, and in
+    ``history_col``, if it is given, what each dialogue's history begins with.
     """
-    schema = turns.schema.simpleString()[7:-1] + ",predicted:string"
+    schema = T.StructType([*turns.schema.fields, T.StructField("predicted", T.StringType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, history, out = pdf.sort_values("turn"), [], []
+        if history_col:
+            history = [(h["question"], h["predicted"]) for h in pdf[history_col].iloc[0]]
         for row in pdf.itertuples():
             said = answer(row.question, row.context, list(history))
             history.append((row.question, said))
             out.append(said)
         return pdf.assign(predicted=out)
 
-    return turns.groupBy("id").applyInPandas(run, schema.replace(":", " "))
+    return turns.groupBy("id").applyInPandas(run, schema)
+
+
+#: Dialogues that a round has to have for being worth one.
+FEW = 16
+
+
+def provider_rounds(turns: DataFrame, answer_all: Callable[[list[tuple[str, str, list]]], list[str]], few: int = FEW) -> DataFrame:
+    """``provider_answers`` in rounds: first the first turn of all dialogues, then the second of all that have one, and so on.
+
+    A round is a batch for the provider: ``answer_all`` gets (question, context, history) of all turns in
+    an Arrow batch and gives their answers. What it said is written once a round; the next one reads the histories from
+    there, so no round is asked again, and a lost executor costs the round it was in. There are as many rounds as
+    turns that ``few`` dialogues or more have; the last turns of the few longest dialogues go on one by one,
+    each dialogue for itself.
+    """
+    place = F.row_number().over(Window.partitionBy("id").orderBy("turn"))
+    data = turns.columns
+    numbered = once(turns.withColumn("__round", place), "turns")
+    counts = numbered.groupBy("__round").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= few)
+    rounds = counts.agg(F.max("__round").alias("last")).first()["last"] or 0
+    turn = "array<struct<question:string,predicted:string>>"
+    before = numbered.select(F.col("id").alias("__id")).distinct().withColumn("__history", F.array().cast(turn))
+    same = F.col("id").eqNullSafe(F.col("__id"))
+    done = []
+    for r in range(1, rounds + 1):
+        now = numbered.where(F.col("__round") == r).drop("__round").join(before, same).select(*data, "__history")
+        said = once(now.mapInArrow(_asker(answer_all, data.index("question"), data.index("context"), len(data)), T.StructType([*now.schema.fields, T.StructField("predicted", T.StringType())])), "round")
+        done.append(said.select(*data, "predicted"))
+        before = said.select(F.col("id").alias("__id"), F.concat("__history", F.array(F.struct("question", "predicted"))).cast(turn).alias("__history"))
+    rest = numbered.where(F.col("__round") > rounds).drop("__round").join(before, same).select(*data, "__history")
+    one = lambda question, context, history: answer_all([(question, context, history)])[0]
+    out = provider_answers(rest, one, "__history").select(*data, "predicted")
+    for said in done:
+        out = out.union(said)
+    return out
+
+
+def _asker(answer_all, question: int, context: int, history: int):
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                held = [[(h["question"], h["predicted"]) for h in hs] for hs in b.column(history).to_pylist()]
+                said = answer_all(list(zip(b.column(question).to_pylist(), b.column(context).to_pylist(), held, strict=True)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], [*b.schema.names, "predicted"])
+
+    return run
 
 
 def judged(turns: DataFrame, tolerance: float = 0.01) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyquill.functions.markup import rows_of
 from tallyquill.functions.text import let, strip
 
 
@@ -112,26 +113,9 @@ def format_table(rows: Column) -> Column:
     return F.when(rows.isNull() | (F.size(rows) == 0), "No table data found.").when(width == 0, "No valid table data found.").otherwise(text)
 
 
-#: Character references that tables hold.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-
-
-def html_rows(html: Column) -> Column:
-    """The rows of an HTML table, without a first cell of digits alone."""
-    def text(x: Column) -> Column:
-        x = F.regexp_replace(x, "(?s)<.*?>", "")
-        for said, was in ENTITIES:
-            x = F.replace(x, F.lit(said), F.lit(was))
-        return strip(x)
-
-    rows = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr.*?>(.*?)</tr>"), 1), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b.*?>(.*?)</t[dh]>"), 1), text))
-    numbered = lambda r: (F.size(r) > 0) & F.coalesce(F.get(r, F.lit(0)).rlike(r"^\d+$"), F.lit(False))
-    return F.transform(F.filter(rows, lambda r: F.size(r) > 0), lambda r: F.when(numbered(r), F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))).otherwise(r))
-
-
 def format_html_table(html: Column) -> Column:
-    """Empty cells are dashes."""
-    return format_table(html_rows(F.replace(html, F.lit("<td></td>"), F.lit("<td>-</td>"))))
+    """The rows of a page's tables, from a parser's events; empty cells are dashes."""
+    return let(rows_of(F.replace(html, F.lit("<td></td>"), F.lit("<td>-</td>"))), format_table)
 
 
 def table_text(annotated: Column, html: Column, table: Column, original: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyquill import store
-from tallyquill.functions import numbers, outputs, text, tokenizers
+from tallyquill.functions import markup, numbers, outputs, text, tokenizers
 from tallyquill.operators import chunks, dialogue, engine, index, predictions, programs, retrieval, tables, training
 from tallyquill.shipping import ship
 from tallyquill.sources import readers, writers
@@ -175,11 +175,24 @@ SELECT id, rpad('name', any_value(w1)::INT, ' ') || ' | ' || rpad('key', any_val
 def html_table_format(t):
     """HTML tables built from nations, numbered rows, entities and empty cells included."""
     row = F.concat(F.lit("<tr><td>"), (F.col("n_nationkey") + 1).cast("string"), F.lit('</td><td class="x">'), F.upper("n_name"), F.lit(" &amp; <b>"), F.col("n_name"), F.lit("</b></td><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td></td></tr>"))
-    built = t("nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("rs"))
+    built = _shipped(t("nation")).groupBy(F.col("n_regionkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("rs"))
     html = F.concat(F.lit("<table><tr><th>0</th><th>name</th><th>key</th><td></td></tr>"), F.array_join(F.transform("rs", lambda x: x["row"]), ""), F.lit("</table>"))
     return built.select("id", tables.format_html_table(html).alias("formatted"))
 
 
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS ls, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS f FROM pages),
+c AS (SELECT page_id, list_transform(ls, lambda x: [x]) || [['n', f]] AS rs FROM p)
+SELECT page_id, list_transform(rs, lambda r: list_transform(r, lambda x: regexp_replace(
+  replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g'))) AS table_rows FROM c""")
+def page_tables(t):
+    """Lists and footers of pages made tables of unclosed cells, read whole: numbered rows, all character references."""
+    html = F.col("html")
+    for said, now in (("<ul>", "<table><tbody>"), ("</ul>", "</table>"), ("<li>", "<tr><td>12<td>"), ("</li>", ""), ("<footer>", "<table><tr><th>n<td>"), ("</footer>", "")):
+        html = F.replace(html, F.lit(said), F.lit(now))
+    return _shipped(t("pages")).select("page_id", markup.rows_of(html).alias("table_rows"))
+
+
 @query("""
 SELECT 'doc_' || doc_id AS id, CASE WHEN lang = 'en' THEN lang || chr(10) || chr(10) ELSE chr(10) || chr(10) END || regexp_replace(source, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || text AS raw,
        '# doc_' || doc_id || chr(10) || chr(10) || CASE WHEN lang = 'en' THEN '## Pre-text' || chr(10) || chr(10) || lang || chr(10) || chr(10) ELSE '' END
@@ -283,6 +296,21 @@ def json_arrays(t):
     return read.select("doc_id", "lang", "text").join(F.broadcast(places))  # one row
 
 
+@query("""
+WITH RECURSIVE p AS (
+  SELECT conv_id AS id, turn, text AS question, role, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT id, turn, question, row_number() OVER (PARTITION BY id ORDER BY turn) AS k FROM p WHERE role = 'user' AND next_role = 'assistant'),
+r AS (
+  SELECT id, turn, k, coalesce(length(question), 0) % 97 AS said, coalesce(length(question), 0) % 97 AS total FROM t WHERE k = 1
+  UNION ALL SELECT t.id, t.turn, t.k, (coalesce(length(t.question), 0) + r.total + r.k) % 97, r.total + (coalesce(length(t.question), 0) + r.total + r.k) % 97 FROM r JOIN t ON t.id = r.id AND t.k = r.k + 1)
+SELECT id, turn, said::VARCHAR AS predicted FROM r""")
+def dialogue_rounds(t):
+    """Answers that depend on all answers before, given in rounds over all dialogues."""
+    turns = _shipped(dialogue.paired_turns(t("conversations"))).select("id", "turn", "question", F.lit("").alias("context"))
+    answer = lambda asked: [str((len(q or "") + sum(int(a) for _, a in h) + len(h)) % 97) for q, _, h in asked]
+    return dialogue.provider_rounds(turns, answer, few=8).select("id", "turn", "predicted")
+
+
 # --- retrieval -------------------------------------------------------------------------------------------------------
 
 VECTORS = """
@@ -912,7 +940,7 @@ def table_cascade(t):
     none = F.array().cast("array<array<string>>")
     html = F.when(k == 0, F.concat(F.lit("<table><tr><td>k</td></tr><tr><td>"), F.col("n_name"), F.lit("</td></tr></table>"))).otherwise("")
     shown = tables.table_text(k < 2, html, none, F.when(k == 2, cells).otherwise(none))
-    return t("nation").select(F.col("n_nationkey").alias("id"), shown.alias("shown"))
+    return _shipped(t("nation")).select(F.col("n_nationkey").alias("id"), shown.alias("shown"))
 
 
 # --- extension -------------------------------------------------------------------------------------------------------

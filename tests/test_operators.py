@@ -96,6 +96,27 @@ def test_provider_sees_its_own_answers(spark):
     assert [r["predicted"] for r in got] == ["q0", "q1q0", "q"]
 
 
+def test_rounds_equal_one_dialogue_after_another(spark):
+    """Each round asks the provider about all dialogues that have a turn left; the last turns of few go on alone."""
+    r = random.Random(5)
+    rows = [(i if i else None, t, f"q{i}.{t}", "c") for i in range(40) for t in r.sample(range(100), 1 + i % 9)] + [(99, t, f"long{t}", "c") for t in range(30)]
+    turns = spark.createDataFrame(rows, "id int, turn int, question string, context string").repartition(3)
+    asked = spark.sparkContext.accumulator(0)
+    one = lambda q, c, h: f"{q}{c}<{len(h)}:{h[-1][1][:9] if h else ''}>"
+
+    def answer_all(some):
+        asked.add(1)
+        return [one(q, c, h) for q, c, h in some]
+
+    want = sorted(map(str, dialogue.provider_answers(turns, one).collect()))
+    got = dialogue.provider_rounds(turns, answer_all, few=5)
+    assert sorted(map(str, got.collect())) == want
+    rounds = 9
+    alone = 30 - rounds
+    assert rounds <= asked.value <= rounds * 4 + alone  # not a call a turn, of which there are 230
+    assert dialogue.provider_rounds(turns.limit(0), answer_all).count() == 0
+
+
 def test_A10_types(spark):
     tag = lambda x: f"<begin_of_answer>{x}<end_of_answer>"
     rows = [(tag("5"), tag("5.04")), (tag("about 5"), tag("5")), (tag("yes"), tag("Yes it is")), (tag("colour"), tag("color")), (tag("abc"), tag("xyz"))]
