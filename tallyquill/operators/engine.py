@@ -110,17 +110,24 @@ def with_sub_questions(queries: DataFrame, provider: Provider) -> DataFrame:
     return queries.withColumn("sub_questions", numbered_list(provider(F.concat(F.lit(SPLIT), F.col("query")))))
 
 
-def multi_query_search(queries: DataFrame, variants: DataFrame | None, nodes: DataFrame, embed: Callable[[Column], Column], k: int = 5) -> DataFrame:
-    """One search for queries and their variants: (query_id, variant, node_id, score, part, seq).
+#: From questions (query_id, query) and k to hits (query_id, node_id, score, part, seq), k of part 0, texts, and of 1, tables.
+Search = Callable[[DataFrame, int], DataFrame]
 
-    ``nodes`` has node_id, is_table, vec. Each has its k best texts (part 0) and tables (1); the query as it is
+
+def vector_search(nodes: DataFrame, embed: Callable[[Column], Column]) -> Search:
+    """A search by the vectors of nodes (node_id, is_table, vec)."""
+    return lambda asked, k: vector_topk(asked.select("query_id", embed(F.col("query")).alias("vec")), nodes, k, by=F.col("is_table").cast("int"))
+
+
+def multi_query_search(queries: DataFrame, variants: DataFrame | None, search: Search, k: int = 5) -> DataFrame:
+    """One search for queries and their variants: (query_id, variant, node_id, score, part, seq). Each has its k best texts (part 0) and tables (1); the query as it is
     is variant -1.
     """
     asked = queries.select("query_id", F.lit(-1).alias("variant"), "query")
     if variants is not None:
         asked = asked.union(variants.select("query_id", "variant", "query"))
     asked = asked.withColumn("key", F.concat_ws("#", F.col("query_id").cast("string"), F.col("variant").cast("string")))
-    found = vector_topk(asked.select(F.col("key").alias("query_id"), embed(F.col("query")).alias("vec")), nodes, k, by=F.col("is_table").cast("int"))
+    found = search(asked.select(F.col("key").alias("query_id"), "query"), k)
     return found.withColumnRenamed("query_id", "key").join(asked.select("key", F.col("query_id"), "variant"), "key").drop("key")
 
 
@@ -131,9 +138,9 @@ def in_order_seen(found: DataFrame, k: int = 5) -> DataFrame:
     return merge_hits(found.where(F.col("seq") <= k).select("query_id", "node_id", "score", place.alias("seq")))
 
 
-def multi_query_hits(queries: DataFrame, variants: DataFrame, nodes: DataFrame, embed: Callable[[Column], Column], k: int = 5) -> DataFrame:
+def multi_query_hits(queries: DataFrame, variants: DataFrame, search: Search, k: int = 5) -> DataFrame:
     """Hits of a query's text and table search and of those of its variants, one row a node."""
-    return in_order_seen(multi_query_search(queries, variants, nodes, embed, k), k)
+    return in_order_seen(once(multi_query_search(queries, variants, search, k), "hits"), k)
 
 
 def answered(questions: DataFrame, find: Callable[[DataFrame], DataFrame], respond: Provider) -> DataFrame:
@@ -205,10 +212,10 @@ def numeric_operations(nodes: DataFrame, analyses: DataFrame, provider: Provider
 
 
 def answer_questions(
-    queries: DataFrame, nodes: DataFrame, embed: Callable[[Column], Column], respond: Provider, rewrite: Provider | None = None, expand: Provider | None = None,
+    queries: DataFrame, nodes: DataFrame, search: Search, respond: Provider, rewrite: Provider | None = None, expand: Provider | None = None,
     analyse: Provider | None = None, k: int = 5, wide: int = 10, least: float = 0.7, n: int = 3,
 ) -> DataFrame:
-    """From questions (query_id, query) to responses, over nodes (node_id, is_table, has_numbers, source, vec, content).
+    """From questions (query_id, query) to responses, over nodes (node_id, is_table, has_numbers, source, content).
 
     A question is rewritten and given variants (R14), and all of these are searched at once (R5). What they
     find is merged, cut off and topped up with tables and contexts (R6-R10). A question that asks for numbers (F24),
@@ -226,7 +233,7 @@ def answer_questions(
     asked = asked.withColumn("analysis", query_analysis(said))
     asked = once(asked.withColumn("numeric", asks_for_numbers(F.col("original")) & F.col("analysis.needs_numerical_computation")), "questions")
     variants = once(expanded(asked, expand), "variants") if expand else None
-    found = once(multi_query_search(asked, variants, nodes, embed, max(k, wide)), "hits")
+    found = once(multi_query_search(asked, variants, search, max(k, wide)), "hits")
 
     own = found.where("variant < 0").drop("variant")
     texts, tables, contexts = collection_hits(own, k)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyquill import store
 from tallyquill.functions import markup, numbers, outputs, text, tokenizers
-from tallyquill.operators import chunks, dialogue, engine, index, predictions, programs, retrieval, tables, training
+from tallyquill.operators import chunks, dialogue, engine, index, predictions, programs, retrieval, tables, terms, training
 from tallyquill.shipping import ship
 from tallyquill.sources import readers, writers
 
@@ -710,7 +710,31 @@ def query_variants(t):
     listed = lambda p: F.concat(F.lit("1. "), F.lower(F.replace(p, F.lit(engine.EXPAND), F.lit(""))), F.lit("\n2. z"), F.regexp_replace(F.replace(p, F.lit(engine.EXPAND), F.lit("")), "[aeiou]", ""), F.lit("z"))
     variants = engine.expanded(queries, listed)
     nodes = retrieval.embedded(t("documents"), "text").select(F.col("doc_id").alias("node_id"), F.coalesce(F.col("text").contains("|"), F.lit(False)).alias("is_table"), "vec")
-    hits = engine.multi_query_hits(queries, variants, nodes, retrieval.letter_counts)
+    hits = engine.multi_query_hits(queries, variants, engine.vector_search(nodes, retrieval.letter_counts))
+    return hits.select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("seq").cast("long").alias("seq"))
+
+
+HASHED = "list_transform(regexp_extract_all(lower({}), '[^\\s]+'), lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 262144)"
+
+
+@query(f"""
+WITH q AS (SELECT item_id AS query_id, replace(text, chr(10), ' ') AS query FROM benchmark),
+x AS (SELECT query_id, -1 AS variant, query FROM q UNION ALL SELECT query_id, 0, string_agg(w, ' ' ORDER BY i) FROM (SELECT query_id, unnest(string_split(query, ' ')) AS w, generate_subscripts(string_split(query, ' '), 1) AS i FROM q) WHERE i <= 5 GROUP BY query_id),
+dt AS (SELECT doc_id, is_table, b, count(*) AS n FROM (SELECT doc_id, contains(coalesce(text, ''), '|') AS is_table, unnest({HASHED.format("text")}) AS b FROM documents) GROUP BY ALL),
+wt AS (SELECT b, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))::DOUBLE) AS w FROM dt GROUP BY b),
+dw AS (SELECT doc_id, is_table, b, n * w / sqrt(sum((n * w) ** 2) OVER (PARTITION BY doc_id)) AS w FROM dt JOIN wt USING (b) WHERE w > 0),
+qt AS (SELECT query_id, variant, b, count(*) AS n FROM (SELECT query_id, variant, unnest({HASHED.format("query")}) AS b FROM x) GROUP BY ALL),
+qu AS (SELECT query_id, variant, b, n * coalesce(w, (SELECT ln(1 + count(*)::DOUBLE) FROM documents)) AS w FROM qt LEFT JOIN wt USING (b) WHERE coalesce(w, 1) > 0),
+qw AS (SELECT query_id, variant, b, w / sqrt(sum(w ** 2) OVER (PARTITION BY query_id, variant)) AS w FROM qu),
+s AS (SELECT query_id, variant, doc_id AS node_id, is_table, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING (b) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant, is_table ORDER BY round(score, 9) DESC, node_id) AS n FROM s WHERE score > 0)
+SELECT query_id, node_id, round(max(score), 6) AS score, min((variant + 1) * 10 + CASE WHEN is_table THEN 5 ELSE 0 END + n)::BIGINT AS seq FROM r WHERE n <= 5 GROUP BY query_id, node_id""")
+def query_terms(t):
+    """Questions and their first five words against documents, by hashed terms weighted on all documents."""
+    queries = _shipped(t("benchmark")).select(F.col("item_id").alias("query_id"), F.translate("text", "\n", " ").alias("query"))
+    variants = queries.select("query_id", F.lit(0).alias("variant"), F.substring_index("query", " ", 5).alias("query"))
+    nodes = t("documents").select(F.col("doc_id").alias("node_id"), F.coalesce(F.col("text").contains("|"), F.lit(False)).alias("is_table"), F.col("text").alias("content"))
+    hits = engine.multi_query_hits(queries, variants, terms.term_search(terms.fit(t("documents")), nodes))
     return hits.select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("seq").cast("long").alias("seq"))
 
 
@@ -818,7 +842,8 @@ def question_answers(t):
     rewrite = lambda p: F.concat(F.lit("about "), _behind(p, engine.REWRITE))
     expand = lambda p: F.concat(F.lit("1. "), F.lower(_behind(p, engine.EXPAND)), F.lit("\n2. z"), F.regexp_replace(_behind(p, engine.EXPAND), "[aeiou]", ""), F.lit("z"))
     analyse = lambda p: F.concat(F.when(F.length(_behind(p, engine.ANALYSE)) % 2 == 0, "true").otherwise("no"), F.lit("\ntime_periods: ['2008', '2009']"))
-    out = engine.answer_questions(_benchmark_questions(t), _document_nodes(t), retrieval.letter_counts, F.md5, rewrite, expand, analyse)
+    nodes = _document_nodes(t)
+    out = engine.answer_questions(_benchmark_questions(t), nodes, engine.vector_search(nodes, retrieval.letter_counts), F.md5, rewrite, expand, analyse)
     return out.select("query_id", "searched", "numeric", "nodes", "response", F.col("numeric_response").isNotNull().alias("computed"), "steps")
 
 

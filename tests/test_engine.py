@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyquill.operators import engine, index, retrieval
+from tallyquill.operators import engine, index, retrieval, terms
 
 
 def node_rows(spark, n=40, seed=1):
@@ -64,7 +64,7 @@ def test_whole_answers_search_once_and_ask_once(spark, monkeypatch):
     expand_n, expand = counting(spark, lambda p: "1. net flow\n2. quick zebra")
     analyse_n, analyse = counting(spark, lambda p: "true\ntime_periods: [2008, 2009]" if "growth" in p else "no")
     respond_n, respond = counting(spark, lambda p: f"{p.count('|')} of {len(p)}")
-    out = engine.answer_questions(queries, nodes, retrieval.letter_counts, respond, rewrite, expand, analyse, least=0.3)
+    out = engine.answer_questions(queries, nodes, engine.vector_search(nodes, retrieval.letter_counts), respond, rewrite, expand, analyse, least=0.3)
     got = {r["query_id"]: r for r in out.collect()}
     assert searches == [1] and (rewrite_n.value, expand_n.value, analyse_n.value) == (4, 4, 4) and respond_n.value == 5
     assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0
@@ -75,8 +75,8 @@ def test_whole_answers_search_once_and_ask_once(spark, monkeypatch):
     text = {i: c for i, c, _ in rows}
     context = "\n\n".join(text[i] for i in got[2]["nodes"])
     assert got[2]["response"] == f"{context.count('|')} of {len(context) + 2 + len('who is lazy')}"
-    assert engine.answer_questions(queries.limit(0), nodes, retrieval.letter_counts, respond).count() == 0
-    assert engine.answer_questions(queries, nodes.limit(0), retrieval.letter_counts, respond).select("nodes").distinct().collect() == [([],)]
+    assert engine.answer_questions(queries.limit(0), nodes, engine.vector_search(nodes, retrieval.letter_counts), respond).count() == 0
+    assert engine.answer_questions(queries, nodes.limit(0), engine.vector_search(nodes.limit(0), retrieval.letter_counts), respond).select("nodes").distinct().collect() == [([],)]
 
 
 def vectors(spark, n, dim, clusters, spread, seed=3):
@@ -130,3 +130,25 @@ def test_S8_torn_store_is_rebuilt(spark, tmp_path):
     assert index.load(spark, path) is None
     empty = index.load_or_build(nodes.limit(0), str(tmp_path / "none"))
     assert empty.blocks.count() == 0 and index.search(empty, nodes.select(F.col("node_id").alias("query_id"), "vec"), 3).count() == 0
+
+
+def test_R2_terms_equal_a_plain_product(spark, monkeypatch):
+    monkeypatch.setattr(terms, "BUCKETS", 50)
+    rng = np.random.default_rng(2)
+    said = lambda n: " ".join(f"{'W' if i % 3 else 'w'}{int(x)}" for i, x in enumerate(rng.zipf(1.4, n) % 60))
+    rows = [(i, said(int(rng.integers(1, 30))), i % 4 == 0) for i in range(300)] + [(900, None, False), (901, "", True), (902, " \n", False)]
+    df = spark.createDataFrame(rows, "node_id long, content string, is_table boolean").repartition(3)
+    weights = terms.fit(df, "content", 50)
+    counts = {i: [[terms.bucket_of(w, 50) for w in (c or "").lower().split()].count(b) for b in range(50)] for i, c, _ in rows}
+    have = np.array([[n > 0 for n in c] for c in counts.values()]).sum(axis=0)
+    assert np.allclose(weights.weight, np.log((1 + len(rows)) / (1 + have)))
+    vector = lambda text: (v := np.array([[terms.bucket_of(w, 50) for w in text.lower().split()].count(b) for b in range(50)]) * weights.weight) / max(1e-300, np.sqrt(v @ v))
+    asked = [(i, said(4)) for i in range(30)] + [(77, ""), (78, "unheard")]
+    found = terms.term_search(weights, df)(spark.createDataFrame(asked, "query_id int, query string"), 4)
+    got = sorted((r["query_id"], r["part"], r["seq"], r["node_id"], round(r["score"], 9)) for r in found.collect())
+    want = []
+    for q, text in asked:
+        for part in (0, 1):
+            near = sorted((-round(float(vector(text) @ vector(c or "")), 9), i) for i, c, tab in rows if tab == bool(part))
+            want += [(q, part, n, i, -s) for n, (s, i) in enumerate([x for x in near if x[0] < 0][:4], 1)]
+    assert [x[:4] for x in got] == [x[:4] for x in want] and np.allclose([x[4] for x in got], [x[4] for x in want])
