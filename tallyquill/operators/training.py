@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyquill.functions.outputs import block as tagged_text
 from tallyquill.functions.text import CONTEXT_OPENING, canonical_answer, let, tagged
 from tallyquill.functions.tokenizers import Tokenizer, tokenized
-from tallyquill.operators.programs import tokens_text, training_tokens
+from tallyquill.operators.programs import ARITHMETIC, tokens_text, training_tokens
 
 
 def conversations(turns: DataFrame, system: str = "", is_test: bool = False) -> DataFrame:
@@ -132,8 +133,16 @@ def markers_in_order(text: Column, *markers: str) -> Column:
 
 
 def split_of(id_col: Column, percent: int, seed: int = 0) -> Column:
-    """O3: "eval" for about ``percent`` of the ids, the same ones on every run."""
-    return F.when(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(100)) < percent, "eval").otherwise("train")
+    """O3: "eval" for about ``percent`` of the ids, the same ones on every run and in every engine that has MD5."""
+    digest = F.md5(F.concat_ws(":", id_col.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.when(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100 < percent, "eval").otherwise("train")
+
+
+def calling_rules(operations: tuple[str, ...] = ARITHMETIC[:4]) -> str:
+    """The system prompt of the function-calling variant: the tags to answer in, and the tools with an example each."""
+    listed = "\n".join(f"- {op}: {op}( number1 number2 ) EOF" for op in operations)
+    shape = tagged_text("operation( number1 number2 ) EOF", "number")
+    return f"You decide which tools answer a question on financial data. These are the tools:\n{listed}\n\nAnswer in this form and with nothing else:\n{shape}\n\n#0, #1 and so on stand for the results of earlier calls. Every program ends with EOF.\n"
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:

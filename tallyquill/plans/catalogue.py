@@ -690,6 +690,92 @@ def row_sentences(t):
     n = t("nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.count(F.lit(1)).cast("string").alias("n"), F.max("n_nationkey").cast("string").alias("m"))
     return n.select("id", text.remove_space(text.row_to_text(F.array(F.lit("x"), F.lit("a"), F.lit("b")), F.array(F.lit("total"), F.col("n"), F.col("m")))).alias("sentence"))
 
+PAIRED = """
+WITH p AS (SELECT conv_id AS id, turn, text AS question, role, lead(text) OVER w AS reply, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT id, turn, question, length(reply)::VARCHAR AS said, row_number() OVER (PARTITION BY id ORDER BY turn) AS k FROM p WHERE role = 'user' AND next_role = 'assistant'),
+h AS (SELECT *, coalesce(string_agg('Q' || k || ': ' || question || chr(10) || 'A' || k || ': ' || said || chr(10) || chr(10), '') OVER (PARTITION BY id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history FROM t)
+"""
+
+
+@query(
+    PAIRED
+    + """
+SELECT id, turn, 'Context:' || chr(10) || 'file ' || id || chr(10) || chr(10) || history || 'Question: ' || question || chr(10) || 'Answer:' AS prompt,
+  ['system', 'Only a number.', 'user', 'CONTEXT:' || chr(10) || 'file ' || id || chr(10) || chr(10) || 'QUESTION:' || chr(10) || question || chr(10) || chr(10) || 'PREVIOUS CONVERSATION:' || chr(10) || history] AS chat FROM h"""
+)
+def prompts(t):
+    """The plain prompt and the two messages of the chat prompt, with all earlier turns."""
+    turns = dialogue.paired_turns(t("conversations")).withColumn("predicted", F.length("reply").cast("string"))
+    context = F.concat(F.lit("file "), F.col("id").cast("string"))
+    chat = text.chat_prompt(context, F.col("history"), F.col("question"), "Only a number.")
+    return dialogue.with_history(turns).select("id", "turn", text.prompt(context, F.col("history"), F.col("question")).alias("prompt"), F.flatten(F.transform(chat, lambda m: F.array(m["role"], m["content"]))).alias("chat"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, n_chars, CASE WHEN ('0x' || substr(md5(doc_id || ':7'), 1, 8))::BIGINT % 100 < 20 THEN 'eval' ELSE 'train' END AS split FROM documents)
+SELECT * FROM (SELECT * FROM d WHERE split = 'train' ORDER BY n_chars DESC, doc_id LIMIT 100) UNION ALL SELECT * FROM (SELECT * FROM d WHERE split = 'eval' ORDER BY doc_id LIMIT 40)""")
+def split_limits(t):
+    """O3: a seeded split, and the most examples of each part, by a total order."""
+    docs = t("documents").select("doc_id", "n_chars", training.split_of(F.col("doc_id"), 20, 7).alias("split"))
+    return training.first_rows(docs.where("split = 'train'").withColumn("less", -F.col("n_chars")), 100, "less", "doc_id").drop("less").union(training.first_rows(docs.where("split = 'eval'"), 40, "doc_id"))
+
+
+@query("""
+WITH c AS (SELECT o_custkey AS id, o_orderkey AS turn, (o_orderkey % 97)::VARCHAR AS a FROM orders WHERE o_orderkey % 7 = o_custkey % 7),
+m AS (SELECT id, turn, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY turn) = 1 THEN 'I''m looking at some financial data. Here''s the context:' || chr(10) || chr(10) || 'of ' || id || chr(10) || chr(10) ELSE '' END || 'what of ' || turn || '?' AS asked,
+  '<begin_of_program>' || chr(10) || 'add( ' || a || ' 1 ) EOF' || chr(10) || '<end_of_program>' || chr(10) || chr(10) || '<begin_of_answer>' || chr(10) || a || '.0' || chr(10) || '<end_of_answer>' AS said FROM c)
+SELECT id, flatten(list([asked, said] ORDER BY turn)) AS messages, 'You decide which tools answer a question on financial data. These are the tools:' || chr(10) || '- add: add( number1 number2 ) EOF' || chr(10) || '- subtract: subtract( number1 number2 ) EOF' || chr(10)
+  || '- multiply: multiply( number1 number2 ) EOF' || chr(10) || '- divide: divide( number1 number2 ) EOF' || chr(10) || chr(10) || 'Answer in this form and with nothing else:' || chr(10) || '<begin_of_program>' || chr(10) || 'operation( number1 number2 ) EOF' || chr(10) || '<end_of_program>' || chr(10) || chr(10)
+  || '<begin_of_answer>' || chr(10) || 'number' || chr(10) || '<end_of_answer>' || chr(10) || chr(10) || '#0, #1 and so on stand for the results of earlier calls. Every program ends with EOF.' || chr(10) AS system FROM m GROUP BY id""")
+def calling_build(t):
+    """Training conversations of the function-calling variant."""
+    a = (F.col("o_orderkey") % 97).cast("string")
+    rows = t("orders").where("o_orderkey % 7 = o_custkey % 7").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("turn"), F.concat(F.lit("what of "), F.col("o_orderkey").cast("string"), F.lit("?")).alias("question"), F.concat(F.lit("add("), a, F.lit(", 1)")).alias("program"), F.concat(F.lit("$"), a).alias("answer"), F.concat(F.lit("of "), F.col("o_custkey").cast("string")).alias("context"))
+    built = training.conversations(rows, training.calling_rules())
+    return built.select("id", F.transform("conversations", lambda m: m["content"]).alias("messages"), "system")
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity::INT::VARCHAR AS a, l_linenumber::VARCHAR AS n, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
+s AS (SELECT *, 'paid $' || a || ' million, ' || n || ' % off and ' || n || '%% of 2,500 thousand in all, yet ' || n || ' - million' AS said, 16 + length(a) AS p2, 26 + length(a || n) AS p3 FROM b),
+p AS (SELECT *, p3 + length(n) + 6 AS p4, greatest(0, p3 - 30) AS since FROM s)
+SELECT l_orderkey, l_linenumber, i, said, [a::DOUBLE, n::DOUBLE, n::DOUBLE / 100, 2500.0, n::DOUBLE * 1e6] AS values, [true, false, false, false, false] AS currency, [false, false, true, false, false] AS percentage,
+  [5, p2, p3, p4, p4 + 27]::INT[] AS places, trim(substr(said, since + 1, p3 + length(n) + 2 + 30 - since)) AS third FROM p""")
+def number_units(t):
+    """What each number of a sentence is: a unit counts behind a match, not in it, as a percent sign does; blanks before a number are part of it."""
+    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
+    a, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
+    said = F.concat(F.lit("paid $"), a, F.lit(" million, "), n, F.lit(" % off and "), n, F.lit("%% of 2,500 thousand in all, yet "), n, F.lit(" - million"))
+    rows = _shipped(t("lineitem")).select("l_orderkey", "l_linenumber", F.row_number().over(order).cast("long").alias("i"), said.alias("said")).withColumn("found", numbers.all_numbers(F.col("said")))
+    of = lambda c: F.transform("found", lambda x: x[c])
+    return rows.select("l_orderkey", "l_linenumber", "i", "said", of("value").alias("values"), of("is_currency").alias("currency"), of("is_percentage").alias("percentage"), of("position").alias("places"), F.get(of("context"), F.lit(2)).alias("third"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS id, (o_custkey % 1000) AS x, (o_orderkey % 77) AS y, o_orderkey % 8 AS k, (o_orderkey // 8) % 4 AS f FROM orders),
+c AS (SELECT *, x::VARCHAR AS a, y::VARCHAR AS c, f = 2 AS llama, f = 3 AS gemma FROM b),
+e AS (SELECT *, 'add( ' || a || ' ' || c || ' ) EOF' AS pr, (x + y) || '.0' AS total FROM c),
+r AS (SELECT *, CASE k WHEN 0 THEN [pr, a] WHEN 1 THEN [pr, total] WHEN 2 THEN CASE WHEN llama THEN [pr, '7'] WHEN gemma THEN [a || ' + ' || c || ' = 7 here'] ELSE ['we get ' || a || ' + ' || c || ' = 7 here'] END
+    WHEN 3 THEN CASE WHEN llama THEN [pr, '99'] ELSE ['values ' || a || ', ' || c || ', 99 only'] END WHEN 4 THEN ['subtract( ' || a || ' ' || c || ' ) EOF', c]
+    WHEN 5 THEN CASE WHEN llama THEN ['add( 12 ' || a || ' ) EOF', c] ELSE ['system: add things user: multiply 12 by ' || a || ' and ' || c || ' EOF'] END WHEN 6 THEN [pr, total] ELSE ['divide( ' || a || ' 0 ) gives nothing'] END AS rescued,
+  CASE k WHEN 0 THEN [pr, a] WHEN 1 THEN [pr, a] WHEN 2 THEN ['EOF', a] WHEN 3 THEN ['EOF', a] WHEN 4 THEN ['subtract( ' || a || ' ' || c || ' ) EOF', c] WHEN 5 THEN ['add( 12 ' || a || ' ) EOF', (12 + x) || '.0'] WHEN 6 THEN [pr, c] ELSE ['divide( ' || a || ' 0 ) EOF', a] END AS cleaned FROM e)
+SELECT id, CASE WHEN len(rescued) = 1 THEN rescued[1] ELSE '<begin_of_program>' || chr(10) || rescued[1] || chr(10) || '<end_of_program>' || chr(10) || chr(10) || '<begin_of_answer>' || chr(10) || rescued[2] || chr(10) || '<end_of_answer>' END AS rescued,
+  '<begin_of_program>' || chr(10) || cleaned[1] || chr(10) || '<end_of_program>' || chr(10) || chr(10) || '<begin_of_answer>' || chr(10) || cleaned[2] || chr(10) || '<end_of_answer>' AS cleaned FROM r""")
+def rescue_families(t):
+    """Outputs of eight kinds by four families of models: tags, turns, operations, equations, lone numbers, repeated prompts."""
+    k, a, c = F.col("o_orderkey") % 8, (F.col("o_custkey") % 1000).cast("string"), (F.col("o_orderkey") % 77).cast("string")
+    put = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    said = (
+        F.when(k == 0, put("x <begin_of_program> add( ", a, " ", c, " ) EOF <end_of_program> y <begin_of_answer> ", a, " <end_of_answer> z"))
+        .when(k == 1, put("so add( ", a, " ", c, " ) it is")).when(k == 2, put("we get ", a, " + ", c, " = 7 here")).when(k == 3, put("values ", a, ", ", c, ", 99 only"))
+        .when(k == 4, put("<|im_start|>user\nhow<|im_end|>\n<|im_start|>assistant\n<begin_of_program>subtract( ", a, " ", c, " ) EOF<end_of_program><begin_of_answer>", c, "<end_of_answer><|im_end|>"))
+        .when(k == 5, put("system: add things user: multiply 12 by ", a, " and ", c, " EOF"))
+        .when(k == 6, put("system user <begin_of_program>none<end_of_program> add( ", a, " ", c, " ) EOF <begin_of_answer>", c, "<end_of_answer>")).otherwise(put("divide( ", a, " 0 ) gives nothing"))
+    )
+    family = F.element_at(F.array(*map(F.lit, ("", "qwen", "llama-3.3", "gemma-3"))), (F.floor(F.col("o_orderkey") / 8) % 4 + 1).cast("int"))
+    return _shipped(t("orders")).select(F.col("o_orderkey").alias("id"), outputs.rescue_of(said, family, F.lit("we get ")).alias("rescued"), outputs.clean_of(said).alias("cleaned"))
+
+
 # --- question answering ----------------------------------------------------------------------------------------------
 
 ASKED = """
