@@ -776,6 +776,79 @@ def rescue_families(t):
     return _shipped(t("orders")).select(F.col("o_orderkey").alias("id"), outputs.rescue_of(said, family, F.lit("we get ")).alias("rescued"), outputs.clean_of(said).alias("cleaned"))
 
 
+@query("""
+WITH b AS (SELECT o_orderkey AS id, o_orderkey % 8 AS k FROM orders)
+SELECT id, k IN (0, 3, 4, 5, 6, 7) AS program_match, k NOT IN (3, 6) AS answer_match FROM b""")
+def prediction_pairs(t):
+    """Programs that differ, are spaced otherwise or half tagged; answers that are equal, near, alike in words, of another type, or wrong."""
+    return predictions.with_matches(_shipped(_pairs(t))).select("id", "program_match", "answer_match")
+
+
+@query("""
+WITH b AS (SELECT o_orderkey % 8 AS k FROM orders)
+SELECT count(*) FILTER (k IN (0, 3, 4, 5, 6, 7)) / count(*)::DOUBLE * 100 AS program_match, count(*) FILTER (k NOT IN (3, 6)) / count(*)::DOUBLE * 100 AS answer_match FROM b""")
+def prediction_rates(t):
+    """The shares of both matches among predictions of all kinds."""
+    return predictions.match_rates(predictions.with_matches(_shipped(_pairs(t))))
+
+
+def _pairs(t) -> DataFrame:
+    k, v = F.col("o_orderkey") % 8, (F.col("o_custkey") % 500 + 1000).cast("string")
+    answer = lambda x: F.concat(F.lit("<begin_of_answer> "), x, F.lit(" <end_of_answer>"))
+    both = lambda p, x: F.concat(F.lit("<begin_of_program>"), p, F.lit("<end_of_program>"), answer(x))
+    add = F.concat(F.lit(" add( "), v, F.lit(" 1 ) EOF "))
+    pred = (
+        F.when(k == 1, both(F.concat(F.lit("add( 1 "), v, F.lit(" ) EOF")), v)).when(k == 2, F.concat(F.lit("<begin_of_program>"), add, answer(v))).when(k == 3, answer((F.col("o_custkey") % 500 + 1100).cast("string")))
+        .when(k == 4, both(F.concat(F.lit("\n add(   "), v, F.lit("\t1 )  EOF")), (F.col("o_custkey") % 500 + 1005).cast("string"))).when(k == 5, answer(F.lit("Increase of all sales"))).when(k == 6, answer(F.lit("nothing at all")))
+        .when(k == 7, answer(F.concat(F.lit("about "), v))).otherwise(both(add, v))
+    )
+    label = F.when(k.isin(3, 7), answer(v)).when(k == 5, answer(F.lit("increases of all sale"))).when(k == 6, answer(F.lit("a great deal"))).otherwise(both(add, v))
+    return t("orders").select(F.col("o_orderkey").alias("id"), pred.alias("pred"), label.alias("label"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS id, (o_custkey % 1000)::VARCHAR AS a, o_orderkey % 12 AS k FROM orders)
+SELECT id, CASE WHEN k = 11 THEN 'N/A' WHEN k = 3 THEN '-' || a || '.5' WHEN k = 8 THEN '77' ELSE a END AS answer FROM b""")
+def answer_places(t):
+    """an answer in each place that no earlier one covers, after an empty place, in the last turn of a chat, or none."""
+    k, a = F.col("o_orderkey") % 12, (F.col("o_custkey") % 1000).cast("string")
+    said = {
+        0: ("so the result is ", a, " now"), 1: ("it has x = ", a, " and 5 more"), 2: ("it cost $", a, " of 9 dollars"), 3: ("therefore, -", a, ".5 of 3 it is"), 4: ("12 words.\n", a, "\nand 4 more"),
+        5: ("of 3 there are ", a), 6: ("the answer is unclear, 4 of them = ", a, " then 5"), 7: ("3 and then ", a, " of them"), 8: ("<begin_of_answer>And<end_of_answer> ", a, " then 77 of it"), 9: ("result: 3 <begin_of_answer> ", a, " <end_of_answer>"),
+        10: ("<|im_start|>user\nanswer is 3<|im_end|>\n<|im_start|>assistant\nThe value: ", a, "<|im_end|>"), 11: ("no figure",),
+    }
+    whole = F.lit("")
+    for n, parts in said.items():
+        whole = F.when(k == n, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))).otherwise(whole)
+    return t("orders").select(F.col("o_orderkey").alias("id"), text.robust_answer(whole).alias("answer"))
+
+
+@query("""
+SELECT item_id, item_id % 2 = 0 AS needs, ['revenue 2008', 'cost'] AS to_extract, CASE WHEN item_id % 3 = 0 THEN ['add', 'divide'] ELSE [] END AS operations, ['2008', item_id::VARCHAR] AS periods, ['net income'] AS metrics FROM benchmark""")
+def analysis_lists(t):
+    """the flag and all four lists of an analysis, quoted, empty or over lines."""
+    i = F.col("item_id")
+    said = F.concat(
+        F.when(i % 2 == 0, "Needs numerical computation: TRUE\n").otherwise("no\n"), F.lit("Values_to_Extract: ['revenue 2008', \"cost\"]\noperations: "), F.when(i % 3 == 0, "[add,\n divide]").otherwise("[]"),
+        F.lit("\ntime_periods [2008, '"), i.cast("string"), F.lit("']\nfinancial_metrics: [ 'net income' , ]"),
+    )
+    a = text.query_analysis(said)
+    return t("benchmark").select("item_id", a["needs_numerical_computation"].alias("needs"), a["values_to_extract"].alias("to_extract"), a["operations"].alias("operations"), a["time_periods"].alias("periods"), a["financial_metrics"].alias("metrics"))
+
+
+@query("""
+SELECT item_id, ['<answer>$206,588</answer>', '<answer>$181,001</answer>', '<answer>25,587</answer>', '<answer>14.1%</answer>', '<answer>1,314</answer>', '<answer>1,194</answer>', '<answer>120</answer>', '<answer>10.1%</answer>',
+  '<answer>Unable to find answer in context</answer>', '<answer>Unable to find answer in context</answer>'][item_id % 10 + 1] AS response FROM benchmark""")
+def mock_rules(t):
+    """Each rule of the mock, and questions that fit none, one for want of the right question before."""
+    asked = [
+        ("Cash from operating activities in 2009?", "x"), ("cash flow of Operating Activities, 2008", None), ("and the difference?", "cash of 2008"), ("what percentage?", "the difference"), ("Operating income of 2011", None),
+        ("operating income of 2010", "x"), ("the difference then?", "operating income"), ("as a percentage increase?", "operating income of 2010"), ("what percentage?", "cash"), ("who?", "the difference"),
+    ]
+    pick = lambda n: F.element_at(F.array(*(F.lit(x[n]).cast("string") for x in asked)), (F.col("item_id") % len(asked) + 1).cast("int"))
+    return t("benchmark").select("item_id", dialogue.mock_response(pick(0), pick(1)).alias("response"))
+
+
 # --- question answering ----------------------------------------------------------------------------------------------
 
 ASKED = """
