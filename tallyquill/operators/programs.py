@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from functools import cache
+from functools import cache, lru_cache
 from hashlib import shake_128
 
 import pandas as pd
@@ -177,6 +177,12 @@ def _modulus(steps: int) -> int:
 MERSENNE = (2203, 4423, 9689, 11213, 19937, 21701, 44497, 86243)
 
 
+@lru_cache(1 << 16)
+def _point(name: tuple, p: int) -> int:
+    """The value of an operand, the same in all programs."""
+    return int.from_bytes(shake_128(repr(name).encode()).digest(p.bit_length() // 8 + 16), "big") % p
+
+
 def _at_point(steps: list, p: int) -> int | None:
     """What the last step stands for, as a function of the operands, at a random point modulo ``p``; None if it has no meaning.
 
@@ -184,7 +190,7 @@ def _at_point(steps: list, p: int) -> int | None:
     quotients are those of the field; a table step, a power or a comparison is an operand of its own, named by what it
     is made of. Only the steps that the last one needs count.
     """
-    point = lambda *name: int.from_bytes(shake_128(repr(name).encode()).digest(p.bit_length() // 8 + 16), "big") % p
+    point = lambda *name: _point(name, p)
     value: dict[int, int] = {}
     todo, entered = [len(steps) - 1], set()
     while todo:
@@ -209,7 +215,14 @@ def _at_point(steps: list, p: int) -> int | None:
         x, y = (point(s) if n is None else value[n] for s, n in zip((a, b), needs, strict=True))
         if op == "divide" and not y:
             return None
-        value[i] = {"add": lambda: x + y, "subtract": lambda: x - y, "multiply": lambda: x * y, "divide": lambda: x * pow(y, -1, p)}.get(op, lambda: point(op, x, y))() % p  # noqa: B023
+        if op == "add":
+            value[i] = (x + y) % p
+        elif op == "subtract":
+            value[i] = (x - y) % p
+        elif op == "multiply":
+            value[i] = x * y % p
+        else:
+            value[i] = x * pow(y, -1, p) % p if op == "divide" else point(op, x, y)
     return value[len(steps) - 1]
 
 
