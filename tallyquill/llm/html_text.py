@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 import re
 from heapq import heapify, heappop, heappush
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyquill.functions.markup import Events
 from tallyquill.llm.common import text_of
 from tallyquill.shipping import ship
 
@@ -51,9 +51,6 @@ FORM_TEXT = 100
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_TAG = re.compile(r"[a-zA-Z][^\s/>]*")
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']*)))?""")
-_MARKUP = re.compile(r"<[a-zA-Z/!?]")
 SIGMA, REACH = 2.0, 6
 KERNEL = [math.exp(-(i * i) / (2 * SIGMA * SIGMA)) for i in range(-REACH, REACH + 1)]
 #: Share of the dense characters that the heaviest regions have to hold to be the page's content.
@@ -95,7 +92,7 @@ def surrounds(attrs: list[tuple[str, str | None]]) -> set[str]:
     return found
 
 
-class Lines(HTMLParser):
+class Lines(Events):
     """Collects lines: text between block borders, its count of tags, and the container around it.
 
     Containers are numbered in page order and know the one around them, so memory and time are in
@@ -103,13 +100,12 @@ class Lines(HTMLParser):
     """
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, the innermost container from here on, shut out, heard for its headings
         self.count: dict[str, int] = {}  # open elements by tag
         self.borders: list[int] = []  # places in ``open`` of containers and of what a block closes
         self.shut = self.headed = 0
         self.forms: list[list[int]] = [[0, 0, 1]]  # controls, characters, whether it holds an article's parts; 0 is no form
-        self.quotes_hold, self.comments_end = True, True
         self.tag_of, self.parent = [""], [0]  # containers by number; 0 is the page
         self.around: list[int] = []  # containers that hold text of a page's parts
         self.heard = True
@@ -211,49 +207,13 @@ class Lines(HTMLParser):
             self.heard = True
             self.around.append(self.shut_in)
 
-    def parse_starttag(self, i: int) -> int:
-        """From the first tag on whose quotes never close, a tag ends at the next ">", whatever its quotes say."""
-        if self.quotes_hold:
-            end = super().parse_starttag(i)
-            if end >= 0:
-                return end
-            self.quotes_hold = False
-        end = self.rawdata.find(">", i) + 1
-        name = _TAG.match(self.rawdata, i + 1)
-        tag = name[0].lower()
-        self.handle_starttag(tag, [(m[1].lower(), m[2] or m[3] or m[4]) for m in _ATTRIBUTE.finditer(self.rawdata, name.end(), max(name.end(), end - 1))])
-        if tag in self.CDATA_CONTENT_ELEMENTS:
-            self.set_cdata_mode(tag)
-        return end
-
-    def parse_comment(self, i: int, report: bool = True) -> int:
-        """From the first comment on that never ends, a comment ends at the next ">"."""
-        if self.comments_end:
-            end = super().parse_comment(i, report)
-            if end >= 0:
-                return end
-            self.comments_end = False
-        return self.rawdata.find(">", i) + 1
-
     def read(self, html: str) -> None:
-        """The whole page. Behind its last ">" no markup is complete, so what begins there ends the page, as in browsers."""
-        cut = html.rfind(">") + 1
-        rest = html[cut:]
-        begun = _MARKUP.search(rest)
-        self.rawdata = html[:cut] + (rest[: begun.start()] if begun else rest)
-        self.close()
+        super().read(html)
         self.end_line()
         kept = [holds or chars > FORM_TEXT * controls for controls, chars, holds in self.forms]
         if not all(kept):
             self.lines = [x for x, form in zip(self.lines, self.form_of, strict=True) if kept[form]]
 
-    def parse_html_declaration(self, i: int) -> int:
-        """Marked sections, which the parser knows a few of, are comments up to their ">" as in browsers."""
-        if self.rawdata.startswith("<![", i):
-            end = self.rawdata.find(">", i)
-            return end + 1 if end >= 0 else -1
-        return super().parse_html_declaration(i)
-
 
 def dense(lines: list[tuple[str, int, int, float]]) -> tuple[list[float], list[float], float]:
     """The lines' smoothed and own text-to-tag ratios (linked text left out), and the threshold above which lines are dense."""
