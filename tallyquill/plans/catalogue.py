@@ -249,9 +249,18 @@ def metric_stats(t):
     return predictions.metric_stats(values, wanted)
 
 
-@query()
+@query(r"""
+WITH m AS (
+  SELECT doc_id, text, regexp_extract_all(text, '(?:\$|USD)?\s*([\d,]+\.?\d*)\s*(?:million|billion|thousand|m|b|k|%)?') AS ms, regexp_extract_all(text, '(?:\$|USD)?\s*([\d,]+\.?\d*)\s*(?:million|billion|thousand|m|b|k|%)?', 1) AS ds,
+    regexp_split_to_array(text, '(?:\$|USD)?\s*([\d,]+\.?\d*)\s*(?:million|billion|thousand|m|b|k|%)?') AS ps FROM documents),
+u AS (SELECT doc_id, text, unnest(ms) AS m, unnest(ds) AS d, unnest(ps[:len(ms)]) AS p, generate_subscripts(ms, 1) AS i FROM m WHERE len(ms) > 0),
+f AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS stop FROM u),
+x AS (SELECT *, stop - length(m) AS start, substr(text, stop + 1, 10) AS behind, try_cast(replace(d, ',', '') AS DOUBLE) AS v FROM f)
+SELECT doc_id, v * CASE WHEN contains(behind, 'billion') THEN 1e9 WHEN contains(behind, 'million') THEN 1e6 WHEN contains(behind, 'thousand') THEN 1e3 WHEN contains(behind, 'b') THEN 1e9 WHEN contains(behind, 'm') THEN 1e6 WHEN contains(behind, 'k') THEN 1e3 ELSE 1 END
+    / CASE WHEN starts_with(behind, '%') THEN 100 ELSE 1 END AS value, contains(substr(text, greatest(0, start - 1) + 1, stop + 1 - greatest(0, start - 1)), '$') AS is_currency, starts_with(behind, '%') AS is_percentage,
+  regexp_replace(substr(text, greatest(0, start - 30) + 1, stop + 30 - greatest(0, start - 30)), '^\s+|\s+$', '', 'g') AS context, start::INT AS position FROM x WHERE v IS NOT NULL""")
 def number_details(t):
-    """Numbers with context, unit and sign; match offsets need Python."""
+    """Numbers with context, unit and sign."""
     docs = _shipped(t("documents")).select("doc_id", F.explode(numbers.all_numbers(F.col("text"))).alias("n"))
     return docs.select("doc_id", "n.*")
 
@@ -485,9 +494,19 @@ def output_rescue(t):
     return _shipped(_outputs(t)).select("id", outputs.formatted_prediction_of(F.col("output")).alias("predicted"))
 
 
-@query()
+@query(
+    OUTPUTS
+    + """,
+x AS (SELECT *, 'add( ' || a || ' ' || c || ' ) EOF' AS p FROM b),
+r AS (
+  SELECT id, CASE kind WHEN 0 THEN ['add( ' || a || '.5 ' || c || ' ) EOF', a] WHEN 1 THEN ['EOF', '$' || a] WHEN 2 THEN ['EOF', a] WHEN 3 THEN ['and', 'the'] ELSE [p, a] END AS cleaned,
+    CASE kind WHEN 0 THEN ['add( ' || a || '.5 ' || c || ' ) EOF', a] WHEN 1 THEN ['<begin_of_answer>' || chr(10) || '$' || a || chr(10) || '<end_of_answer> and nothing else'] WHEN 2 THEN ['The answer is ' || a || ' for sure']
+      WHEN 3 THEN ['and', 'the'] ELSE [p, (a::INT + c::INT) || '.0'] END AS rescued FROM x)
+SELECT id, '<begin_of_program>' || chr(10) || cleaned[1] || chr(10) || '<end_of_program>' || chr(10) || chr(10) || '<begin_of_answer>' || chr(10) || cleaned[2] || chr(10) || '<end_of_answer>' AS cleaned,
+  CASE WHEN len(rescued) = 1 THEN rescued[1] ELSE '<begin_of_program>' || chr(10) || rescued[1] || chr(10) || '<end_of_program>' || chr(10) || chr(10) || '<begin_of_answer>' || chr(10) || rescued[2] || chr(10) || '<end_of_answer>' END AS rescued FROM r"""
+)
 def output_rescue_blocks(t):
-    """Whole blocks rescued; a ladder of patterns that SQL can't express."""
+    """Whole blocks rescued."""
     return _shipped(_outputs(t)).select("id", outputs.clean_of(F.col("output")).alias("cleaned"), outputs.rescue_of(F.col("output"), F.lit("llama-3.3")).alias("rescued"))
 
 
