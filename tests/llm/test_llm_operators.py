@@ -259,6 +259,15 @@ def test_topk_of_long_vectors_and_repeated_rows(spark):
     assert [(a, b, c) for a, b, c, _ in got] == [(0, 1, 2), (0, 2, 2), (0, 3, 1), (50, 1, 100), (100, 1, 50)] and got[0][3] == got[1][3] == same > got[2][3] and got[3][3] == 0
 
 
+def test_topk_with_clashing_columns(spark):
+    rows = [(i, [float(i % 5), 1.0]) for i in range(8)]
+    plain_rows = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    names = "dim part kind ids x group way q_kind q_ids q id v query_id rank score key".split()
+    clashing = plain_rows.select("vec_id", "embedding", *(F.lit(n).alias(n) for n in names))
+    want = sorted(map(tuple, topk.exact_topk(plain_rows, plain_rows.where("vec_id < 2"), k=3).collect()))
+    assert sorted(map(tuple, topk.exact_topk(clashing, clashing.where("vec_id < 2"), k=3).collect())) == want and len(want) == 6
+
+
 def components_by_brute_force(texts):
     def words(t):
         return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans(common.UPPER, common.UPPER.lower())))
@@ -293,6 +302,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == components_by_brute_force(texts)
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    r = random.Random(9)
+    long = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    changed = list(long)
+    for i in range(0, 60_000, 60):  # a word in 60: 0.846 of the shingles
+        changed[i] = "other"
+    nearer = list(long)
+    for i in range(0, 60_000, 100):
+        nearer[i] = "other"
+    texts = {1: " ".join(long), 2: " ".join(changed), 3: " ".join(nearer), 4: " ".join(reversed(long)), 5: "short text", 6: "x" * 400_000, 7: "x" * 400_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(df).collect()}
+    assert got == components_by_brute_force(texts) and got[3][1] == 1 and got[7] == (1, 6) and got[4][1] == 4
+
+
 def test_blocks_lose_no_link(monkeypatch, spark):
     """Hot buckets: with tiny blocks, and stars that find little, the full search still connects all."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
