@@ -174,14 +174,18 @@ def keyword_hits(candidates: DataFrame, kept: DataFrame, n: int = 3) -> DataFram
 
 
 def numeric_first(hits: DataFrame, table_hits: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
-    """Hits (query_id, node_id, seq, numeric), numeric ones first; with too few of these, tables fill up to ``most``."""
-    order = Window.partitionBy("query_id").orderBy((~F.col("numeric")).cast("int"), "seq", "node_id")
-    ranked = hits.withColumn("rank", F.row_number().over(order))
-    n = hits.groupBy("query_id").agg(F.count_if("numeric").alias("n_numeric"), F.count(F.lit(1)).alias("n_all"))
-    short = table_hits.join(hits.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").join(n.where(F.col("n_numeric") < least), "query_id")
+    """Hits (query_id, node_id, seq, numeric), numeric ones first, as query_id, node_id, rank.
+
+    Where fewer than ``least`` are numeric, tables that aren't among these follow them until there are
+    ``most``; the others come last. Tables are numeric, so none comes twice.
+    """
+    n = hits.groupBy("query_id").agg(F.count_if("numeric").alias("n_numeric"))
+    fresh = table_hits.join(hits.where("numeric").select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").join(n.where(F.col("n_numeric") < least), "query_id")
     by_seq = Window.partitionBy("query_id").orderBy("seq", "node_id")
-    extra = short.withColumn("rank", F.col("n_all") + F.row_number().over(by_seq)).where(F.col("rank") <= most)
-    return ranked.select("query_id", "node_id", F.col("rank").cast("long")).union(extra.select("query_id", "node_id", F.col("rank").cast("long")))
+    extra = fresh.withColumn("__n", F.row_number().over(by_seq)).where(F.col("__n") <= most - F.col("n_numeric"))
+    placed = hits.select("query_id", "node_id", F.when(F.col("numeric"), 0).otherwise(2).alias("__part"), F.col("seq").cast("long").alias("seq")).union(extra.select("query_id", "node_id", F.lit(1), F.col("seq").cast("long")))
+    order = Window.partitionBy("query_id").orderBy("__part", "seq", "node_id")
+    return placed.select("query_id", "node_id", F.row_number().over(order).cast("long").alias("rank"))
 
 
 def lookup(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:

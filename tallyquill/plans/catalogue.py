@@ -420,18 +420,19 @@ def hybrid_keyword(t):
 @query(
     VECTORS
     + """,
-b AS (SELECT a.*, a.node_id % 7 = 0 AS num FROM a WHERE sc <= 5),
-n AS (SELECT query_id, count(*) FILTER (num) AS nn, count(*) AS na FROM b GROUP BY query_id),
-f AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY (NOT num)::INT, sc, node_id) AS rank FROM b),
-e AS (SELECT a.query_id, a.node_id, n.na + row_number() OVER (PARTITION BY a.query_id ORDER BY a.s, a.node_id) AS rank FROM a ANTI JOIN b USING (query_id, node_id) JOIN n ON n.query_id = a.query_id AND n.nn < 3 WHERE a.is_table AND a.s <= 10)
-SELECT query_id, node_id, rank::BIGINT AS rank FROM (SELECT * FROM f UNION ALL SELECT * FROM e WHERE rank <= 7)"""
+b AS (SELECT a.*, a.node_id % 7 = 0 OR is_table AS num FROM a WHERE sc <= 5),
+n AS (SELECT query_id, count(*) FILTER (num) AS nn FROM b GROUP BY query_id),
+e AS (SELECT a.query_id, a.node_id, a.s, n.nn, row_number() OVER (PARTITION BY a.query_id ORDER BY a.s, a.node_id) AS m FROM a ANTI JOIN (SELECT * FROM b WHERE num) b USING (query_id, node_id) JOIN n ON n.query_id = a.query_id AND n.nn < 3 WHERE a.is_table AND a.s <= 10)
+SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY part, seq, node_id) AS rank
+FROM (SELECT query_id, node_id, CASE WHEN num THEN 0 ELSE 2 END AS part, sc AS seq FROM b UNION ALL SELECT query_id, node_id, 1, s FROM e WHERE m <= 5 - nn)"""
 )
 def numeric_focus(t):
-    """Numeric nodes first, topped up with tables."""
+    """Numeric nodes and tables first, topped up with tables, the others last."""
     hits = _hits(t, 10)
-    _, _, contexts = retrieval.collection_hits(hits, 5)
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "node_id")
+    contexts = hits.withColumn("seq", F.row_number().over(order)).where("seq <= 5")
     _, tabs, _ = retrieval.collection_hits(hits, 10)
-    return retrieval.numeric_first(contexts.withColumn("numeric", F.col("node_id") % 7 == 0), tabs, most=7)
+    return retrieval.numeric_first(contexts.withColumn("numeric", (F.col("node_id") % 7 == 0) | (F.col("part") == 1)), tabs)
 
 
 # --- answers, outputs, programs --------------------------------------------------------------------------------------
@@ -995,7 +996,7 @@ def _behind(prompt, opening: str):
 
 @query(
     f"""
-WITH q AS (SELECT *, length(query) % 2 = 0 AND regexp_matches(lower(query), '{text.NUMERIC_TERMS}') AS numeric FROM ({BENCHMARK_QUESTIONS})),
+WITH q AS (SELECT *, length(query) % 2 = 0 AND regexp_matches(lower(query), '{text.NUMERIC_TERMS}') AS numeric FROM (SELECT query_id, CASE WHEN query_id % 4 < 3 THEN 'what total of ' ELSE '' END || query AS query FROM ({BENCHMARK_QUESTIONS}))),
 t AS (
   SELECT query_id, -1 AS no, 'about ' || query AS question FROM q UNION ALL SELECT query_id, 0, lower('about ' || query) FROM q
   UNION ALL SELECT query_id, 1, 'z' || regexp_replace('about ' || query, '[aeiou]', '', 'g') || 'z' FROM q),
@@ -1007,10 +1008,11 @@ tx AS (SELECT query_id, node_id, 1 AS part, n AS seq FROM (SELECT r.*, row_numbe
 cx AS (SELECT query_id, node_id, 2 AS part, nc AS seq FROM (SELECT r.*, row_number() OVER (PARTITION BY r.query_id ORDER BY r.nc, r.node_id) AS m FROM r ANTI JOIN u USING (query_id, node_id) WHERE no = -1 AND nc <= 5) WHERE m <= 2),
 f AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY part, seq, node_id) AS seq FROM (SELECT * FROM kept UNION ALL SELECT * FROM tx UNION ALL SELECT * FROM cx)),
 b AS (SELECT f.*, is_table OR regexp_matches(content, '[0-9]') AS num FROM f JOIN nv USING (node_id) JOIN q USING (query_id) WHERE numeric),
-c AS (SELECT query_id, count(*) FILTER (num) AS nn, count(*) AS na FROM b GROUP BY query_id),
-e AS (SELECT r.query_id, r.node_id, c.na + row_number() OVER (PARTITION BY r.query_id ORDER BY r.n, r.node_id) AS seq FROM r ANTI JOIN b USING (query_id, node_id) JOIN c ON c.query_id = r.query_id AND c.nn < 3 WHERE no = -1 AND is_table AND n <= 10),
+c AS (SELECT query_id, count(*) FILTER (num) AS nn FROM b GROUP BY query_id),
+e AS (SELECT r.query_id, r.node_id, r.n, c.nn, row_number() OVER (PARTITION BY r.query_id ORDER BY r.n, r.node_id) AS m FROM r ANTI JOIN (SELECT * FROM b WHERE num) b USING (query_id, node_id) JOIN c ON c.query_id = r.query_id AND c.nn < 3 WHERE no = -1 AND is_table AND n <= 10),
 o AS (
-  SELECT f.* FROM f JOIN q USING (query_id) WHERE NOT numeric UNION ALL SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY (NOT num)::INT, seq, node_id) FROM b UNION ALL SELECT * FROM e WHERE seq <= 5),
+  SELECT f.* FROM f JOIN q USING (query_id) WHERE NOT numeric UNION ALL SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY part, seq, node_id) AS seq
+  FROM (SELECT query_id, node_id, CASE WHEN num THEN 0 ELSE 2 END AS part, seq FROM b UNION ALL SELECT query_id, node_id, 1, n FROM e WHERE m <= 5 - nn)),
 x AS (SELECT query_id, list(node_id ORDER BY seq) AS nodes, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS context FROM o JOIN nv USING (node_id) GROUP BY query_id)
 SELECT query_id, 'about ' || query AS searched, numeric, coalesce(nodes, []) AS nodes, md5(coalesce(context, '') || chr(10) || chr(10) || query) AS response, numeric AS computed,
   CASE WHEN numeric THEN ['Time period comparison requested: 2008, 2009'] END AS steps FROM q LEFT JOIN x USING (query_id)"""
@@ -1021,7 +1023,8 @@ def question_answers(t):
     expand = lambda p: F.concat(F.lit("1. "), F.lower(_behind(p, engine.EXPAND)), F.lit("\n2. z"), F.regexp_replace(_behind(p, engine.EXPAND), "[aeiou]", ""), F.lit("z"))
     analyse = lambda p: F.concat(F.when(F.length(_behind(p, engine.ANALYSE)) % 2 == 0, "true").otherwise("no"), F.lit("\ntime_periods: ['2008', '2009']"))
     nodes = _document_nodes(t)
-    out = engine.answer_questions(_benchmark_questions(t), nodes, engine.vector_search(nodes, retrieval.letter_counts), F.md5, rewrite, expand, analyse)
+    asked = _benchmark_questions(t).withColumn("query", F.concat(F.when(F.col("query_id") % 4 < 3, "what total of ").otherwise(""), F.col("query")))
+    out = engine.answer_questions(asked, nodes, engine.vector_search(nodes, retrieval.letter_counts), F.md5, rewrite, expand, analyse)
     return out.select("query_id", "searched", "numeric", "nodes", "response", F.col("numeric_response").isNotNull().alias("computed"), "steps")
 
 
