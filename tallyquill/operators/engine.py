@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyquill.functions.numbers import all_numbers, metrics_in
 from tallyquill.functions.text import asks_for_numbers, clean_output, instruct_prompt, numbered_list, program_and_answer, query_analysis, route, strip
+from tallyquill.operators import index
+from tallyquill.operators.index import Store
 from tallyquill.operators.retrieval import collection_hits, merge_hits, numeric_first, retrieve, vector_topk
 from tallyquill.operators.tables import table_data
 from tallyquill.store import once
@@ -71,17 +73,19 @@ def searched_by(tool: Column) -> Column:
     return said
 
 
-def tool_search(nodes: DataFrame, embed: Callable[[Column], Column], k: int = 5) -> Callable[[DataFrame], DataFrame]:
+def tool_search(nodes: DataFrame, embed: Callable[[Column], Column], k: int = 5, store: Store | None = None) -> Callable[[DataFrame], DataFrame]:
     """A way to ``find`` contexts: the k nodes of its tool's collection nearest to a question, best first.
 
     ``nodes`` has node_id, is_table, vec, content. Questions (question, tool, and any columns that tell them
     apart) of all tools go into one search, each asking for its collection; hits come back to their question in
-    order. A question whose collection is empty has an empty context.
+    order. A question whose collection is empty has an empty context. With ``store``, the search is of an index of the
+    nodes' vectors, and nodes need none.
     """
 
     def find(questions: DataFrame) -> DataFrame:
         marked = once(questions.withColumn("__key", F.monotonically_increasing_id()), "questions")
-        hits = vector_topk(marked.select(F.col("__key").alias("query_id"), embed(F.col("question")).alias("vec"), "tool"), nodes, k, by=F.col("is_table").cast("int"), asked=searched_by(F.col("tool")))
+        asked, parts = marked.select(F.col("__key").alias("query_id"), embed(F.col("question")).alias("vec"), "tool"), searched_by(F.col("tool"))
+        hits = vector_topk(asked, nodes, k, by=F.col("is_table").cast("int"), asked=parts) if store is None else index.search(store, asked, k, parts)
         return with_context(marked, hits.withColumnRenamed("query_id", "__key"), nodes, "__key").drop("__key")
 
     return find
@@ -119,6 +123,18 @@ def vector_search(nodes: DataFrame, embed: Callable[[Column], Column]) -> Search
     return lambda asked, k: vector_topk(asked.select("query_id", embed(F.col("query")).alias("vec")), nodes, k, by=F.col("is_table").cast("int"))
 
 
+def index_search(store: Store, embed: Callable[[Column], Column]) -> Search:
+    """A search of a stored index whose collections are 0, texts, and 1, tables: what ``vector_search`` finds, from the blocks that can hold it."""
+
+    def find(asked: DataFrame, k: int) -> DataFrame:
+        both = asked.select("query_id", embed(F.col("query")).alias("vec"), F.explode(F.array(F.lit(0), F.lit(1))).alias("part"))
+        both = once(both.withColumn("__key", F.monotonically_increasing_id()), "asked")
+        hits = index.search(store, both.select(F.col("__key").alias("query_id"), "vec", "part"), k, F.array("part")).withColumnRenamed("query_id", "__key")
+        return hits.join(both.select("__key", "query_id", "part"), "__key").drop("__key")
+
+    return find
+
+
 def multi_query_search(queries: DataFrame, variants: DataFrame | None, search: Search, k: int = 5) -> DataFrame:
     """One search for queries and their variants: (query_id, variant, node_id, score, part, seq). Each has its k best texts (part 0) and tables (1); the query as it is
     is variant -1.

@@ -152,3 +152,15 @@ def test_R2_terms_equal_a_plain_product(spark, monkeypatch):
             near = sorted((-round(float(vector(text) @ vector(c or "")), 9), i) for i, c, tab in rows if tab == bool(part))
             want += [(q, part, n, i, -s) for n, (s, i) in enumerate([x for x in near if x[0] < 0][:4], 1)]
     assert [x[:4] for x in got] == [x[:4] for x in want] and np.allclose([x[4] for x in got], [x[4] for x in want])
+
+
+def test_engine_searches_a_stored_index(spark, tmp_path):
+    rows, nodes = node_rows(spark, 120)
+    store = index.load_or_build(nodes.select("node_id", "vec", F.col("is_table").cast("int").alias("collection")), str(tmp_path), block=10)
+    asked = spark.createDataFrame([("a", "cash of zebra"), ("b", "net margin"), ("c", "123"), ("d", "lazy quick flow")], "query_id string, query string")
+    shown = lambda df: sorted((r["query_id"], r["part"], r["seq"], r["node_id"], round(r["score"], 9)) for r in df.collect())
+    want = shown(engine.vector_search(nodes, retrieval.letter_counts)(asked, 4))
+    assert shown(engine.index_search(store, retrieval.letter_counts)(asked, 4)) == want and len(want) == 24
+    questions = spark.createDataFrame([(1, "cash of zebra", "text_search"), (2, "cash of zebra", "table_search"), (3, "net flow", "context_search")], "query_id int, question string, tool string")
+    found = lambda **more: sorted((r["query_id"], r["context"]) for r in engine.tool_search(nodes, retrieval.letter_counts, 3, **more)(questions).collect())
+    assert found(store=store) == found()
