@@ -6,7 +6,6 @@ strings from columns, run the operator, and are checked against the columns them
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -298,7 +297,7 @@ SELECT doc_id, lang, text, count(*) OVER () AS n FROM documents""")
 def json_arrays(t):
     """Documents written as JSON arrays and read back in splits; each object's place in its file is its own."""
     docs = _shipped(t("documents")).select("doc_id", "lang", "text")
-    path = f"{store.shared_dir(docs.sparkSession)}/arrays-{uuid.uuid4().hex}"
+    path = store.fresh(docs.sparkSession, "arrays")
     writers.write_arrays(docs, path)
     read = readers.read_numbered(docs.sparkSession, path, docs.schema.simpleString()[7:-1].replace(":", " "))
     places = read.groupBy("__file").agg(F.count_distinct("seq").alias("n"), F.max("seq").alias("last")).where("n = last + 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
@@ -359,7 +358,7 @@ def stored_search(t):
     """An index is written and read back; each query asks for its nearest texts, and for its nearest tables."""
     v = _shipped(t("embeddings")).select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vec"), (F.col("label") < 3).cast("int").alias("collection"))
     spark = v.sparkSession
-    path = f"{store.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    path = store.fresh(spark, "index")
     index.build(v, path)
     held = index.load(spark, path)
     asked = v.where("node_id % 20 = 0").select((F.col("node_id") * 2).alias("query_id"), "vec")

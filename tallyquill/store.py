@@ -25,6 +25,14 @@ def place(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def fresh(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing is at yet; what is written there goes at the end of the application."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    at, fs = place(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
 def once(df: DataFrame, tag: str) -> DataFrame:
     """The rows of ``df``, written once as Parquet and read back.
 
@@ -32,8 +40,6 @@ def once(df: DataFrame, tag: str) -> DataFrame:
     executor costs a read of the files. The files go at the end of the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    at, fs = place(spark, path)
-    fs.deleteOnExit(at)
+    path = fresh(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
