@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,41 +90,76 @@ def metrics_in(text: Column) -> Column:
 NUMBER_ROW = T.ArrayType(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("is_currency", T.BooleanType()), T.StructField("is_percentage", T.BooleanType()), T.StructField("context", T.StringType()), T.StructField("position", T.IntegerType())]))
 #: How far around a match its context reaches, and how far behind it a unit counts.
 AROUND, UNIT_REACH = 30, 10
-_UNIT = re.compile("|".join(unit for unit, _ in UNITS))
+#: Fixed value: ``ANY_NUMBER`` from its digits on, which a search finds by their first character.
+_FROM_DIGITS = re.compile(r"([\d,][\d,]*\.?\d*)\s*(?:million|billion|thousand|m|b|k|%)?")
 
 
-def number_details(texts: pd.Series) -> pd.Series:
-    """All numbers of each text, with their context, place, unit and signs.
+def _spans(text: str):
+    """(start, end, digits) of the matches of ``ANY_NUMBER``, in linear time.
+
+    What may stand before the digits has none in it, so a match is found by its first digit and reaches back over blanks
+    and a sign, at most to the end of the match before.
+    """
+    done = 0
+    for m in _FROM_DIGITS.finditer(text):
+        gap = text[done : m.start()].rstrip()
+        start = done + len(gap) - (1 if gap.endswith("$") else 3 if gap.endswith("USD") else 0)
+        done = m.end()
+        yield start, done, m[1]
+
+
+def _factor(behind: str) -> float:
+    for unit, factor in UNITS:
+        if unit in behind:
+            return factor
+    return 1.0
+
+
+def number_arrays(texts: list[str | None]) -> pa.ListArray:
+    """All numbers of each text, with their context, place, unit and signs, as an Arrow array.
 
     Each property is a function of the two ends of a match: the unit is sought in what the match
     left over, where the words come before the letters; a percent sign counts right behind it, a
     dollar sign inside it or beside it.
     """
-    spans = [[(m.start(), m.end(), m[1].replace(",", "")) for m in ANY_NUMBER.finditer(t or "")] for t in texts]
-    flat = pd.DataFrame([(row, *x) for row, some in enumerate(spans) for x in some], columns=["row", "start", "end", "digits"])
-    flat["value"] = pd.to_numeric(flat["digits"], errors="coerce")
-    flat = flat[flat["value"].notna()].astype({"value": "float64"})
-    if flat.empty:
-        return pd.Series([[] for _ in spans], dtype=object)
-    text = texts.reset_index(drop=True)
-    cut = lambda lo, hi: [text[r][a:b] for r, a, b in zip(flat["row"], lo, hi, strict=True)]
-    flat["context"] = [x.strip() for x in cut((flat["start"] - AROUND).clip(lower=0), flat["end"] + AROUND)]
-    behind = cut(flat["end"], flat["end"] + UNIT_REACH)
-    units = dict(UNITS)
-    flat["factor"] = [min((list(units).index(u) for u in _UNIT.findall(x)), default=-1) for x in behind]
-    flat["factor"] = flat["factor"].map(dict(enumerate(units.values())) | {-1: 1.0})
-    flat["is_percentage"] = [x.startswith("%") for x in behind]
-    flat["is_currency"] = ["$" in x for x in cut((flat["start"] - 1).clip(lower=0), flat["end"] + 1)]
-    flat["value"] *= flat["factor"] / flat["is_percentage"].map({True: 100.0, False: 1.0})
-    out: list[list[dict]] = [[] for _ in spans]
-    for row, record in zip(flat["row"], flat.rename(columns={"start": "position"})[NUMBER_ROW.elementType.names].to_dict("records"), strict=True):
-        out[row].append(record)
-    return pd.Series(out, dtype=object)
+    digits, factors, currency, percentage, contexts, places, rows = [], [], [], [], [], [], []
+    for row, text in enumerate(texts):
+        if not text:
+            continue
+        for start, end, number in _spans(text):
+            behind = text[end : end + UNIT_REACH]
+            digits.append(number.replace(",", ""))
+            factors.append(_factor(behind))
+            percentage.append(behind.startswith("%"))
+            currency.append("$" in text[max(start - 1, 0) : end + 1])
+            contexts.append(text[max(start - AROUND, 0) : end + AROUND].strip())
+            places.append(start)
+            rows.append(row)
+    values = pd.to_numeric(pd.Series(digits, dtype=object), errors="coerce").to_numpy(np.float64)
+    read = ~np.isnan(values)
+    percent = np.array(percentage, bool)
+    values = values * (np.array(factors, np.float64) / np.where(percent, 100.0, 1.0))
+    parts = [pa.array(values), pa.array(currency, pa.bool_()), pa.array(percent), pa.array(contexts, pa.string()), pa.array(places, pa.int32())]
+    found = pa.StructArray.from_arrays(parts, NUMBER_ROW.elementType.names)
+    if not read.all():
+        found = found.filter(pa.array(read))
+    counts = np.bincount(np.array(rows, np.int64)[read], minlength=len(texts))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), found)
+
+
+def number_details(texts: pd.Series) -> pd.Series:
+    """``number_arrays`` for Python callers."""
+    return pd.Series(number_arrays([t or None for t in texts]).to_pylist(), dtype=object)
 
 
 def all_numbers(text: Column) -> Column:
     """C6; needs match offsets, which SQL functions don't give."""
-    return F.pandas_udf(number_details, NUMBER_ROW)(text)
+
+    @F.arrow_udf(NUMBER_ROW)
+    def found(texts: pa.Array) -> pa.Array:
+        return number_arrays(texts.to_pylist())
+
+    return found(text)
 
 
 def cell_number(c: Column) -> Column:

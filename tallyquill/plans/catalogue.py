@@ -765,7 +765,8 @@ def number_units(t):
     order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
     a, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
     said = F.concat(F.lit("paid $"), a, F.lit(" million, "), n, F.lit(" % off and "), n, F.lit("%% of 2,500 thousand in all, yet "), n, F.lit(" - million"))
-    rows = _shipped(t("lineitem")).select("l_orderkey", "l_linenumber", F.row_number().over(order).cast("long").alias("i"), said.alias("said")).withColumn("found", numbers.all_numbers(F.col("said")))
+    rows = _shipped(t("lineitem")).select("l_orderkey", "l_linenumber", "l_quantity", F.row_number().over(order).cast("long").alias("i"))  # texts are made behind the sort
+    rows = rows.select("l_orderkey", "l_linenumber", "i", said.alias("said")).withColumn("found", numbers.all_numbers(F.col("said")))
     of = lambda c: F.transform("found", lambda x: x[c])
     return rows.select("l_orderkey", "l_linenumber", "i", "said", of("value").alias("values"), of("is_currency").alias("currency"), of("is_percentage").alias("percentage"), of("position").alias("places"), F.get(of("context"), F.lit(2)).alias("third"))
 
