@@ -8,13 +8,16 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Ids of a text, and the code points at which each begins and ends.
 Encoded = tuple[list[int], list[int], list[int]]
+#: Code points of the texts that are encoded together; a longer text is encoded alone.
+TOGETHER = 1 << 17
 TOKENS = T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")])
 
 
@@ -24,8 +27,20 @@ class Tokenizer:
 
     encode: Callable[[list[str]], Iterable[Encoded]]
 
+    def encoded(self, texts: list[str]) -> Iterable[Encoded]:
+        """Text by text, so many together as have ``TOGETHER`` code points: ids take many times a text's memory."""
+        some, size = [], 0
+        for text in texts:
+            if some and size + len(text) > TOGETHER:
+                yield from self.encode(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        if some:
+            yield from self.encode(some)
+
     def lengths(self, texts: list[str]) -> list[int]:
-        return [len(ids) for ids, _, _ in self.encode(texts)]
+        return [len(ids) for ids, _, _ in self.encoded(texts)]
 
 
 def plain(vocabulary: int = 32_000, piece: int = 4) -> Tokenizer:
@@ -37,8 +52,12 @@ def plain(vocabulary: int = 32_000, piece: int = 4) -> Tokenizer:
 
     def encode(texts: list[str]) -> Iterable[Encoded]:
         for text in texts:
-            found = [(m[0], m.start(), m.end()) for m in pieces.finditer(text)]
-            yield [(len(p) * 131 + ord(p[0]) * 7 + ord(p[-1])) % vocabulary for p, _, _ in found], [a for _, a, _ in found], [b for _, _, b in found]
+            starts, ends = [], []
+            for m in pieces.finditer(text):
+                a, b = m.span()
+                starts.append(a)
+                ends.append(b)
+            yield [((b - a) * 131 + ord(text[a]) * 7 + ord(text[b - 1])) % vocabulary for a, b in zip(starts, ends, strict=True)], starts, ends
 
     return Tokenizer(encode)
 
@@ -87,13 +106,24 @@ def _loaded(path: str, pattern: str | None) -> Callable[[list[str]], Iterable[En
     raise ValueError(f"no tokenizer is known for {path}")
 
 
-def tokenized(text: Column, tokenizer: Tokenizer) -> Column:
-    """(ids, starts, ends) of a text, in Arrow batches; null text has none."""
+def token_arrays(texts: list[str | None], tokenizer: Tokenizer, most: int | None = None) -> pa.StructArray:
+    """(ids, starts, ends) of texts as an Arrow array, of each text's first ``most`` tokens; nulls for null text."""
+    told = tokenizer.encoded([t for t in texts if t is not None])
+    held, sizes = [[np.empty(0, np.int32)] for _ in TOKENS], []
+    for text in texts:
+        now = ([], [], []) if text is None else next(told)
+        sizes.append(len(now[0]) if most is None else min(len(now[0]), most))
+        for parts, x in zip(held, now, strict=True):
+            parts.append(np.array(x[:most], np.int32))
+    at, missing = pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array([t is None for t in texts], pa.bool_())
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts)), mask=missing) for parts in held], TOKENS.names)
+
+
+def tokenized(text: Column, tokenizer: Tokenizer, most: int | None = None) -> Column:
+    """(ids, starts, ends) of a text, in Arrow batches; null text has none. With ``most``, the whole text is encoded and its first tokens are given."""
 
-    @F.pandas_udf(TOKENS)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        there = [t for t in texts if t is not None]
-        told = iter(tokenizer.encode(there))
-        return pd.DataFrame([(None, None, None) if t is None else next(told) for t in texts], columns=TOKENS.names)
+    @F.arrow_udf(TOKENS)
+    def run(texts: pa.Array) -> pa.Array:
+        return token_arrays(texts.to_pylist(), tokenizer, most)
 
     return run(text)

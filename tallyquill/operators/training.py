@@ -91,10 +91,11 @@ def attention(ids: Column, length: int) -> Column:
 def training_rows(rows: DataFrame, tokenizer: Tokenizer, length: int, text_col: str = "text", pad: int = 0, markers: tuple[str, str] | None = None, masked: int = -100) -> DataFrame:
     """Adds ``input_ids`` and ``attention_mask`` of a length, and ``labels`` where ``markers`` gives those of instruction and response.
 
-    Texts are encoded once, in Arrow batches; cutting, filling and masking are columns. A row whose markers
-    aren't found has null labels and is otherwise like the others. Null text has nulls throughout.
+    Texts are encoded once and whole, in Arrow batches; of their tokens those within the length leave the workers, as no
+    later one is in a result. Filling and masking are columns. A row whose markers aren't found has null labels and is
+    otherwise like the others. Null text has nulls throughout.
     """
-    out = rows.withColumn("__t", tokenized(F.col(text_col), tokenizer))
+    out = rows.withColumn("__t", tokenized(F.col(text_col), tokenizer, length))
     ids = F.col("__t.ids")
     added = {"input_ids": padded(ids, length, pad), "attention_mask": F.when(ids.isNotNull(), attention(ids, length))}
     if markers:

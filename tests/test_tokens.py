@@ -57,6 +57,27 @@ def test_D6_text_masks(spark):
     assert len(cut["input_ids"]) == len(cut["labels"]) == 3 and cut["attention_mask"] == [1, 1, 1]
 
 
+def test_memory_of_encoding_is_bounded():
+    import tracemalloc
+
+    texts = ["some words of a text " * 50] * 8000  # 8 million code points, 2.4 million tokens
+    tracemalloc.start()
+    got = tokenizers.token_arrays(texts, tokenizers.plain(), 64)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6 and got.to_pylist()[7999]["ids"] == next(iter(tokenizers.plain().encode(texts[:1])))[0][:64]
+    assert tokenizers.plain().lengths(texts[:2]) == [300, 300]
+
+
+def test_tokens_behind_the_length_change_nothing(spark):
+    df = spark.createDataFrame([(i, "x " * i + "<ask> one <say> two " + "y " * 40) for i in range(30)] + [(99, None)], "i int, text string")
+    for t in [tokenizers.plain(), *files()]:
+        whole, cut = ({r["i"]: r for r in training.training_rows(df, t, n, markers=("<ask>", "<say>")).collect()} for n in (200, 16))
+        for i, r in whole.items():
+            assert all(cut[i][c] == (r[c] and r[c][:16]) for c in ("input_ids", "attention_mask", "labels")), i
+    assert [len(r["t"]["ids"]) for r in df.where("i < 3").orderBy("i").select(tokenizers.tokenized(F.col("text"), tokenizers.plain(), 2).alias("t")).collect()] == [2, 2, 2]
+
+
 def test_C1_chunks_hold_their_bounds_in_tokens(spark):
     rng = random.Random(4)
     texts = [" ".join("".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 60))) + rng.choice(".!?") for _ in range(rng.randint(1, 60))) for _ in range(15)] + [None, "", "one sentence only"]
