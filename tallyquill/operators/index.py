@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from tallyquill.store import once
 BLOCK, PART, MOST_CELLS, SAMPLE = 512, 32_768, 4096, 1 << 22
 #: Queries, or heads of blocks, that meet as one; blocks that a query reads first.
 PACK, FIRST = 2048, 2
+#: Ways of the blocks in a sweep, components of the queries that a task of it holds.
+WAYS, HELD = 32, 1 << 24
 #: What rounding may do to a cosine, scores being compared to nine decimals.
 SLACK = 2e-9
 
@@ -198,8 +201,13 @@ def _ways(n: int) -> int:
     return max(1, -(-n // (4 * PACK)))
 
 
-def probes(store: Store, queries: DataFrame, first: int | None = None) -> DataFrame:
-    """Which blocks queries (id, v, asked, least) have to read: (query_id, block).
+def _bound(q: np.ndarray, centers: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The largest cosines that queries can have with vectors of blocks."""
+    return np.cos(np.maximum(np.arccos(np.clip(q @ centers.T, -1, 1)) - radius, 0)) + SLACK
+
+
+def probes(store: Store, queries: DataFrame, first: int | None = None, by_query: bool = True) -> DataFrame:
+    """Which blocks queries (id, v, asked, least) have to read: (query_id, block), or without ``by_query`` those that any reads: (block).
 
     The cosine of a query with a vector of a block is at most that of their angle to its center less the
     radius. With ``first``, the blocks of the largest bound, so many a query; else all whose bound reaches
@@ -213,15 +221,17 @@ def probes(store: Store, queries: DataFrame, first: int | None = None) -> DataFr
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = _packed(asked, kind, q_ways).select("dim", "to", F.col("way").alias("q_way"), every(h_ways).alias("way"), F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.col("facts").alias("q_facts"))
     right = _packed(heads, T.StringType(), h_ways).select("dim", "to", "way", every(q_ways).alias("q_way"), "ids", "x", "facts")
-    schema = T.StructType([T.StructField("query_id", kind), T.StructField("block", T.StringType()), T.StructField("bound", T.DoubleType())])
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("block", T.StringType()), T.StructField("bound", T.DoubleType())][0 if by_query else 1 : 3 if by_query else 2])
 
     def bound(batches):
         for b in batches:
             for r in range(b.num_rows):
                 dim, (q_ids, ids) = b.column(0)[r].as_py(), (b.column(c)[r].values for c in (1, 4))
                 q, least, x, radius = (np.frombuffer(b.column(c)[r].as_py(), "<f8").reshape(-1, w) for c, w in ((2, dim), (3, 2), (5, dim), (6, 2)))
-                angle = np.arccos(np.clip(q @ x.T, -1, 1)) - radius[:, 0]
-                most = np.cos(np.maximum(angle, 0)) + SLACK
+                most = _bound(q, x, radius[:, 0])
+                if not by_query:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.flatnonzero((most >= least[:, :1]).any(axis=0))))], schema.names)
+                    continue
                 if first is None:
                     i, j = np.nonzero(most >= least[:, :1])
                 else:
@@ -231,6 +241,8 @@ def probes(store: Store, queries: DataFrame, first: int | None = None) -> DataFr
                 yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(most[i, j])], schema.names)
 
     met = left.join(right, ["dim", "to", "q_way", "way"]).select("dim", "q_ids", "q", "q_facts", "ids", "x", "facts").mapInArrow(bound, schema)
+    if not by_query:
+        return met.distinct()
     if first is not None:
         order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
         met = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= first)
@@ -260,6 +272,86 @@ def _read(store: Store, wanted: DataFrame, queries: DataFrame, k: int) -> DataFr
     return packs.join(store.blocks.select("block", "ids", "x"), "block").select("asked", "ids", "x").mapInArrow(multiply, schema)
 
 
+class _Kept:
+    """The k best of a pack of queries among the vectors of the blocks seen so far."""
+
+    def __init__(self, ids: pa.Array, q: np.ndarray, least: np.ndarray, k: int):
+        self.ids, self.q, self.least, self.k = ids, q, least.copy(), k
+        self.rows, self.scores, self.nodes, self.n = [], [], [], 0
+
+    def meet(self, ids: pa.Array, x: np.ndarray, center: np.ndarray, radius: float) -> None:
+        """Takes in a block, for the queries whose kth score it can reach."""
+        some = np.flatnonzero(_bound(self.q, center[None, :], np.array([radius]))[:, 0] >= self.least)
+        if not len(some):
+            return
+        s, least = self.q[some] @ x.T, self.least[some]
+        i, j = np.nonzero(s >= (least - SLACK)[:, None])
+        if len(i) > 4 * self.k * len(some):  # few are known yet: no more than the k best, and what ties with them
+            place, n = np.round(s, 9), min(self.k, s.shape[1])
+            i, j = np.nonzero(place >= np.maximum(-np.partition(-place, n - 1, axis=1)[:, n - 1], least - SLACK)[:, None])
+        if len(i):
+            self.rows.append(some[i]), self.scores.append(s[i, j]), self.nodes.append(ids.take(pa.array(j)))
+            self.n += len(i)
+        if self.n > 8 * self.k * len(self.q):
+            self.settle()
+
+    def settle(self) -> None:
+        """Keeps k a query, ties going to the smaller node."""
+        if not self.n:
+            return
+        rows, scores, nodes = np.concatenate(self.rows), np.concatenate(self.scores), pa.chunked_array(self.nodes).combine_chunks()
+        place = np.round(scores, 9)
+        order = pc.sort_indices(pa.table({"row": rows, "place": place, "id": nodes}), sort_keys=[("row", "ascending"), ("place", "descending"), ("id", "ascending")], null_placement="at_start").to_numpy()
+        at = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+        last = order[at == self.k - 1]
+        self.least[rows[last]] = np.maximum(self.least[rows[last]], place[last])
+        order = order[at < self.k]
+        self.rows, self.scores, self.nodes, self.n = [rows[order]], [scores[order]], [nodes.take(pa.array(order))], len(order)
+
+    def hits(self, names: list[str]) -> pa.RecordBatch | None:
+        self.settle()
+        return pa.RecordBatch.from_arrays([self.ids.take(pa.array(self.rows[0])), self.nodes[0], pa.array(self.scores[0])], names) if self.n else None
+
+
+def _swept(store: Store, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of each query (id, v, asked, least) in every way of the blocks, of those that reach ``least``.
+
+    Blocks that some query has to read are dealt to ``WAYS`` ways, and each way's task first reads the packs of the queries,
+    which it holds, then its blocks one by one. So a block is shuffled once a group of queries, a query once a way, and neither
+    once a pair. Queries are in one group up to ``HELD`` components, which is what a task holds.
+    """
+    kind, id_kind = queries.schema["id"].dataType, store.blocks.schema["ids"].dataType.elementType
+    asked = queries.select("id", "v", F.explode("asked").alias("to"), F.array("least", F.lit(0.0)).alias("facts"))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("components")).first()
+    groups = max(1, -(-size["components"] // HELD))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda t: F.lit(None).cast(t)
+    keys = ["dim", "to", "group", "way"]
+    packs = _packed(asked, kind, groups * _ways(size["n"])).select("dim", "to", F.pmod("way", F.lit(groups)).alias("group"), every(WAYS).alias("way"), F.lit(0).alias("side"), F.col("ids").alias("q_ids"), none(T.ArrayType(id_kind)).alias("ids"), "x", "facts", none("array<double>").alias("center"), none("double").alias("radius"))
+    wanted = store.blocks.join(probes(store, queries, by_query=False), "block", "left_semi")
+    blocks = wanted.select("dim", F.col("collection").alias("to"), every(groups).alias("group"), F.pmod(F.xxhash64("block"), F.lit(WAYS)).cast("int").alias("way"), F.lit(1).alias("side"), none(T.ArrayType(kind)).alias("q_ids"), "ids", "x", none("binary").alias("facts"), "center", "radius")
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("node_id", id_kind), T.StructField("score", T.DoubleType())])
+
+    def sweep(batches):
+        key, held = None, []
+        for b in batches:
+            for r in range(b.num_rows):
+                now = tuple(b.column(i)[r].as_py() for i in range(4))
+                if now != key:
+                    yield from filter(None, (p.hits(schema.names) for p in held))
+                    key, held = now, []
+                x = np.frombuffer(b.column(7)[r].as_py(), "<f8").reshape(-1, now[0])
+                if b.column(4)[r].as_py() == 0:
+                    held.append(_Kept(pa.concat_arrays([b.column(5)[r].values]), x, np.frombuffer(b.column(8)[r].as_py(), "<f8").reshape(-1, 2)[:, 0], k))
+                else:
+                    center, radius = b.column(9)[r].values.to_numpy(zero_copy_only=False), b.column(10)[r].as_py()
+                    for p in held:
+                        p.meet(b.column(6)[r].values, x, center, radius)
+        yield from filter(None, (p.hits(schema.names) for p in held))
+
+    return packs.unionByName(blocks).repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(sweep, schema)
+
+
 def _best(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "node_id")
     return hits.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= k)
@@ -270,17 +362,14 @@ def search(store: Store, queries: DataFrame, k: int = 5, asked: Column | None =
 
     ``asked``, an array of collections, tells which ones a query is for (all, by default). A query reads the
     ``FIRST`` blocks of the largest bound. Its kth score there is what a block has to be able to reach to be read
-    in the second round; near vectors being packed together, most blocks of clustered vectors can't. Query
-    ids have to be different.
+    in the second round, a sweep over the blocks; near vectors being packed together, most blocks of clustered vectors
+    can't. Query ids have to be different.
     """
     if asked is None:
         all_ = [r["collection"] for r in store.heads().select("collection").distinct().collect()]  # as many as there are collections
         asked = F.array(*map(F.lit, all_)) if all_ else F.array().cast("array<int>")
     q = once(_units(queries, "query_id", F.array_distinct(asked.cast("array<int>")).alias("asked")).withColumn("least", F.lit(-2.0)), "asked")
-    early = probes(store, q, FIRST)
-    early = once(early, "probes")
-    near = once(_best(_read(store, early, q, k), k).select("query_id", "node_id", "score"), "near")
+    near = _best(_read(store, probes(store, q, FIRST), q, k), k)
     least = near.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.round(F.min("score"), 9)).alias("found"))
     known = once(q.drop("least").join(least, "id", "left").withColumn("least", F.coalesce("found", F.lit(-2.0))).drop("found"), "asked")
-    late = probes(store, known).join(early, ["query_id", "block"], "left_anti")
-    return _best(near.unionByName(_read(store, late, known, k)), k).select("query_id", "node_id", "score", "seq")
+    return _best(_swept(store, known, k), k).select("query_id", "node_id", "score", "seq")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyquill.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -19,7 +21,7 @@ def dot(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """The vector in double precision, scaled to length 1; computed once a row, not once a pair. One of zeros becomes one of nulls."""
     norm = F.nullif(F.sqrt(dot(v, v)), F.lit(0.0))
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    return let(norm, lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 #: Letters that the stand-in embedding counts.

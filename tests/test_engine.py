@@ -114,6 +114,29 @@ def test_S8_blocks_of_clustered_vectors_are_passed_over(spark, tmp_path):
     assert index.probes(store, q.withColumn("least", F.lit(-2.0))).count() == n_blocks * n_queries
 
 
+def test_S8_a_sweep_holds_k_a_query_and_way(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "WAYS", 3)
+    nodes = vectors(spark, 2000, 16, 2000, 1.0).withColumn("collection", F.lit(0))
+    nodes = nodes.union(nodes.where("node_id < 60").crossJoin(spark.range(20)).select((F.col("node_id") + 10_000 * (F.col("id") + 1)).alias("node_id"), "vec", "collection"))  # ties
+    store = index.build(nodes, str(tmp_path), block=20)
+    queries = nodes.where("node_id < 400 or node_id > 1990").select(F.col("node_id").alias("query_id"), "vec")
+    want = hits(retrieval.vector_topk(queries, nodes, 5))
+    for held in (1 << 24, 3000):  # one group of queries, and several
+        monkeypatch.setattr(index, "HELD", held)
+        assert hits(index.search(store, queries, 5)) == want
+    q = index._units(queries, "query_id").withColumns({"asked": F.array(F.lit(0)), "least": F.lit(-2.0)})
+    swept = index._swept(store, q, 5)
+    assert swept.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 3 * 5
+    assert sorted(r["block"] for r in index.probes(store, q.where("size(v) = 16"), by_query=False).collect()) == sorted(r["block"] for r in store.blocks.where("dim = 16").select("block").collect())
+
+
+def test_R4_lengths_of_vectors_are_computed_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,)], "v array<double>")
+    assert [r[0] for r in df.select(retrieval.unit(F.col("v"))).collect()] == [[0.6, 0.8], [None, None], [], None]
+    plan = df.select(retrieval.unit(F.col("v")).alias("u"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.index("transform(array(") >= 0
+
+
 def test_S8_torn_store_is_rebuilt(spark, tmp_path):
     nodes, path = vectors(spark, 200, 8, 4, 0.2), str(tmp_path)
     assert index.load(spark, path) is None
