@@ -36,6 +36,8 @@ def unit_factor(unit: Column) -> Column:
 
 #: The patterns above as they are applied to one stretch of letters, or one number, at a time.
 _AMOUNT, _PERCENT, _COUNT = (re.compile(p) for p in (AMOUNT, PERCENT, COUNT))
+#: One of these words is in a text that a pattern matches.
+_AMOUNT_WORDS, _PERCENT_WORDS, _COUNT_WORDS = (max(re.findall(r"\(\?:([a-z|]+)\)", p), key=len).split("|") for p in (AMOUNT, PERCENT, COUNT))
 _LETTERS, _DIGITS = re.compile(r"[a-z\s]+", re.I), re.compile(r"[\d,]+")
 
 
@@ -58,9 +60,12 @@ def metrics_of(text: str | None) -> list[tuple[str, float]]:
     out: dict[str, float] = {}
     if not text or not (digits := [m.span() for m in _DIGITS.finditer(text)]):
         return []
+    low = text.lower() if text.isascii() else None  # other letters fold in other ways
+    asked = lambda words: low is None or any(w in low for w in words)
+    amounts, percents = asked(_AMOUNT_WORDS), "%" in text and asked(_PERCENT_WORDS)
     ended = text + " "  # stretches of letters that a number can follow
-    letters = [(m.start(), e) for m in _LETTERS.finditer(text) if (c := ended[e := m.end()]) in ":$," or c.isdigit()]
-    for pattern, stretches, name, value, suffix in ((_AMOUNT, letters, 1, 2, ""), (_PERCENT, letters, 1, 2, " (%)"), (_COUNT, digits, 2, 1, "")):
+    letters = [(m.start(), e) for m in _LETTERS.finditer(text) if (c := ended[e := m.end()]) in ":$," or c.isdigit()] if amounts or percents else []
+    for pattern, stretches, name, value, suffix in ((_AMOUNT, letters if amounts else [], 1, 2, ""), (_PERCENT, letters if percents else [], 1, 2, " (%)"), (_COUNT, digits if asked(_COUNT_WORDS) else [], 2, 1, "")):
         for m in _found(pattern, stretches, text):
             try:
                 number = float(m[value].replace(",", ""))
@@ -80,9 +85,11 @@ METRIC_ROW = T.ArrayType(T.StructType([T.StructField("metric", T.StringType()),
 def metrics_in(text: Column) -> Column:
     """An array of (metric, value) per text. Matches that may not overlap need the match's end, so this runs in Arrow batches."""
 
-    @F.pandas_udf(METRIC_ROW)
-    def found(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"metric": k, "value": v} for k, v in metrics_of(t)])
+    @F.arrow_udf(METRIC_ROW)
+    def found(texts: pa.Array) -> pa.Array:
+        told = [metrics_of(t) for t in texts.to_pylist()]
+        parts = [pa.array([x[i] for some in told for x in some], t) for i, t in enumerate((pa.string(), pa.float64()))]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, told)]), pa.int32()), pa.StructArray.from_arrays(parts, METRIC_ROW.elementType.names))
 
     return found(text)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyquill.functions.numbers import all_numbers, metrics_in
-from tallyquill.functions.text import asks_for_numbers, clean_output, instruct_prompt, numbered_list, program_and_answer, query_analysis, route, strip
+from tallyquill.functions.text import asks_for_numbers, clean_output, instruct_prompt, let, numbered_list, program_and_answer, query_analysis, route, strip
 from tallyquill.operators import index
 from tallyquill.operators.index import Store
 from tallyquill.operators.retrieval import collection_hits, merge_hits, numeric_first, retrieve, vector_topk
@@ -200,21 +200,28 @@ def numeric_operations(nodes: DataFrame, analyses: DataFrame, provider: Provider
     and max of each metric asked for that was found), steps, and the provider's response to all that
     where the analysis asks for a computation.
     """
-    m = F.transform(metrics_in(F.col("content")), lambda x: F.struct(x["metric"].alias("metric"), x["value"].alias("value"), F.col("source").alias("source"), F.col("node_id").alias("node_id")))
-    read = nodes.withColumns({"metrics": m, "numbers": all_numbers(F.col("content")), "table": F.when(F.col("is_table"), table_data(F.col("content")))})
-    held = read.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "node_id", "source", "metrics", "numbers", "table"))).alias("held"))
-    numbers = F.flatten(F.transform("held", lambda h: F.transform(h["numbers"], lambda n: F.struct(h["node_id"].alias("node_id"), h["source"].alias("source"), n["value"].alias("value"), n["is_currency"].alias("is_currency"), n["is_percentage"].alias("is_percentage"), n["context"].alias("context"), n["position"].alias("position")))))
-    tabs = F.transform(F.filter("held", lambda h: h["table"].isNotNull() & (F.size(h["table"]["rows"]) > 0)), lambda h: F.struct(h["node_id"].alias("node_id"), h["source"].alias("source"), h["table"].alias("data")))
-    out = analyses.join(held, "query_id", "left").withColumn("held", F.coalesce("held", F.array().cast(held.schema["held"].dataType)))
-    out = out.withColumns({"extracted_metrics": F.flatten(F.transform("held", lambda h: h["metrics"])), "extracted_numbers": numbers, "tables": tabs}).drop("held")
+    read = nodes.withColumns({"metrics": metrics_in(F.col("content")), "numbers": all_numbers(F.col("content")), "table": F.when(F.col("is_table"), table_data(F.col("content")))})
+    kinds = ("metrics", "numbers", "table")  # a list each, so that what nobody reads is neither extracted nor shuffled
+    held = read.groupBy("query_id").agg(*(F.array_sort(F.collect_list(F.struct("place", "node_id", "source", c))).alias(f"held_{c}") for c in kinds))
+    flat = lambda c, *fields: F.flatten(F.transform(f"held_{c}", lambda h: F.transform(h[c], lambda x: F.struct(*((h if f in ("node_id", "source") else x)[f].alias(f) for f in fields)))))
+    tabs = F.transform(F.filter("held_table", lambda h: h["table"].isNotNull() & (F.size(h["table"]["rows"]) > 0)), lambda h: F.struct(h["node_id"].alias("node_id"), h["source"].alias("source"), h["table"].alias("data")))
+    out = analyses.join(held, "query_id", "left").withColumns({f"held_{c}": F.coalesce(f"held_{c}", F.array().cast(held.schema[f"held_{c}"].dataType)) for c in kinds})
+    numbers = flat("numbers", "node_id", "source", "value", "is_currency", "is_percentage", "context", "position")
+    out = out.withColumns({"extracted_metrics": flat("metrics", "metric", "value", "source", "node_id"), "extracted_numbers": numbers, "tables": tabs}).drop(*(f"held_{c}" for c in kinds))
     values = lambda name: F.array_sort(F.transform(F.filter("extracted_metrics", lambda x: x["metric"] == name), lambda x: x["value"]))
-    wanted = F.filter(F.array_distinct(F.coalesce("analysis.financial_metrics", F.array().cast("array<string>"))), lambda w: F.size(values(w)) > 0)
+    wanted = F.filter(F.array_distinct(F.coalesce("analysis.financial_metrics", F.array().cast("array<string>"))), lambda w: F.coalesce(F.exists("extracted_metrics", lambda x: x["metric"] == w), F.lit(False)))
+    out = out.withColumn("__wanted", wanted)
+    wanted = F.col("__wanted")
 
     def statistics(w: Column) -> Column:
-        v = values(w)
-        n, entry = F.size(v), lambda kind, x: F.struct(F.concat(w, F.lit(f"_{kind}")).alias("key"), x.alias("value"))
-        middle = (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
-        return F.array(entry("mean", F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n), entry("median", middle), entry("min", F.get(v, F.lit(0))), entry("max", F.element_at(v, -1)))
+        entry = lambda kind, x: F.struct(F.concat(w, F.lit(f"_{kind}")).alias("key"), x.alias("value"))
+
+        def entries(v: Column) -> Column:
+            n = F.size(v)
+            middle = (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+            return F.array(entry("mean", F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n), entry("median", middle), entry("min", F.get(v, F.lit(0))), entry("max", F.element_at(v, -1)))
+
+        return let(values(w), entries)  # sorted once
 
     periods = F.coalesce("analysis.time_periods", F.array().cast("array<string>"))
     compared = F.when(F.size(periods) >= 2, F.array(F.concat(F.lit("Time period comparison requested: "), F.array_join(periods, ", ")))).otherwise(F.array().cast("array<string>"))

@@ -34,3 +34,41 @@ def test_C6_texts_of_a_query_are_made_behind_its_sort(spark, tiny):
 
     plan = catalogue.QUERIES["number_units"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert "paid $" in plan and "paid $" not in plan[plan.index("Window") :]
+
+
+def test_C5_texts_without_a_pattern_s_words_are_passed_over_only_then():
+    assert dict(numbers.metrics_of("Net INCOME was $3 million; growth rate of 12.5%")) == {"net income": 3e6, "growth rate (%)": 0.125}
+    assert dict(numbers.metrics_of("gross ſaleſ of 5"))["gross ſaleſ"] == 5.0  # a long s is an s to the pattern
+    words = {"revenue": 1, "rate": 2, "stores": 3}
+    pick = random.Random(4)
+    for _ in range(2000):
+        text = " ".join(pick.choices([*words, "in", "Rate", "5", "6%", "$7", "k", "ſtoreſ", ";", "8 stores", "sales of 9 m"], k=pick.randint(0, 9)))
+        letters = [(m.start(), m.end()) for m in numbers._LETTERS.finditer(text)]
+        want = {}
+        for pattern, stretches, name, value, suffix in ((numbers._AMOUNT, letters, 1, 2, ""), (numbers._PERCENT, letters, 1, 2, " (%)"), (numbers._COUNT, [m.span() for m in numbers._DIGITS.finditer(text)], 2, 1, "")):
+            for m in numbers._found(pattern, stretches, text):
+                unit = next(x for u, x in numbers.UNITS if u in m[3].lower()) if pattern is numbers._AMOUNT and m[3] else 1.0
+                want[m[name].strip().lower() + suffix] = float(m[value].replace(",", "")) * unit / (100 if suffix else 1)
+        assert dict(numbers.metrics_of(text)) == want, text
+
+
+def test_R17_numbers_that_nobody_reads_are_not_extracted(spark, tiny):
+    from tallyquill.functions.text import query_analysis
+    from tallyquill.operators import engine
+    from tallyquill.plans import catalogue
+    from pyspark.sql import functions as F
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    nodes = spark.createDataFrame([(1, 2, "b", "s", False, "net revenue of $4 million"), (1, 1, "a", "s", False, "net revenue was 2 million and 7%"), (1, 3, "t", "u", True, "| a | b |\n|---|---|\n| 1 | 2 |")], "query_id int, place int, node_id string, source string, is_table boolean, content string")
+    asked = spark.createDataFrame([(1, "q", "financial_metrics: ['net revenue']"), (2, "none", "")], "query_id int, query string, a string").select("query_id", "query", query_analysis(F.col("a")).alias("analysis"))
+    out = engine.numeric_operations(nodes, asked)
+    got = {r["query_id"]: r for r in out.collect()}
+    assert [(m["metric"], m["value"], m["source"], m["node_id"]) for m in got[1]["extracted_metrics"]] == [("net revenue", 2e6, "s", "a"), ("net revenue", 4e6, "s", "b")]
+    assert [(n["node_id"], n["value"]) for n in got[1]["extracted_numbers"]][:2] == [("a", 2.0), ("a", 7.0)] and [t["node_id"] for t in got[1]["tables"]] == ["t"]
+    assert got[1]["computed"] == {"net revenue_mean": 3e6, "net revenue_median": 3e6, "net revenue_min": 2e6, "net revenue_max": 4e6} and got[2]["extracted_metrics"] == got[2]["tables"] == []
+    assert plan(out).count("ArrowEvalPython") == 1 and plan(out).count("found(content") == 2
+    assert plan(out.select("query_id", "computed")).count("found(content") == 1
+    whole = catalogue.QUERIES["numeric_operations"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("Exchange") <= 4
